@@ -6,6 +6,7 @@ import json
 import random
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import duckdb
 import numpy as np
@@ -66,10 +67,11 @@ def test_sharding(docs):
 
 
 def test_toxicity(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(docs, labels).join(labels, "doc_id").where("held_out").collect()
-    right = sum(r.predicted == r.toxic for r in got)
-    assert right >= 0.97 * len(got) and len(got) > 50
+    caught = sum(r.predicted and r.toxic for r in got)
+    assert len(got) > 500 and sum(r.predicted for r in got) <= 1.08 * caught
+    assert caught >= 0.75 * sum(r.toxic for r in got)
     again = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
     assert all(abs(again[r.doc_id] - r.score) < 1e-9 for r in got)
 
@@ -292,9 +294,15 @@ def test_exact_dedup_oracle(spark):
     assert Counter(map(tuple, got)) == Counter(duck(queries.ORACLE_SQL["op7_exact_dedup"], documents=arrow(docs)))
 
 
-def ids_of(path, text, end):
+@cache
+def plain_tokenizer(path):
     t = Tokenizer.from_file(path)
     t.encode_special_tokens = True
+    return t
+
+
+def ids_of(path, text, end):
+    t = plain_tokenizer(path)
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 

@@ -29,7 +29,7 @@ def features(raw: bytes | None, cache: WordHashes, bits: int) -> np.ndarray:
 class Ftrl:
     """FTRL-proximal: a rate of its own for every coordinate, and L1 that keeps most weights at zero."""
 
-    def __init__(self, bits: int, alpha: float = 0.1, beta: float = 1.0, l1: float = 1.0, l2: float = 1.0):
+    def __init__(self, bits: int, alpha: float = 1.5, beta: float = 1.0, l1: float = 6.0, l2: float = 0.0):
         self.z, self.n = np.zeros(1 << bits), np.zeros(1 << bits)
         self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
         self.bias_z = self.bias_n = 0.0
@@ -56,7 +56,7 @@ def held_out(id_col: str, folds: int = 5):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20, max_rows: int = 20_000, epochs: int = 2) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", bits: int = 20, max_rows: int = 30_000, epochs: int = 4) -> dict:
     """Sparse weights learnt from labelled rows that are not held out.
 
     Learns from about ``max_rows`` labelled rows at most, chosen by a hash of
