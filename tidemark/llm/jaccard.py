@@ -37,52 +37,69 @@ def _half(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
-class Tree:
-    """Signature tree: leaves are sets, inner nodes join up to ``fan`` neighbours.
+def signature(found: np.ndarray) -> bytes:
+    """Bitmap of a set: member m sets bit m mod 4s, s being the set's size rounded up to a power of two."""
+    bits = signature_bits(len(found))
+    marks = np.zeros(bits, np.uint8)
+    marks[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
 
-    A node has the OR of its members' bitmaps, the range of their sizes, and the
-    most that a member's size exceeds its count of bits. Sets are ordered by size
-    class and least member, so that like sets lie together.
-    """
 
-    def __init__(self, sets: list[np.ndarray], percent: int, bits: int = 2048, fan: int = 8):
-        shift = np.uint64(64 - bits.bit_length() + 1)
-        width = math.log(100 / percent) if percent < 100 else 1.0
-        order = sorted(range(len(sets)), key=lambda i: (int(math.log(len(sets[i])) / width), int(sets[i][0]), i))
-        self.sets = sets
-        level = []
-        for i in order:
-            marks = np.zeros(bits, np.uint8)
-            marks[(sets[i] >> shift).astype(np.int64)] = 1
-            bitmap = int.from_bytes(np.packbits(marks).tobytes(), "big")
-            n = len(sets[i])
-            level.append((bitmap, n, n, n - bitmap.bit_count(), (), i))
-        while len(level) > 1:
-            level = [self._join(level[j : j + fan]) for j in range(0, len(level), fan)]
-        self.root = level[0] if level else None
+def signature_bits(n: int) -> int:
+    return max(64, 4 << (n - 1).bit_length())
 
-    @staticmethod
-    def _join(nodes: list[tuple]) -> tuple:
-        bitmap = 0
-        for x in nodes:
-            bitmap |= x[0]
-        return bitmap, min(x[1] for x in nodes), max(x[2] for x in nodes), max(x[3] for x in nodes), tuple(nodes), nodes[0][5]
 
+class Node:
+    """Of a signature tree: OR of the members' bitmaps, range of their sizes, and the most that a size exceeds the count of bits; the bitmaps and the excess both in full and folded to half the bits."""
 
-class Traversal:
-    """Dual traversal of one tree with itself or of two, node pair by node pair.
+    __slots__ = ("full", "excess", "half", "half_excess", "least", "most", "children", "leaf", "bits", "single")
+
+    def __init__(self, full: int, excess: int, half: int, half_excess: int, least: int, most: int, children: list, leaf: int, bits: int):
+        self.full, self.excess, self.half, self.half_excess = full, excess, half, half_excess
+        self.least, self.most, self.children, self.leaf, self.bits = least, most, children, leaf, bits
+        self.single = not children  # whether all members are known to be in one component
+
+
+def leaf(number: int, n: int, bitmap: bytes) -> Node:
+    bits = 8 * len(bitmap)
+    full = int.from_bytes(bitmap, "little")
+    half = (full >> (bits // 2)) | (full & ((1 << (bits // 2)) - 1))
+    return Node(full, n - full.bit_count(), half, n - half.bit_count(), n, n, [], number, bits)
+
+
+def trees(leaves: list[tuple[int, Node]], fan: int = 8) -> list[Node]:
+    """The roots of trees over (order, leaf), one for each width of bitmaps; leaves of like size and order lie together."""
+    roots = []
+    for _, group in groupby(sorted(leaves, key=lambda x: (x[1].bits, x[1].most.bit_length(), 16 * x[1].most >> x[1].most.bit_length(), x[0], x[1].leaf)), key=lambda x: x[1].bits):
+        level = [node for _, node in group]
+        while len(level) > 1:
+            joined = []
+            for i in range(0, len(level), fan):
+                part = level[i : i + fan]
+                full = half = 0
+                for x in part:
+                    full, half = full | x.full, half | x.half
+                joined.append(Node(full, max(x.excess for x in part), half, max(x.half_excess for x in part), min(x.least for x in part), max(x.most for x in part), part, part[0].leaf, part[0].bits))
+            level = joined
+        roots += level
+    return roots
 
-    A pair of nodes is left out when no two members can reach the threshold: by
-    their sizes, or because the bits in common plus the excess over bits bound
-    the overlap. With ``skip_connected`` a pair is left out too when all members
-    of both are known to be in one component: components are then complete, but
-    not every link within one is reported.
+
+class Traversal:
+    """Dual traversal of signature trees, node pair by node pair.
+
+    A pair of nodes is left out when no two members can reach ``percent`` of
+    each other: by their sizes, or because the bits in common plus the excess
+    over bits bound the overlap. Widths of bitmaps that differ more than twofold
+    are of sizes that cannot link. With ``skip_connected`` a pair is left out too
+    when all members of both are known to be in one component: components are
+    then complete, but not every link within one is reported. ``check`` decides
+    on two leaves; without one, those that might link count as linked.
     """
 
-    def __init__(self, names: list[bytes], sets: list[np.ndarray], percent: int, skip_connected: bool):
-        self.names, self.sets, self.percent, self.skip = names, sets, percent, skip_connected
-        self.parent = list(range(len(sets)))
-        self.single: set[int] = set()  # nodes, by id(), whose members are in one component
+    def __init__(self, count: int, percent: int, skip_connected: bool, check=None):
+        self.percent, self.skip, self.check = percent, skip_connected, check
+        self.parent = list(range(count))
         self.links: list[tuple[int, int]] = []
 
     def find(self, i: int) -> int:
@@ -90,73 +107,101 @@ class Traversal:
             self.parent[i] = i = self.parent[self.parent[i]]
         return i
 
-    def one(self, node: tuple) -> bool:
-        if not node[4] or id(node) in self.single:
-            return True
-        root = self.find(node[5])
-        if all(self.one(x) and self.find(x[5]) == root for x in node[4]):
-            self.single.add(id(node))
-            return True
-        return False
-
-    def alone(self, node: tuple) -> None:
-        """All pairs within a node."""
-        for child in node[4]:
+    def one(self, node: Node) -> bool:
+        if not node.single:
+            root = self.find(node.leaf)
+            node.single = all(self.one(x) and self.find(x.leaf) == root for x in node.children)
+        return node.single
+
+    def alone(self, node: Node) -> None:
+        """All pairs within a node, those of the lowest nodes first."""
+        for child in node.children:
             self.alone(child)
-        for i, a in enumerate(node[4]):
-            for b in node[4][i + 1 :]:
+        for i, a in enumerate(node.children):
+            for b in node.children[i + 1 :]:
                 self.pair(a, b)
 
-    def pair(self, a: tuple, b: tuple) -> None:
+    def pair(self, a: Node, b: Node) -> None:
         """All pairs of a member of a and one of b."""
         p, stack = self.percent, [(a, b)]
         while stack:
             a, b = stack.pop()
-            if 100 * a[2] < p * b[1] or 100 * b[2] < p * a[1]:
+            if 100 * a.most < p * b.least or 100 * b.most < p * a.least:
+                continue
+            if a.bits == b.bits:
+                common, most_a, most_b = (a.full & b.full).bit_count(), a.excess, b.excess
+            elif a.bits == 2 * b.bits:
+                common, most_a, most_b = (a.half & b.full).bit_count(), a.half_excess, b.excess
+            elif b.bits == 2 * a.bits:
+                common, most_a, most_b = (a.full & b.half).bit_count(), a.excess, b.half_excess
+            else:
                 continue
-            common = (a[0] & b[0]).bit_count()
-            most = min(a[2], b[2], a[3] + common, b[3] + common)
-            if (100 + p) * most < p * (a[1] + b[1]):
+            if (100 + p) * min(a.most, b.most, most_a + common, most_b + common) < p * (a.least + b.least):
                 continue
-            if self.skip and self.find(a[5]) == self.find(b[5]) and self.one(a) and self.one(b):
+            if self.skip and self.find(a.leaf) == self.find(b.leaf) and self.one(a) and self.one(b):
                 continue
-            if a[4] and (not b[4] or a[2] - a[1] >= b[2] - b[1]):
-                stack += [(x, b) for x in a[4]]
-            elif b[4]:
-                stack += [(a, x) for x in b[4]]
-            else:
-                self.check(a[5], b[5])
+            if a.children and (not b.children or a.most - a.least >= b.most - b.least):
+                stack += [(x, b) for x in a.children]
+            elif b.children:
+                stack += [(a, x) for x in b.children]
+            elif self.check is None or self.check(a.leaf, b.leaf):
+                self.links.append((a.leaf, b.leaf))
+                self.parent[self.find(a.leaf)] = self.find(b.leaf)
+
+
+def tree_links(items: list[tuple[int, int, bytes, int]], percent: int, skip_connected: bool, check=None) -> list[tuple[int, int]]:
+    """Linked pairs of items (side, size, bitmap, order): of side 0 with side 1 or, if there is no side 1, within side 0."""
+    walk = Traversal(len(items), percent, skip_connected, check)
+    sides = [trees([(order, leaf(i, n, bitmap)) for i, (side, n, bitmap, order) in enumerate(items) if side == s]) for s in (0, 1)]
+    if sides[1]:
+        for a in sides[0]:
+            for b in sides[1]:
+                walk.pair(a, b)
+    else:
+        for i, a in enumerate(sides[0]):
+            walk.alone(a)
+            for b in sides[0][i + 1 :]:
+                walk.pair(a, b)
+    return walk.links
 
-    def check(self, i: int, j: int) -> None:
-        x, y = self.sets[i], self.sets[j]
-        both = len(np.intersect1d(x, y, assume_unique=True))
-        if 100 * both >= self.percent * (len(x) + len(y) - both):
-            self.links.append((i, j))
-            self.parent[self.find(i)] = self.find(j)
 
+def linked(sets: list[np.ndarray], percent: int):
+    """A check of two places in ``sets`` by exact intersection."""
 
-def tree_links(names: list[bytes], sets: list[np.ndarray], sides: list[int], percent: int, skip_connected: bool) -> list[tuple[int, int]]:
-    """Linked pairs (places in ``sets``): of side 0 with side 1 or, if there is no side 1, within side 0."""
-    walk = Traversal(names, sets, percent, skip_connected)
+    def check(i: int, j: int) -> bool:
+        x, y = sets[i], sets[j]
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * both >= percent * (len(x) + len(y) - both)
 
-    def tree(side: int) -> tuple | None:
-        own = [i for i, s in enumerate(sides) if s == side]
-        root = Tree([sets[i] for i in own], percent).root
+    return check
 
-        def moved(node: tuple) -> tuple:
-            return (*node[:4], tuple(moved(x) for x in node[4]), own[node[5]])
 
-        return root and moved(root)
+def _duties(placed: DataFrame, percent: int, block_members: int, columns: list[str]) -> DataFrame:
+    """Which task each class of ``placed`` (cls, n, unit, ...) works in: ``columns``, work, side.
 
-    first, second = tree(0), tree(1)
-    if first and second:
-        walk.pair(first, second)
-    elif first:
-        walk.alone(first)
-    return walk.links
+    A unit of up to ``block_members`` members is one task's. A larger one is
+    split by size class, and a size class by hash, into blocks; each block meets
+    itself and those of its own and the next size class.
+    """
+    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
+    placed = placed.withColumn("band", F.floor(F.log("n") / width).cast("int"))
+    big = placed.groupBy("unit").agg(F.sum("n").alias("unit_n")).where(F.col("unit_n") > block_members).select("unit")
+    split = placed.groupBy("unit", "band").agg(F.ceil(F.sum("n") / block_members).cast("int").alias("salts")).join(big, "unit", "left_semi")
+    blocked = placed.join(split, ["unit", "band"], "left").withColumn("salt", F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int"))
+    blocked = saved(blocked.select(*columns, "unit", "band", "salt"), "shingle-blocks")
+    halls = blocked.where("salt is not null").select("unit", "band", "salt").distinct()
+    a, b = halls.alias("a"), halls.alias("b")
+    later = (F.col("a.band") < F.col("b.band")) | (F.col("a.salt") <= F.col("b.salt"))
+    meet = a.join(b, (F.col("a.unit") == F.col("b.unit")) & (F.col("b.band") - F.col("a.band")).between(0, 1) & later)
+    ends = [F.struct(F.col(f"{x}.band").alias("band"), F.col(f"{x}.salt").alias("salt"), F.lit(side).alias("side")) for side, x in enumerate("ab")]
+    itself = (F.col("a.band") == F.col("b.band")) & (F.col("a.salt") == F.col("b.salt"))
+    work = F.concat_ws("/", "a.unit", "a.band", "a.salt", "b.band", "b.salt")
+    meet = meet.select(work.alias("work"), F.col("a.unit").alias("unit"), F.explode(F.when(itself, F.array(ends[0])).otherwise(F.array(*ends))).alias("end")).select("work", "unit", "end.*")
+    small = blocked.where("salt is null").select(*columns, F.col("unit").cast("string").alias("work"), F.lit(0).alias("side"))
+    return small.unionByName(blocked.where("salt is not null").join(meet, ["unit", "band", "salt"]).select(*columns, "work", "side"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, skip_connected: bool = True, block_members: int = 2_000_000, frequent: int = 64, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, skip_connected: bool = True, block_members: int = 2_000_000, frequent: int = 16, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets and the links between them.
 
     Returns (members, links): members has a row a row of ``docs``: id, cls (of
@@ -171,9 +216,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     2. Sets that share such a member, directly or by others, are one unit. A
        unit with more than ``block_members`` members is split by size class and
        hash into blocks, and only blocks of equal or adjacent size classes meet.
-    3. A task builds signature trees over a unit, or the two blocks that meet,
-       and traverses them; what is left is checked by exact intersection.
+    3. A task builds signature trees over the bitmaps of a unit, or of two blocks
+       that meet, and traverses them. Those that might link make finer units.
+    4. The sets of these alone are gathered, and the trees traversed again with
+       exact intersection at the leaves.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be 50 to 100")
     spark = docs.sparkSession
     n_parts = partitions(spark)
     kind = docs.schema[id_col].dataType
@@ -181,7 +230,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id_type = to_arrow_type(kind)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    first_schema = pa.schema([("id", id_type), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+    first_schema = pa.schema([("id", id_type), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("prefix", pa.list_(pa.int64())), ("least", pa.int64()), ("bitmap", pa.binary())])
 
     def prefix_length(n: int) -> int:
         return n - least_overlap(n, percent) + 1
@@ -190,11 +239,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def each() -> Iterator[tuple]:
             for key, found in _sets(batches, k):
                 n = len(found)
-                yield key, _class(found) if n else None, n, found[: prefix_length(n)].view(np.int64) if n else []
+                if n:
+                    yield key, _class(found), n, found[: prefix_length(n)].view(np.int64), int(found[0] >> np.uint64(1)), signature(found)
+                else:
+                    yield key, None, 0, [], None, None
 
         yield from batched(each(), first_schema, 256)
 
-    read = saved(texts.mapInArrow(first, f"id {kind.simpleString()}, cls binary, n_shingles long, prefix array<long>"), "shingle-sets")
+    read = saved(texts.mapInArrow(first, f"id {kind.simpleString()}, cls binary, n_shingles long, prefix array<long>, least long, bitmap binary"), "shingle-sets")
     members = read.select("id", "cls", "n_shingles")
 
     total = read.agg(F.sum(F.size("prefix"))).first()[0] or 0
@@ -202,61 +254,61 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     least = max(frequent, total // most_frequent + 1)  # so at most most_frequent members are collected
     common = np.sort(np.array([r[0] for r in counts.where(F.col("count") >= least).select("member").collect()], np.int64).view(np.uint64))
     shared_common = spark.sparkContext.broadcast(common)
-    token_schema = pa.schema([("half", pa.int64()), ("member", pa.int64())])
+    token_schema = pa.schema([("half", pa.int64()), ("member", pa.int64()), ("n", pa.int64())])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = shared_common.value
-        held, heads, count = [], [], 0
-        for (found,) in ((x[-1],) for x in _sets(batches, k)):
+
+        def made() -> pa.RecordBatch:
+            lengths = [len(x) for x in held]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), lengths)), pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], schema=token_schema)
+
+        held, names, sizes, count = [], [], [], 0
+        for (found,) in _sets(batches, k):
             n = len(found)
             if not n:
                 continue
             p = prefix_length(n)
+            chosen = found[:p]
             if len(last):
-                at = np.minimum(np.searchsorted(last, found), len(last) - 1)
-                often = last[at] == found
-                chosen = np.concatenate([found[~often], found[often]])[:p] if often.any() else found[:p]
-            else:
-                chosen = found[:p]
+                often = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+                if often.any():
+                    chosen = np.concatenate([found[~often], found[often]])[:p]
             held.append(chosen)
-            heads.append(np.full(p, _half(_class(found)), np.int64))
+            names.append(_half(_class(found)))
+            sizes.append(n)
             count += p
-            if count > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(held).view(np.int64))], schema=token_schema)
-                held, heads, count = [], [], 0
+            if count > 100_000:
+                yield made()
+                held, names, sizes, count = [], [], [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads)), pa.array(np.concatenate(held).view(np.int64))], schema=token_schema)
+            yield made()
+
+    # In order of size, a set and the one before it that shares the member; where two may link, so may all between.
+    by_size = Window.partitionBy("member").orderBy("n", "half")
+    tokens = texts.select("raw").mapInArrow(second, "half long, member long, n long")
+    together = tokens.select("half", F.lag("half").over(by_size).alias("before"), "n", F.lag("n").over(by_size).alias("n_before"))
+    together = together.where((F.col("half") != F.col("before")) & (F.col("n_before") * 100 >= F.col("n") * percent)).select("half", "before").distinct()
+    units = connected(together, "half", "before")
+
+    # of each class its row with the least id; its bitmap goes along
+    named = read.where("cls is not null").withColumn("half", _half_column("cls")).join(units.withColumnRenamed("node", "half"), "half")
+    classes = named.groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("root").alias("unit"), F.first("least").alias("least"), F.first("bitmap").alias("bitmap"))
+    classes = saved(classes, "shingle-classes")
+    link_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
-    tokens = texts.select("raw").mapInArrow(second, "half long, member long")
-    leader = F.first("half").over(Window.partitionBy("member").orderBy("half").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    together = tokens.withColumn("leader", leader).where("half != leader").select("half", "leader").distinct()
-    units = connected(together, "half", "leader")
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple]:
+            for _, group in groupby(rows(batches), key=lambda r: r[0]):
+                held = list(group)
+                for i, j in tree_links([(side, n, bitmap, low) for _, side, _, n, low, bitmap in held], percent, True):
+                    yield held[i][2], held[j][2]
 
-    classes = members.where("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"))
-    classes = classes.withColumn("half", _half_column("cls"))
-    placed = classes.join(units.withColumnRenamed("node", "half"), "half").select("cls", "id", "n", F.col("root").alias("unit"))
-    width = math.log(100 / percent) * 1.0001 if percent < 100 else 1.0
-    placed = saved(placed.withColumn("band", F.floor(F.log("n") / width).cast("int")), "shingle-units")
-    whole = placed.groupBy("unit").agg(F.sum("n").alias("unit_n"))
-    bands = placed.groupBy("unit", "band").agg(F.sum("n").alias("band_n"))
-    big = whole.where(F.col("unit_n") > block_members).select("unit")
-    split = bands.join(big, "unit").withColumn("salts", F.ceil(F.col("band_n") / block_members).cast("int")).select("unit", "band", "salts")
-    blocked = (
-        placed.join(split, ["unit", "band"], "left")
-        .withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("cls"), F.col("salts")).cast("int")).otherwise(-1))
-        .withColumn("band", F.when(F.col("salts").isNotNull(), F.col("band")).otherwise(-1))
-        .select("cls", "id", "unit", "band", "salt")
-    )
-    blocked = saved(blocked, "shingle-blocks")
-    halls = blocked.where("salt >= 0").select("unit", "band", "salt").distinct()
-    a, b = halls.alias("a"), halls.alias("b")
-    meet = a.join(b, (F.col("a.unit") == F.col("b.unit")) & (F.col("b.band") - F.col("a.band")).between(0, 1) & ((F.col("a.band") < F.col("b.band")) | (F.col("a.salt") <= F.col("b.salt"))))
-    work = F.concat_ws("/", *[F.col(f"{s}.{c}").cast("string") for s, c in (("a", "unit"), ("a", "band"), ("a", "salt"), ("b", "band"), ("b", "salt"))])
-    meet = meet.select(work.alias("work"), F.col("a.unit").alias("unit"), F.array(F.struct(F.col("a.band").alias("band"), F.col("a.salt").alias("salt"), F.lit(0).alias("side")), F.struct(F.col("b.band"), F.col("b.salt"), F.lit(1).alias("side"))).alias("ends"))
-    meet = meet.select("work", "unit", F.explode(F.array_distinct(F.when((F.col("ends")[0]["band"] == F.col("ends")[1]["band"]) & (F.col("ends")[0]["salt"] == F.col("ends")[1]["salt"]), F.slice("ends", 1, 1)).otherwise(F.col("ends")))).alias("end")).select("work", "unit", "end.*")
-    small = blocked.where("salt < 0").select("cls", "id", F.col("unit").cast("string").alias("work"), F.lit(0).alias("side"))
-    large = blocked.where("salt >= 0").join(meet, ["unit", "band", "salt"]).select("cls", "id", "work", "side")
-    duty = small.unionByName(large)
+        yield from batched(each(), link_schema)
+
+    duty = _duties(classes, percent, 8 * block_members, ["cls", "n", "least", "bitmap"])
+    dealt = duty.select("work", "side", "cls", "n", "least", "bitmap").repartition(n_parts, "work").sortWithinPartitions("work")
+    maybe = connected(saved(dealt.mapInArrow(possible, "a binary, b binary"), "shingle-pairs"))
 
     set_schema = pa.schema([("cls", pa.binary()), ("work", pa.string()), ("side", pa.int32()), ("members", pa.binary())])
 
@@ -270,9 +322,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         yield from batched(each(), set_schema, 64)
 
     # A class has as many duties as blocks meet its own: one, unless its unit is large.
-    duties = duty.groupBy("cls", F.col("id").alias("d_id")).agg(F.collect_list(F.struct("work", "side")).alias("duties"))
+    finer = classes.select("cls", "id", "n").join(maybe.withColumnRenamed("node", "cls"), "cls").select("cls", "id", "n", F.hex("root").alias("unit"))
+    duties = _duties(finer, percent, block_members, ["cls", "id"]).groupBy("cls", F.col("id").alias("d_id")).agg(F.collect_list(F.struct("work", "side")).alias("duties"))
     fetched = texts.join(duties, F.col("id").eqNullSafe(F.col("d_id"))).select("cls", "duties", "raw").mapInArrow(fetch, "cls binary, work string, side int, members binary")
-    link_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
@@ -280,7 +332,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 held = {(name, side): raw for _, name, side, raw in group}  # rows that repeat an id and a text came more than once
                 names = [name for name, _ in held]
                 found = [np.frombuffer(raw, np.uint64) for raw in held.values()]
-                for i, j in tree_links(names, found, [side for _, side in held], percent, skip_connected):
+                items = [(side, len(x), signature(x), int(x[0])) for (_, side), x in zip(held, found, strict=True)]
+                for i, j in tree_links(items, percent, skip_connected, linked(found, percent)):
                     yield names[i], names[j]
 
         yield from batched(each(), link_schema)
