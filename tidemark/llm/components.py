@@ -21,19 +21,22 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     u, v = F.col("u"), F.col("v")
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("u != v").distinct()
     now = saved(now, "stars")
-    mark = None
+    mark = _mark(now)
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
         large = both.where("v > u").join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where("u != v")
-        # what had no greater neighbour keeps its own star through its neighbours' rows
         large = large.distinct()
         lesser = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lesser, "u")
         small = small.select(v.alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
         now = saved(small, "stars")
-        found = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("h")).first()
-        if (found.n, found.h) == mark:
+        before, mark = mark, _mark(now)
+        if mark == before:
             break
-        mark = (found.n, found.h)
     return now.select(u.alias("node"), v.alias("root")).unionByName(now.select(v.alias("node"), v.alias("root")).distinct())
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Count and sum of hashes: the same just for the same distinct edges, but for accidents of 2**-64."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())

@@ -165,6 +165,21 @@ def tree_links(items: list[tuple[int, int, bytes, int]], percent: int, skip_conn
     return walk.links
 
 
+def stars(names: list[bytes], pairs: list[tuple[int, int]]) -> Iterator[tuple[bytes, bytes]]:
+    """For each name that pairs connect to a lesser one: itself and the least."""
+    parent = {}
+
+    def find(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i, j in pairs:
+        a, b = find(i), find(j)
+        parent[max(a, b, key=names.__getitem__)] = min(a, b, key=names.__getitem__)
+    yield from ((names[i], names[find(i)]) for i in list(parent) if find(i) != i)
+
+
 def linked(sets: list[np.ndarray], percent: int):
     """A check of two places in ``sets`` by exact intersection."""
 
@@ -206,8 +221,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Returns (members, links): members has a row a row of ``docs``: id, cls (of
     its set; null for an empty set) and n_shingles; links has pairs a, b of cls
-    with ``100 * |a & b| >= percent * |a | b|``, all of them, or, with
-    ``skip_connected``, enough to connect what they connect.
+    with ``100 * |a & b| >= percent * |a | b|``, all of them; with
+    ``skip_connected`` it has instead each class and the least that links within
+    a task connect it to, which leads to the same components.
 
     1. Two sets that link share one of their first ``n - least_overlap(n) + 1``
        members in any order common to all sets. The order used is by hash, with
@@ -284,11 +300,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if held:
             yield made()
 
-    # In order of size, a set and the one before it that shares the member; where two may link, so may all between.
+    # In order of size, sets that share the member part where the next is too large to link; each goes to the first of its run.
     by_size = Window.partitionBy("member").orderBy("n", "half")
-    tokens = texts.select("raw").mapInArrow(second, "half long, member long, n long")
-    together = tokens.select("half", F.lag("half").over(by_size).alias("before"), "n", F.lag("n").over(by_size).alias("n_before"))
-    together = together.where((F.col("half") != F.col("before")) & (F.col("n_before") * 100 >= F.col("n") * percent)).select("half", "before").distinct()
+    apart = F.coalesce((F.lag("n").over(by_size) * 100 < F.col("n") * percent).cast("int"), F.lit(0))
+    tokens = texts.select("raw").mapInArrow(second, "half long, member long, n long").withColumn("apart", apart)
+    tokens = tokens.withColumn("run", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    leader = F.first("half").over(Window.partitionBy("member", "run").orderBy("n", "half").rowsBetween(Window.unboundedPreceding, 0))
+    together = tokens.withColumn("before", leader).where("half != before").select("half", "before").distinct()
     units = connected(together, "half", "before")
 
     # of each class its row with the least id; its bitmap goes along
@@ -301,8 +319,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         def each() -> Iterator[tuple]:
             for _, group in groupby(rows(batches), key=lambda r: r[0]):
                 held = list(group)
-                for i, j in tree_links([(side, n, bitmap, low) for _, side, _, n, low, bitmap in held], percent, True):
-                    yield held[i][2], held[j][2]
+                yield from stars([x[2] for x in held], tree_links([(side, n, bitmap, low) for _, side, _, n, low, bitmap in held], percent, True))
 
         yield from batched(each(), link_schema)
 
@@ -333,8 +350,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 names = [name for name, _ in held]
                 found = [np.frombuffer(raw, np.uint64) for raw in held.values()]
                 items = [(side, len(x), signature(x), int(x[0])) for (_, side), x in zip(held, found, strict=True)]
-                for i, j in tree_links(items, percent, skip_connected, linked(found, percent)):
-                    yield names[i], names[j]
+                found_links = tree_links(items, percent, skip_connected, linked(found, percent))
+                yield from stars(names, found_links) if skip_connected else ((names[i], names[j]) for i, j in found_links)
 
         yield from batched(each(), link_schema)
 
