@@ -2,31 +2,61 @@
 
 from __future__ import annotations
 
-import re
 import struct
 from functools import cache
 from pathlib import Path
 
 from tokenizers import Tokenizer
 
-#: Where the spaces of a text are not single ones between words.
-_ODD = re.compile(r"\s\s|^\s|\s$|[^\S \n]")
+#: Marks that every tokenizer here parts from the letters before them.
+_MARKS = frozenset(",.;:!?")
+
+
+#: How byte-level vocabularies write bytes that are no visible Latin-1 character: from U+0100 on, in order.
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class _Words(dict):
-    """Ids of words, as bytes of little-endian 32-bit integers, found by the tokenizer when first asked for."""
+    """Ids of words, as bytes of little-endian 32-bit integers, found by the tokenizer when first asked for.
+
+    At most two generations of ``most`` words are kept: when the young one is
+    full it takes the place of the old one, so words in use stay. A mark after
+    letters is a token run of its own, so the letters are looked up without it.
+    """
 
-    def __init__(self, tokenizer: Tokenizer, before: str, most: int = 300_000):
+    def __init__(self, tokenizer: Tokenizer, before: str, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.before, self.most = tokenizer, before, most
+        self.old: dict[str, bytes] = {}
+        self.lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
+        self.model = tokenizer.model
+        self.direct = all(self._letters(w) == self._ids(before + w) for w in ("a", "the", "Word", "QzXv", "\u00c9t\u00e9", "\u00f1and\u00fa"))
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(self.before + word, add_special_tokens=False).ids
+        packed = self.old.get(word)
+        if packed is None:
+            if word[-1:] in _MARKS and word[:-1].isalpha():
+                packed = self[word[:-1]] + self._ids(word[-1])
+            elif self.direct and word.isalpha() and max(word) < "\u0100":
+                packed = self._letters(word)
+            else:
+                packed = self._ids(self.before + word)
         if len(self) >= self.most:
+            self.old = self.copy()
             self.clear()
-        self[word] = packed = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = packed
         return packed
 
+    def _letters(self, word: str) -> bytes:
+        """Ids of letters up to U+00FF, a token run of their own, straight from the tokenizer's model."""
+        shown = (self.before + (word.lower() if self.lower else word)).encode().decode("latin-1").translate(_SHOWN)
+        ids = [x.id for x in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 class WordEncoder:
     """Encodes texts exactly as the tokenizer does, but each distinct word once.
@@ -46,17 +76,18 @@ class WordEncoder:
 
     def __call__(self, text: str) -> bytes:
         """The ids of ``text``, packed as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if _ODD.search(text):
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
-        first, later = self.first, self.later
-        lines = []
+        words, first, later = text.split(), self.first, self.later
+        lines = text.count("\n")
+        # single spaces and line ends between words, and no other white space
+        if len(text) != sum(map(len, words)) + len(words) - 1 or text.count(" ") + lines != len(words) - 1:
+            return first._ids(text)
+        if not lines or (later is first and not self.newline):
+            return first[words[0]] + b"".join(map(later.__getitem__, words[1:]))
+        packed = []
         for line in text.split("\n"):
             head, *rest = line.split(" ")
-            lines.append(first[head] + b"".join(map(later.__getitem__, rest)))
-        return self.newline.join(lines)
+            packed.append(first[head] + b"".join(map(later.__getitem__, rest)))
+        return self.newline.join(packed)
 
 
 @cache
