@@ -30,13 +30,14 @@ class _Words(dict):
         self.old: dict[str, bytes] = {}
         self.lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
         self.model = tokenizer.model
+        self.marks = {m: self._ids(m) for m in _MARKS}
         self.direct = all(self._letters(w) == self._ids(before + w) for w in ("a", "the", "Word", "QzXv", "\u00c9t\u00e9", "\u00f1and\u00fa"))
 
     def __missing__(self, word: str) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            if word[-1:] in _MARKS and word[:-1].isalpha():
-                packed = self[word[:-1]] + self._ids(word[-1])
+            if word[-1:] in self.marks and word[:-1].isalpha():
+                packed = self[word[:-1]] + self.marks[word[-1]]
             elif self.direct and word.isalpha() and max(word) < "\u0100":
                 packed = self._letters(word)
             else:
