@@ -25,8 +25,7 @@ def connected(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         both = now.unionByName(now.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), u).alias("m"))
-        large = both.where("v > u").join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where("u != v")
-        large = large.distinct()
+        large = both.where("v > u").join(least, "u").select(v.alias("u"), F.col("m").alias("v")).where("u != v")  # repeats stay: the last step of the round drops them
         lesser = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lesser, "u")
         small = small.select(v.alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u != v").distinct()
