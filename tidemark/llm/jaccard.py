@@ -17,6 +17,9 @@ from .components import connected
 from .words import WordHashes, shingles
 
 
+_LOW = 0xFFFFFFFF
+
+
 def least_overlap(n: int, percent: int) -> int:
     """A set of n that reaches ``percent`` with another shares so many members at least."""
     return -(-n * percent // 100)
@@ -266,7 +269,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = read.select("id", "cls", "n_shingles")
 
     total = read.agg(F.sum(F.size("prefix"))).first()[0] or 0
-    counts = read.select(F.explode("prefix").alias("member")).groupBy("member").count()
+    # Counted by 32 bits of the hash: any order common to all sets will do.
+    counts = read.select(F.explode("prefix").alias("member")).groupBy(F.col("member").bitwiseAND(F.lit(_LOW)).alias("member")).count()
     least = max(frequent, total // most_frequent + 1)  # so at most most_frequent members are collected
     common = np.sort(np.array([r[0] for r in counts.where(F.col("count") >= least).select("member").collect()], np.int64).view(np.uint64))
     shared_common = spark.sparkContext.broadcast(common)
@@ -287,7 +291,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             p = prefix_length(n)
             chosen = found[:p]
             if len(last):
-                often = last[np.minimum(np.searchsorted(last, found), len(last) - 1)] == found
+                low = found & np.uint64(_LOW)
+                often = last[np.minimum(np.searchsorted(last, low), len(last) - 1)] == low
                 if often.any():
                     chosen = np.concatenate([found[~often], found[often]])[:p]
             held.append(chosen)
