@@ -34,17 +34,75 @@ def fit_weighted(x: np.ndarray, y: np.ndarray, iterations: int = 450, rate: floa
     return w / std, float(b - (w / std) @ mean)
 
 
+def fit_platt(x: np.ndarray, y: np.ndarray, iterations: int = 300, rate: float = 0.06, least: int = 80) -> tuple[float, float, bool]:
+    """Platt's (a, b, fitted). Not fitted where twice the rarer label is under ``least`` or the share of wins is not in 0.15 to 0.85."""
+    wins = int(y.sum())
+    if 2 * min(wins, len(y) - wins) < least or not 0.15 <= wins / len(y) <= 0.85:
+        return 1.0, 0.0, False
+    a, b = 1.0, 0.0
+    for _ in range(iterations):
+        error = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500))) - y
+        a, b = a - rate * (error @ x) / len(x), b - rate * error.mean()
+    return float(a), float(b), True
+
+
+def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, iterations: int = 600, rate: float = 0.08, l2: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    """Softmax regression by decaying gradient steps: (weights by class, bias by class)."""
+    w, b, wanted = np.zeros((classes, x.shape[1])), np.zeros(classes), np.eye(classes)[y]
+    for step in range(iterations):
+        z = x @ w.T + b
+        p = np.exp(z - z.max(1, keepdims=True))
+        error = (p / p.sum(1, keepdims=True) - wanted) / len(x)
+        now = rate / np.sqrt(1 + step / 100)
+        w, b = w - now * (error.T @ x + l2 * w), b - now * error.sum(0)
+    return w, b
+
+
+def softmax(features: list[Column], weights: list[list[float]], bias: list[float]) -> list[Column]:
+    """Class probabilities of fixed weights, all in the JVM."""
+    logits = [sum((x * w for x, w in zip(features, ws, strict=True)), F.lit(b)) for ws, b in zip(weights, bias, strict=True)]
+    parts = [F.exp(z - F.greatest(*logits)) for z in logits]
+    return [part / sum(parts[1:], parts[0]) for part in parts]
+
+
+def _sampled(df: DataFrame, key: str, columns: list[str], most_rows: int) -> DataFrame:
+    """Of each group about ``most_rows`` rows at most, by a hash of the columns."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
+    share = F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) < 1_000_000 * most_rows / F.col("_n")
+    return df.join(sizes, key).where(share).select(key, *columns).dropna()
+
+
+def platt_by_group(df: DataFrame, key: str, score: str, label: str, most_rows: int = 50_000) -> DataFrame:
+    """A Platt scaler a group, learnt from at most about ``most_rows`` of its rows: key, n, a, b, fitted."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([score, label])
+        a, b, fitted = fit_platt(part[score].to_numpy(float), part[label].to_numpy(float))
+        return pd.DataFrame({key: [part[key].iloc[0]], "n": [len(part)], "a": [a], "b": [b], "fitted": [fitted]})
+
+    return _sampled(df, key, [score, label], most_rows).groupBy(key).applyInPandas(fit, f"{key} {kind}, n long, a double, b double, fitted boolean")
+
+
+def softmax_by_group(df: DataFrame, key: str, features: list[str], label: str, classes: int, most_rows: int = 50_000) -> DataFrame:
+    """A softmax model a group, learnt from at most about ``most_rows`` of its rows: key, n, weights, bias."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def fit(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values([*features, label])
+        w, b = fit_softmax(part[features].to_numpy(float), part[label].to_numpy(int), classes)
+        return pd.DataFrame({key: [part[key].iloc[0]], "n": [len(part)], "weights": [w.tolist()], "bias": [b.tolist()]})
+
+    return _sampled(df, key, [*features, label], most_rows).groupBy(key).applyInPandas(fit, f"{key} {kind}, n long, weights array<array<double>>, bias array<double>")
+
+
 def fit_by_group(df: DataFrame, key: str, features: list[str], label: str, most_rows: int = 50_000) -> DataFrame:
     """A model a group, learnt from at most about ``most_rows`` of its rows, by hash: key, n, weights, bias."""
     kind = df.schema[key].dataType.simpleString()
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
-    share = F.pmod(F.xxhash64(*features), F.lit(1_000_000)) < 1_000_000 * most_rows / F.col("_n")
-    sample = df.join(sizes, key).where(share).select(key, *features, label)
+    sample = _sampled(df, key, [*features, label], most_rows)
 
     def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.dropna().sort_values([*features, label])
-        if part.empty:
-            return pd.DataFrame({key: [], "n": [], "weights": [], "bias": []})
+        part = part.sort_values([*features, label])
         w, b = fit_weighted(part[features].to_numpy(float), part[label].to_numpy(float))
         return pd.DataFrame({key: [part[key].iloc[0]], "n": [len(part)], "weights": [w.tolist()], "bias": [b]})
 

@@ -500,4 +500,4 @@ def stream_distinct(spark, d):
     return _drained(spark, candles.distinct_trades(candles.trade_stream(spark, d, "events"), ["event_id"], "60 days").select("event_id", "user_id", "value"))
 
 
-from . import evidence  # noqa: E402, F401  registers its queries here
+from . import decisions, evidence  # noqa: E402, F401  register their queries here
