@@ -340,6 +340,17 @@ def test_grammar():
             assert len(shard.symbols) < 0.4 * len(ids)
 
 
+def test_grammar_of_documents_alike_at_both_ends():
+    rng = np.random.default_rng(2)
+    for n in (0, 4, 30):
+        parts = [np.r_[7, 8, rng.integers(3, 400, n), 9, 2].astype(np.uint32) for _ in range(500)]
+        shard = grammar.Shard(grammar.pack_shard(np.concatenate(parts), np.array([len(x) for x in parts]), 500, 2))
+        ids, counts = shard.all()
+        assert np.array_equal(ids, np.concatenate(parts)) and counts.tolist() == [len(x) for x in parts]
+        assert all(np.array_equal(shard.document(k), x) for k, x in enumerate(parts))
+        assert all(2 not in shard.texts[500:][at : at + m] for m, at in zip(shard.lengths[500:], np.cumsum(shard.lengths[500:]) - shard.lengths[500:], strict=True))
+
+
 def test_media(docs):
     got = media.read_media(media.store_media(docs)).collect()
     want = Counter()

@@ -21,11 +21,11 @@ _HEAD = struct.Struct("<IIIIQ")  # terminals, rules, documents, reserved, symbol
 
 
 def frequent_pairs(seq: np.ndarray, end_id: int, most: int, least: int) -> np.ndarray:
-    """Up to ``most`` pairs (as left << 32 | right) that occur ``least`` times or more, most frequent first; none begins with ``end_id``.
+    """Up to ``most`` pairs (as left << 32 | right) that occur ``least`` times or more, most frequent first; none has ``end_id`` on either side.
 
     Pairs are counted by a hash first; only those in well-filled places are then counted exactly.
     """
-    keys = ((seq[:-1] << 32) | seq[1:])[seq[:-1] != end_id]
+    keys = ((seq[:-1] << 32) | seq[1:])[(seq[:-1] != end_id) & (seq[1:] != end_id)]
     places = _place(keys)
     filled = np.bincount(places, minlength=1 << 20)
     bound = max(least, int(np.partition(filled, -2 * most)[-2 * most]))
