@@ -406,6 +406,14 @@ def test_packing(docs):
     assert len(by) <= 1.02 * sum(n for *_, n, _ in want.elements()) / 256 + 2
 
 
+def test_packing_more_pieces_than_open_bins(spark):
+    rng = random.Random(6)
+    docs = spark.createDataFrame([(i, " a" * rng.randrange(1, 200)) for i in range(6000)], "doc_id long, text string")
+    got = packing.pack(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json", capacity=256, open_bins=64).collect()
+    assert len(got) == 6000
+    assert len({r.sequence_id for r in got}) <= 1.05 * sum(r.length for r in got) / 256
+
+
 def test_best_fit():
     rng = random.Random(4)
     lengths = [rng.randrange(1, 101) for _ in range(3000)]

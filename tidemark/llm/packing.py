@@ -92,14 +92,16 @@ def pack_lengths(lengths: Iterable[int], capacity: int, open_bins: int) -> Itera
     return (bins.place(x) for x in lengths)
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, open_bins: int = 1024, tokens_per_task: int = 64_000_000, keeps_space: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 0, open_bins: int = 1024, tokens_per_task: int = 8_000_000, keeps_space: bool = True) -> DataFrame:
     """Pack all rows' token pieces into sequences of at most ``capacity``.
 
-    Texts are encoded once; the narrow pieces are dealt evenly by a hash of their
-    id over as many tasks as give each about ``tokens_per_task`` tokens, longest
-    first within a task, and each task packs on its own in bounded space. A task
-    leaves a sequence or two short, whatever the input, so the share of waste
-    falls with ``tokens_per_task``.
+    Texts are encoded once; the narrow pieces are dealt evenly by a hash of them
+    over as many tasks as give each about ``tokens_per_task`` tokens, and each
+    task packs on its own, online and in bounded space. Within a task pieces come
+    in the order of that hash, so that long and short ones meet while bins are
+    open, however many come; longest first, the long ones' bins would close
+    before the short ones came. A task's last open bins stay as they are: up to
+    ``open_bins`` sequences, so that waste falls a little with more tokens a task.
 
     Returns id_col, piece, start, length, ids_crc32, sequence_id, offset. Null
     or empty text: one piece, the end id. Null and repeated ids keep their rows.
@@ -118,5 +120,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 [*batch.columns, pa.array([base + n for n, _ in placed], pa.int64()), pa.array([at for _, at in placed], pa.int64())], names=[*batch.schema.names, "sequence_id", "offset"]
             )
 
-    dealt = cut_up.repartition(int(tasks), F.xxhash64(id_col, "piece", "start", "ids_crc32")).sortWithinPartitions(F.col("length").desc(), id_col, "piece", "ids_crc32")
+    mixed = F.xxhash64(id_col, "piece", "start", "ids_crc32")
+    dealt = cut_up.repartition(int(tasks), mixed).sortWithinPartitions(mixed, id_col, "piece", "start", "ids_crc32")
     return dealt.mapInArrow(run, schema)
