@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from tidemark.llm._common import saved
+from tidemark.llm._common import row_key, saved
 from tidemark.llm.queries import TOKENIZERS
 
 
@@ -21,10 +21,18 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that five-word shingles link at 0.8: the one with the least id."""
-    groups = jaccard.near_components(docs, k=5, percent=80)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """One document of each group that five-word shingles link at 0.8: the one with the least id, null counting as greatest. Rows without words are in no group."""
+    keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text"))
+    groups = saved(jaccard.near_components(keyed, id_col="_key", k=5, percent=80).where(F.col("_key") == F.col("component_id")).select(F.col("_key").alias("_stays"), "n_shingles"), "near-stays")
+    stay = groups.groupBy("_stays").agg(((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("_again"))
+
+    def staying(part: DataFrame) -> DataFrame:
+        return keyed.join(part, F.col("_key").eqNullSafe(F.col("_stays")), "left_semi")
+
+    far, again = staying(stay.where("not _again")), stay.where("_again")
+    if not again.isEmpty():  # rows that repeat id and text
+        far = far.unionByName(staying(again).dropDuplicates(["_key"]))
+    return far.drop("_key")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,36 @@ def test_pipeline(spark):
             at += n
     packed = corpus_pipeline.STAGES[-1][1](spark, mixed, SF).collect()
     assert Counter((r.doc_id, r.piece, r.start, r.length) for r in packed) == want
+
+
+def test_null_and_repeated_ids(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(12)]
+    rows = [(None, t, "a") for t in texts] + [(7, t + " end", "b") for t in texts[:6]] + [(7, f"alone {t}", "b") for t in texts[:2]]
+    rows += [(None, "", "a"), (None, None, "a"), (3, " ", "c"), (None, texts[11] + " near", "c"), (None, texts[11] + " near", "c"), (9, "once more " * 3, "c"), (9, "once more " * 3, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").cache()
+
+    far = corpus_pipeline.drop_near_copies(spark, docs, SF)
+    got = Counter((r.doc_id, r.text) for r in far.collect())
+    assert far.columns == docs.columns and set(got.values()) == {1}
+    for i, t in enumerate(texts):
+        group = [k for k in got if t in (k[1] or "")]
+        assert len(group) == 1 and group[0][0] == (7 if i < 6 else None)
+    assert {(None, ""), (None, None), (3, " "), (9, "once more " * 3)} <= set(got) and len(got) == 12 + 4
+
+    plan = mixing.mix(docs).collect()
+    mixed = mixing.mixed_rows(docs)
+    want = Counter()
+    for r in plan:
+        want[r.doc_id, r.source, r["size"]] += r.copies
+    assert mixed.columns == docs.columns
+    taken = mixed.collect()
+    assert Counter((r.doc_id, r.source, len((r.text or "").split())) for r in taken) == +want
+    assert max(Counter((r.doc_id, r.text, r.source) for r in taken).values()) <= 4
+
+
+def test_mix_that_ends_among_repeated_rows(spark):
+    docs = spark.createDataFrame([(None, "a b c", s) for s in "xyz" for _ in range(9)], "doc_id long, text string, source string")
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.source] += r.copies
+    assert Counter(r.source for r in mixing.mixed_rows(docs).collect()) == want and want["x"] == 18

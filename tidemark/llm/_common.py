@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def partitions(spark: SparkSession) -> int:
@@ -38,6 +39,12 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_key(docs: DataFrame, id_col: str, text_col: str, *others: str) -> Column:
+    """A key of rows whose ids may be null or repeat: ordered by id, null last; equal just for equal ids, texts (null: empty) and ``others``."""
+    sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
+    return F.struct(docs[id_col].isNull().alias("missing"), docs[id_col].alias("id"), sha.alias("sha"), *[docs[c].alias(c) for c in others])
+
+
 def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of Arrow batches as tuples, one batch in memory at a time."""
     for batch in batches:

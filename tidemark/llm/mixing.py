@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, saved
+from ._common import partitions, row_key, saved
 
 #: Bytes of UTF-8 between words are space and tab to carriage return.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -38,7 +38,7 @@ def mix_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights:
     return ranked.withColumn("line", level).select("source", "source_size", F.when(F.col("line").isNull(), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("line"))).alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), block_words: int = 256) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), block_words: int = 256, key_col: str | None = None) -> DataFrame:
     """How many words of each row a mix of the sources takes.
 
     Each source's rows, shuffled by a hash of the id, make a stream of words cut
@@ -51,14 +51,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     one source may hold most rows. Returns id_col, source, size, source_size,
     target, taken and copies (passes over the row, to the nearest). Null text
     and text without words have size and taken 0. Null sources are one source.
-    Rows that repeat are rows of their own. No rows give no rows.
+    Rows that repeat are rows of their own. No rows give no rows. ``key_col`` of
+    ``docs``, where given, comes along with each row.
     """
     spark = docs.sparkSession
+    key = [key_col] * bool(key_col)
     n = 4 * partitions(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     keyed = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), digest.alias("digest")
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("size"), digest.alias("digest"), *key
     ).withColumn("bucket", F.floor(F.conv(F.substring("digest", 1, 6), 16, 10).cast("double") * n / float(1 << 24)).cast("int"))
     keyed = saved(keyed, "mix-sizes")
 
@@ -67,12 +69,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     targets = saved(mix_targets(sizes, share, cap, weights), "mix-targets")
     ordered = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_bucket.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("bucket_size").over(ordered), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", "size")
+    inside = Window.partitionBy("source", "bucket").orderBy("digest", "id", "size", *key)
     streams = (
         keyed.withColumn("nth", F.row_number().over(inside))
         .withColumn("prefix", F.coalesce(F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-        .select("id", "source", "size", "bucket", "nth", (F.col("base") + F.col("prefix")).alias("start"))
+        .select("id", "source", "size", "bucket", "nth", (F.col("base") + F.col("prefix")).alias("start"), *key)
     )
 
     taken = _blocks_taken(targets, block_words, n)
@@ -87,12 +89,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     got = F.aggregate("ts", F.lit(0).cast("long"), overlap)
     mixed = (
         pieces.join(taken, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block")), "left")
-        .groupBy("source", "bucket", "nth", "id", "size")
+        .groupBy("source", "bucket", "nth", "id", "size", *key)
         .agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
     )
     about = targets.select(F.col("source").alias("s_source"), "source_size", "target")
     copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.join(about, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", copies.alias("copies"))
+    return mixed.join(about, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", copies.alias("copies"), *key)
 
 
 def _blocks_taken(targets: DataFrame, block_words: int, n: int) -> DataFrame:
@@ -137,10 +139,25 @@ def _blocks_taken(targets: DataFrame, block_words: int, n: int) -> DataFrame:
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as the mix takes them: as often as ``copies`` says, with all columns.
 
-    Ids must be unique. Rows that the mix takes by less than half, and rows
-    without words, are not in it.
+    Rows that the mix takes by less than half, and rows without words, are not
+    in it. Rows are told apart by id, source and text. Those that repeat all
+    three lie together in the stream, so only where the mix ends among them do
+    their copies differ, by one; which of them get the one more is then decided
+    by a hash of the row.
     """
-    id_col = options.get("id_col", "doc_id")
-    plan = mix(docs, **options).where("copies > 0").select(F.col(id_col).alias("_mix_id"), F.col("copies").alias("_mix_copies"))
-    repeated = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return repeated.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).drop("_mix_id", "_mix_copies", "_mix_copy")
+    key = row_key(docs, options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source"))
+    keyed = docs.withColumn("_mix_key", key)
+    n, least = F.count("*"), F.min("copies")
+    plan = mix(keyed, key_col="_mix_key", **options).groupBy(F.col("_mix_key").alias("_plan_key")).agg(least.alias("_mix_copies"), (F.sum("copies") - n * least).alias("_mix_more"))
+    plan = saved(plan.where("_mix_copies > 0 or _mix_more > 0"), "mix-plan")
+
+    def planned(part: DataFrame) -> DataFrame:
+        return keyed.join(part, F.col("_mix_key").eqNullSafe(F.col("_plan_key")))
+
+    repeated = planned(plan.where("_mix_more = 0"))
+    uneven = plan.where("_mix_more > 0")
+    if not uneven.isEmpty():
+        nth = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.xxhash64(*docs.columns)))
+        repeated = repeated.unionByName(planned(uneven).withColumn("_mix_copies", F.col("_mix_copies") + (nth <= F.col("_mix_more")).cast("int")))
+    copies = F.explode(F.when(F.col("_mix_copies") > 0, F.sequence(F.lit(1), F.col("_mix_copies"))))
+    return repeated.withColumn("_mix_copy", copies).select(*docs.columns)
