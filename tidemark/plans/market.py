@@ -497,7 +497,7 @@ def stream_candles(spark, d):
 
 @query("SELECT event_id, user_id, value FROM events")
 def stream_distinct(spark, d):
-    return _drained(spark, candles.distinct_trades(candles.trade_stream(spark, d, "events"), ["event_id"], "60 days").select("event_id", "user_id", "value"))
+    return _drained(spark, candles.distinct_ever(candles.trade_stream(spark, d, "events"), ["event_id"]).select("event_id", "user_id", "value"))
 
 
 from . import decisions, evidence  # noqa: E402, F401  register their queries here

@@ -26,6 +26,11 @@ def distinct_trades(stream: DataFrame, keys: list[str], delay: str = "1 hour") -
     return stream.withWatermark("ts", delay).dropDuplicatesWithinWatermark(keys)
 
 
+def distinct_ever(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """The first of each trade, however late: for back-fills, whose files come in any order. The state keeps every key."""
+    return stream.dropDuplicates(keys)
+
+
 def candle_stream(stream: DataFrame, key: str, price: str, width: str, delay: str = "1 hour") -> DataFrame:
     """Tumbling candles of a stream with a watermark."""
     at = F.struct("ts", price)
