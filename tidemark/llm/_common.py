@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._files import opened
+
 
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session: the operators' unit of parallelism."""
@@ -39,6 +41,13 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discarded(df: DataFrame) -> None:
+    """Remove the files of a :func:`saved` table that nothing reads any more."""
+    for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+        system, name = opened(folder)
+        system.delete_dir(name)
+
+
 def row_key(docs: DataFrame, id_col: str, text_col: str, *others: str) -> Column:
     """A key of rows whose ids may be null or repeat: ordered by id, null last; equal just for equal ids, texts (null: empty) and ``others``."""
     sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ._common import batched, partitions, rows, saved
 from .components import connected
+from .sieve import sifted
 from .words import WordHashes, shingles
 
 
@@ -194,6 +195,24 @@ def linked(sets: list[np.ndarray], percent: int):
     return check
 
 
+def _merged(half: np.ndarray, member: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of sets of one size that share a member, the one of the least ``half`` goes on with it; the others leave a row (that half, their own, 0) instead, once for all members.
+
+    So however many sets a task sees share a member, no more of them go to the
+    member's task than there are sizes.
+    """
+    order = np.lexsort((half, n, member))
+    half, member, n = half[order], member[order], n[order]
+    first = np.r_[True, (member[1:] != member[:-1]) | (n[1:] != n[:-1])]
+    lead = half[first][np.cumsum(first) - 1]
+    apart = half != lead
+    a, b = lead[apart], half[apart]
+    order = np.lexsort((a, b))
+    a, b = a[order], b[order]
+    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+    return np.r_[half[first], a[new]], np.r_[member[first], b[new]], np.r_[n[first], np.zeros(int(new.sum()), np.int64)]
+
+
 def _duties(placed: DataFrame, percent: int, block_members: int, columns: list[str]) -> DataFrame:
     """Which task each class of ``placed`` (cls, n, unit, ...) works in: ``columns``, work, side.
 
@@ -219,7 +238,7 @@ def _duties(placed: DataFrame, percent: int, block_members: int, columns: list[s
     return small.unionByName(blocked.where("salt is not null").join(meet, ["unit", "band", "salt"]).select(*columns, "work", "side"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, skip_connected: bool = True, block_members: int = 2_000_000, frequent: int = 16, most_frequent: int = 200_000) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, skip_connected: bool = True, block_members: int = 2_000_000, frequent: int = 16, most_frequent: int = 200_000, sieve_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets and the links between them.
 
     Returns (members, links): members has a row a row of ``docs``: id, cls (of
@@ -238,7 +257,9 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     3. A task builds signature trees over the bitmaps of a unit, or of two blocks
        that meet, and traverses them. Those that might link make finer units.
     4. The sets of these alone are gathered, and the trees traversed again with
-       exact intersection at the leaves.
+       exact intersection at the leaves. Texts of other rows do not move: a Bloom
+       filter of at most ``sieve_bits`` bits keeps them back (where more ids are
+       wanted than it can tell apart, all texts go to the join).
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent must be 50 to 100")
@@ -281,7 +302,8 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         def made() -> pa.RecordBatch:
             lengths = [len(x) for x in held]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), lengths)), pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], schema=token_schema)
+            columns = _merged(np.repeat(np.array(names, np.int64), lengths), np.concatenate(held).view(np.int64), np.repeat(np.array(sizes, np.int64), lengths))
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=token_schema)
 
         held, names, sizes, count = [], [], [], 0
         for (found,) in _sets(batches, k):
@@ -299,19 +321,20 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             names.append(_half(_class(found)))
             sizes.append(n)
             count += p
-            if count > 100_000:
+            if count > 400_000:
                 yield made()
                 held, names, sizes, count = [], [], [], 0
         if held:
             yield made()
 
-    # In order of size, sets that share the member part where the next is too large to link; each goes to the first of its run.
+    # In order of size, sets that share the member part where the next is too large to link; each goes to the first of its run. Rows of size 0, a run of their own, are links that a task found.
     by_size = Window.partitionBy("member").orderBy("n", "half")
     apart = F.coalesce((F.lag("n").over(by_size) * 100 < F.col("n") * percent).cast("int"), F.lit(0))
     tokens = texts.select("raw").mapInArrow(second, "half long, member long, n long").withColumn("apart", apart)
     tokens = tokens.withColumn("run", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
     leader = F.first("half").over(Window.partitionBy("member", "run").orderBy("n", "half").rowsBetween(Window.unboundedPreceding, 0))
-    together = tokens.withColumn("before", leader).where("half != before").select("half", "before").distinct()
+    known = F.col("n") == 0
+    together = tokens.withColumn("before", leader).select(F.when(known, F.col("member")).otherwise(F.col("half")).alias("half"), F.when(known, F.col("half")).otherwise(F.col("before")).alias("before")).where("half != before").distinct()
     units = connected(together, "half", "before")
 
     # of each class its row with the least id; its bitmap goes along
@@ -346,7 +369,10 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # A class has as many duties as blocks meet its own: one, unless its unit is large.
     finer = classes.select("cls", "id", "n").join(maybe.withColumnRenamed("node", "cls"), "cls").select("cls", "id", "n", F.hex("root").alias("unit"))
     duties = _duties(finer, percent, block_members, ["cls", "id"]).groupBy("cls", F.col("id").alias("d_id")).agg(F.collect_list(F.struct("work", "side")).alias("duties"))
-    fetched = texts.join(duties, F.col("id").eqNullSafe(F.col("d_id"))).select("cls", "duties", "raw").mapInArrow(fetch, "cls binary, work string, side int, members binary")
+    duties = saved(duties, "shingle-duties")
+    # Most texts have no duty: a filter of bounded size keeps them from the exchange.
+    near = sifted(texts, "id", duties, "d_id", sieve_bits)
+    fetched = near.join(duties, F.col("id").eqNullSafe(F.col("d_id"))).select("cls", "duties", "raw").mapInArrow(fetch, "cls binary, work string, side int, members binary")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
