@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard, mixing, packing, toxicity
 from tidemark.llm._common import row_key, saved
-from tidemark.llm.queries import TOKENIZERS
+from tidemark.llm.queries import BYTE_BPE
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences of 2048 tokens."""
-    return packing.pack(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(docs, BYTE_BPE)
 
 
 STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near dedup", drop_near_copies), ("mixing", mix_sources), ("packing", pack_sequences)]

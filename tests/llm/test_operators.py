@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 from tidemark.llm import exact_dedup, grammar, jaccard, media, mixing, packing, queries, repeats, sharding, toxicity, warc
 from tidemark.llm.components import connected
 from tidemark.llm.sieve import sifted
+from tidemark.llm.tokens import encoder
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size int, score string, kept string, id string, row string, part int, start string"
@@ -323,7 +324,7 @@ def ids_of(path, text, end):
 
 
 def test_token_ids(docs):
-    path = f"{queries.TOKENIZERS}/word_bpe_49k.json"
+    path = queries.WORD_BPE
     files = grammar.write_ids(docs, path, shard_ids=3000)
     got = sorted(grammar.read_ids(files).collect(), key=lambda r: r.start)
     want = Counter()
@@ -336,6 +337,47 @@ def test_token_ids(docs):
     assert known == sorted(known)
 
 
+def plain_repair(ids, end_id, least):
+    """Re-Pair as published: the most frequent pair, over and over."""
+    seq, rules = ids.tolist(), 0
+    while True:
+        count, last = Counter(), None
+        for i, pair in enumerate(zip(seq, seq[1:], strict=False)):
+            if end_id in pair or (last == (i - 1, pair)):
+                last = None
+                continue
+            count[pair] += 1
+            last = (i, pair)
+        pair, n = max(count.items(), key=lambda x: (x[1], x[0]), default=(None, 0))
+        if n < least:
+            return len(seq), rules
+        rules, out, i = rules + 1, [], 0
+        while i < len(seq):
+            if tuple(seq[i : i + 2]) == pair:
+                out.append(1000 + rules)
+                i += 2
+            else:
+                out.append(seq[i])
+                i += 1
+        seq = out
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(3)
+    passage = rng.integers(3, 400, 200)
+    texts = [rng.integers(3, 9, 3000), np.concatenate([np.r_[rng.integers(3, 400, 20), passage] for _ in range(40)]), np.full(2000, 7)]
+    for ids in texts:
+        ids = np.r_[ids, 2]
+        symbols, rules = grammar.compress(ids, 500, 2, least=8)
+        lengths, all_texts = grammar.expansions(500, rules)
+        assert np.array_equal(grammar.expand(symbols, lengths, all_texts), ids)
+        inner = [p for p in zip(symbols.tolist(), symbols[1:].tolist(), strict=False) if 2 not in p]
+        often = [p for p, n in Counter(inner).items() if n >= 8 and p[0] != p[1]]
+        assert not often
+        plain, plain_rules = plain_repair(ids, 2, 8)
+        assert len(symbols) + 2 * len(rules) <= 1.1 * (plain + 2 * plain_rules) + 20
+
+
 def test_grammar():
     rng = np.random.default_rng(1)
     for n, top in ((1, 3), (50, 3), (20000, 6), (20000, 400)):
@@ -356,6 +398,18 @@ def test_grammar():
             assert len(shard.symbols) < 0.4 * len(ids)
 
 
+def test_encoder_agrees_with_the_tokenizer():
+    rng = random.Random(9)
+    pools = ["abcXYZ .,;:!?'", "ae\u0130I\u0131\xdf\xe9\xc9\xf1\xb5\xaa\xba\xb2 ", "\u0430\u0431\u0412 .,!", "\u0307\u0301 a\u0130?.", "\u65e5\u672c a,", "0123 a.b", "\t\n\r\xa0\u3000ab.", "\ufb01\u2460\u2167a,\U0001f600 "]
+    for path, space in ((queries.WORD_BPE, False), (queries.BYTE_BPE, True)):
+        encode = encoder(path, space)
+        for _ in range(3000):
+            pool = "".join(rng.sample(pools, rng.randrange(1, 4))) + "".join(chr(rng.randrange(0x20, 0x3000)) for _ in range(rng.randrange(3)))
+            text = "".join(rng.choice(pool) for _ in range(rng.randrange(14)))
+            assert np.frombuffer(encode(text), "<u4").tolist() == ids_of(path, text, 0)[:-1], text
+        assert np.frombuffer(encode("z\u0130?"), "<u4").tolist() == ids_of(path, "z\u0130?", 0)[:-1]
+
+
 def test_grammar_of_documents_alike_at_both_ends():
     rng = np.random.default_rng(2)
     for n in (0, 4, 30):
@@ -375,7 +429,15 @@ def test_media(docs):
         payload = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
         want[k, len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])] += 1
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
-    assert all(json.loads(r.feature)["seconds"] == r.payload_bytes / 8000 for r in got)
+    stored = {(r.doc_id, hashlib.sha256(r.media).hexdigest()): r.media for r in media.store_media(docs).collect()}
+    for r in got:
+        data = bytes(stored[r.doc_id, r.media_sha256])
+        payload = media.read_streams(data)[media.SOUND]["packets"][1:]
+        x = [b - 128 for b in b"".join(payload)]
+        said = json.loads(r.feature)
+        assert r.media_bytes == len(data) and said["packets"] == len(payload) and said["pages"] == data.count(b"OggS")
+        assert said["seconds"] == r.payload_bytes / 8000 and said["mean"] == round(sum(x) / len(x), 6) and abs(said["rms"] ** 2 - sum(v * v for v in x) / len(x)) < 1e-2
+        assert said["crossings"] == sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
 
 
 def test_ogg_container():
@@ -394,13 +456,19 @@ def test_ogg_container():
     data = media.interleave(one, two)
     got = media.read_streams(data)
     assert got[7]["packets"] == packets and got[9]["packets"] == [b"z"] and got[7]["granules"][-1] == 9
+    # the first four end in one page, the last two in another
+    assert got[7]["granules"] == [None, None, None, 7, None, 9]
+    assert media.packet_ends(got[7]["granules"], [0, 3, 2, 1, 1, 1]) == [1, 4, 6, 7, 8, 9]
+    assert media.packet_ends([], []) == []
+    sound = media.decode_samples(media.encode_samples(bytes(range(250)) * 50, rate=1000, packet_samples=120))
+    assert sound["ends"] == [min(12500, 120 * (i + 1)) / 1000 for i in range(105)]
     for damaged in (data[:-1] + bytes([data[-1] ^ 1]), data[:-3], b"x" + data, b"".join(one[:-1])):
         with pytest.raises(ValueError):
             media.read_streams(damaged)
 
 
 def test_packing(docs):
-    path = f"{queries.TOKENIZERS}/byte_bpe_50k.json"
+    path = queries.BYTE_BPE
     got = packing.pack(docs, path, capacity=256).collect()
     want = Counter()
     for k, t in pairs(docs):
@@ -425,7 +493,7 @@ def test_packing(docs):
 def test_packing_more_pieces_than_open_bins(spark):
     rng = random.Random(6)
     docs = spark.createDataFrame([(i, " a" * rng.randrange(1, 200)) for i in range(6000)], "doc_id long, text string")
-    got = packing.pack(docs, f"{queries.TOKENIZERS}/byte_bpe_50k.json", capacity=256, open_bins=64).collect()
+    got = packing.pack(docs, queries.BYTE_BPE, capacity=256, open_bins=64).collect()
     assert len(got) == 6000
     assert len({r.sequence_id for r in got}) <= 1.05 * sum(r.length for r in got) / 256
 

@@ -20,71 +20,85 @@ MAGIC = b"IDGRAM1\n"
 _HEAD = struct.Struct("<IIIIQ")  # terminals, rules, documents, reserved, symbols
 
 
-def frequent_pairs(seq: np.ndarray, end_id: int, most: int, least: int) -> np.ndarray:
-    """Up to ``most`` pairs (as left << 32 | right) that occur ``least`` times or more, most frequent first; none has ``end_id`` on either side.
+def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, places, ranks): the pairs (left << 32 | right) that occur ``least`` times or more, most frequent first, and where in ``keys`` they are.
 
     Pairs are counted by a hash first; only those in well-filled places are then counted exactly.
     """
-    keys = ((seq[:-1] << 32) | seq[1:])[(seq[:-1] != end_id) & (seq[1:] != end_id)]
-    places = _place(keys)
-    filled = np.bincount(places, minlength=1 << 20)
-    bound = max(least, int(np.partition(filled, -2 * most)[-2 * most]))
-    found, counts = np.unique(keys[filled[places] >= bound], return_counts=True)
-    order = np.lexsort((found, -counts))[:most]
-    return found[order][counts[order] >= least]
-
-
-def _place(keys: np.ndarray) -> np.ndarray:
-    return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
-
-
-def replace_pairs(seq: np.ndarray, pairs: np.ndarray, first_symbol: int) -> tuple[np.ndarray, np.ndarray]:
-    """Replace occurrences of ``pairs`` by new symbols; overlapping ones give way to that on the left. Returns (sequence, pairs that got a symbol, in its order)."""
-    table = np.full(1 << 20, -1, np.int64)
-    place = _place(pairs)
-    table[place[::-1]] = np.arange(len(pairs))[::-1]  # of two pairs in one place the more frequent gets it
-    pairs = pairs[table[place] == np.arange(len(pairs))]
-    table[:] = -1
-    table[_place(pairs)] = np.arange(len(pairs))
-    keys = (seq[:-1] << 32) | seq[1:]
-    rule = table[_place(keys)]
-    at = np.flatnonzero(rule >= 0)
-    at = at[pairs[rule[at]] == keys[at]]
-    if not len(at):
-        return seq, pairs[:0]
+    hashed = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
+    at = np.flatnonzero((np.bincount(hashed, minlength=1 << 20) >= least)[hashed])
+    found, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
+    order = np.lexsort((found, -counts))
+    order = order[: np.searchsorted(-counts[order], -least, side="right")]
+    rank = np.full(len(found), -1)
+    rank[order] = np.arange(len(order))
+    rank = rank[which]
+    return found[order], at[rank >= 0], rank[rank >= 0]
+
+
+def chosen(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which occurrences, of pairs with ``rank`` at places ``at``, are replaced: of those that overlap the more frequent, and of a run of one pair every other."""
+    near = np.diff(at) == 1
     nth = np.arange(len(at))
-    begins = np.r_[True, np.diff(at) > 1]
-    at = at[(nth - np.maximum.accumulate(np.where(begins, nth, 0))) % 2 == 0]
-    out, keep = seq.copy(), np.ones(len(seq), bool)
-    out[at] = first_symbol + rule[at]
-    keep[at + 1] = False
-    return out[keep], pairs
-
-
-def compress(ids: np.ndarray, terminals: int, end_id: int, rounds: int = 4, per_round: int = 4096, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(symbols, rules): Re-Pair, many pairs a round. Rule k expands symbol ``terminals`` + k to two earlier symbols; none spans an ``end_id``."""
-    seq, rules = ids.astype(np.int64), np.empty((0, 2), np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2 * least:
-            break
-        pairs = frequent_pairs(seq, end_id, per_round, least)
+    begins = np.r_[True, ~near | (rank[1:] != rank[:-1])]
+    begin = np.maximum.accumulate(np.where(begins, nth, 0))
+    best = (nth - begin) % 2 == 0
+    best[1:] &= ~(near & (rank[:-1] < rank[1:]))
+    best[:-1] &= ~(near & (rank[1:] < rank[:-1]))
+    best[1:] &= ~(near & best[:-1] & best[1:])
+    return best
+
+
+def compress(ids: np.ndarray, terminals: int, end_id: int, least: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(symbols, rules) by Re-Pair: rule k expands symbol ``terminals`` + k to two earlier symbols; none spans an ``end_id``.
+
+    A round replaces all frequent pairs, the more frequent first where they
+    overlap; rounds go on until no pair occurs ``least`` times (or occurrences
+    overlap so that it cannot be replaced half as often). Only pairs at symbols
+    of the last round are counted, and all pairs once more before the end.
+    """
+    seq, rules, new = ids.astype(np.int64), np.empty((0, 2), np.int64), 0
+    while len(seq) > 1:
+        fresh = seq >= new
+        at = np.flatnonzero(fresh[:-1] | fresh[1:])
+        left, right = seq[at], seq[at + 1]
+        inside = (left != end_id) & (right != end_id)
+        at, keys = at[inside], (left[inside] << 32) | right[inside]
+        pairs, hits, rank = frequent_pairs(keys, least)
+        first = terminals + len(rules)
+        if len(pairs):
+            best = chosen(rank, at[hits])
+            taken, rank = at[hits][best], rank[best]
+            used = np.bincount(rank, minlength=len(pairs)) >= max(2, least // 2)
+            taken, rank = taken[used[rank]], rank[used[rank]]
+            pairs = pairs[used]
         if not len(pairs):
-            break
-        seq, pairs = replace_pairs(seq, pairs, terminals + len(rules))
+            if not new:
+                break
+            new = 0  # a last look at all pairs
+            continue
+        seq[taken] = first + (np.cumsum(used) - 1)[rank]
+        kept = np.ones(len(seq), bool)
+        kept[taken + 1] = False
+        seq, new = seq[kept], first
         rules = np.vstack([rules, np.stack([pairs >> 32, pairs & 0xFFFFFFFF], 1)])
     return seq, rules
 
 
+def expansion_lengths(terminals: int, rules: np.ndarray) -> np.ndarray:
+    """Each symbol's length in ids."""
+    lengths = [1] * terminals
+    for a, b in rules.tolist():
+        lengths.append(lengths[a] + lengths[b])
+    return np.array(lengths, np.int64)
+
+
 def expansions(terminals: int, rules: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, texts): each symbol's length in ids, and all symbols' expansions one after the other."""
-    lengths = np.ones(terminals + len(rules), np.int64)
-    texts = [np.arange(terminals, dtype=np.uint32)]
-    own: list[np.ndarray] = []
-    part = lambda s: own[s - terminals] if s >= terminals else texts[0][s : s + 1]
-    for k, (a, b) in enumerate(rules.tolist()):
-        own.append(np.concatenate([part(a), part(b)]))
-        lengths[terminals + k] = len(own[-1])
-    return lengths, np.concatenate(texts + own)
+    texts = [i.to_bytes(4, "little") for i in range(terminals)]
+    for a, b in rules.tolist():
+        texts.append(texts[a] + texts[b])
+    return expansion_lengths(terminals, rules), np.frombuffer(b"".join(texts), "<u4")
 
 
 def expand(symbols: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> np.ndarray:
@@ -99,7 +113,7 @@ def expand(symbols: np.ndarray, lengths: np.ndarray, texts: np.ndarray) -> np.nd
 def pack_shard(ids: np.ndarray, counts: np.ndarray, terminals: int, end_id: int, **options) -> bytes:
     """A shard's file: head, rules, expansion lengths of the rules, each document's first symbol, symbols."""
     symbols, rules = compress(ids, terminals, end_id, **options)
-    lengths, _ = expansions(terminals, rules)
+    lengths = expansion_lengths(terminals, rules)
     ends = np.cumsum(lengths[symbols])
     firsts = np.searchsorted(ends, np.cumsum(counts) - counts, side="right")
     head = _HEAD.pack(terminals, len(rules), len(counts), 0, len(symbols))

@@ -61,7 +61,7 @@ def interleave(*streams: list[bytes]) -> bytes:
 
 
 def read_streams(data: bytes) -> dict[int, dict]:
-    """Demultiplex a file: for each serial its packets and the granule position of each packet's page.
+    """Demultiplex a file: for each serial its packets and, for each packet, the granule position of its page if it is the last that ends there, else None.
 
     Every page's capture pattern, checksum and number must hold, continued
     packets must have a beginning and an end, and each stream a first and a last
@@ -82,14 +82,17 @@ def read_streams(data: bytes) -> dict[int, dict]:
         s = streams.setdefault(serial, {"packets": [], "granules": [], "pages": 0, "open": None, "ended": False})
         if number != s["pages"] or bool(kind & FIRST) != (number == 0) or bool(kind & CONTINUED) != (s["open"] is not None) or s["ended"]:
             raise ValueError(f"page out of order at byte {at}")
-        held = s["open"] or []
+        held, ended = s["open"] or [], False
         for size in sizes:
             held.append(data[body : body + size])
             body += size
             if size < 255:
                 s["packets"].append(b"".join(held))
-                s["granules"].append(granule)
+                s["granules"].append(None)
+                ended = True
                 held = []
+        if ended:
+            s["granules"][-1] = granule
         open_ = held or (n and sizes[-1] == 255)
         s |= {"pages": number + 1, "open": held if open_ else None, "ended": bool(kind & LAST)}
         at = end
@@ -112,8 +115,22 @@ def encode_samples(payload: bytes, rate: int = 8000, packet_samples: int = 4096)
     return interleave(sound, index)
 
 
+def packet_ends(granules: list[int | None], durations: list[int]) -> list[int]:
+    """The granule position at the end of each packet.
+
+    A page says that of the last packet that ends in it; a packet before ends
+    where the next begins, by the durations of packets in granules.
+    """
+    ends, begin = [], 0
+    for granule, duration in zip(reversed(granules), reversed(durations), strict=True):
+        end = begin if granule is None else granule
+        ends.append(end)
+        begin = end - duration
+    return ends[::-1]
+
+
 def decode_samples(media: bytes) -> dict:
-    """What an Ogg file of :func:`encode_samples` holds: payload, rate, and when each packet ends, in seconds."""
+    """What an Ogg file of :func:`encode_samples` holds: payload, rate, when each packet ends and how long all last, in seconds."""
     streams = read_streams(media)
     by_head = {s["packets"][0][:9]: s for s in streams.values() if s["packets"]}
     sound, index = by_head[SOUND_HEAD], by_head[INDEX_HEAD]
@@ -122,18 +139,19 @@ def decode_samples(media: bytes) -> dict:
     if [zlib.crc32(p) for p in parts] != [struct.unpack("<I", x)[0] for x in index["packets"][1:]]:
         raise ValueError("the sound is not what its index says")
     payload = b"".join(parts)
-    if sound["granules"][-1] != len(payload):
+    ends = packet_ends(sound["granules"], [0, *map(len, parts)])[1:]  # a sample is a byte
+    if ends != np.cumsum([len(p) for p in parts]).tolist():
         raise ValueError("samples are missing")
-    return {"payload": payload, "rate": rate, "seconds": sound["granules"][-1] / rate, "packets": len(parts), "pages": sum(s["pages"] for s in streams.values())}
+    return {"payload": payload, "rate": rate, "seconds": ends[-1] / rate, "ends": [x / rate for x in ends], "packets": len(parts), "pages": sum(s["pages"] for s in streams.values())}
 
 
 def describe(sound: dict) -> str:
-    """Features of decoded samples, as JSON: duration, level, loudness, sign changes about the middle, packets and pages."""
+    """Features of decoded samples, as JSON: duration, level, loudness, sign changes about the middle, packets, pages and the mean end of a packet."""
     x = np.frombuffer(sound["payload"], np.uint8).astype(np.int64) - 128
     total, squares = int(x.sum()), int((x * x).sum())
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
     n = max(1, len(x))
-    return json.dumps({"seconds": round(sound["seconds"], 6), "mean": round(total / n, 6), "rms": round((squares / n) ** 0.5, 6), "crossings": crossings, "packets": sound["packets"], "pages": sound["pages"]})
+    return json.dumps({"seconds": round(sound["seconds"], 6), "mean": round(total / n, 6), "rms": round((squares / n) ** 0.5, 6), "crossings": crossings, "packets": sound["packets"], "pages": sound["pages"], "mean_end": round(sum(sound["ends"]) / len(sound["ends"]), 6)})
 
 
 def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", multiple: int = 192, rate: int = 8000) -> DataFrame:

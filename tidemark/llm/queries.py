@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import saved
 from . import exact_dedup, grammar, jaccard, media, mixing, packing, repeats, sharding, toxicity, warc
 
-#: Tokenizer files, by the folder of the public tokenizers.
-TOKENIZERS = "/opt/tokenizers"
+#: Tokenizer files.
+WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,19 +59,20 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids written as grammar-compressed shards and read back."""
-    return grammar.read_ids(grammar.write_ids(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json"))
+    return grammar.read_ids(grammar.write_ids(_table(spark, sf_dir, "documents"), WORD_BPE))
 
 
 def op9_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as sound in Ogg files, read back and described."""
-    return media.read_media(media.store_media(_table(spark, sf_dir, "documents"), multiple=192)).select(
+    stored = saved(media.store_media(_table(spark, sf_dir, "documents"), multiple=192), "media")
+    return media.read_media(stored).select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
     )
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents packed into sequences of 2048 tokens."""
-    return packing.pack(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
 QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_warc, op4_ngram_jaccard, op5_suffix_dedup, op6_mixing, op7_exact_dedup, op8_token_ids, op9_ogg, op10_packing)}

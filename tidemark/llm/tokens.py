@@ -11,22 +11,30 @@ from tokenizers import Tokenizer
 #: Marks that every tokenizer here parts from the letters before them.
 _MARKS = frozenset(",.;:!?")
 
+#: Letters below are letters still in lower case and in every normal form; of others some are not (U+0130).
+_SURE = "\u0100"
 
 #: How byte-level vocabularies write bytes that are no visible Latin-1 character: from U+0100 on, in order.
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+def _shown(text: str) -> str:
+    """A text's bytes as byte-level vocabularies write them; ASCII letters stay."""
+    return text.encode().decode("latin-1").translate(_SHOWN)
+
+
 class _Words(dict):
     """Ids of words, as bytes of little-endian 32-bit integers, found by the tokenizer when first asked for.
 
     At most two generations of ``most`` words are kept: when the young one is
     full it takes the place of the old one, so words in use stay. A mark after
-    letters is a token run of its own, so the letters are looked up without it.
+    letters that stay letters when normalised is a token run of its own, so those
+    letters are looked up without it.
     """
 
     def __init__(self, tokenizer: Tokenizer, before: str, most: int = 400_000):
         super().__init__()
-        self.tokenizer, self.before, self.most = tokenizer, before, most
+        self.tokenizer, self.before, self.shown, self.most = tokenizer, before, _shown(before), most
         self.old: dict[str, bytes] = {}
         self.lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
         self.model = tokenizer.model
@@ -36,9 +44,12 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            if word[-1:] in self.marks and word[:-1].isalpha():
-                packed = self[word[:-1]] + self.marks[word[-1]]
-            elif self.direct and word.isalpha() and max(word) < "\u0100":
+            head = word[:-1] if word[-1:] in self.marks else word
+            if not head.isalpha() or not (head.isascii() or max(head) < _SURE):
+                packed = self._ids(self.before + word)
+            elif head is not word:
+                packed = self[head] + self.marks[word[-1]]
+            elif self.direct:
                 packed = self._letters(word)
             else:
                 packed = self._ids(self.before + word)
@@ -50,7 +61,8 @@ class _Words(dict):
 
     def _letters(self, word: str) -> bytes:
         """Ids of letters up to U+00FF, a token run of their own, straight from the tokenizer's model."""
-        shown = (self.before + (word.lower() if self.lower else word)).encode().decode("latin-1").translate(_SHOWN)
+        word = word.lower() if self.lower else word
+        shown = self.shown + (word if word.isascii() else _shown(word))
         ids = [x.id for x in self.model.tokenize(shown)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
