@@ -274,19 +274,78 @@ def rounded(rows):
 
 
 def test_mixing(docs):
-    got = mixing.mix(docs, block_words=16).select("doc_id", "size", "source_size", "target", "taken").collect()
-    assert rounded(map(tuple, got)) == rounded(duck(queries.ORACLE_SQL["op6_mixing"], documents=arrow(docs)))
-    assert all(r.taken <= 2 * r["size"] for r in got)
-    sources = {(r.source_size, round(r.target, 6)) for r in got}
-    assert abs(sum(r.taken for r in got) - 1.5 * sum(r["size"] for r in got)) <= 30 and all(t <= 2 * s + 1e-6 for s, t in sources)
+    got = mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "slots").collect()
+    key = lambda r: tuple(round(x, 6) if isinstance(x, float) else tuple(x) if isinstance(x, list) else x for x in r)
+    assert Counter(map(key, got)) == Counter(map(key, duck(queries.ORACLE_SQL["op6_mixing"], documents=arrow(docs))))
+    for block_words in (256, 16):
+        got = mixing.mix(docs, block_words=block_words).collect()
+        assert all(r.taken <= 2 * r["size"] and len(r.slots) == -(-r.taken // max(1, r["size"])) and r.slots == sorted(r.slots) for r in got)
+        sources = {(r.source_size, round(r.target, 6)) for r in got}
+        assert abs(sum(r.taken for r in got) - 1.5 * sum(r["size"] for r in got)) <= 30 and all(t <= 2 * s + 1e-6 for s, t in sources)
+
+
+def test_schedule_deals_sources_evenly(spark):
+    """Each stretch of the mix holds the sources by their targets; in another order of the points it would not."""
+    targets = spark.createDataFrame([("a", 90_000, 90_000.0), ("b", 40_000, 20_000.5), (None, 10_000, 19_999.0), ("none", 0, 0.0)], "source string, source_size long, target double")
+    slots = sorted(mixing.schedule(targets, block_words=100).collect())
+    assert len({r.slot for r in slots}) == len(slots)
+    taken = Counter()
+    for r in slots:
+        taken[r.source] += r.words
+    assert taken == {"a": 90_000, "b": 20_000, None: 19_999}
+    seen = Counter()
+    for i, r in enumerate(slots[: int(0.9 * len(slots))], 1):
+        seen[r.source] += 1
+        for source, words in taken.items():
+            assert abs(seen[source] - i * words / 129_999) <= 4
+    for source in taken:
+        own = [(r["pass"], r.block) for r in slots if r.source == source]
+        assert own == sorted(own) and len(set(own)) == len(own)
 
 
 def test_mixed_rows(spark):
     docs = spark.createDataFrame([(i, "a b c", "xyz"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
     mixed = mixing.mixed_rows(docs)
     assert mixed.columns == docs.columns
-    taken = Counter(r.source for r in mixed.collect())
-    assert taken["x"] == 40 and taken["z"] > taken["y"]
+    taken = Counter()
+    for r in mixed.collect():
+        taken[r.source] += len(r.text.split())
+    # 180 words, 270 wanted in shares of 3, 1, 2: x is full at 120, y and z share 150
+    assert taken == {"x": 120, "y": 50, "z": 100}
+
+
+@pytest.mark.parametrize("block_words", [256, 16])
+def test_mixed_rows_are_what_the_mix_plans(docs, block_words):
+    more = docs.withColumn("_mix_key", F.lit(1)).withColumn("_MIX_slot", F.lit(2))
+    mixed = mixing.mixed_rows(more, block_words=block_words)
+    assert mixed.columns == more.columns
+    got = mixed.collect()
+    planned = mixing.mix(docs, block_words=block_words).collect()
+    words, want = defaultdict(int), defaultdict(int)
+    for r in got:
+        words[r.source, r.doc_id] += len((r.text or "").encode().split())
+    for r in planned:
+        want[r.source, r.doc_id] += r.taken
+    assert dict(words) == {k: n for k, n in want.items() if n}
+    assert len(got) == sum(len(r.slots) for r in planned)
+    texts = defaultdict(list)
+    for r in docs.collect():
+        texts[r.source, r.doc_id].append(r.text or "")
+    assert all(any(t.startswith(r.text) for t in texts[r.source, r.doc_id]) for r in got)
+    place = {}
+    for r in planned:
+        for slot in r.slots:
+            place.setdefault((r.source, r.doc_id), []).append(slot)
+    if all(len(v) <= 2 for v in place.values()):
+        order = [min(place[r.source, r.doc_id]) for r in got if len(place[r.source, r.doc_id]) == 1]
+        assert order == sorted(order)
+
+
+def test_mixed_rows_with_one_id(spark):
+    docs = spark.createDataFrame([(1, "a b c", "x"), (1, "d e f", "x"), (1, "d e f", "x"), (None, "g h", "y"), (None, "i j", "y"), (2, "k l", "z")], "doc_id long, text string, source string")
+    got = Counter((r.text, r.source) for r in mixing.mixed_rows(docs).collect())
+    plan = mixing.mix(docs).collect()
+    assert sum(len(t.split()) * n for (t, _), n in got.items()) == sum(r.taken for r in plan)
 
 
 def test_exact_dedup(docs):
@@ -301,6 +360,7 @@ def test_exact_dedup(docs):
         assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == want
         assert Counter(r.text_sha256 for r in got if r.kept) == Counter(hashlib.sha256(x).hexdigest() for x in groups)
         assert all(r.doc_id == r.keep_id for r in got if r.kept)
+    docs = docs.withColumn("_key", F.lit(1)).withColumn("k", F.lit(2))
     stay = exact_dedup.distinct_texts(docs)
     assert stay.columns == docs.columns and Counter((r.text or "").encode().lower() for r in stay.collect()) == Counter(groups.keys())
 

@@ -6,10 +6,13 @@ from pathlib import Path
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-from test_operators import SF, brute_components, ids_of, pairs  # noqa: E402
+import pytest  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
+from test_operators import SCHEMA, SF, brute_components, ids_of, odd_rows, pairs  # noqa: E402
 
 import corpus_pipeline  # noqa: E402
 from tidemark.llm import mixing, packing, queries, toxicity  # noqa: E402
+from tidemark.llm._common import saved  # noqa: E402
 
 
 def test_pipeline(spark):
@@ -32,14 +35,14 @@ def test_pipeline(spark):
 
     assert Counter(k for k, _ in pairs(far)) == Counter(key for key, _, least in brute_components(pairs(distinct), 5, 80) if key == least)
 
-    taken = {r.doc_id: round(r.taken / r["size"]) if r["size"] else 0 for r in mixing.mix(far).collect()}
-    got = Counter(k for k, _ in pairs(mixed))
-    assert set(got) <= set(taken) and all(abs(got[k] - n) <= 1 for k, n in taken.items())
+    planned = mixing.mix(far).collect()
+    assert words(mixed) == Counter({(r.source, r.doc_id): r.taken for r in planned if r.taken})
+    assert Counter(k for k, _ in pairs(mixed)) == Counter({r.doc_id: len(r.slots) for r in planned if r.slots})
 
     want = Counter()
     for key, text in pairs(mixed):
         at = 0
-        for i, n in enumerate(packing.cut(len(ids_of(f"{queries.TOKENIZERS}/byte_bpe_50k.json", text, 0)), 2048)):
+        for i, n in enumerate(packing.cut(len(ids_of(queries.BYTE_BPE, text, 0)), 2048)):
             want[key, i, at, n] += 1
             at += n
     packed = corpus_pipeline.STAGES[-1][1](spark, mixed, SF).collect()
@@ -64,16 +67,36 @@ def test_null_and_repeated_ids(spark):
     mixed = mixing.mixed_rows(docs)
     want = Counter()
     for r in plan:
-        want[r.doc_id, r.source, r["size"]] += r.copies
-    assert mixed.columns == docs.columns
-    taken = mixed.collect()
-    assert Counter((r.doc_id, r.source, len((r.text or "").split())) for r in taken) == +want
-    assert max(Counter((r.doc_id, r.text, r.source) for r in taken).values()) <= 4
+        want[r.source, r.doc_id] += r.taken
+    assert mixed.columns == docs.columns and words(mixed) == +want
+    assert mixed.count() == sum(len(r.slots) for r in plan)
+    assert max(Counter((r.doc_id, r.text, r.source) for r in mixed.collect()).values()) <= 4
 
 
 def test_mix_that_ends_among_repeated_rows(spark):
     docs = spark.createDataFrame([(None, "a b c", s) for s in "xyz" for _ in range(9)], "doc_id long, text string, source string")
     want = Counter()
     for r in mixing.mix(docs).collect():
-        want[r.source] += r.copies
-    assert Counter(r.source for r in mixing.mixed_rows(docs).collect()) == want and want["x"] == 18
+        want[r.source, None] += r.taken
+    assert words(mixing.mixed_rows(docs)) == want and want["x", None] == 54
+
+
+def words(docs):
+    """Words in all, by source and id."""
+    found = Counter()
+    for r in docs.collect():
+        found[r.source, r.doc_id] += len((r.text or "").encode().split())
+    return +found
+
+
+@pytest.mark.parametrize("rows", [odd_rows(), []], ids=["odd", "empty"])
+def test_every_stage_on_odd_rows(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, SCHEMA)
+    docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, saved(stage(spark, docs, str(tmp_path)), "stage")
+        assert docs.columns == before.columns
+    texts = {(r.text or "").encode().lower() for r in docs.collect()}
+    assert bool(texts) == bool(rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert sum(r.length for r in packed) == sum(len(ids_of(queries.BYTE_BPE, t, 0)) for _, t in pairs(docs))

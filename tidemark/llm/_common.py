@@ -48,6 +48,13 @@ def discarded(df: DataFrame) -> None:
         system.delete_dir(name)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as make it no column's."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
 def row_key(docs: DataFrame, id_col: str, text_col: str, *others: str) -> Column:
     """A key of rows whose ids may be null or repeat: ordered by id, null last; equal just for equal ids, texts (null: empty) and ``others``."""
     sha = F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))

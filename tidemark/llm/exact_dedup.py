@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, rows, saved
+from ._common import free_name, partitions, rows, saved
 
 
 def _block_runs(block_bytes: int, flush_bytes: int, id_type: pa.DataType):
@@ -118,8 +118,16 @@ def distinct_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Of rows that repeat both id and text, one stays. Ids must tell other rows
     apart: rows of one id whose texts differ are each held to their own group.
     """
+    key_col, k, r = (free_name(docs, x) for x in ("_key", "_kept", "_repeated"))
     key = F.struct(F.col(id_col).alias("id"), F.sha2(F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256).alias("sha"))
-    kept = exact_dedup(docs, id_col, text_col, keep).where("kept").select(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).alias("_kept"))
-    rows_ = docs.withColumn("_key", key)
-    chosen = rows_.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
-    return chosen.dropDuplicates(["_key"]).drop("_key")
+    keyed = docs.withColumn(key_col, key)
+    groups = saved(exact_dedup(docs, id_col, text_col, keep), "text-groups")
+    kept = groups.where("kept").select(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).alias(k))
+    # Rows that repeat an id and a text are told apart by their keys alone, not by their texts.
+    often = saved(groups.groupBy(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("sha")).alias(r)).count().where("count > 1").select(r), "text-repeats")
+    same = F.col(key_col).eqNullSafe(F.col(k))
+    if often.isEmpty():
+        return keyed.join(kept, same, "left_semi").drop(key_col)
+    alone = keyed.join(kept.join(often, F.col(k).eqNullSafe(F.col(r)), "left_anti"), same, "left_semi")
+    several = keyed.join(kept.join(often, F.col(k).eqNullSafe(F.col(r)), "left_semi"), same, "left_semi")
+    return alone.unionByName(several.dropDuplicates([key_col])).drop(key_col)

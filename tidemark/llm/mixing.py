@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions, row_key, saved
+from ._common import free_name, partitions, row_key, saved
 
 #: Bytes of UTF-8 between words are space and tab to carriage return.
-WORDS = r"[^\x20\x09-\x0D]+"
+WORDS, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
 GOLDEN = 0.6180339887498949
 
 
@@ -42,17 +42,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """How many words of each row a mix of the sources takes.
 
     Each source's rows, shuffled by a hash of the id, make a stream of words cut
-    into blocks of ``block_words``. Slot i of the schedule goes to the source in
-    whose share of the targets the golden-ratio point of i lies; the n-th slot of
-    a source takes its n-th block, from the start again once all are taken. A
-    source's last slot is cut so that it takes its target, to the word.
-
-    Streams and ranks come from two-level prefix sums over hash buckets, so that
-    one source may hold most rows. Returns id_col, source, size, source_size,
-    target, taken and copies (passes over the row, to the nearest). Null text
-    and text without words have size and taken 0. Null sources are one source.
-    Rows that repeat are rows of their own. No rows give no rows. ``key_col`` of
-    ``docs``, where given, comes along with each row.
+    into blocks of ``block_words``. Slots of the mix are dealt by
+    :func:`schedule`; a slot holds one block of its source. Streams and ranks
+    come from two-level prefix sums over hash buckets, so that one source may
+    hold most rows.
+
+    Returns id_col, source, size, source_size, target, taken and slots: for each
+    time that the mix comes to the row, the slot in which the row begins. Null
+    text and text without words have size and taken 0. Null sources are one
+    source. Rows that repeat are rows of their own. No rows give no rows.
+    ``key_col`` of ``docs``, where given, comes along with each row.
     """
     spark = docs.sparkSession
     key = [key_col] * bool(key_col)
@@ -77,28 +76,39 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .select("id", "source", "size", "bucket", "nth", (F.col("base") + F.col("prefix")).alias("start"), *key)
     )
 
-    taken = _blocks_taken(targets, block_words, n)
+    slots = schedule(targets, block_words, n)
+    taken = slots.groupBy(F.col("source").alias("t_source"), F.col("block").alias("t_block")).agg(F.sort_array(F.collect_list(F.struct("pass", "words", "slot"))).alias("ts"))  # as many as passes
     b = F.lit(block_words)
     first, last = F.floor(F.col("start") / b), F.floor((F.col("start") + F.col("size") - 1) / b)
     pieces = (
         streams.withColumn("block", F.explode_outer(F.when(F.col("size") > 0, F.sequence(first, last))))
+        .withColumn("begins", F.col("block") == first)
         .withColumn("lo", F.greatest(F.col("start") - F.col("block") * b, F.lit(0)))
         .withColumn("hi", F.least(F.col("start") + F.col("size") - F.col("block") * b, b))
     )
-    overlap = lambda sum_, t: sum_ + F.greatest(F.least(F.col("hi"), t) - F.col("lo"), F.lit(0))
+    overlap = lambda sum_, t: sum_ + F.greatest(F.least(F.col("hi"), t["words"]) - F.col("lo"), F.lit(0))
     got = F.aggregate("ts", F.lit(0).cast("long"), overlap)
+    begun = F.transform(F.filter("ts", lambda t: t["words"] > F.col("lo")), lambda t: t["slot"])
     mixed = (
         pieces.join(taken, F.col("source").eqNullSafe(F.col("t_source")) & (F.col("block") == F.col("t_block")), "left")
         .groupBy("source", "bucket", "nth", "id", "size", *key)
-        .agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"))
+        .agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"), F.coalesce(F.max(F.when(F.col("begins"), begun)), F.array().cast("array<long>")).alias("slots"))
     )
     about = targets.select(F.col("source").alias("s_source"), "source_size", "target")
-    copies = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.join(about, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", copies.alias("copies"), *key)
+    return mixed.join(about, F.col("source").eqNullSafe(F.col("s_source"))).select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken", "slots", *key)
 
 
-def _blocks_taken(targets: DataFrame, block_words: int, n: int) -> DataFrame:
-    """For each source and block the words taken from its start: ``ts``, an entry a pass."""
+def schedule(targets: DataFrame, block_words: int = 256, n: int = 32) -> DataFrame:
+    """The slots of a mix in their order: slot, source, pass, block, words.
+
+    ``targets`` has source, source_size and target, a row a source. Point i of
+    the golden-ratio sequence falls in the share of one source: slot i is that
+    source's, and the n-th slot of a source takes its n-th block of
+    ``block_words``, from the start again once all are taken. A source's last
+    slot is cut so that it takes its target, to the word; points that fall to it
+    later are no slots. So every stretch of the mix holds the sources as their
+    targets ask. Points are made and ranked in ``n`` chunks.
+    """
     spark = targets.sparkSession
     size, most = F.col("source_size"), F.floor("target")
     per_pass = F.ceil(size / block_words)
@@ -106,7 +116,7 @@ def _blocks_taken(targets: DataFrame, block_words: int, n: int) -> DataFrame:
     shares = (
         targets.withColumn("per_pass", per_pass)
         .withColumn("slots", passes * per_pass + F.ceil((most - passes * size) / block_words))
-        .withColumn("top", F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last())))
+        .withColumn("top", F.sum("slots").over(Window.orderBy(F.col("source").asc_nulls_last())))  # a row a source
         .withColumn("low", F.col("top") - F.col("slots"))
         .where("slots > 0")
     )
@@ -117,12 +127,15 @@ def _blocks_taken(targets: DataFrame, block_words: int, n: int) -> DataFrame:
     chunk = max(1024, -(-length // n))
     low, high = F.pmod(F.col("id"), F.lit(1 << 20)), F.floor(F.col("id") / (1 << 20))
     point = F.pmod(low * F.lit(GOLDEN) + F.pmod(high * F.lit((GOLDEN * (1 << 20)) % 1.0), F.lit(1.0)), F.lit(1.0))
-    points = spark.range(length).withColumn("point", point * F.lit(float(slots)))
-    dealt = points.join(F.broadcast(shares), (F.col("point") >= F.col("low")) & (F.col("point") < F.col("top"))).withColumn("chunk", F.floor(F.col("id") / chunk))  # a row a source
+    # A share is looked up by the cell of the point: some thousand cells, and a row for each that a share touches.
+    wide = max(1, -(-slots // 4096))
+    cells = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") / wide), F.floor((F.col("top") - 1) / wide))))
+    points = spark.range(length).withColumn("point", point * F.lit(float(slots))).withColumn("cell", F.floor(F.col("point") / wide))
+    dealt = points.join(cells, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("top"))).withColumn("chunk", F.floor(F.col("id") / chunk))
     before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = dealt.groupBy("source", "chunk").agg(F.count("*").alias("k")).select(F.col("source").alias("b_source"), F.col("chunk").alias("b_chunk"), F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base"))
     inside = Window.partitionBy("source", "chunk").orderBy("id")
-    ranked = (
+    return (
         dealt.withColumn("nth", F.row_number().over(inside) - 1)
         .join(bases, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("chunk") == F.col("b_chunk")))
         .withColumn("rank", F.col("base") + F.col("nth"))
@@ -132,32 +145,36 @@ def _blocks_taken(targets: DataFrame, block_words: int, n: int) -> DataFrame:
         .withColumn("before", F.col("pass") * size + F.col("block") * block_words)
         .withColumn("words", F.least(F.lit(block_words), size - F.col("block") * block_words, most - F.col("before")))
         .where("words > 0")
+        .select(F.col("id").alias("slot"), "source", "pass", "block", "words")
     )
-    return ranked.groupBy(F.col("source").alias("t_source"), F.col("block").alias("t_block")).agg(F.collect_list("words").alias("ts"))
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as the mix takes them: as often as ``copies`` says, with all columns.
+    """The rows of ``docs`` as the mix takes them, in the order of its slots, with all columns.
 
-    Rows that the mix takes by less than half, and rows without words, are not
-    in it. Rows are told apart by id, source and text. Those that repeat all
-    three lie together in the stream, so only where the mix ends among them do
-    their copies differ, by one; which of them get the one more is then decided
-    by a hash of the row.
+    A row comes once for each slot in which it begins; where the mix ends within
+    a row, that last copy has only the words taken (other columns are as they
+    were). Rows not taken, and rows without words, are not in it. Rows are told
+    apart by id, source and text; those that repeat all three are numbered, and
+    their copies dealt in that order.
     """
-    key = row_key(docs, options.get("id_col", "doc_id"), options.get("text_col", "text"), options.get("source_col", "source"))
-    keyed = docs.withColumn("_mix_key", key)
-    n, least = F.count("*"), F.min("copies")
-    plan = mix(keyed, key_col="_mix_key", **options).groupBy(F.col("_mix_key").alias("_plan_key")).agg(least.alias("_mix_copies"), (F.sum("copies") - n * least).alias("_mix_more"))
-    plan = saved(plan.where("_mix_copies > 0 or _mix_more > 0"), "mix-plan")
-
-    def planned(part: DataFrame) -> DataFrame:
-        return keyed.join(part, F.col("_mix_key").eqNullSafe(F.col("_plan_key")))
-
-    repeated = planned(plan.where("_mix_more = 0"))
-    uneven = plan.where("_mix_more > 0")
-    if not uneven.isEmpty():
-        nth = F.row_number().over(Window.partitionBy("_mix_key").orderBy(F.xxhash64(*docs.columns)))
-        repeated = repeated.unionByName(planned(uneven).withColumn("_mix_copies", F.col("_mix_copies") + (nth <= F.col("_mix_more")).cast("int")))
-    copies = F.explode(F.when(F.col("_mix_copies") > 0, F.sequence(F.lit(1), F.col("_mix_copies"))))
-    return repeated.withColumn("_mix_copy", copies).select(*docs.columns)
+    text = options.get("text_col", "text")
+    key_col, nth_col, plan_col, slot_col, k, r, n = (free_name(docs, f"_mix_{x}") for x in ("key", "nth", "plan", "slot", "k", "r", "n"))
+    keyed = docs.withColumn(key_col, row_key(docs, options.get("id_col", "doc_id"), text, options.get("source_col", "source")))
+    plan = saved(mix(keyed, key_col=key_col, **options).select(F.col(key_col).alias(k), F.struct("slots", "taken", "size").alias(plan_col)), "mix-plan")
+    repeats = saved(plan.groupBy(F.col(k).alias(r)).count().where("count > 1").select(r), "mix-repeats")
+    in_mix, same = plan.where(F.size(f"{plan_col}.slots") > 0), F.col(key_col).eqNullSafe(F.col(k))
+    if repeats.isEmpty():
+        found = keyed.join(in_mix, same).drop(k)
+    else:
+        found = keyed.join(in_mix.join(repeats, F.col(k).eqNullSafe(F.col(r)), "left_anti"), same).drop(k)
+        hashed = F.xxhash64(*[f.name for f in docs.schema if "map<" not in f.dataType.simpleString()])
+        numbered = keyed.join(repeats, F.col(key_col).eqNullSafe(F.col(r)), "left_semi").withColumn(nth_col, F.row_number().over(Window.partitionBy(key_col).orderBy(hashed)))
+        several = plan.join(repeats, F.col(k).eqNullSafe(F.col(r)), "left_semi").withColumn(n, F.row_number().over(Window.partitionBy(k).orderBy(plan_col)))
+        found = found.unionByName(numbered.join(several, same & (F.col(nth_col) == F.col(n))).drop(k, n, nth_col))
+    copies = found.select("*", F.posexplode(f"{plan_col}.slots").alias(nth_col, slot_col))
+    left = F.col(f"{plan_col}.taken") - F.col(f"{plan_col}.size") * F.col(nth_col)
+    words = F.regexp_extract_all(text, F.lit(f"{SPACE}*{WORDS}"), F.lit(0))
+    cut = F.when(left < F.col(f"{plan_col}.size"), F.array_join(F.slice(words, 1, left.cast("int")), "")).otherwise(F.col(text))
+    ordered = copies.withColumn(text, cut).repartitionByRange(partitions(docs.sparkSession), slot_col, key_col).sortWithinPartitions(slot_col, key_col)
+    return ordered.select(*docs.columns)

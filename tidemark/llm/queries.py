@@ -49,7 +49,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that a mix of the sources takes of each document."""
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "slots")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,19 @@ l AS (SELECT *, (wanted - coalesce(sum(most) OVER (ORDER BY ratio, source NULLS
   / sum(weight) OVER (ORDER BY ratio, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM r),
 t AS (SELECT source, source_size, CASE WHEN line IS NULL THEN most ELSE least(most, weight * line) END AS target
   FROM l CROSS JOIN (SELECT min_by(level, ratio) AS line FROM l WHERE ratio >= level) AS m),
-p AS (SELECT doc_id, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE size * floor(floor(target) / source_size) + greatest(0, least(start + size, floor(target) - source_size * floor(floor(target) / source_size)) - start) END::BIGINT AS taken
-FROM p
+p AS (SELECT doc_id, d.source, size, source_size, target, sum(size) OVER (PARTITION BY d.source ORDER BY digest, doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+q AS (SELECT source, source_size, floor(target)::BIGINT AS most, ceil(source_size / 256)::BIGINT AS per_pass FROM t WHERE source_size > 0),
+k AS (SELECT *, (most // source_size) * per_pass + ceil((most - source_size * (most // source_size)) / 256)::BIGINT AS slots FROM q),
+h AS (SELECT *, sum(slots) OVER (ORDER BY source NULLS LAST)::BIGINT AS top, sum(slots) OVER ()::BIGINT AS total FROM k WHERE slots > 0),
+g AS (SELECT i, ((i % 1048576) * 0.6180339887498949::DOUBLE + ((i // 1048576) * {(mixing.GOLDEN * (1 << 20)) % 1.0!r}::DOUBLE) % 1.0::DOUBLE) % 1.0::DOUBLE * (SELECT max(total) FROM h)::DOUBLE AS point
+  FROM range((SELECT coalesce(max(2 * total + 2), 0) FROM h)) AS r(i)),
+z AS (SELECT i, source, source_size, most, per_pass, slots, row_number() OVER (PARTITION BY source ORDER BY i) - 1 AS n FROM g JOIN h ON point >= top - slots AND point < top),
+b AS (SELECT i, source, n // per_pass AS pass, n % per_pass AS block, least(256, source_size - n % per_pass * 256, most - n // per_pass * source_size - n % per_pass * 256) AS words FROM z WHERE n < slots),
+o AS (SELECT p.source AS o_source, p.start AS o_start, list(b.i ORDER BY b.pass) AS slots FROM p JOIN b ON p.source IS NOT DISTINCT FROM b.source AND b.block = p.start // 256 AND b.words > p.start % 256 WHERE p.size > 0 GROUP BY ALL)
+SELECT p.doc_id, size, source_size, target,
+  CASE WHEN source_size = 0 THEN 0 ELSE size * floor(floor(target) / source_size) + greatest(0, least(start + size, floor(target) - source_size * floor(floor(target) / source_size)) - start) END::BIGINT AS taken,
+  coalesce(o.slots, []::BIGINT[]) AS slots
+FROM p LEFT JOIN o ON p.source IS NOT DISTINCT FROM o_source AND p.start = o_start AND p.size > 0
 """,
 }

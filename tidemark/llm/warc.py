@@ -86,7 +86,7 @@ class _Range:
 
     def __init__(self, file, start: int, end: int, size: int):
         self.file, self.base, self.size = file, start, size
-        self.data = file.read_at(min(end, size) - start, start)
+        self.data = bytearray(file.read_at(min(end, size) - start, start))
 
     def upto(self, n: int) -> bool:
         """Have n more bytes, or all there are; False if there are none."""
@@ -103,7 +103,7 @@ class _Range:
             while not unpack.eof:
                 if at >= len(self.data) and not self.upto(1 << 16):
                     return None
-                chunk = self.data[at : at + (512 if header_only else 1 << 16)]
+                chunk = bytes(self.data[at : at + (512 if header_only else 1 << 16)])
                 at += len(chunk)
                 parts.append(unpack.decompress(chunk))
                 if header_only:
