@@ -151,19 +151,13 @@ def brute_components(rows, k, percent):
     return Counter((key, len(sets[i]), least.get(find(i)) if sets[i] else key) for i, (key, _) in enumerate(rows))
 
 
-@pytest.mark.parametrize("options", [{}, {"block_members": 300, "frequent": 3, "sieve_bits": 64}])
+@pytest.mark.parametrize("options", [{}, {"block_members": 300, "few": 2, "sieve_bits": 64}])
 @pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
 def test_jaccard(docs, k, percent, options):
     got = jaccard.near_components(docs, k=k, percent=percent, **options).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(pairs(docs), k, percent)
 
 
-def test_merged_tokens():
-    half, member, n = (np.array(x) for x in zip((5, 1, 9), (4, 1, 9), (3, 1, 9), (5, 2, 9), (3, 2, 9), (7, 2, 8), strict=True))
-    got = set(zip(*(x.tolist() for x in jaccard._merged(half, member, n)), strict=True))
-    assert got == {(3, 1, 9), (3, 2, 9), (7, 2, 8), (3, 5, 0), (3, 4, 0)}
-
-
 def test_sifted(spark):
     rows = spark.range(5000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"))
     for ids in ([], [None], [*range(100, 300), None]):

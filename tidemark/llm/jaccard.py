@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ._common import batched, partitions, rows, saved
 from .components import connected
-from .sieve import sifted
+from .sieve import Bloom, bits_for, sifted
 from .words import WordHashes, shingles
 
 
@@ -41,18 +42,14 @@ def _half(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
-def signature(found: np.ndarray) -> bytes:
-    """Bitmap of a set: member m sets bit m mod 4s, s being the set's size rounded up to a power of two."""
-    bits = signature_bits(len(found))
+def signature(found: np.ndarray, each: int = 4) -> bytes:
+    """Bitmap of a set: member m sets bit m mod ``each`` s, s being the set's size rounded up to a power of two."""
+    bits = max(64, each << (len(found) - 1).bit_length())
     marks = np.zeros(bits, np.uint8)
     marks[(found & np.uint64(bits - 1)).astype(np.int64)] = 1
     return np.packbits(marks, bitorder="little").tobytes()
 
 
-def signature_bits(n: int) -> int:
-    return max(64, 4 << (n - 1).bit_length())
-
-
 class Node:
     """Of a signature tree: OR of the members' bitmaps, range of their sizes, and the most that a size exceeds the count of bits; the bitmaps and the excess both in full and folded to half the bits."""
 
@@ -195,24 +192,6 @@ def linked(sets: list[np.ndarray], percent: int):
     return check
 
 
-def _merged(half: np.ndarray, member: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of sets of one size that share a member, the one of the least ``half`` goes on with it; the others leave a row (that half, their own, 0) instead, once for all members.
-
-    So however many sets a task sees share a member, no more of them go to the
-    member's task than there are sizes.
-    """
-    order = np.lexsort((half, n, member))
-    half, member, n = half[order], member[order], n[order]
-    first = np.r_[True, (member[1:] != member[:-1]) | (n[1:] != n[:-1])]
-    lead = half[first][np.cumsum(first) - 1]
-    apart = half != lead
-    a, b = lead[apart], half[apart]
-    order = np.lexsort((a, b))
-    a, b = a[order], b[order]
-    new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
-    return np.r_[half[first], a[new]], np.r_[member[first], b[new]], np.r_[n[first], np.zeros(int(new.sum()), np.int64)]
-
-
 def _duties(placed: DataFrame, percent: int, block_members: int, columns: list[str]) -> DataFrame:
     """Which task each class of ``placed`` (cls, n, unit, ...) works in: ``columns``, work, side.
 
@@ -238,7 +217,7 @@ def _duties(placed: DataFrame, percent: int, block_members: int, columns: list[s
     return small.unionByName(blocked.where("salt is not null").join(meet, ["unit", "band", "salt"]).select(*columns, "work", "side"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, skip_connected: bool = True, block_members: int = 2_000_000, frequent: int = 16, most_frequent: int = 200_000, sieve_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, percent: int = 90, skip_connected: bool = True, block_members: int = 2_000_000, few: int = 64, sieve_bits: int = 1 << 27) -> tuple[DataFrame, DataFrame]:
     """Classes of equal shingle sets and the links between them.
 
     Returns (members, links): members has a row a row of ``docs``: id, cls (of
@@ -249,13 +228,19 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     1. Two sets that link share one of their first ``n - least_overlap(n) + 1``
        members in any order common to all sets. The order used is by hash, with
-       members found in many of these prefixes last (at most ``most_frequent``
-       of them, broadcast), so common passages bring few sets together.
-    2. Sets that share such a member, directly or by others, are one unit. A
+       members last that more than one of these prefixes has, by a Bloom filter
+       of at most ``sieve_bits`` bits; if they are too many for it, those that
+       most have. So members that come together by chance bring no sets together.
+    2. The sets that share such a member, in order of size, part where the next
+       is too large to link. Up to ``few`` of them are a group of their own;
+       groups of the same sets, which near copies have many of, are one. Larger
+       ones, which are of mass copies, join where they have a set in common: each
+       set is in one such unit. So work grows with the rows, not their square. A
        unit with more than ``block_members`` members is split by size class and
        hash into blocks, and only blocks of equal or adjacent size classes meet.
-    3. A task builds signature trees over the bitmaps of a unit, or of two blocks
-       that meet, and traverses them. Those that might link make finer units.
+    3. A task builds signature trees over the bitmaps of a group or unit, or of
+       two blocks that meet, and traverses them. Those that might link make finer
+       units.
     4. The sets of these alone are gathered, and the trees traversed again with
        exact intersection at the leaves. Texts of other rows do not move: a Bloom
        filter of at most ``sieve_bits`` bits keeps them back (where more ids are
@@ -270,7 +255,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     id_type = to_arrow_type(kind)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("raw"))
-    first_schema = pa.schema([("id", id_type), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("prefix", pa.list_(pa.int64())), ("least", pa.int64()), ("bitmap", pa.binary())])
+    first_schema = pa.schema([("id", id_type), ("cls", pa.binary()), ("n_shingles", pa.int64()), ("prefix", pa.list_(pa.int64())), ("least", pa.int64()), ("sketch", pa.binary()), ("bitmap", pa.binary())])
 
     def prefix_length(n: int) -> int:
         return n - least_overlap(n, percent) + 1
@@ -280,67 +265,78 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for key, found in _sets(batches, k):
                 n = len(found)
                 if n:
-                    yield key, _class(found), n, found[: prefix_length(n)].view(np.int64), int(found[0] >> np.uint64(1)), signature(found)
+                    yield key, _class(found), n, found[: prefix_length(n) * 5 // 4].view(np.int64), int(found[0] >> np.uint64(1)), signature(found, 1), signature(found)
                 else:
-                    yield key, None, 0, [], None, None
+                    yield key, None, 0, [], None, None, None
 
         yield from batched(each(), first_schema, 256)
 
-    read = saved(texts.mapInArrow(first, f"id {kind.simpleString()}, cls binary, n_shingles long, prefix array<long>, least long, bitmap binary"), "shingle-sets")
+    read = saved(texts.mapInArrow(first, f"id {kind.simpleString()}, cls binary, n_shingles long, prefix array<long>, least long, sketch binary, bitmap binary"), "shingle-sets")
     members = read.select("id", "cls", "n_shingles")
 
-    total = read.agg(F.sum(F.size("prefix"))).first()[0] or 0
     # Counted by 32 bits of the hash: any order common to all sets will do.
-    counts = read.select(F.explode("prefix").alias("member")).groupBy(F.col("member").bitwiseAND(F.lit(_LOW)).alias("member")).count()
-    least = max(frequent, total // most_frequent + 1)  # so at most most_frequent members are collected
-    common = np.sort(np.array([r[0] for r in counts.where(F.col("count") >= least).select("member").collect()], np.int64).view(np.uint64))
-    shared_common = spark.sparkContext.broadcast(common)
+    counts = read.select(F.explode("prefix").alias("member")).groupBy(F.col("member").bitwiseAND(F.lit(_LOW)).alias("member")).agg(F.count("*").alias("times"))
+    often = saved(counts.where("times > 1"), "shingle-often")
+    least, n_common, fits = 4096, 0, max(1, sieve_bits // 8)
+    for times, found in sorted((tuple(r) for r in often.groupBy(F.least("times", F.lit(least))).count().collect()), reverse=True):  # 4095 rows at most
+        if n_common and n_common + found > fits:
+            break
+        least, n_common = times, n_common + found
+    shared_common = spark.sparkContext.broadcast(Bloom(often.where(F.col("times") >= least), F.col("member"), bits_for(n_common, sieve_bits)))
     token_schema = pa.schema([("half", pa.int64()), ("member", pa.int64()), ("n", pa.int64())])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared_common.value
+        common = shared_common.value
 
         def made() -> pa.RecordBatch:
             lengths = [len(x) for x in held]
-            columns = _merged(np.repeat(np.array(names, np.int64), lengths), np.concatenate(held).view(np.int64), np.repeat(np.array(sizes, np.int64), lengths))
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], schema=token_schema)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), lengths)), pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(np.array(sizes, np.int64), lengths))], schema=token_schema)
 
+        seen: set[int] = set()
         held, names, sizes, count = [], [], [], 0
         for (found,) in _sets(batches, k):
             n = len(found)
-            if not n:
+            name = _half(_class(found)) if n else None
+            if not n or name in seen:  # copies of one text say the same
                 continue
+            if len(seen) >= 200_000:
+                seen.clear()
+            seen.add(name)
             p = prefix_length(n)
-            chosen = found[:p]
-            if len(last):
-                low = found & np.uint64(_LOW)
-                often = last[np.minimum(np.searchsorted(last, low), len(last) - 1)] == low
-                if often.any():
-                    chosen = np.concatenate([found[~often], found[often]])[:p]
-            held.append(chosen)
-            names.append(_half(_class(found)))
+            often = common.has(found)
+            held.append(np.concatenate([found[~often], found[often]])[:p] if often[:p].any() else found[:p])
+            names.append(name)
             sizes.append(n)
             count += p
-            if count > 400_000:
+            if count > 100_000:
                 yield made()
                 held, names, sizes, count = [], [], [], 0
         if held:
             yield made()
 
-    # In order of size, sets that share the member part where the next is too large to link; each goes to the first of its run. Rows of size 0, a run of their own, are links that a task found.
+    # In order of size, sets that share the member part where the next is too large to link.
     by_size = Window.partitionBy("member").orderBy("n", "half")
+    tokens = texts.select("raw").mapInArrow(second, "half long, member long, n long")
+    tokens = tokens.withColumn("again", F.lag("half").over(by_size)).where("again is null or again != half")
     apart = F.coalesce((F.lag("n").over(by_size) * 100 < F.col("n") * percent).cast("int"), F.lit(0))
-    tokens = texts.select("raw").mapInArrow(second, "half long, member long, n long").withColumn("apart", apart)
-    tokens = tokens.withColumn("run", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
-    leader = F.first("half").over(Window.partitionBy("member", "run").orderBy("n", "half").rowsBetween(Window.unboundedPreceding, 0))
-    known = F.col("n") == 0
-    together = tokens.withColumn("before", leader).select(F.when(known, F.col("member")).otherwise(F.col("half")).alias("half"), F.when(known, F.col("half")).otherwise(F.col("before")).alias("before")).where("half != before").distinct()
-    units = connected(together, "half", "before")
-
-    # of each class its row with the least id; its bitmap goes along
-    named = read.where("cls is not null").withColumn("half", _half_column("cls")).join(units.withColumnRenamed("node", "half"), "half")
-    classes = named.groupBy("cls").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("root").alias("unit"), F.first("least").alias("least"), F.first("bitmap").alias("bitmap"))
-    classes = saved(classes, "shingle-classes")
+    tokens = tokens.withColumn("apart", apart).withColumn("run", F.sum("apart").over(by_size.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("member", "run")
+    leader = F.first("half").over(run.orderBy("n", "half").rowsBetween(Window.unboundedPreceding, 0))
+    # A run's name is that of its sets: runs of the same sets have the same, but for accidents of 2**-64.
+    names = F.sum(F.xxhash64("half").cast("decimal(20,0)")).over(run)
+    shared = tokens.withColumn("size", F.count("*").over(run)).where("size > 1").withColumn("before", leader)
+    hot = F.col("size") > few
+    shared = shared.select("half", F.when(hot, F.lit(None)).otherwise(F.xxhash64(names, "size")).alias("group"), F.when(hot, F.col("before")).alias("before"))
+    shared = saved(shared.distinct(), "shingle-shared")
+    units = connected(shared.where("before is not null"), "half", "before")
+    groups = shared.where("group is not null").select("half", "group")
+
+    # of each class its row with the least id; its bitmaps go along
+    halves = saved(shared.select("half").distinct(), "shingle-halves")
+    named = read.where("cls is not null").withColumn("half", _half_column("cls"))
+    named = sifted(named, "half", halves, "half", sieve_bits).join(halves, "half", "left_semi")
+    columns = [F.first(x).alias(x) for x in ("half", "n_shingles", "least", "sketch", "bitmap")]
+    classes = saved(named.groupBy("cls").agg(F.min("id").alias("id"), *columns).withColumnRenamed("n_shingles", "n"), "shingle-classes")
     link_schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,9 +347,14 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
         yield from batched(each(), link_schema)
 
-    duty = _duties(classes, percent, 8 * block_members, ["cls", "n", "least", "bitmap"])
-    dealt = duty.select("work", "side", "cls", "n", "least", "bitmap").repartition(n_parts, "work").sortWithinPartitions("work")
-    maybe = connected(saved(dealt.mapInArrow(possible, "a binary, b binary"), "shingle-pairs"))
+    def might_link(dealt: DataFrame, work: str, name: str) -> DataFrame:
+        return saved(dealt.repartition(n_parts, work).sortWithinPartitions(work).mapInArrow(possible, "a binary, b binary"), name)
+
+    found = [might_link(groups.join(classes, "half").select("group", F.lit(0).alias("side"), "cls", "n", "least", "sketch"), "group", "shingle-pairs")]
+    if not units.isEmpty():
+        duty = _duties(classes.join(units.withColumnRenamed("node", "half"), "half").withColumnRenamed("root", "unit"), percent, 8 * block_members, ["cls", "n", "least", "bitmap"])
+        found.append(might_link(duty.select("work", "side", "cls", "n", "least", "bitmap"), "work", "shingle-pairs"))
+    maybe = connected(reduce(DataFrame.unionByName, found))
 
     set_schema = pa.schema([("cls", pa.binary()), ("work", pa.string()), ("side", pa.int32()), ("members", pa.binary())])
 
