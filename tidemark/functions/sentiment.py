@@ -11,13 +11,26 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), F.lit(1))
 
 
+def matches(text: Column, words: list[str]) -> Column:
+    """How many tokens of a text are one of ``words``: counted in place, without a list of tokens."""
+    guard = "[a-z0-9']"
+    any_ = "|".join(sorted(words, key=len, reverse=True))
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{guard})(?:{any_})(?!{guard})"))
+
+
 def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
-    """(p - n) / (p + n) over tokens in the two lists; 0 where there are none."""
-    count = lambda words: F.size(F.filter(tokens(text), lambda t: t.isin(*words)))
-    p, n = count(positive), count(negative)
+    """(p - n) / (p + n) over tokens in the two lists of plain words; 0 where there are none."""
+    p, n = matches(text, positive), matches(text, negative)
     return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)
 
 
+def keyword_match(text: Column, keyword: str) -> Column:
+    """Whether a text has a keyword: a single one among its tokens, a phrase anywhere in its tokens joined by spaces."""
+    found = tokens(text)
+    words = keyword.lower().split()
+    return F.array_contains(found, words[0]) if len(words) == 1 else F.contains(F.array_join(found, " "), F.lit(" ".join(words)))
+
+
 def vote(score: Column, threshold: float = 0.35) -> Column:
     """1, -1 or 0: whether a score reaches the threshold on either side."""
     return F.when(score >= threshold, 1).when(score <= -threshold, -1).otherwise(0)

@@ -51,8 +51,10 @@ def bar_features(bars: DataFrame, key: str = "symbol") -> DataFrame:
     """Trailing features of each bar: volatility, linear ATR, moving averages, slope, trend strength, volume z-score.
 
     Windows hold the last 14, 20 or 60 bars, the bar itself included. The first
-    bar has no return or true range.
+    bar has no return or true range. Bars that are not valid are left out, and a
+    key's first 29 bars have no features yet.
     """
+    bars = bars.where(valid_bar())
     order = Window.partitionBy(key).orderBy("ts")
     last = lambda n: order.rowsBetween(1 - n, 0)
     before = F.lag("close").over(order)
@@ -60,24 +62,34 @@ def bar_features(bars: DataFrame, key: str = "symbol") -> DataFrame:
     x = x.withColumn("tr", F.when(before.isNotNull(), F.col("tr")))
     sma20, sma60 = F.avg("close").over(last(20)), F.avg("close").over(last(60))
     volume, deviation = F.avg("volume").over(last(60)), F.coalesce(F.stddev_samp("volume").over(last(60)), F.lit(0.0))
-    slope = (sma20 - sma60) / sma60
+    slope = (sma20 - sma60) / F.col("close")
+    x = x.withColumn("_n", F.row_number().over(order))
     return x.select(
-        key, "ts", "close", "ret",
+        "_n", key, "ts", "close", "ret",
         (F.coalesce(F.stddev_samp("ret").over(last(60)), F.lit(0.0)) * F.sqrt(F.lit(60.0))).alias("rv"),
         (F.avg("tr").over(last(14)) / F.col("close")).alias("atr_pct"),
         sma20.alias("sma20"), sma60.alias("sma60"), slope.alias("slope"), F.least(F.lit(1.0), 20 * F.abs(slope)).alias("trend_strength"),
         ((F.col("volume") - volume) / (deviation + 1e-9)).alias("volume_z"),
-    )
+    ).where("_n >= 30").drop("_n")
 
 
 def regime(features: DataFrame) -> DataFrame:
-    """One row over the latest features of all symbols: averages, spread of volatility and trend, agreement, confidence and regime."""
+    """One row over the latest features of all symbols: averages, spread of volatility and trend, agreement, confidence and states.
+
+    ``features`` has atr_pct of hourly bars, trend_strength and spread_bps (null:
+    unknown). No symbols give unknown states and confidence 0.
+    """
     cv = lambda c: F.coalesce(F.try_divide(F.stddev_pop(c), F.avg(c)), F.lit(0.0))
-    x = features.agg(F.count("*").alias("n"), F.avg("atr_pct").alias("atr"), F.avg("trend_strength").alias("trend"), cv("atr_pct").alias("cv_atr"), cv("trend_strength").alias("cv_trend"))
-    agreement = F.greatest(F.lit(0.0), 1 - 0.5 * F.col("cv_atr") - 0.5 * F.least(F.col("cv_trend"), F.lit(1.0)))
-    cap = F.when(F.col("n") <= 1, 0.40).when(F.col("n") == 2, 0.52).when(F.col("n") <= 4, 0.64).when(F.col("n") <= 8, 0.75).otherwise(0.85)
-    name = F.when(F.col("trend") >= 0.60, "trend").when(F.col("trend") <= 0.35, "range").otherwise("mixed")
-    heat = F.when(F.col("atr") >= 0.06, "hot").when(F.col("atr") <= 0.02, "calm").otherwise("normal")
-    x = x.withColumn("agreement", agreement)
-    sample = F.least(F.lit(1.0), F.col("n") / 10)
-    return x.withColumn("confidence", F.least(cap, F.greatest(F.lit(0.20), 0.25 + 0.40 * F.col("agreement") + 0.20 * sample))).withColumn("regime", name).withColumn("heat", heat)
+    x = features.agg(
+        F.count("*").alias("n"), F.least(F.count("atr_pct"), F.count("trend_strength")).alias("seen"), F.avg("atr_pct").alias("atr"), F.avg("trend_strength").alias("trend"), F.avg("spread_bps").alias("spread"), cv("atr_pct").alias("cv_atr"), cv("trend_strength").alias("cv_trend")
+    )
+    n = F.greatest(F.lit(1), F.col("seen"))
+    x = x.withColumn("agreement", F.greatest(F.lit(0.0), 1 - 0.5 * F.col("cv_atr") - 0.5 * F.least(F.col("cv_trend"), F.lit(1.0))))
+    cap = F.when(n <= 1, 0.40).when(n == 2, 0.52).when(n == 3, 0.64).when(n == 4, 0.75).otherwise(0.85)
+    sample = F.least(F.lit(1.0), (n - 1) / 5)
+    confidence = F.least(cap, F.greatest(F.lit(0.20), 0.25 + 0.40 * F.col("agreement") + 0.20 * sample))
+    none, spread = F.col("n") == 0, F.col("spread")
+    vol = F.when(none, "unknown").when(F.col("atr") < 0.02, "low").when(F.col("atr") < 0.06, "normal").otherwise("high")
+    trend = F.when(none, "unknown").when(F.col("trend") > 0.6, "trending").when(F.col("trend") < 0.35, "ranging").otherwise("mixed")
+    risk = F.when(none, "unknown").when((vol == "high") & F.coalesce(spread > 8, F.lit(False)), "risk_off").when(vol.isin("low", "normal") & F.coalesce(spread < 6, F.lit(True)), "risk_on").otherwise("neutral")
+    return x.withColumn("confidence", F.when(none, 0.0).otherwise(confidence)).withColumn("vol_state", vol).withColumn("trend_state", trend).withColumn("risk_state", risk)

@@ -27,14 +27,14 @@ def ema_series(xs: Column, period: int) -> Column:
 
 
 def rsi(xs: Column, period: int = 14) -> Column:
-    """Wilder's index of an array's log changes: 50 if it is short, 100 without losses."""
+    """Wilder's index of an array's log changes: 50 if it is short (under ``period`` + 2 values) or flat, 100 with gains and no losses."""
     n = F.size(xs)
     deltas = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.ln(F.try_element_at(xs, i)) - F.ln(F.try_element_at(xs, i - 1)))
     smooth = lambda part: F.aggregate(
         F.slice(part, period + 1, 10_000), F.aggregate(F.slice(part, 1, period), F.lit(0.0), lambda s, x: s + x) / period, lambda m, x: (m * (period - 1) + x) / period
     )
     up, down = smooth(F.transform(deltas, lambda d: F.greatest(d, F.lit(0.0)))), smooth(F.transform(deltas, lambda d: F.greatest(-d, F.lit(0.0))))
-    return F.when(n <= period, 50.0).when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / down))
+    return F.when(n < period + 2, 50.0).when((down == 0) & (up == 0), 50.0).when(down == 0, 100.0).otherwise(100 - 100 / (1 + up / down))
 
 
 def macd_hist(xs: Column) -> Column:

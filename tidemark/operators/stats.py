@@ -44,10 +44,10 @@ def most_apart(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
 
 
 def pearson(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
-    """Correlation with its status: ok, too_few (under 3 rows) or no_variance."""
+    """Correlation with its status: insufficient_samples (under 3 rows), zero_variance or descriptive_only_clustered_rows."""
     got = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(key).agg(F.count("*").alias("n"), F.var_pop(x).alias("_vx"), F.var_pop(y).alias("_vy"), F.corr(x, y).alias("_r"))
-    status = F.when(F.col("n") < 3, "too_few").when((F.col("_vx") < 1e-12) | (F.col("_vy") < 1e-12), "no_variance").otherwise("ok")
-    return got.withColumn("status", status).withColumn("r", F.when(F.col("status") == "ok", F.col("_r"))).drop("_vx", "_vy", "_r")
+    status = F.when(F.col("n") < 3, "insufficient_samples").when((F.col("_vx") <= 0) | (F.col("_vy") <= 0), "zero_variance").otherwise("descriptive_only_clustered_rows")
+    return got.withColumn("status", status).withColumn("r", F.when(F.col("status").startswith("descriptive"), F.col("_r"))).drop("_vx", "_vy", "_r")
 
 
 def tertiles(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -75,15 +75,61 @@ def ewma(df: DataFrame, key: str, ts: str, value: str, weight: str, half_life: f
     return df.groupBy(key).agg(F.try_divide(F.sum(w * F.col(value)), F.sum(w)).alias("ewma"))
 
 
-def walk_forward(df: DataFrame, ts: str, available: str, value: str) -> DataFrame:
-    """For every time of validation, rows whose label was known by then their total and mean value.
+def walk_forward(df: DataFrame, ts: str, available: str, value: str, bucket: int = 86400) -> DataFrame:
+    """For every time of validation, rows whose label was known by then, their total and mean value.
 
-    One pass: labels and validation times go through one running sum in order of
-    time, labels first; a row a time is left before the window.
+    Labels are summed by their time; a prefix over time buckets (a row a bucket)
+    and one inside each bucket give the running sums, so no task holds all times.
     """
     labels = df.groupBy(F.col(available).alias("t")).agg(F.count("*").alias("k"), F.sum(value).alias("s"))
     times = df.select(F.col(ts).alias("t")).distinct()
-    both = labels.withColumn("v", F.lit(0)).unionByName(times.select("t", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("s"), F.lit(1).alias("v")))
-    w = Window.orderBy("t", "v").rowsBetween(Window.unboundedPreceding, 0)
-    done = both.withColumn("n_train", F.sum("k").over(w)).withColumn("_s", F.sum("s").over(w)).where("v = 1")
-    return done.select(F.col("t").alias("validation_ts"), "n_train", F.col("_s").alias("total_train"), F.try_divide("_s", F.col("n_train")).alias("mean_train"))
+    both = labels.withColumn("v", F.lit(0)).unionByName(times.select("t", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("s"), F.lit(1).alias("v"))).withColumn("bucket", F.floor(F.col("t") / bucket))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = both.groupBy("bucket").agg(F.sum("k").alias("k"), F.sum("s").alias("s"))
+    bases = sums.select("bucket", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("base_k"), F.coalesce(F.sum("s").over(before), F.lit(0.0)).alias("base_s"))
+    w = Window.partitionBy("bucket").orderBy("t", "v").rowsBetween(Window.unboundedPreceding, 0)
+    done = both.withColumn("n", F.sum("k").over(w)).withColumn("total", F.sum("s").over(w)).where("v = 1").join(bases, "bucket")
+    n, total = F.col("n") + F.col("base_k"), F.col("total") + F.col("base_s")
+    return done.select(F.col("t").alias("validation_ts"), n.alias("n_train"), total.alias("total_train"), F.try_divide(total, n).alias("mean_train"))
+
+
+def apart_by(df: DataFrame, key: str, ts: str, embargo: int, most: int = 1_000_000) -> DataFrame:
+    """key, ts: of a key's distinct times in order, the first and then each that is ``embargo`` or more after the last one taken.
+
+    A key's distinct times are folded in one row; a key with more than ``most`` of them is refused.
+    """
+    times = df.where(F.col(ts).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(ts)).alias("ts"))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
+    take = lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] >= embargo), F.struct(x.cast("long").alias("last"), F.concat(acc["kept"], F.array(x.cast("long"))).alias("kept"))).otherwise(acc)
+    bounded = F.when(F.size("ts") <= most, F.col("ts")).otherwise(F.raise_error(F.lit("more distinct times than apart_by folds")).cast("array<long>"))
+    return times.select(key, F.explode(F.aggregate(bounded, start, take)["kept"]).alias(ts))
+
+
+def purged(df: DataFrame, validation: DataFrame, key: str, ts: str, available: str) -> DataFrame:
+    """Training rows of each validation time: those decided before it whose label came in between the decision and it.
+
+    ``validation`` has key and v_ts. Rows without a label time, or with one
+    before their own time, are never trained on. Returns key, v_ts, n_train and
+    last_label.
+    """
+    rows = df.where(F.col(available) >= F.col(ts)).select(key, F.col(available).alias("_t"), F.lit(1).cast("long").alias("_n"), F.lit(0).alias("_v"))
+    times = validation.select(key, F.col("v_ts").alias("_t"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_v")).distinct()
+    # at equal times the validation comes first: a label of that very moment is not known yet
+    w = Window.partitionBy(key).orderBy("_t", F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    both = rows.unionByName(times).withColumn("n_train", F.sum("_n").over(w)).withColumn("last_label", F.max(F.when(F.col("_v") == 0, F.col("_t"))).over(w))
+    return both.where("_v = 1").select(key, F.col("_t").alias("v_ts"), "n_train", "last_label")
+
+
+def loss_bounds(df: DataFrame, key: str, label: str, probabilities: list[str], weight: str, alpha: float = 0.05) -> DataFrame:
+    """Weighted and plain log loss, the largest gap of a class between how often it came and how likely it was said to be, and that gap with a Hoeffding margin, 1 at most.
+
+    ``label`` is the number of the class, from 0; probabilities are cut at 1e-12.
+    """
+    k = len(probabilities)
+    said = F.greatest(F.lit(1e-12), F.least(F.lit(1.0), F.element_at(F.array(*probabilities), F.col(label).cast("int") + 1)))
+    gaps = [F.abs(F.avg((F.col(label) == i).cast("double")) - F.avg(p)) for i, p in enumerate(probabilities)]
+    gap = F.greatest(*gaps)
+    margin = F.sqrt(F.ln(F.lit(2.0 * k / alpha)) / (2 * F.count("*")))
+    return df.groupBy(key).agg(
+        F.count("*").alias("n"), (F.sum(F.col(weight) * -F.ln(said)) / F.sum(weight)).alias("weighted_loss"), F.avg(-F.ln(said)).alias("loss"), gap.alias("gap"), F.least(F.lit(1.0), gap + margin).alias("bound")
+    )

@@ -96,13 +96,13 @@ def grid_commitment(spark, d):
 @query(f"""{GRIDS}, m AS (SELECT *, lo * 0.97 AS kl, (lo + n * step) * 1.03 AS kh FROM k),
 s AS (SELECT *, list_sum([x - kl + (x + kl) * 0.0006 + kl * 0.005 FOR x IN longs]) AS down, list_sum([kh - x + (x + kh) * 0.0006 + kh * 0.005 FOR x IN shorts]) AS up FROM m),
 w AS (SELECT *, CASE side WHEN 'long' THEN down WHEN 'short' THEN up ELSE greatest(coalesce(down, 0), coalesce(up, 0)) END AS worst FROM s)
-SELECT l_orderkey, l_linenumber, round(worst / p, 7)::DOUBLE AS worst, round(100 * (1 - worst * 3 / committed), 6)::DOUBLE AS buffer_pct, CASE WHEN worst / committed <= 0.88 THEN least(10, floor(0.88 * committed / worst + 1e-9))::INT END AS leverage FROM w""")
+SELECT l_orderkey, l_linenumber, round(worst / p + 3e-10, 7)::DOUBLE AS worst, round(100 * (1 - worst * 3 / committed) + 3e-9, 6)::DOUBLE AS buffer_pct, CASE WHEN worst / committed <= 0.88 THEN least(10, floor(0.88 * committed / worst + 1e-9))::INT END AS leverage FROM w""")
 def grid_stress(spark, d):
-    """Loss at the kill switch as a multiple of the price, what it leaves of the margin at threefold leverage, and the highest leverage that leaves 12 percent."""
+    """(What is added before rounding keeps exact halves, frequent in these columns, from going either way.) Loss at the kill switch as a multiple of the price, what it leaves of the margin at threefold leverage, and the highest leverage that leaves 12 percent."""
     x = _grids(spark, d)
     worst = G.stress(F.col("g"), F.col("lo"), F.col("p"), F.col("side"), F.col("lo") * 0.97, F.col("hi") * 1.03, F.lit(12.0))
     x, c = x.withColumn("loss", worst), F.col("g.committed")
-    return x.select("l_orderkey", "l_linenumber", r(F.col("loss") / F.col("p"), 7).alias("worst"), r(G.buffer_pct(c, F.col("loss"), F.lit(3)), 6).alias("buffer_pct"), G.safe_leverage(c, F.col("loss"), 1, 10).alias("leverage"))
+    return x.select("l_orderkey", "l_linenumber", r(F.col("loss") / F.col("p") + 3e-10, 7).alias("worst"), r(G.buffer_pct(c, F.col("loss"), F.lit(3)) + 3e-9, 6).alias("buffer_pct"), G.safe_leverage(c, F.col("loss"), 1, 10).alias("leverage"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_partkey > 0 THEN round((1 - a) * l_quantity / 50 + a * l_discount * 10, 6)::DOUBLE END AS confidence, CASE WHEN l_returnflag = 'R' OR l_linenumber < 2 THEN 0 WHEN l_discount >= 0.08 THEN -0.08 WHEN l_discount >= 0.04 THEN -0.05 WHEN l_discount >= 0.015 THEN -0.02 ELSE 0 END::DOUBLE AS funding

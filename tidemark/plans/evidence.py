@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import market as M
+from ..operators import sentiment, stats
 from ..sources.tables import epoch, table, trades
 from .market import BARS, DAY, HOUR, TRADES, hourly, query, r
 
@@ -96,14 +97,14 @@ def idempotent_events(spark, d):
     return x.withColumn("verdict", F.when(F.col("n") == 1, "new").when(F.col("contents") == 1, "repeat").otherwise("conflict"))
 
 
-@query("""SELECT l_returnflag, count(*) AS n, round(sum(l_quantity * -ln(CASE WHEN l_linestatus = 'O' THEN p ELSE 1 - p END)) / sum(l_quantity), 6) AS log_loss, round(abs(avg((l_linestatus = 'O')::INT) - avg(p)) + sqrt(ln(2 / 0.05::DOUBLE) / (2 * count(*))), 6) AS bound
+@query("""SELECT l_returnflag, count(*) AS n, round(sum(l_quantity * -ln(CASE WHEN l_linestatus = 'O' THEN p ELSE 1 - p END)) / sum(l_quantity), 6) AS weighted_loss, round(avg(-ln(CASE WHEN l_linestatus = 'O' THEN p ELSE 1 - p END)), 6) AS loss,
+  round(greatest(abs(avg((l_linestatus = 'O')::INT) - avg(p)), abs(avg((l_linestatus <> 'O')::INT) - avg(1 - p))), 6) AS gap, round(least(1, greatest(abs(avg((l_linestatus = 'O')::INT) - avg(p)), abs(avg((l_linestatus <> 'O')::INT) - avg(1 - p))) + sqrt(ln(4 / 0.05::DOUBLE) / (2 * count(*)))), 6) AS bound
 FROM (SELECT *, 1 / (1 + exp(-(2 * l_discount * 10 - 1))) AS p FROM lineitem) GROUP BY l_returnflag""")
 def weighted_log_loss(spark, d):
-    """Weighted log loss of probabilities, and their gap to what happened with a Hoeffding margin."""
-    x = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("w"), (F.col("l_linestatus") == "O").alias("y"), (1 / (1 + F.exp(-(2 * F.col("l_discount") * 10 - 1)))).alias("p"))
-    loss = -F.ln(F.when(F.col("y"), F.col("p")).otherwise(1 - F.col("p")))
-    bound = F.abs(F.avg(F.col("y").cast("int")) - F.avg("p")) + F.sqrt(F.ln(F.lit(2 / 0.05)) / (2 * F.count("*")))
-    return x.groupBy("l_returnflag").agg(F.count("*").alias("n"), r(F.sum(F.col("w") * loss) / F.sum("w")).alias("log_loss"), r(bound).alias("bound"))
+    """Log loss of probabilities, weighted and plain, and their gap to what happened with a Hoeffding margin."""
+    p = 1 / (1 + F.exp(-(2 * F.col("l_discount") * 10 - 1)))
+    x = table(spark, d, "lineitem").select("l_returnflag", F.col("l_quantity").alias("w"), (F.col("l_linestatus") == "O").cast("int").alias("y"), (1 - p).alias("p0"), p.alias("p1"))
+    return stats.loss_bounds(x, "l_returnflag", "y", ["p0", "p1"], "w").select("l_returnflag", "n", *[r(c).alias(c) for c in ("weighted_loss", "loss", "gap", "bound")])
 
 
 @query("""SELECT o_orderkey, round(exp(-ln(2.0) * (m - ts) / (21 * 86400)) * count(*) OVER (PARTITION BY o_custkey) / sum(exp(-ln(2.0) * (m - ts) / (21 * 86400))) OVER (PARTITION BY o_custkey), 6) AS weight
@@ -117,14 +118,60 @@ def recency_weights(spark, d):
     return x.select("o_orderkey", r(F.col("w") * F.count("*").over(key) / F.sum("w").over(key)).alias("weight"))
 
 
-@query(f"""WITH {TRADES}, p AS (SELECT user_id, ts // 900 AS q, count(*) AS k, avg(price) AS s FROM t GROUP BY ALL), m AS (SELECT max(ts) // 900 AS now FROM t)
-SELECT user_id, round(sum(s * least(3, k) * exp(-ln(2.0) * (now - q) / 96)) / sum(least(3, k) * exp(-ln(2.0) * (now - q) / 96)), 6) AS s FROM p, m GROUP BY user_id""")
+POINTS = f"{TRADES}, p AS (SELECT user_id % 50 AS key, ts, least(1, greatest(-1, price / 50 - 1)) AS s, trade_id % 20 AS volume, least(4, sqrt(greatest(1, trade_id % 20))) AS w, max(ts) OVER () AS now FROM t)"
+
+
+def points(spark, d):
+    """Trades as sentiment points, each with the newest time of all: a one-row aggregate, joined."""
+    t = trades(spark, d)
+    s = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("price") / 50 - 1))
+    x = t.select((F.col("user_id") % 50).alias("key"), "ts", s.alias("sentiment"), (F.col("trade_id") % 20).cast("double").alias("volume"))
+    return x.join(F.broadcast(t.agg(F.max("ts").alias("now"))))
+
+
+@query(f"""WITH {POINTS}, g AS (SELECT key, ts // 900 AS q, sum(s * w) / sum(w) AS s, least(3, sum(w)) AS w, max(now) - max(ts) AS age FROM p WHERE ts >= now - 21600 GROUP BY ALL),
+e AS (SELECT key, count(*) AS n_points, sum(s * w * exp(-ln(2.0) / 2700 * age)) / sum(w * exp(-ln(2.0) / 2700 * age)) AS f, sum(s * w * exp(-ln(2.0) / 7200 * age)) / sum(w * exp(-ln(2.0) / 7200 * age)) AS m, sum(s * w * exp(-ln(2.0) / 21600 * age)) / sum(w * exp(-ln(2.0) / 21600 * age)) AS l FROM g GROUP BY key)
+SELECT key, round(least(1, greatest(-1, 0.60 * f + 0.25 * m + 0.15 * l + 0.30 * (f - m))), 6) AS effective, n_points FROM e""")
 def symbol_sentiment(spark, d):
-    """Points of a key in quarter hours first, each of weight 3 at most, then by age."""
-    x = trades(spark, d).groupBy("user_id", F.floor(F.col("ts") / 900).alias("q")).agg(F.count("*").alias("k"), F.avg("price").alias("s"))
-    now = x.agg(F.max("q")).first()[0] or 0
-    w = F.least(F.lit(3), F.col("k")) * F.exp(-F.ln(F.lit(2.0)) * (F.lit(now) - F.col("q")) / 96)
-    return x.groupBy("user_id").agg(r(F.sum(F.col("s") * w) / F.sum(w)).alias("s"))
+    """Quarter hours as points of bounded weight, three half lives and an impulse."""
+    return sentiment.symbol_sentiment(points(spark, d), "key", F.col("now")).select("key", r("effective").alias("effective"), "n_points")
+
+
+_LIFE = lambda seconds: f"sum(s * w * exp(-ln(2.0) / {seconds} * (now - ts))) / sum(w * exp(-ln(2.0) / {seconds} * (now - ts)))"
+_VOTED = lambda name: " + ".join(f"CASE WHEN {v} = '{name}' THEN {w}::DOUBLE ELSE 0 END" for v, w in (("v1", 1.30), ("v6", 1.45), ("vd", 1.00), ("vw", 0.60), ("ve", 1.35)))
+_VOTE = lambda c: f"CASE WHEN {c} <= -0.35 THEN 'risk_off' WHEN {c} >= 0.35 THEN 'risk_on' ELSE 'neutral' END"
+
+
+@query(f"""WITH {POINTS}, a AS (SELECT key, count(*) AS n_points, {_LIFE(3600)} AS s1, {_LIFE(21600)} AS s6, {_LIFE(86400)} AS sd, {_LIFE(604800)} AS sw FROM p GROUP BY key),
+e AS (SELECT *, least(1, greatest(-1, 0.50 * s1 + 0.30 * s6 + 0.15 * sd + 0.05 * sw + 0.20 * (s1 - s6))) AS eff FROM a),
+v AS (SELECT *, {_VOTE('s1')} AS v1, {_VOTE('s6')} AS v6, {_VOTE('sd')} AS vd, {_VOTE('sw')} AS vw, {_VOTE('eff')} AS ve FROM e),
+m AS (SELECT *, round({_VOTED('risk_on')}, 6) AS a_on, round({_VOTED('risk_off')}, 6) AS a_off, round({_VOTED('neutral')}, 6) AS a_no FROM v),
+k AS (SELECT *, list_sort([a_on, a_off, a_no]) AS o, list_sort([{{'w': a_on, 'e': ve = 'risk_on', 's': v6 = 'risk_on', 'n': false, 'name': 'risk_on'}}, {{'w': a_off, 'e': ve = 'risk_off', 's': v6 = 'risk_off', 'n': false, 'name': 'risk_off'}}, {{'w': a_no, 'e': ve = 'neutral', 's': v6 = 'neutral', 'n': true, 'name': 'neutral'}}]) AS best FROM m)
+SELECT key, n_points, round(eff, 6) AS effective, round(s1 - s6, 6) AS impulse, best[3].name AS regime, round((o[3] - o[2]) / (a_on + a_off + a_no), 6) AS strength, (eff <= -0.62 AND s1 - s6 < -0.08) OR s6 <= -0.60 AS panic, (eff >= 0.62 AND s1 - s6 > 0.08) OR s6 >= 0.60 AS euphoria FROM k""")
+def market_sentiment(spark, d):
+    """Four half lives, their votes and what they come to."""
+    x = sentiment.market_sentiment(points(spark, d), "key", F.col("now"))
+    return x.select("key", "n_points", r("effective").alias("effective"), r("impulse").alias("impulse"), "regime", r("strength").alias("strength"), "panic", "euphoria")
+
+
+@query(f"""WITH {POINTS}, n AS (SELECT key, CASE ts % 5 WHEN 0 THEN 'momentum' WHEN 1 THEN 'reddit' WHEN 2 THEN 'rss' WHEN 3 THEN 'trending' ELSE 'other' END AS source, s FROM p), o AS (SELECT key, source, avg(s) AS s, CASE source WHEN 'momentum' THEN 0.45::DOUBLE WHEN 'reddit' THEN 0.30 WHEN 'rss' THEN 0.15 ELSE 0.10 END AS w FROM n WHERE source <> 'other' GROUP BY ALL)
+SELECT key, round(least(1, greatest(-1, sum(s * w) / sum(w))), 6) AS sentiment, count(*) AS n_sources FROM o GROUP BY key""")
+def sentiment_blend(spark, d):
+    """Sources of each symbol by their weights."""
+    source = F.element_at(F.array(*[F.lit(x) for x in ("momentum", "reddit", "rss", "trending", "other")]), (F.col("ts") % 5 + 1).cast("int"))
+    return sentiment.blended(points(spark, d).withColumn("source", source), "key").select("key", r("sentiment").alias("sentiment"), "n_sources")
+
+
+@query(f"WITH {POINTS} SELECT key, round(least(1, greatest(-1, sum(s * greatest(volume, 6)) / sum(greatest(volume, 6)))), 6) AS sentiment, floor(sum(greatest(volume, 6)))::BIGINT AS volume FROM p GROUP BY key")
+def sentiment_combined(spark, d):
+    """Points by their volume, each of some weight at least."""
+    return sentiment.combined(points(spark, d), "key").select("key", r("sentiment").alias("sentiment"), "volume")
+
+
+@query(f"WITH {POINTS}, q AS (SELECT *, least(6, greatest(0.8::DOUBLE, sqrt(least(greatest(1, volume * 1e7), 5e9)) / 5000)) AS mw FROM p) SELECT key, round(least(1, greatest(-1, sum(s * mw) / sum(mw))), 6) AS sentiment, count(*) AS n_symbols FROM q GROUP BY key")
+def momentum_pulse(spark, d):
+    """A market's pulse by the bounded roots of its symbols' volumes."""
+    return sentiment.momentum_pulse(points(spark, d).withColumn("volume", F.col("volume") * 1e7), "key").select("key", r("sentiment").alias("sentiment"), "n_symbols")
 
 
 @query(f"""WITH {TRADES}, g AS (SELECT user_id, ts + 60 AS lo, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, trade_id) AS hi FROM t)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import market, sentiment
 from ..functions.numeric import clamp, quantize
 from ..operators import bars as B
-from ..operators import indicators, joins, labels, models, relational, stats
+from ..operators import indicators, joins, labels, models, relational, routing, stats
 from ..sources.tables import epoch, table, trades
 from ..streaming import candles
 
@@ -78,25 +78,26 @@ FEATURES = f"""{BARS},
 x AS (SELECT *, ln(close / lag(close) OVER o) AS ret, CASE WHEN lag(close) OVER o IS NOT NULL THEN greatest(high - low, abs(high - lag(close) OVER o), abs(low - lag(close) OVER o)) END AS tr
   FROM b WINDOW o AS (PARTITION BY symbol ORDER BY ts)),
 f AS (SELECT symbol, ts, close, ret, coalesce(stddev_samp(ret) OVER w60, 0) * sqrt(60.0) AS rv, avg(tr) OVER w14 / close AS atr_pct, avg(close) OVER w20 AS sma20, avg(close) OVER w60 AS sma60,
-  (avg(close) OVER w20 - avg(close) OVER w60) / avg(close) OVER w60 AS slope, (volume - avg(volume) OVER w60) / (coalesce(stddev_samp(volume) OVER w60, 0) + 1e-9) AS volume_z
+  (avg(close) OVER w20 - avg(close) OVER w60) / close AS slope, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS nth, (volume - avg(volume) OVER w60) / (coalesce(stddev_samp(volume) OVER w60, 0) + 1e-9) AS volume_z
   FROM x WINDOW w14 AS (PARTITION BY symbol ORDER BY ts ROWS 13 PRECEDING), w20 AS (PARTITION BY symbol ORDER BY ts ROWS 19 PRECEDING), w60 AS (PARTITION BY symbol ORDER BY ts ROWS 59 PRECEDING)),
-l AS (SELECT *, least(1.0, 20 * abs(slope)) AS trend_strength, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM f)"""
+l AS (SELECT *, least(1.0, 20 * abs(slope)) AS trend_strength, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM f WHERE nth >= 30)"""
 
 
-@query(f"WITH {FEATURES} SELECT symbol, ts, round(ret, 6) AS ret, round(rv, 6) AS rv, round(atr_pct, 6) AS atr_pct, round(sma20, 6) AS sma20, round(sma60, 6) AS sma60, round(slope, 6) AS slope, round(trend_strength, 6) AS trend_strength FROM l")
+@query(f"WITH {FEATURES} SELECT symbol, ts, round(ret, 9) AS ret, round(rv, 9) AS rv, round(atr_pct, 9) AS atr_pct, round(sma20, 9) AS sma20, round(sma60, 9) AS sma60, round(slope, 9) AS slope, round(trend_strength, 9) AS trend_strength FROM l")
 def bar_features(spark, d):
     x = B.bar_features(hourly(spark, d))
-    return x.select("symbol", "ts", *[r(c).alias(c) for c in ("ret", "rv", "atr_pct", "sma20", "sma60", "slope", "trend_strength")])
+    return x.select("symbol", "ts", *[r(c, 9).alias(c) for c in ("ret", "rv", "atr_pct", "sma20", "sma60", "slope", "trend_strength")])
 
 
-@query(f"""WITH {FEATURES}, a AS (SELECT count(*) AS n, avg(atr_pct) AS atr, avg(trend_strength) AS trend, coalesce(stddev_pop(atr_pct) / avg(atr_pct), 0) AS ca, coalesce(stddev_pop(trend_strength) / nullif(avg(trend_strength), 0), 0) AS ct FROM l WHERE rn = 1),
-g AS (SELECT *, greatest(0, 1 - 0.5 * ca - 0.5 * least(ct, 1)) AS agreement FROM a)
+@query(f"""WITH {FEATURES}, a AS (SELECT count(*) AS n, avg(atr_pct) AS atr, avg(trend_strength) AS trend, avg(spread) AS spread, coalesce(stddev_pop(atr_pct) / nullif(avg(atr_pct), 0), 0) AS ca, coalesce(stddev_pop(trend_strength) / nullif(avg(trend_strength), 0), 0) AS ct FROM (SELECT *, length(symbol) * 1.0 AS spread FROM l WHERE rn = 1)),
+g AS (SELECT *, greatest(0, 1 - 0.5 * ca - 0.5 * least(ct, 1)) AS agreement, CASE WHEN n = 0 THEN 'unknown' WHEN atr < 0.02 THEN 'low' WHEN atr < 0.06 THEN 'normal' ELSE 'high' END AS vol_state FROM a)
 SELECT n, round(atr, 6) AS atr, round(trend, 6) AS trend, round(agreement, 6) AS agreement,
-  round(least(CASE WHEN n <= 1 THEN 0.40 WHEN n = 2 THEN 0.52 WHEN n <= 4 THEN 0.64 WHEN n <= 8 THEN 0.75 ELSE 0.85 END, greatest(0.20, 0.25 + 0.40 * agreement + 0.20 * least(1.0, n / 10))), 6)::DOUBLE AS confidence,
-  CASE WHEN trend >= 0.60 THEN 'trend' WHEN trend <= 0.35 THEN 'range' ELSE 'mixed' END AS regime FROM g""")
+  round(least(CASE WHEN n <= 1 THEN 0.40 WHEN n = 2 THEN 0.52 WHEN n = 3 THEN 0.64 WHEN n = 4 THEN 0.75 ELSE 0.85 END, greatest(0.20, 0.25 + 0.40 * agreement + 0.20 * least(1.0, (n - 1) / 5))), 6)::DOUBLE AS confidence, vol_state,
+  CASE WHEN n = 0 THEN 'unknown' WHEN trend > 0.6 THEN 'trending' WHEN trend < 0.35 THEN 'ranging' ELSE 'mixed' END AS trend_state,
+  CASE WHEN vol_state = 'high' AND spread > 8 THEN 'risk_off' WHEN vol_state IN ('low', 'normal') AND spread < 6 THEN 'risk_on' ELSE 'neutral' END AS risk_state FROM g""")
 def market_regime(spark, d):
-    last = relational.latest(B.bar_features(hourly(spark, d)), ["symbol"], ["ts"])
-    return B.regime(last).select("n", r("atr").alias("atr"), r("trend").alias("trend"), r("agreement").alias("agreement"), r("confidence").alias("confidence"), "regime")
+    last = relational.latest(B.bar_features(hourly(spark, d)), ["symbol"], ["ts"]).withColumn("spread_bps", F.length("symbol") * 1.0)
+    return B.regime(last).select("n", *[r(c).alias(c) for c in ("atr", "trend", "agreement", "confidence")], "vol_state", "trend_state", "risk_state")
 
 
 TAILS = f"""{BARS}, k AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS rn FROM b), xs AS (SELECT symbol, list(close ORDER BY ts) AS xs FROM k WHERE rn <= 260 GROUP BY symbol)"""
@@ -108,14 +109,17 @@ def ema(spark, d):
 
 
 @query(f"""WITH {TAILS}, dl AS (SELECT symbol, [ln(xs[i]) - ln(xs[i - 1]) for i in range(2, len(xs) + 1)] AS d FROM xs),
-g AS (SELECT symbol, [greatest(x, 0.0) for x in d] AS u, [greatest(-x, 0.0) for x in d] AS v FROM dl),
-s AS (SELECT symbol, list_reduce([list_sum(u[1:14]) / 14] || u[15:], lambda m, x: (m * 13 + x) / 14) AS up, list_reduce([list_sum(v[1:14]) / 14] || v[15:], lambda m, x: (m * 13 + x) / 14) AS down FROM g)
-SELECT symbol, round(CASE WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 6) AS rsi14 FROM s""")
+g AS (SELECT symbol, len(d) + 1 AS n, [greatest(x, 0.0) for x in d] AS u, [greatest(-x, 0.0) for x in d] AS v FROM dl),
+s AS (SELECT symbol, n, list_reduce([list_sum(u[1:14]) / 14] || u[15:], lambda m, x: (m * 13 + x) / 14) AS up, list_reduce([list_sum(v[1:14]) / 14] || v[15:], lambda m, x: (m * 13 + x) / 14) AS down FROM g)
+SELECT symbol, round(CASE WHEN n < 16 OR up = 0 AND down = 0 THEN 50 WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END, 6) AS rsi14 FROM s""")
 def rsi(spark, d):
     return indicators.tails(hourly(spark, d), "symbol").select("symbol", r(indicators.rsi(F.col("xs"))).alias("rsi14"))
 
 
-@query()
+@query(f"""WITH {TAILS}, e AS (SELECT symbol, len(xs) AS n, [ln(x) for x in xs] AS ys FROM xs),
+m AS (SELECT symbol, n, list_reduce(ys[2:], lambda acc, x: list_append(acc, acc[-1] * (1 - 2.0::DOUBLE / 13) + x * (2.0::DOUBLE / 13)), ys[1:1]) AS f, list_reduce(ys[2:], lambda acc, x: list_append(acc, acc[-1] * (1 - 2.0::DOUBLE / 27) + x * (2.0::DOUBLE / 27)), ys[1:1]) AS g FROM e),
+l AS (SELECT symbol, n, [f[i] - g[i] for i in range(1, len(f) + 1)] AS line FROM m)
+SELECT symbol, round(CASE WHEN n < 35 THEN 0 ELSE line[-1] - list_reduce(line, lambda acc, x: acc + 2.0::DOUBLE / 10 * (x - acc)) END, 6) AS macd_hist FROM l""")
 def macd(spark, d):
     return indicators.tails(hourly(spark, d), "symbol").select("symbol", r(indicators.macd_hist(F.col("xs"))).alias("macd_hist"))
 
@@ -169,20 +173,49 @@ def next_bar(spark, d):
     return joins.next_bar(trades(spark, d), hourly(spark, d), "symbol", HOUR).select("trade_id", "entry_ts", "entry")
 
 
-@query(f"""WITH {BARS}, e AS (SELECT trade_id AS entry_id, t.symbol, b.ts AS entry_ts, b.open AS entry, b.open * 1.5 AS target, b.open * 0.5 AS stop FROM t JOIN b ON t.symbol = b.symbol AND b.ts = t.ts - t.ts % 3600 + 3600),
-p AS (SELECT e.*, b.ts AS bar_ts, b.close, CASE WHEN b.open <= stop THEN 'SL_FIRST' WHEN b.open >= target THEN 'TP_FIRST' WHEN high >= target AND low <= stop THEN 'AMBIGUOUS' WHEN high >= target THEN 'TP_FIRST' WHEN low <= stop THEN 'SL_FIRST' END AS event, CASE WHEN b.open <= stop THEN b.open END AS gap
-  FROM e JOIN b ON e.symbol = b.symbol AND b.ts >= e.entry_ts AND b.ts < e.entry_ts + 14400),
-a AS (SELECT entry_id, entry, target, stop, entry_ts, arg_min(event, bar_ts) FILTER (event IS NOT NULL) AS event, arg_min(coalesce(gap, -1), bar_ts) FILTER (event IS NOT NULL) AS gap, min(bar_ts) FILTER (event IS NOT NULL) AS hit, arg_max(close, bar_ts) AS close, list(bar_ts) AS seen FROM p GROUP BY ALL),
-q AS (SELECT *, coalesce(hit, entry_ts + 10800) AS fin FROM a),
-w AS (SELECT *, len([x for x in seen if x <= fin]) * 3600 = fin - entry_ts + 3600 AS whole FROM q),
-z AS (SELECT *, CASE WHEN NOT whole THEN 'UNAVAILABLE' WHEN event IS NOT NULL THEN event ELSE 'HORIZON_EXIT' END AS name FROM w),
-y AS (SELECT *, CASE name WHEN 'HORIZON_EXIT' THEN close WHEN 'TP_FIRST' THEN target WHEN 'SL_FIRST' THEN CASE WHEN gap >= 0 THEN gap ELSE stop END END AS px FROM z)
-SELECT entry_id, name AS event, CASE WHEN name <> 'UNAVAILABLE' THEN fin END AS exit_ts, round(px, 6) AS exit_price, round(px / entry - 1, 6) AS ret FROM y""")
-def first_touch(spark, d):
+ENTRIES = f"""{BARS}, e AS (SELECT trade_id AS entry_id, t.symbol, b.ts AS entry_ts, b.open AS entry, CASE WHEN trade_id % 2 = 0 THEN 1.0 ELSE -1.0 END AS s, b.open * (1 + CASE WHEN trade_id % 2 = 0 THEN 0.5 ELSE -0.5 END) AS target,
+  CASE WHEN trade_id % 13 = 0 THEN b.open ELSE b.open * (1 - CASE WHEN trade_id % 2 = 0 THEN 0.5 ELSE -0.5 END) END AS stop FROM t JOIN b ON t.symbol = b.symbol AND b.ts = t.ts - t.ts % 3600 + 3600)"""
+
+
+def entries(spark, d):
     b = hourly(spark, d)
     e = joins.next_bar(trades(spark, d), b, "symbol", HOUR).where("entry is not null")
-    e = e.select(F.col("trade_id").alias("entry_id"), "symbol", "entry_ts", "entry", (F.col("entry") * 1.5).alias("target"), (F.col("entry") * 0.5).alias("stop"))
-    return labels.first_touch(e, b, "symbol", HOUR, 4 * HOUR).select("entry_id", "event", "exit_ts", r("exit_price").alias("exit_price"), r("ret").alias("ret"))
+    long = F.col("trade_id") % 2 == 0
+    half = F.when(long, 0.5).otherwise(-0.5)
+    stop = F.when(F.col("trade_id") % 13 == 0, F.col("entry")).otherwise(F.col("entry") * (1 - half))
+    return b, e.select(F.col("trade_id").alias("entry_id"), "symbol", "entry_ts", "entry", F.when(long, "long").otherwise("short").alias("direction"), (F.col("entry") * (1 + half)).alias("target"), stop.alias("stop"), F.lit(12.0).alias("cost_bps"))
+
+
+TOUCHED = f"""WITH {ENTRIES}, p AS (SELECT e.*, b.ts AS bar_ts, b.open AS o, CASE WHEN s > 0 THEN high ELSE low END AS best, CASE WHEN s > 0 THEN low ELSE high END AS worst FROM e JOIN b ON e.symbol = b.symbol AND b.ts >= e.entry_ts AND b.ts <= e.entry_ts + 14400 WHERE s * stop < s * entry AND s * entry < s * target),
+q AS (SELECT *, bar_ts < entry_ts + 14400 AS inside, s * o <= s * stop AS gap, s * o >= s * target AS jump, s * best >= s * target AS up, s * worst <= s * stop AS down FROM p),
+v AS (SELECT *, CASE WHEN NOT inside THEN NULL WHEN gap THEN 'SL_FIRST' WHEN jump THEN 'TP_FIRST' WHEN up AND down THEN 'AMBIGUOUS' WHEN up THEN 'TP_FIRST' WHEN down THEN 'SL_FIRST' END AS event FROM q),
+h AS (SELECT entry_id, min(bar_ts) FILTER (event IS NOT NULL) AS hit FROM v GROUP BY entry_id),
+a AS (SELECT v.entry_id, any_value(hit) AS hit, max(event) FILTER (bar_ts = hit) AS event, bool_or(gap) FILTER (bar_ts = hit) AS gap, max(CASE WHEN gap THEN o WHEN event = 'TP_FIRST' THEN target WHEN event = 'SL_FIRST' THEN stop END) FILTER (bar_ts = hit) AS price,
+  max(o) FILTER (bar_ts = entry_ts + 14400) AS boundary, count(*) FILTER (inside AND bar_ts <= coalesce(hit, entry_ts + 10800)) AS seen, max(s * (best - entry) / entry) FILTER (inside AND bar_ts < coalesce(hit, bar_ts + 1)) AS fav, min(s * (worst - entry) / entry) FILTER (inside AND bar_ts < coalesce(hit, bar_ts + 1)) AS adv
+  FROM v JOIN h USING (entry_id) GROUP BY v.entry_id),
+n AS (SELECT e.*, a.* EXCLUDE (entry_id), CASE WHEN NOT (s * stop < s * entry AND s * entry < s * target) THEN 'INVALID' WHEN coalesce(seen, 0) * 3600 <> coalesce(hit, entry_ts + 10800) - entry_ts + 3600 OR (hit IS NULL AND boundary IS NULL) THEN 'UNAVAILABLE' ELSE coalesce(event, 'HORIZON_EXIT') END AS name FROM e LEFT JOIN a USING (entry_id)),
+z AS (SELECT *, CASE WHEN name IN ('TP_FIRST', 'SL_FIRST', 'HORIZON_EXIT') THEN coalesce(price, boundary) END AS px FROM n),
+y AS (SELECT *, s * (px - entry) / entry AS gross FROM z)"""
+
+
+@query(f"""{TOUCHED}
+SELECT entry_id, name AS event, CASE name WHEN 'TP_FIRST' THEN 'take_profit' WHEN 'SL_FIRST' THEN CASE WHEN gap THEN 'stop_loss_gap' ELSE 'stop_loss' END WHEN 'HORIZON_EXIT' THEN 'horizon' END AS exit_reason, CASE WHEN px IS NOT NULL THEN coalesce(hit, entry_ts + 14400) END AS exit_ts,
+  round(px, 6) AS exit_price, round(gross, 6) AS gross, round(gross - 0.0012, 6) AS net, CASE WHEN px IS NOT NULL THEN (name <> 'SL_FIRST' AND gross - 0.0012 > 1e-12)::INT END AS success,
+  CASE WHEN px IS NOT NULL THEN round(greatest(0, fav, CASE WHEN name = 'TP_FIRST' THEN gross END), 6)::DOUBLE END AS mfe, CASE WHEN px IS NOT NULL THEN round(least(0, adv, CASE WHEN name = 'SL_FIRST' THEN gross END), 6)::DOUBLE END AS mae FROM y""")
+def first_touch(spark, d):
+    b, e = entries(spark, d)
+    got = labels.first_touch(e, b, "symbol", HOUR, 4 * HOUR)
+    return got.select("entry_id", "event", "exit_reason", "exit_ts", *[r(c).alias(c) for c in ("exit_price", "gross", "net")], "success", r("mfe").alias("mfe"), r("mae").alias("mae"))
+
+
+@query(f"""{TOUCHED}, f AS (SELECT symbol, ts, (ts // 3600 % 7 - 3) / 10000.0::DOUBLE AS rate, open FROM b WHERE ts % 7200 = 0)
+SELECT y.entry_id, count(f.ts) AS n_events, round(coalesce(sum(-s * f.open * f.rate / entry), 0), 7) AS funding_return FROM y LEFT JOIN f ON y.symbol = f.symbol AND f.ts >= entry_ts AND f.ts < coalesce(hit, entry_ts + 14400) WHERE px IS NOT NULL GROUP BY y.entry_id""")
+def funding_returns(spark, d):
+    b, e = entries(spark, d)
+    done = labels.first_touch(e, b, "symbol", HOUR, 4 * HOUR).where("exit_ts is not null").select("entry_id", "exit_ts").join(e, "entry_id")
+    paid = b.where(F.col("ts") % 7200 == 0).select("symbol", "ts", ((F.floor(F.col("ts") / 3600) % 7 - 3) / 10000.0).alias("rate"))
+    got = labels.funding_returns(done, paid, b, "symbol")
+    return got.select("entry_id", "n_events", r("funding_return", 7).alias("funding_return"))
 
 
 @query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
@@ -338,7 +371,7 @@ def weighted_returns(spark, d):
     return got.select("l_suppkey", "n", r("mean").alias("mean"), r("n_eff", 4).alias("n_eff"), r("shortfall").alias("shortfall"))
 
 
-@query("""SELECT l_suppkey, count(*) AS n, CASE WHEN count(*) < 3 THEN 'too_few' WHEN var_pop(l_quantity) < 1e-12 OR var_pop(l_extendedprice) < 1e-12 THEN 'no_variance' ELSE 'ok' END AS status, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem GROUP BY l_suppkey""")
+@query("""SELECT l_suppkey, count(*) AS n, CASE WHEN count(*) < 3 THEN 'insufficient_samples' WHEN var_pop(l_quantity) <= 0 OR var_pop(l_extendedprice) <= 0 THEN 'zero_variance' ELSE 'descriptive_only_clustered_rows' END AS status, CASE WHEN count(*) >= 3 AND var_pop(l_quantity) > 0 AND var_pop(l_extendedprice) > 0 THEN round(corr(l_quantity, l_extendedprice), 6) END AS r FROM lineitem GROUP BY l_suppkey""")
 def pearson(spark, d):
     return stats.pearson(table(spark, d, "lineitem"), "l_suppkey", "l_quantity", "l_extendedprice").select("l_suppkey", "n", "status", r("r").alias("r"))
 
@@ -395,9 +428,10 @@ def market_signals(spark, d):
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linestatus = 'O' THEN 'long' ELSE 'short' END AS side, l_extendedprice / l_quantity AS entry, l_quantity AS qty, l_tax AS atr, l_discount / 100 AS cost FROM lineitem),
-p AS (SELECT *, greatest(0.004, least(0.08, greatest(1.25 * atr, 4 * cost, 0.004))) AS stop FROM x),
-q AS (SELECT *, greatest(0.008, least(0.15, greatest(1.8 * stop, 6 * cost, 0.008))) AS reward FROM p)
-SELECT l_orderkey, l_linenumber, round(stop, 6) AS stop, round(reward, 6) AS reward, round(reward / stop, 5) AS rr, round(CASE side WHEN 'long' THEN entry * (1 - (0.2 - 0.006)) ELSE entry * (1 + (0.2 - 0.006)) END, 3) AS liq, round(qty * entry * 0.01 * CASE side WHEN 'long' THEN 1 ELSE -1 END, 4) AS pnl FROM q""")
+p AS (SELECT *, greatest(0.004::DOUBLE, least(0.08::DOUBLE, greatest(1.25::DOUBLE * atr, 4 * cost, 0.004::DOUBLE))) AS stop, CASE side WHEN 'long' THEN 1 ELSE -1 END AS s FROM x),
+q AS (SELECT *, greatest(0.008::DOUBLE, least(0.15::DOUBLE, greatest(1.8::DOUBLE * stop, 6 * cost, 0.008::DOUBLE))) AS reward FROM p),
+k AS (SELECT *, abs(entry * (1 + s * reward) - entry) / entry * 100 AS won, abs(entry - entry * (1 - s * stop)) / entry * 100 AS lost, 1.0::DOUBLE / 5 - 0.005::DOUBLE - 0.001::DOUBLE AS room FROM q)
+SELECT l_orderkey, l_linenumber, round(stop, 6) AS stop, round(reward, 6) AS reward, round(won / lost, 7) AS rr, round(CASE side WHEN 'long' THEN entry * (1.0::DOUBLE - room) ELSE entry * (1.0::DOUBLE + room) END, 10) AS liq, round(CASE side WHEN 'long' THEN qty * (entry * 1.01::DOUBLE - entry) ELSE qty * (entry - entry * 1.01::DOUBLE) END, 7) AS pnl FROM k""")
 def plan_economics(spark, d):
     side, entry = F.when(F.col("l_linestatus") == "O", "long").otherwise("short"), F.col("l_extendedprice") / F.col("l_quantity")
     plan = market.trend_plan(F.col("l_tax"), F.col("l_discount") / 100)
@@ -406,8 +440,8 @@ def plan_economics(spark, d):
     e = F.col("entry")
     rr = market.plan_math(F.col("side"), e, e * (1 + sign * F.col("reward")), e * (1 - sign * F.col("stop")))["rr"]
     return x.select(
-        "l_orderkey", "l_linenumber", r("stop").alias("stop"), r("reward").alias("reward"), r(rr, 5).alias("rr"), r(market.liquidation_price(F.col("side"), e, F.lit(5.0)), 3).alias("liq"),
-        r(market.linear_pnl(F.col("side"), F.col("qty"), e, e * 1.01), 4).alias("pnl"),
+        "l_orderkey", "l_linenumber", r("stop").alias("stop"), r("reward").alias("reward"), r(rr, 7).alias("rr"), r(market.liquidation_price(F.col("side"), e, F.lit(5.0)), 10).alias("liq"),
+        r(market.linear_pnl(F.col("side"), F.col("qty"), e, e * 1.01), 7).alias("pnl"),
     )
 
 
@@ -418,16 +452,22 @@ def grid_levels(spark, d):
     return x.withColumn("price", r("price", 4))
 
 
-@query("""WITH x AS (SELECT o_custkey, o_orderkey, least(1, greatest(0, (1.45 * (o_totalprice / 300000) + 0.18 * 0.6 + 0.12 * 0.5 - 0.45 * (o_orderkey % 10 / 10.0::DOUBLE) - 0.75 * 0.5 - 0.40 * 0.25) / 2.2)) AS score FROM orders),
-k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, o_orderkey) AS rn FROM x)
-SELECT a.o_custkey, CASE WHEN a.score - coalesce(b.score, 0) < 0.02 AND a.score - coalesce(b.score, 0) < 0.1 * a.score THEN NULL ELSE a.o_orderkey END AS winner, round(a.score, 6) AS score FROM k a LEFT JOIN k b ON a.o_custkey = b.o_custkey AND b.rn = 2 WHERE a.rn = 1""")
+@query("""WITH c AS (SELECT o_custkey, o_orderkey, ((o_orderkey * 7919 % 10007 - 2000) / 10000000.0::DOUBLE) AS utility, o_orderkey * 31 % 97 AS lower, o_orderpriority AS confidence FROM orders),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY utility DESC, lower DESC, confidence DESC, o_orderkey DESC) AS n FROM c WHERE o_orderkey % 5 <> 0 AND utility > 0.00005::DOUBLE),
+t AS (SELECT o_custkey, max(o_orderkey) FILTER (n = 1) AS rec, max(utility) FILTER (n = 1) AS one, max(utility) FILTER (n = 2) AS two FROM k GROUP BY o_custkey),
+e AS (SELECT *, one - two AS edge, (one - two) / greatest(abs(two), 0.00005::DOUBLE) AS relative FROM t),
+s AS (SELECT *, coalesce(edge < 0.0002::DOUBLE AND relative < 0.1::DOUBLE, false) AS near FROM e)
+SELECT o_custkey, CASE WHEN rec IS NULL THEN 'no_eligible_strategy' WHEN near THEN 'no_clear_winner' ELSE 'selected' END AS status, CASE WHEN NOT near THEN rec END AS winner, round(CASE WHEN NOT near THEN one END, 9) AS utility, round(edge, 9) AS edge FROM (SELECT DISTINCT o_custkey FROM orders) LEFT JOIN s USING (o_custkey)""")
 def route_strategy(spark, d):
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    utility = (F.col("o_orderkey") * 7919 % 10007 - 2000) / 10000000.0
+    c = table(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("rec_id"), (F.col("o_orderkey") % 5 != 0).alias("eligible"), utility.alias("utility"), (F.col("o_orderkey") * 31 % 97).alias("lower"), F.col("o_orderpriority").alias("confidence"))
+    return routing.select_strategy(c, ["o_custkey"]).select("o_custkey", "status", "winner", r("utility", 9).alias("utility"), r("edge", 9).alias("edge"))
+
+
+@query("""SELECT o_custkey, o_orderkey, round(least(1, greatest(0, (1.45 * (o_totalprice / 300000) + 0.18 * 0.6 + 0.12 * 0.5 - 0.45 * (o_orderkey % 10 / 10.0::DOUBLE) - 0.75 * 0.5 - 0.40 * 0.25) / 2.2)), 11) AS score FROM orders""")
+def grid_scores(spark, d):
     score = market.grid_score(F.col("o_totalprice") / 300000, F.lit(0.6), F.lit(0.5), F.col("o_orderkey") % 10 / 10, F.lit(0.03), F.lit(5.0))
-    top = relational.newest(o.withColumn("score", score), ["o_custkey"], [F.col("score").desc(), F.col("o_orderkey")], 2)
-    first, second = F.max(F.when(F.col("rn") == 1, F.col("score"))), F.coalesce(F.max(F.when(F.col("rn") == 2, F.col("score"))), F.lit(0.0))
-    close = (first - second < 0.02) & (first - second < 0.1 * first)
-    return top.groupBy("o_custkey").agg(F.when(~close, F.max(F.when(F.col("rn") == 1, F.col("o_orderkey")))).alias("winner"), r(first).alias("score"))
+    return table(spark, d, "orders").select("o_custkey", "o_orderkey", r(score, 11).alias("score"))
 
 
 @query("""SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_totalprice > 200000 THEN 'max_notional' END, CASE WHEN o_orderstatus = 'P' THEN 'pending' END, CASE WHEN o_orderkey % 7 = 0 THEN 'cooldown' END], lambda x: x IS NOT NULL), ',') AS blocks FROM orders""")
@@ -500,4 +540,4 @@ def stream_distinct(spark, d):
     return _drained(spark, candles.distinct_ever(candles.trade_stream(spark, d, "events"), ["event_id"]).select("event_id", "user_id", "value"))
 
 
-from . import decisions, evidence  # noqa: E402, F401  register their queries here
+from . import decisions, evidence, rules  # noqa: E402, F401  register their queries here
