@@ -7,6 +7,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,12 +149,12 @@ class LoserTree:
             self.winner = w
 
 
-def front_coded(entries: list[tuple[bytes, bytes, list[tuple[int, int]]]]) -> tuple[bytes, bytes, bytes, bytes]:
-    """A sorted run of (suffix, what stands before it, where): numbers, suffixes' new bytes, bytes before, places."""
+def front_coded(entries: list[tuple[bytes, bytes, int, list[tuple[int, int]]]]) -> tuple[bytes, bytes, bytes, bytes]:
+    """A sorted run of (suffix, what stands before it, occurrences, places not yet settled): numbers, suffixes' new bytes, bytes before, places."""
     numbers, new, before, places, last = [], [], [], [], b""
-    for right, left, where in entries:
+    for right, left, count, where in entries:
         n = common_prefix(last, right)
-        numbers += (n, len(right) - n, len(left), len(where))
+        numbers += (n, len(right) - n, len(left), count, len(where))
         new.append(right[n:])
         before.append(left)
         places += [x for pair in where for x in pair]
@@ -161,16 +162,16 @@ def front_coded(entries: list[tuple[bytes, bytes, list[tuple[int, int]]]]) -> tu
     return np.array(numbers, "<u4").tobytes(), b"".join(new), b"".join(before), np.array(places, "<i8").tobytes()
 
 
-def decoded(numbers: bytes, new: bytes, before: bytes, places: bytes, owners: list) -> Iterator[tuple[bytes, int, tuple[bytes, list]]]:
-    """The run back: (suffix, prefix shared with the one before, (bytes before it, [(owner, place)]))."""
+def decoded(numbers: bytes, new: bytes, before: bytes, places: bytes, owners: list) -> Iterator[tuple[bytes, int, tuple[bytes, int, list]]]:
+    """The run back: (suffix, prefix shared with the one before, (bytes before it, occurrences, [(owner, place)]))."""
     at = p = q = 0
     last = b""
     where = np.frombuffer(places, "<i8").tolist()
-    for n, fresh, left, count in np.frombuffer(numbers, "<u4").reshape(-1, 4).tolist():
+    for n, fresh, left, count, open_ in np.frombuffer(numbers, "<u4").reshape(-1, 5).tolist():
         last = last[:n] + new[at : at + fresh]
-        own = where[q : q + 2 * count]
-        yield last, n, (before[p : p + left], [(owners[own[i]], own[i + 1]) for i in range(0, 2 * count, 2)])
-        at, p, q = at + fresh, p + left, q + 2 * count
+        own = where[q : q + 2 * open_]
+        yield last, n, (before[p : p + left], count, [(owners[own[i]], own[i + 1]) for i in range(0, 2 * open_, 2)])
+        at, p, q = at + fresh, p + left, q + 2 * open_
 
 
 def repeated_offsets(entries: list[tuple[bytes, int, bytes, int]], length: int, by_pairs: int = 24) -> list[list[tuple[int, int]]]:
@@ -231,9 +232,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     1. Each window of ``length`` bytes has an anchor in it, chosen by its content
        alone, and windows in a row share theirs. A window that occurs twice has
        an anchor whose gram does; only suffixes at such anchors are sorted. That
-       drops none: it is an exact filter, by a count of all anchors' grams.
-    2. Tasks sort the suffixes at their anchors, merge equal ones into one with
-       its places, and send front-coded runs to the task of the gram's hash.
+       drops none: it is an exact filter. A gram that a stretch of rows has twice
+       is known to repeat; one row in place of all goes on to the gram's task.
+    2. Tasks sort the suffixes at their anchors and merge equal ones into one. Of
+       one with several places all windows repeat: they are settled at once, and
+       the suffix goes on without them. Front-coded runs go to the task of the
+       gram's hash. So a passage that very many rows have sends there at most one
+       place for each stretch of rows that a task sorts.
     3. There a loser tree that never compares a known prefix merges the runs.
        Neighbours tell what each suffix shares with others to the right of its
        anchor; what stands before the anchor tells the rest.
@@ -249,7 +254,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"length must be {2 * GRAM} at least")
     text = F.coalesce(F.col(text_col), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tx"), text.cast("binary").alias("raw"))
-    gram_schema = pa.schema([("id", id_type), ("tx", pa.int64()), ("gram", pa.int64())])
+    gram_schema = pa.schema([("id", id_type), ("tx", pa.int64()), ("gram", pa.int64()), ("kind", pa.int32())])
+    single, known, stands_in = 0, 1, 2
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,25 +264,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 found = [(number, h) for number, _, _, _, h in text_anchors(part[1], length)]
                 if found:
                     take = pa.array(np.repeat([part[0] + n for n, _ in found], [len(h) for _, h in found]))
-                    yield pa.RecordBatch.from_arrays([ids.take(take), tx.take(take), pa.array(np.concatenate([h for _, h in found]))], schema=gram_schema)
-
-    by_gram = Window.partitionBy("gram").orderBy("id", "tx")
-    again = F.lag("tx").over(by_gram).isNotNull() | F.lead("tx").over(by_gram).isNotNull()
-    found = texts.mapInArrow(grams, f"id {id_ddl}, tx long, gram long").withColumn("again", again).where("again")
+                    h = np.concatenate([h for _, h in found])
+                    unique, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+                    kind = np.where(counts[which] > 1, known, single).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([ids.take(take), tx.take(take), pa.array(h), pa.array(kind)], schema=gram_schema)
+                    more = unique[counts > 1]
+                    if len(more):
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(more), id_type), pa.array(np.zeros(len(more), np.int64)), pa.array(more), pa.array(np.full(len(more), stands_in, np.int32))], schema=gram_schema)
+
+    place = F.when(F.col("kind") == known, F.xxhash64("id", "tx", "gram")).otherwise(F.col("gram"))
+    by_gram = Window.partitionBy("place").orderBy("id", "tx")
+    again = (F.col("kind") == known) | F.lag("tx").over(by_gram).isNotNull() | F.lead("tx").over(by_gram).isNotNull()
+    found = texts.mapInArrow(grams, f"id {id_ddl}, tx long, gram long, kind int").withColumn("place", place).withColumn("again", again).where(F.col("again") & (F.col("kind") != stands_in))
     hits = found.groupBy("id", "tx").agg(F.collect_set("gram").alias("grams"))  # as many as a text has anchors
 
     run_schema = pa.schema([("part", pa.int32()), ("ids", pa.list_(id_type)), ("txs", pa.list_(pa.int64())), ("numbers", pa.binary()), ("new", pa.binary()), ("before", pa.binary()), ("places", pa.binary())])
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(parts: dict, owners: list) -> Iterator[pa.RecordBatch]:
+        def flush(parts: dict, owners: list, turn: int) -> Iterator[pa.RecordBatch]:
+            settled = []
             for part, held in parts.items():
-                entries = sorted((right, left, where) for (right, left), where in held.items())
-                used = sorted({o for _, _, where in entries for o, _ in where})
+                settled += [x for (right, left), where in held.items() if len(where) > 1 for o, at in where for x in (o, at - len(left), at + len(right))]
+                entries = sorted((right, left, min(2, len(where)), where if len(where) == 1 else []) for (right, left), where in held.items())
+                used = sorted({o for *_, where in entries for o, _ in where})
                 number = {o: i for i, o in enumerate(used)}
-                entries = [(r, x, [(number[o], at) for o, at in where]) for r, x, where in entries]
+                entries = [(r, x, n, [(number[o], at) for o, at in where]) for r, x, n, where in entries]
                 row = (part, [owners[o][0] for o in used], [owners[o][1] for o in used], *front_coded(entries))
                 yield from batched(iter([row]), run_schema)
+            if settled:  # a row without a run: (owner, begin, end) of what repeats
+                row = (turn % n_parts, [o[0] for o in owners], [o[1] for o in owners], b"", b"", b"", np.array(settled, "<i8").tobytes())
+                yield from batched(iter([row]), run_schema)
 
+        turn = TaskContext.get().partitionId()
         parts, owners, size = {}, [], 0
         for key_, tx, raw, hit in rows(batches):
             hit = np.array(hit, np.int64)
@@ -288,9 +307,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     size += len(right) + len(left) + 200
             owners.append((key_, tx))
             if size > flush_bytes:
-                yield from flush(parts, owners)
-                parts, owners, size = {}, [], 0
-        yield from flush(parts, owners)
+                yield from flush(parts, owners, turn)
+                parts, owners, size, turn = {}, [], 0, turn + 1
+        yield from flush(parts, owners, turn)
 
     wanted = texts.join(hits.withColumnsRenamed({"id": "h_id", "tx": "h_tx"}), F.col("id").eqNullSafe(F.col("h_id")) & (F.col("tx") == F.col("h_tx")))
     runs = wanted.select("id", "tx", "raw", "grams").mapInArrow(sort, f"part int, ids array<{id_ddl}>, txs array<long>, numbers binary, new binary, before binary, places binary")
@@ -299,7 +318,14 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each() -> Iterator[tuple]:
             for _, group in groupby(rows(batches), key=lambda r: r[0]):
-                yield from spans([decoded(*binaries, list(zip(ids, txs, strict=True))) for _, ids, txs, *binaries in group])
+                runs_ = []
+                for _, ids, txs, numbers, new, before, places in group:
+                    owners = list(zip(ids, txs, strict=True))
+                    if numbers:
+                        runs_.append(decoded(numbers, new, before, places, owners))
+                    else:
+                        yield from ((*owners[o], lo, hi) for o, lo, hi in np.frombuffer(places, "<i8").reshape(-1, 3).tolist())
+                yield from spans(runs_)
 
         yield from batched(each(), span_schema, 8192)
 
@@ -309,17 +335,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def done() -> Iterator[tuple]:
             merged: dict[tuple[bytes, bytes], list] = {}
             shared: dict[tuple[bytes, bytes], int] = {}
+            counts: dict[tuple[bytes, bytes], int] = {}
             least = length
-            for right, n, (left, where) in held:
+            for right, n, (left, count, where) in held:
                 least = min(least, n)
                 if (right, left) in merged:
                     merged[right, left].extend(where)
+                    counts[right, left] += count
                 else:
-                    merged[right, left], shared[right, left] = list(where), least
+                    merged[right, left], shared[right, left], counts[right, left] = list(where), least, count
                     least = length + 1
-            if len(merged) == 1 and len(next(iter(merged.values()))) == 1:
+            if len(merged) == 1 and next(iter(counts.values())) == 1:
                 return
-            entries = [(r, min(shared[r, x], length), x, len(where)) for (r, x), where in merged.items()]
+            entries = [(r, min(shared[r, x], length), x, counts[r, x]) for r, x in merged]
             for where, offsets in zip(merged.values(), repeated_offsets(entries, length), strict=True):
                 for lo, hi in offsets:
                     for (id_, tx), at in where:
