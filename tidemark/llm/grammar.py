@@ -23,17 +23,32 @@ _HEAD = struct.Struct("<IIIIQ")  # terminals, rules, documents, reserved, symbol
 def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, places, ranks): the pairs (left << 32 | right) that occur ``least`` times or more, most frequent first, and where in ``keys`` they are.
 
-    Pairs are counted by a hash first; only those in well-filled places are then counted exactly.
+    Pairs are counted by a hash into a table; pairs that share a place in it are
+    told apart by sorting.
     """
-    hashed = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).view(np.int64)
-    at = np.flatnonzero((np.bincount(hashed, minlength=1 << 20) >= least)[hashed])
-    found, which, counts = np.unique(keys[at], return_inverse=True, return_counts=True)
-    order = np.lexsort((found, -counts))
-    order = order[: np.searchsorted(-counts[order], -least, side="right")]
-    rank = np.full(len(found), -1)
+    bits = min(21, max(10, (4 * len(keys)).bit_length()))
+    hashed = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+    filled = np.bincount(hashed, minlength=1 << bits)
+    at = np.flatnonzero(filled[hashed] >= least)
+    place, key = hashed[at], keys[at]
+    held = np.zeros(1 << bits, np.int64)
+    held[place] = key
+    mixed = np.zeros(1 << bits, bool)
+    mixed[place[held[place] != key]] = True
+    several = mixed[place]
+    found, which, counts = np.unique(key[several], return_inverse=True, return_counts=True)
+    alone = np.flatnonzero((filled >= least) & ~mixed)
+    pairs, times = np.r_[held[alone], found], np.r_[filled[alone], counts]
+    number = np.zeros(1 << bits, np.int64)
+    number[alone] = np.arange(len(alone))
+    own = number[place]
+    own[several] = len(alone) + which
+    order = np.lexsort((pairs, -times))
+    order = order[: np.searchsorted(-times[order], -least, side="right")]
+    rank = np.full(len(pairs), -1)
     rank[order] = np.arange(len(order))
-    rank = rank[which]
-    return found[order], at[rank >= 0], rank[rank >= 0]
+    rank = rank[own]
+    return pairs[order], at[rank >= 0], rank[rank >= 0]
 
 
 def chosen(rank: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -57,13 +72,13 @@ def compress(ids: np.ndarray, terminals: int, end_id: int, least: int = 8) -> tu
     overlap so that it cannot be replaced half as often). Only pairs at symbols
     of the last round are counted, and all pairs once more before the end.
     """
-    seq, rules, new = ids.astype(np.int64), np.empty((0, 2), np.int64), 0
+    seq, rules, new = ids.astype(np.int32), np.empty((0, 2), np.int64), 0
     while len(seq) > 1:
         fresh = seq >= new
         at = np.flatnonzero(fresh[:-1] | fresh[1:])
         left, right = seq[at], seq[at + 1]
         inside = (left != end_id) & (right != end_id)
-        at, keys = at[inside], (left[inside] << 32) | right[inside]
+        at, keys = at[inside], (left[inside].astype(np.int64) << 32) | right[inside]
         pairs, hits, rank = frequent_pairs(keys, least)
         first = terminals + len(rules)
         if len(pairs):

@@ -18,6 +18,14 @@ _SURE = "\u0100"
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
+_SHORT = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def _packed(ids: list[int]) -> bytes:
+    n = len(ids)
+    return _SHORT[n](*ids) if n < 32 else struct.pack(f"<{n}I", *ids)
+
+
 def _shown(text: str) -> str:
     """A text's bytes as byte-level vocabularies write them; ASCII letters stay."""
     return text.encode().decode("latin-1").translate(_SHOWN)
@@ -44,15 +52,14 @@ class _Words(dict):
     def __missing__(self, word: str) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            head = word[:-1] if word[-1:] in self.marks else word
+            mark = self.marks.get(word[-1:])
+            head = word if mark is None else word[:-1]
             if not head.isalpha() or not (head.isascii() or max(head) < _SURE):
                 packed = self._ids(self.before + word)
-            elif head is not word:
-                packed = self[head] + self.marks[word[-1]]
-            elif self.direct:
-                packed = self._letters(word)
+            elif mark is not None:
+                packed = self[head] + mark
             else:
-                packed = self._ids(self.before + word)
+                packed = self._letters(word) if self.direct else self._ids(self.before + word)
         if len(self) >= self.most:
             self.old = self.copy()
             self.clear()
@@ -63,12 +70,10 @@ class _Words(dict):
         """Ids of letters up to U+00FF, a token run of their own, straight from the tokenizer's model."""
         word = word.lower() if self.lower else word
         shown = self.shown + (word if word.isascii() else _shown(word))
-        ids = [x.id for x in self.model.tokenize(shown)]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed([x.id for x in self.model.tokenize(shown)])
 
     def _ids(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 class WordEncoder:
