@@ -6,6 +6,19 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Words of good and of bad news.
+POSITIVE_WORDS = [
+    "surge", "rally", "bull", "breakout", "win", "approval", "green", "recover", "record",
+    "ath", "up", "optimism", "strong", "growth", "inflows", "partnership", "upgrade", "positive",
+    "gain", "profit", "rise", "launch", "adoption", "listing", "milestone", "soar",
+]
+NEGATIVE_WORDS = [
+    "crash", "dump", "bear", "hack", "lawsuit", "ban", "liquidation", "down", "fear", "panic",
+    "exploit", "loss", "outflow", "scam", "negative", "weak", "collapse", "warning", "sell",
+    "drop", "decline", "fraud", "security", "breach", "delist", "suspension", "investigation",
+]
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters a to z, digits and apostrophes."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([a-z0-9']+)"), F.lit(1))
@@ -18,7 +31,7 @@ def matches(text: Column, words: list[str]) -> Column:
     return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{guard})(?:{any_})(?!{guard})"))
 
 
-def lexicon_score(text: Column, positive: list[str], negative: list[str]) -> Column:
+def lexicon_score(text: Column, positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS) -> Column:
     """(p - n) / (p + n) over tokens in the two lists of plain words; 0 where there are none."""
     p, n = matches(text, positive), matches(text, negative)
     return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)

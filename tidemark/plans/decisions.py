@@ -14,7 +14,7 @@ from ..operators import indicators, models, relational
 from ..sources import messages
 from ..sources.tables import epoch, table, trades
 from ..streaming import candles, states
-from .market import _drained, query, r
+from .market import DAY, _drained, query, r
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_discount - 0.05 AS slope, 0.01 + l_tax / 2 AS atr, (l_tax - 0.04) / 10 AS hist, l_quantity * 2 AS rsi, l_linenumber / 7.0::DOUBLE AS b FROM lineitem),
@@ -162,22 +162,59 @@ def trade_messages(spark, d):
     return got.select("symbol", "row_index", "trade_id", "trade_ts_ms", "side", "qty")
 
 
-@query()
+SEEN = "e AS (SELECT *, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS rn FROM events)"
+
+
+@query(f"""WITH RECURSIVE {SEEN}, x AS (SELECT user_id, t, rn, v, CASE WHEN v > 0 THEN 'long' ELSE 'short' END AS side, CASE WHEN event_id % 5 = 0 THEN 'range' ELSE 'trend' END AS regime, abs(v / 3) AS size, abs(v) AS strength, user_id % 10 / 10.0::DOUBLE AS trendiness FROM (SELECT *, value % 100 / 50 - 1 AS v FROM e)),
+p AS (SELECT *, CASE WHEN regime = 'range' AND size < 0.18 THEN 'neutral' WHEN size < 0.14 OR trendiness < 0.28 THEN 'neutral' ELSE side END AS raw, CASE WHEN regime = 'range' AND size < 0.18 THEN 'range_neutrality_hold' WHEN size < 0.14 OR trendiness < 0.28 THEN 'enter_deadband' ELSE 'pass_through' END AS why FROM x),
+g AS (SELECT user_id, rn, t, side, regime, raw AS stable, why AS mode FROM p WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, t, side, regime, CASE WHEN hold THEN before ELSE raw END, CASE WHEN hold THEN 'hysteresis_hold' ELSE why END FROM
+  (SELECT *, before <> 'neutral' AND ((raw = 'neutral' AND size >= 0.09 AND regime <> 'range') OR (raw NOT IN ('neutral', before) AND (size < 0.18 OR strength < 0.18))) AS hold FROM
+    (SELECT p.*, CASE WHEN p.t - g.t <= 259200 THEN g.stable ELSE 'neutral' END AS before FROM g JOIN p ON p.user_id = g.user_id AND p.rn = g.rn + 1)))
+SELECT user_id, t AS ts, side AS direction, regime, stable, mode FROM g""")
 def stream_hysteresis(spark, d):
     """Directions of a stream held until the other side is clear."""
     v = F.col("value") % 100 / 50 - 1
     x = candles.trade_stream(spark, d, "events").select(
-        "event_type", epoch(F.col("ts")).cast("long").alias("ts"), F.when(v > 0, "long").otherwise("short").alias("direction"), F.when(v > 0, "long").otherwise("short").alias("bias"),
+        "user_id", epoch(F.col("ts")).cast("long").alias("ts"), F.when(v > 0, "long").otherwise("short").alias("direction"), F.when(v > 0, "long").otherwise("short").alias("bias"),
         F.when(F.col("event_id") % 5 == 0, "range").otherwise("trend").alias("regime"), (v / 3).alias("score"), F.abs(v).alias("strength"), (F.col("user_id") % 10 / 10).alias("trendiness"), F.lit(0.6).alias("coherence"),
     )
-    return _drained(spark, states.direction_hysteresis(x, ["event_type"], 3600))
+    return _drained(spark, states.direction_hysteresis(x, ["user_id"], 3 * DAY)).select("user_id", "ts", "direction", "regime", "stable", "mode")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEEN}, x AS (SELECT user_id, t, rn, CASE WHEN value % 10 < 1 THEN 'lockdown' WHEN value % 10 < 3 THEN 'guarded' ELSE 'normal' END AS severity, CASE WHEN value % 10 < 1 THEN 2 WHEN value % 10 < 3 THEN 1 ELSE 0 END AS n FROM e),
+g AS (SELECT user_id, rn, t, severity, t AS since, severity AS stable, n AS level, false AS held FROM x WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, t, severity, CASE WHEN keep THEN since ELSE t END, CASE WHEN keep THEN before ELSE severity END, CASE WHEN keep THEN level ELSE n END, keep FROM
+  (SELECT x.*, g.since, g.stable AS before, g.level, g.level > x.n AND x.t - g.since <= 259200 AND (g.stable = 'lockdown' OR (x.severity = 'normal' AND x.t - g.since <= 129600)) AS keep FROM g JOIN x ON x.user_id = g.user_id AND x.rn = g.rn + 1))
+SELECT user_id, t AS ts, severity, stable, held FROM g""")
 def stream_cooldown(spark, d):
     """Severities of a stream that fall only after a cooldown."""
     severity = F.when(F.col("value") % 10 < 1, "lockdown").when(F.col("value") % 10 < 3, "guarded").otherwise("normal")
-    return _drained(spark, states.release_cooldown(candles.trade_stream(spark, d, "events").select("user_id", epoch(F.col("ts")).cast("long").alias("ts"), severity.alias("severity")), ["user_id"], 7200))
+    return _drained(spark, states.release_cooldown(candles.trade_stream(spark, d, "events").select("user_id", epoch(F.col("ts")).cast("long").alias("ts"), severity.alias("severity")), ["user_id"], 3 * DAY))
+
+
+@query(f"""WITH RECURSIVE {SEEN}, x AS (SELECT user_id, t, rn, CASE WHEN value > 50 THEN 'long' ELSE 'short' END AS side, t - t % 86400 AS evidence FROM e),
+g AS (SELECT user_id, rn, t, side, evidence, t AS seen, evidence AS last, 1::BIGINT AS count FROM x WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, t, side, evidence, CASE WHEN same THEN seen ELSE t END, evidence, CASE WHEN same THEN count WHEN fresh AND evidence > last THEN count + 1 ELSE 1 END FROM
+  (SELECT x.*, g.seen, g.last, g.count, x.side = g.side AND x.t - g.seen <= 432000 AS fresh, x.side = g.side AND x.t - g.seen <= 432000 AND x.evidence = g.last AS same FROM g JOIN x ON x.user_id = g.user_id AND x.rn = g.rn + 1))
+SELECT user_id, t AS ts, side AS direction, evidence, count, count >= 2 AS passed FROM g""")
+def stream_persistence(spark, d):
+    """Directions that pass once two later snapshots agree."""
+    ts = epoch(F.col("ts")).cast("long")
+    x = candles.trade_stream(spark, d, "events").select("user_id", F.when(F.col("value") > 50, "long").otherwise("short").alias("direction"), ts.alias("ts"), (ts - F.pmod(ts, F.lit(DAY))).alias("evidence"))
+    return _drained(spark, states.persistence_gate(x, ["user_id"], 5 * DAY))
+
+
+@query(f"""WITH RECURSIVE {SEEN}, x AS (SELECT user_id, t, rn, CASE WHEN value % 10 < 2 THEN 'down_break' WHEN value % 10 < 3 THEN 'up_break' ELSE 'normal' END AS state FROM e),
+g AS (SELECT user_id, rn, t, state, t AS since, state AS stable, false AS held FROM x WHERE rn = 1 UNION ALL
+  SELECT user_id, rn, t, state, CASE WHEN keep THEN since ELSE t END, CASE WHEN keep THEN before ELSE state END, keep FROM
+  (SELECT x.*, g.since, g.stable AS before, x.state = 'normal' AND g.stable <> 'normal' AND x.t - g.since <= 172800 AS keep FROM g JOIN x ON x.user_id = g.user_id AND x.rn = g.rn + 1))
+SELECT user_id, t AS ts, state, stable, held FROM g""")
+def stream_veto(spark, d):
+    """Breaks of a stream that last some time after the last of them."""
+    state = F.when(F.col("value") % 10 < 2, "down_break").when(F.col("value") % 10 < 3, "up_break").otherwise("normal")
+    x = candles.trade_stream(spark, d, "events").select("user_id", epoch(F.col("ts")).cast("long").alias("ts"), state.alias("state"))
+    return _drained(spark, states.veto_cooldown(x, ["user_id"], 2 * DAY))
 
 
 @query("""SELECT user_id, ts, event_id, event_id > coalesce(max(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS accepted FROM (SELECT user_id, event_id, epoch_us(ts) AS ts FROM events)""")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import market, sentiment
 from ..functions.numeric import clamp, quantize
 from ..operators import bars as B
-from ..operators import indicators, joins, labels, models, relational, routing, stats
+from ..operators import indicators, joins, labels, models, outcomes, relational, routing, stats
 from ..sources.tables import epoch, table, trades
 from ..streaming import candles
 
@@ -293,19 +293,47 @@ def round_robin(spark, d):
     return relational.round_robin(table(spark, d, "supplier").select("s_suppkey"), "s_suppkey", 5, 7).select("s_suppkey", F.col("turn").cast("long").alias("turn"))
 
 
-@query("""SELECT count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'O') AS open, count(DISTINCT o_custkey) AS symbols,
-  round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS done_avg, count(*) FILTER (o_totalprice > 100000) AS large FROM orders""")
+_SUM = lambda p, rule: f"count(*) FILTER ({rule}) AS {p}total, count(*) FILTER ({rule} AND success = 1) AS {p}wins, round(coalesce(sum(ret) FILTER ({rule}), 0), 6) AS {p}ret_sum, round(coalesce(sum(abs(ret)) FILTER ({rule}), 0), 6) AS {p}abs_ret_sum, round(count(*) FILTER ({rule} AND success = 1) / count(*) FILTER ({rule}), 9) AS {p}win_rate"
+
+
+@query(f"""WITH x AS (SELECT o_orderkey % 4 <> 0 AS root, o_custkey % 3 = 0 AS shadow, (o_totalprice > 120000)::INT AS success, (o_totalprice - 120000) / 1000000 AS ret, o_orderstatus AS status FROM orders)
+SELECT count(*) AS raw_total, count(*) FILTER (NOT root) AS duplicates, {_SUM('', 'root')}, {_SUM('shadow_', 'root AND shadow')}, {_SUM('actionable_', 'root AND NOT shadow')}, count(*) FILTER (root AND status = 'F') AS executed_total FROM x""")
 def archive_summary(spark, d):
-    done = F.col("o_orderstatus") == "F"
-    return table(spark, d, "orders").agg(
-        F.count("*").alias("n"), F.count_if(done).alias("done"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.count_distinct("o_custkey").alias("symbols"),
-        r(F.avg(F.when(done, F.col("o_totalprice"))), 4).alias("done_avg"), F.count_if(F.col("o_totalprice") > 100000).alias("large"),
+    price = F.col("o_totalprice")
+    x = table(spark, d, "orders").select((F.col("o_orderkey") % 4 != 0).alias("root"), (F.col("o_custkey") % 3 == 0).alias("shadow"), (price > 120000).cast("int").alias("success"), ((price - 120000) / 1000000).alias("ret"), F.when(F.col("o_orderstatus") == "F", "executed").alias("status"))
+    got = outcomes.archive_summary(x)
+    return got.select(*[r(c, 9 if c.endswith("rate") else 6).alias(c) if c.endswith(("_sum", "rate")) else F.col(c) for c in got.columns])
+
+
+#: Breakdowns of outcome statistics by their keys.
+BREAKDOWNS = {
+    "bot": ["bot", "raw", "execution"], "bot_cohort": ["bot", "raw", "execution", "cohort"], "symbol": ["symbol", "bot", "raw", "execution"], "raw": ["raw"], "execution": ["execution"],
+    "pair": ["raw", "execution", "neutral"], "neutral": ["neutral"], "review": ["review"], "engine": ["engine"], "review_engine": ["review", "engine"], "all": [],
+}
+OUTCOMES = "SELECT l_linenumber % 3 AS bot, l_suppkey % 20 AS symbol, l_returnflag AS raw, l_linestatus AS execution, l_quantity > 25 AS cohort, l_linenumber % 2 AS neutral, l_partkey % 4 AS review, l_partkey % 5 AS engine, (l_discount > 0.05)::INT AS success, l_discount - l_tax AS ret, epoch_us(l_shipdate) // 1000000 AS ts FROM lineitem"
+_STATS = "count(*) AS total, count(*) FILTER (success = 1) AS wins, count(*) FILTER (success <> 1) AS losses, round(avg(success), 9) AS win_rate, round(avg(ret) * 100, 9) AS avg_ret_pct, round(avg(abs(ret)) * 100, 9) AS avg_abs_ret_pct"
+_KEYS = ["bot", "raw", "execution", "cohort", "symbol", "neutral", "review", "engine"]
+
+
+def outcome_rows(spark, d):
+    """Line items as outcomes with the keys of the breakdowns."""
+    n, part = F.col("l_linenumber"), F.col("l_partkey")
+    return table(spark, d, "lineitem").select(
+        (n % 3).alias("bot"), (F.col("l_suppkey") % 20).alias("symbol"), F.col("l_returnflag").alias("raw"), F.col("l_linestatus").alias("execution"), (F.col("l_quantity") > 25).alias("cohort"), (n % 2).alias("neutral"), (part % 4).alias("review"), (part % 5).alias("engine"),
+        (F.col("l_discount") > 0.05).cast("int").alias("success"), (F.col("l_discount") - F.col("l_tax")).alias("ret"), epoch(F.col("l_shipdate")).alias("ts"),
     )
 
 
+@query(f"WITH x AS ({OUTCOMES}) " + " UNION ALL ".join(f"SELECT '{name}' AS breakdown, {', '.join(k if k in own else f'NULL AS {k}' for k in _KEYS)}, {_STATS} FROM x GROUP BY ALL" for name, own in BREAKDOWNS.items()))
+def outcome_stats(spark, d):
+    """Eleven breakdowns of outcomes in one scan."""
+    got = outcomes.breakdowns(outcome_rows(spark, d), BREAKDOWNS)
+    return got.select("breakdown", *_KEYS, "total", "wins", "losses", *[r(c, 9).alias(c) for c in ("win_rate", "avg_ret_pct", "avg_abs_ret_pct")])
+
+
 @query("""SELECT l_returnflag, l_linestatus, grouping(l_returnflag, l_linestatus) AS level, count(*) AS n, round(avg((l_discount > 0.05)::INT), 6) AS win_rate, round(avg(l_discount - l_tax), 6) AS avg_ret, round(avg(abs(l_discount - l_tax)), 6) AS avg_abs_ret
 FROM lineitem GROUP BY GROUPING SETS ((), (l_returnflag), (l_linestatus), (l_returnflag, l_linestatus))""")
-def outcome_stats(spark, d):
+def outcome_grouping_sets(spark, d):
     ret = F.col("l_discount") - F.col("l_tax")
     x = table(spark, d, "lineitem").select("l_returnflag", "l_linestatus", ret.alias("ret"), (F.col("l_discount") > 0.05).cast("int").alias("win"))
     a, b = F.col("l_returnflag"), F.col("l_linestatus")
@@ -314,6 +342,17 @@ def outcome_stats(spark, d):
     )
 
 
+@query(f"""WITH RECURSIVE x AS (SELECT *, bot * 100 + symbol AS k, ts + 86400 * (1 + review) AS fin FROM ({OUTCOMES})), i AS (SELECT DISTINCT k, ts AS s, fin AS e FROM x),
+a AS (SELECT k, count(*) AS rows, count(DISTINCT ts) AS unique_timestamps, count(DISTINCT engine) AS unique_symbols, max(ts) - min(ts) AS span FROM x GROUP BY k),
+m AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS so_far FROM i), c AS (SELECT k, count(*) FILTER (so_far IS NULL OR s >= so_far) AS clusters FROM m GROUP BY k),
+g AS (SELECT k, min(e) AS e, 1::BIGINT AS n FROM i GROUP BY k UNION ALL SELECT g.k, (SELECT min(i.e) FROM i WHERE i.k = g.k AND i.s >= g.e), g.n + 1 FROM g WHERE EXISTS (SELECT 1 FROM i WHERE i.k = g.k AND i.s >= g.e)), f AS (SELECT k, max(n) AS apart FROM g GROUP BY k)
+SELECT * FROM a JOIN c USING (k) JOIN f USING (k)""")
+def sample_observability(spark, d):
+    """How many of a group's outcomes are independent."""
+    x = outcome_rows(spark, d).select((F.col("bot") * 100 + F.col("symbol")).alias("k"), "ts", (F.col("ts") + DAY * (1 + F.col("review"))).alias("fin"), "engine")
+    return outcomes.observability(x, "k", "ts", "fin", "engine")
+
+
 @query("""SELECT o_orderpriority AS bot, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS wins,
   round(CASE WHEN p <= 0 OR p >= 1 THEN 0 ELSE -p * log2(p) - (1 - p) * log2(1 - p) END, 6) AS entropy FROM (SELECT *, avg((o_orderstatus = 'F')::INT) OVER (PARTITION BY o_orderpriority) AS p FROM orders) GROUP BY o_orderpriority, p""")
 def history_entropy(spark, d):
@@ -402,6 +441,7 @@ def ranked_top(spark, d):
     return table(spark, d, "orders").where("o_totalprice > 50000").orderBy(rank, F.col("o_totalprice").desc(), "o_orderkey").limit(50).select("o_orderkey", "o_orderstatus", "o_totalprice")
 
 
+#: A lexicon that the invented prose of the tables has words of.
 POSITIVE, NEGATIVE = ["the", "and", "of", "la", "die"], ["in", "is", "que", "der", "un"]
 
 
@@ -409,13 +449,19 @@ def _sql_list(words):
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
 
+_COUNTED = lambda words: f"len([x for x in w if list_contains({_sql_list(words)}, x)])"
+_SCORED = lambda p, n: f"CASE WHEN {p} + {n} > 0 THEN ({p} - {n})::DOUBLE / ({p} + {n}) ELSE 0.0 END"
+
+
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9'']+') AS w FROM documents),
-c AS (SELECT doc_id, len([x for x in w if list_contains({_sql_list(POSITIVE)}, x)]) AS p, len([x for x in w if list_contains({_sql_list(NEGATIVE)}, x)]) AS n FROM t),
-s AS (SELECT doc_id, CASE WHEN p + n > 0 THEN (p - n)::DOUBLE / (p + n) ELSE 0.0 END AS s FROM c)
-SELECT doc_id, round(s, 6) AS score, CASE WHEN s >= 0.35 THEN 1 WHEN s <= -0.35 THEN -1 ELSE 0 END AS vote FROM s""")
+c AS (SELECT doc_id, {_COUNTED(POSITIVE)} AS p, {_COUNTED(NEGATIVE)} AS n, {_COUNTED(sentiment.POSITIVE_WORDS)} AS good, {_COUNTED(sentiment.NEGATIVE_WORDS)} AS bad FROM t),
+s AS (SELECT doc_id, {_SCORED('p', 'n')} AS s, {_SCORED('good', 'bad')} AS news FROM c)
+SELECT doc_id, round(s, 6) AS score, CASE WHEN s >= 0.35 THEN 1 WHEN s <= -0.35 THEN -1 ELSE 0 END AS vote, round(news, 6) AS news FROM s""")
 def lexicon_sentiment(spark, d):
-    x = table(spark, d, "documents").select("doc_id", sentiment.lexicon_score(F.col("text"), POSITIVE, NEGATIVE).alias("s"))
-    return x.select("doc_id", r("s").alias("score"), sentiment.vote(F.col("s")).alias("vote"))
+    """Scores by a lexicon of common words, and by the one of good and bad news."""
+    text = F.col("text")
+    x = table(spark, d, "documents").select("doc_id", sentiment.lexicon_score(text, POSITIVE, NEGATIVE).alias("s"), sentiment.lexicon_score(text).alias("news"))
+    return x.select("doc_id", r("s").alias("score"), sentiment.vote(F.col("s")).alias("vote"), r("news").alias("news"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_totalprice * 100 >= 2e7 THEN 'high' WHEN o_totalprice * 100 >= 2e6 THEN 'medium' WHEN o_totalprice * 100 >= 5e5 THEN 'low' ELSE 'thin' END AS tier,

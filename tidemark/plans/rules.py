@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import policy as P
-from ..operators import joins, money, stats
+from ..operators import intervals, joins, money, stats
 from ..sources.tables import epoch, table, trades
 from .market import BARS, DAY, HOUR, TRADES, hourly, query, r
 
@@ -280,3 +280,34 @@ def keyword_routing(spark, d):
 
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", sentiment.keyword_match(t, "que").alias("single"), sentiment.keyword_match(t, "in the").alias("phrase"))
+
+
+@query("""SELECT o_orderpriority AS bot, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS wins, count(*) FILTER (o_orderstatus <> 'F') AS losses, 2 * least(count(*) FILTER (o_orderstatus = 'F'), count(*) FILTER (o_orderstatus <> 'F')) AS effective, round(avg((o_orderstatus = 'F')::INT), 9) AS win_rate FROM orders GROUP BY 1""")
+def label_balance(spark, d):
+    """Wins and losses, and what a fit may count on."""
+    x = table(spark, d, "orders").select(F.col("o_orderpriority").alias("bot"), (F.col("o_orderstatus") == "F").alias("won"))
+    return intervals.label_balance(x, "bot", "won").withColumn("win_rate", r("win_rate", 9))
+
+
+@query("""WITH m AS (SELECT l_returnflag, sum(l_tax) AS w, sum(l_tax * l_quantity) / sum(l_tax) AS q, sum(l_tax * l_discount) / sum(l_tax) AS d FROM lineitem GROUP BY 1)
+SELECT l_returnflag, round(any_value(q), 6) AS l_quantity_mean, round(any_value(d), 6) AS l_discount_mean, round(sqrt(sum(l_tax * (l_quantity - q) ** 2) / any_value(w)), 6) AS l_quantity_std, round(sqrt(sum(l_tax * (l_discount - d) ** 2) / any_value(w)), 6) AS l_discount_std FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1""")
+def weighted_moments(spark, d):
+    """Weighted mean and deviation of features."""
+    got = intervals.weighted_moments(table(spark, d, "lineitem"), "l_returnflag", ["l_quantity", "l_discount"], "l_tax")
+    return got.select("l_returnflag", *[r(c).alias(c) for c in got.columns[1:]])
+
+
+@query()
+def return_intervals(spark, d):
+    """Intervals and one-sided bounds of weighted mean returns."""
+    ret = F.col("l_discount") - F.col("l_tax")
+    x = stats.weighted_returns(table(spark, d, "lineitem").select("l_suppkey", ret.alias("ret"), F.col("l_quantity").alias("w")), "l_suppkey", "ret", "w")
+    low, high = intervals.mean_interval(F.col("mean"), F.col("std"), F.col("n_eff"))
+    return x.select("l_suppkey", r("mean").alias("mean"), r(low).alias("low"), r(high).alias("high"), r(intervals.lower_bound(F.col("mean"), F.col("std"), F.col("n_eff"))).alias("bound"))
+
+
+@query()
+def validation_blocks(spark, d):
+    """Blocks of validation on whole times."""
+    o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("bot"), epoch(F.col("o_orderdate")).alias("ts"))
+    return intervals.validation_blocks(o, "bot", "ts", 40)

@@ -1,13 +1,9 @@
-"""Streams: trades without repeats, candles, and a persistence gate."""
+"""Streams: trades without repeats, and candles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def trade_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 1) -> DataFrame:
@@ -42,29 +38,6 @@ def candle_stream(stream: DataFrame, key: str, price: str, width: str, delay: st
     )
 
 
-def persistence_gate(stream: DataFrame, key: str, direction: str, evidence: str, fresh_gap: int, needed: int = 2) -> DataFrame:
-    """Lets a direction pass once ``needed`` distinct, later snapshots no more than ``fresh_gap`` apart agree; another direction or a longer gap starts over."""
-
-    def step(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, count, held = state.get if state.exists else (None, 0, None)
-        rows = pd.concat(list(parts)).sort_values(evidence)
-        out = []
-        for side, at in zip(rows[direction], rows[evidence], strict=True):
-            at = int(at)
-            if side == held and last is not None and at == last:
-                continue
-            fresh = side == held and last is not None and 0 < at - last <= fresh_gap
-            last, count, held = at, count + 1 if fresh else 1, side
-            out.append((name[0], side, at, count, count >= needed))
-        state.update((last, count, held))
-        yield pd.DataFrame(out, columns=[key, direction, evidence, "count", "passed"])
-
-    fields = {f.name: f.dataType.simpleString() for f in stream.schema}
-    return stream.groupBy(key).applyInPandasWithState(
-        step, f"{key} {fields[key]}, {direction} string, {evidence} long, count long, passed boolean", "last long, count long, held string", "append", GroupStateTimeout.NoTimeout
-    )
-
-
 def drain(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over what is there and return its rows, written as Parquet under ``path``: for back-fills and tests."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)

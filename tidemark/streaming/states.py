@@ -32,27 +32,35 @@ def fold(stream: DataFrame, keys: list[str], columns: list[str], order: list[str
     return stream.select(*out).groupBy(*keys).applyInPandasWithState(run, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
+#: The least size of a score (and the trendiness) to enter a side, to stay on it and to turn round; in a range, what excuses an entry.
+ENTER, ENTER_TREND, STAY, FLIP = 0.14, 0.28, 0.09, 0.18
+FLIP_STRENGTH, FLIP_COHERENCE = 0.18, 0.58
+RANGE_SCORE, RANGE_STRENGTH, RANGE_COHERENCE = 0.15, 0.14, 0.62
+
+
+def _excused(row, size: float) -> bool:
+    """A range may still be entered with its own bias, on strong and coherent evidence."""
+    return row.regime == "range" and row.bias == row.direction and size >= RANGE_SCORE and row.strength >= RANGE_STRENGTH and row.coherence >= RANGE_COHERENCE
+
+
 def hold_direction(state: tuple | None, row, gap: int) -> tuple[tuple, tuple]:
     """One step of hysteresis: leave neutral only on a clear score, turn round only on a clearer one.
 
-    Fixed values: 0.14 and trendiness 0.28 to enter, 0.09 to stay, 0.18 to flip;
-    in a range 0.15 of score, 0.14 of strength and 0.62 of coherence.
+    The rules, the later over the earlier: a weak score or trend is neutral; so is
+    a range without a score to flip; a side held of late outlasts a fading score
+    outside ranges, and any score too weak to turn it round.
     """
-    size, sided = abs(row.score), row.direction in ("long", "short")
-    fresh = state is not None and row.ts - state[0] <= max(gap, 60)
-    before = state[1] if fresh else "neutral"
-    ranging = row.regime == "range"
-    excused = ranging and sided and row.bias == row.direction and size >= 0.15 and row.strength >= 0.14 and row.coherence >= 0.62
-    now, mode = row.direction, "pass_through"
-    if sided and not excused and (size < 0.14 or row.trendiness < 0.28):
-        now, mode = "neutral", "enter_deadband"
-    if ranging and not excused and size < 0.18:
-        now, mode = "neutral", "range_neutrality_hold" if sided else mode
-    if before != "neutral":
-        fades = now == "neutral" and size >= 0.09 and not ranging
-        weak = now not in ("neutral", before) and (size < 0.18 or row.strength < 0.18 or row.coherence < 0.58)
-        if fades or weak:
-            now, mode = before, "hysteresis_hold"
+    size, sided, ranging = abs(row.score), row.direction in ("long", "short"), row.regime == "range"
+    free = sided and _excused(row, size)
+    before = state[1] if state is not None and row.ts - state[0] <= max(gap, 60) else "neutral"
+    rules = [
+        (sided and not free and (size < ENTER or row.trendiness < ENTER_TREND), "neutral", "enter_deadband"),
+        (ranging and not free and size < FLIP, "neutral", "range_neutrality_hold" if sided else "pass_through"),
+    ]
+    now, mode = next(((to, why) for rule, to, why in reversed(rules) if rule), (row.direction, "pass_through"))
+    turns = now not in ("neutral", before) and (size < FLIP or row.strength < FLIP_STRENGTH or row.coherence < FLIP_COHERENCE)
+    if before != "neutral" and (turns or (now == "neutral" and size >= STAY and not ranging)):
+        now, mode = before, "hysteresis_hold"
     return (int(row.ts), now), (now, mode)
 
 
@@ -87,3 +95,33 @@ def ordered_ingest(stream: DataFrame, keys: list[str], index: str, order: list[s
         return (at,) if fits else state, (fits,)
 
     return fold(stream, keys, list(dict.fromkeys([index, *order])), order, step, "accepted boolean", "last long")
+
+
+def confirm(state: tuple | None, row, gap: int, needed: int) -> tuple[tuple | None, tuple]:
+    """One step of persistence: snapshots of one side count while each is later than the last and is seen within ``gap`` of it; the same one again counts no more."""
+    good = all(x is not None and x == x and x > 0 for x in (row.ts, row.evidence))
+    if not good:
+        return (0, 0, 0, ""), (0, False)
+    seen, count, evidence, side = state or (0, 0, 0, "")
+    fresh = side == row.direction and seen > 0 and row.ts - seen <= gap
+    if fresh and row.evidence == evidence:
+        return state, (count, count >= needed)
+    count = count + 1 if fresh and row.evidence > evidence else 1
+    return (int(row.ts), count, int(row.evidence), row.direction), (count, count >= needed)
+
+
+def persistence_gate(stream: DataFrame, keys: list[str], gap: int, needed: int = 2) -> DataFrame:
+    """Lets a direction pass once ``needed`` distinct, later snapshots agree: adds count and passed. Takes ts (when it was seen), direction and evidence (when it was made)."""
+    return fold(stream, keys, ["ts", "direction", "evidence"], ["ts"], lambda s, r: confirm(s, r, gap, needed), "count long, passed boolean", "ts long, count long, evidence long, direction string")
+
+
+def hold_veto(state: tuple | None, row, release: int) -> tuple[tuple, tuple]:
+    """One step of a veto's release: a calm row within ``release`` seconds (60 at least) of a break still counts as that break."""
+    if row.state == "normal" and state is not None and state[1] != "normal" and row.ts - state[0] <= max(release, 60):
+        return state, (state[1], True)
+    return (int(row.ts), row.state), (row.state, False)
+
+
+def veto_cooldown(stream: DataFrame, keys: list[str], release: int = 120) -> DataFrame:
+    """Breaks that last some time after the last of them: adds stable and held. Takes ts and state (normal or a break)."""
+    return fold(stream, keys, ["ts", "state"], ["ts"], lambda s, r: hold_veto(s, r, release), "stable string, held boolean", "ts long, state string")
