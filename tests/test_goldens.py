@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.functions import costs as C
 from tidemark.functions import policy as P
 from tidemark.functions import sentiment as S
-from tidemark.operators import bars, indicators, intervals, labels, money, routing, sentiment, stats
+from tidemark.operators import bars, indicators, intervals, labels, money, relational, routing, sentiment, stats
 from tidemark.streaming import states
 
 
@@ -222,3 +223,45 @@ def test_states():
         state, values = states.hold_veto(state, row, 120)
         out.append(values)
     assert out == [("normal", False), ("up_break", False), ("up_break", True), ("up_break", True), ("normal", False)]
+
+
+def test_costs(spark):
+    lit = F.lit
+    base = dict(grid=lit(True), linear=lit(True), direction=lit("long"), spread_bps=lit(4.0), taker_bps=lit(5.5), rate=lit(0.0001), next_funding=lit(1_700_000_000), interval_min=lit(480), now=lit(1_700_000_000), horizon=lit(43200))
+    of = lambda **change: one(spark, **C.cost_model(**(base | change)))
+    got = of()
+    # the event at this very moment is past: the next is in eight hours, one until the horizon
+    assert (got.fee_bps, got.slippage_bps, got.execution_bps, got.funding_events) == (11.0, pytest.approx(1.4), pytest.approx(16.4), 1)
+    assert got.funding_bps == pytest.approx(1.0) and got.net_bps == pytest.approx(17.4)
+    short = of(direction=lit("short"))
+    assert short.funding_bps == pytest.approx(-1.0) and short.net_bps == pytest.approx(16.4) and short.signed_bps == pytest.approx(15.4)
+    assert of(spread_bps=lit(None).cast("double")).spread_bps == 10.0 and of(next_funding=lit(None).cast("long")).funding_events == 2
+    assert of(next_funding=lit(1_699_990_000_000), interval_min=lit(60)).funding_events == 12 and of(rate=lit(None).cast("double")).funding_events == 0
+    assert of(direction=lit("neutral"), rate=lit(-0.0001)).funding_bps == pytest.approx(1.0)
+
+
+def test_orders_and_bounds(spark):
+    lit = F.lit
+    got = one(
+        spark, same=C.resolved_integer(lit(3), lit(3.0), lit(None).cast("int")), two=C.resolved_integer(lit(3), lit(5)), bad=C.resolved_integer(lit(2.5)), none=C.resolved_integer(lit(None).cast("int")),
+        short=C.exits(lit("short"), lit(90.0), lit(110.0)), flat=C.exits(lit("neutral"), lit(90.0), lit(110.0)), close=C.order_side(lit("long"), lit("close")), no=C.order_side(lit("neutral"), lit("open")), room=C.distance_to_bound(lit(100.0), lit(120.0), lit("lower")),
+        crossed=C.valid_quote(lit(1.0), lit(2.0), lit(1.0), lit(0.0), lit(None).cast("double")), day=C.day_start(lit(1_700_000_000), "America/Chicago"),
+    )
+    assert tuple(got.same) == (True, 3, 3, 3, 0) and tuple(got.two) == (False, None, 3, 5, 0) and tuple(got.bad) == (False, None, None, None, 1) and tuple(got.none) == (True, None, None, None, 0)
+    assert tuple(got.short) == (90.0, 110.0) and tuple(got.flat) == (None, None) and tuple(got.close) == ("Sell", True) and got.no is None
+    assert got.room == pytest.approx(-20) and got.crossed is False and got.day == 1_699_941_600
+
+
+def test_utility(spark):
+    lit = F.lit
+    of = lambda lower, shortfall, confidence: one(spark, **C.utility([lit(lower), lit(0.01)], [lit(0.02), lit(0.03)], lit(shortfall), lit(confidence), lit(0.5)))
+    got = of(0.004, -0.02, 0.75)
+    assert got.codes == [] and got.utility == pytest.approx(0.004 + 0.2 * 0.5 * 0.016 - 0.05 * 0.02)
+    assert of(0.004, -0.2, 0.5).codes == ["RISK_ADJUSTED_UTILITY_NON_POSITIVE"]
+    assert of(-0.1, None, 0.4).codes == ["CANDIDATE_CONFIDENCE_BELOW_VALIDATED_POLICY", "POLICY_LOWER_BOUND_NON_POSITIVE", "EXPECTED_SHORTFALL_UNAVAILABLE"]
+
+
+def test_features_fall_back_to_the_symbol(spark):
+    f = spark.createDataFrame([("b", "s", 2), ("a", "s", 1), ("a", "t", 3)], "venue string, symbol string, x long")
+    rows = spark.createDataFrame([(1, "b", "s"), (2, "z", "s"), (3, "z", "u")], "id long, venue string, symbol string")
+    assert {r.id: r.x for r in relational.with_fallback(rows, f, ["venue", "symbol"], ["symbol"], ["x"]).collect()} == {1: 2, 2: 1, 3: None}

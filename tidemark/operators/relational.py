@@ -46,3 +46,13 @@ def round_robin(df: DataFrame, order: str, budget: int, cursor: int) -> DataFram
     place = F.row_number().over(Window.orderBy(order)) - 1
     total = F.count("*").over(Window.partitionBy())
     return df.withColumn("turn", F.pmod(place - cursor, total)).where(F.col("turn") < budget)
+
+
+def with_fallback(rows: DataFrame, features: DataFrame, keys: list[str], loose: list[str], values: list[str]) -> DataFrame:
+    """Each row with the features of its ``keys``, or else with those of its ``loose`` keys alone (of several, the one whose other keys come first)."""
+    rest = [k for k in keys if k not in loose]
+    exact = features.select(*[F.col(k).alias(f"_x_{k}") for k in keys], F.struct(*values).alias("_exact"))
+    any_ = features.groupBy(*[F.col(k).alias(f"_y_{k}") for k in loose]).agg(F.min_by(F.struct(*values), F.struct(*rest)).alias("_any"))
+    x = rows.join(exact, [F.col(k) == F.col(f"_x_{k}") for k in keys], "left").join(any_, [F.col(k) == F.col(f"_y_{k}") for k in loose], "left")
+    hit = F.coalesce("_exact", "_any")
+    return x.select(*rows.columns, *[hit[v].alias(v) for v in values])

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import costs as C
 from ..functions import policy as P
-from ..operators import intervals, joins, money, stats
+from ..operators import intervals, joins, money, relational, stats
 from ..sources.tables import epoch, table, trades
 from .market import BARS, DAY, HOUR, TRADES, hourly, query, r
 
@@ -311,3 +312,60 @@ def validation_blocks(spark, d):
     """Blocks of validation on whole times."""
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("bot"), epoch(F.col("o_orderdate")).alias("ts"))
     return intervals.validation_blocks(o, "bot", "ts", 40)
+
+
+@query(f"""WITH x AS (SELECT *, {SIDES} AS side, l_linenumber % 2 = 0 AS grid, l_linenumber <> 5 AS linear, CASE WHEN l_linenumber = 3 THEN NULL ELSE l_tax * 100 END AS spread, CASE WHEN l_linenumber <> 6 THEN (l_discount - 0.05) / 100 END AS rate, 1700000000 + l_suppkey AS now, 1700000000 - l_partkey * 60 AS nxt, CASE l_suppkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 240 END AS minutes FROM lineitem),
+s AS (SELECT *, coalesce(spread, CASE WHEN linear THEN 10.0 ELSE 8.0 END)::DOUBLE AS sp, coalesce(minutes * 60, 28800) AS gap FROM x),
+k AS (SELECT *, greatest(CASE WHEN linear THEN 1.0 ELSE 0.8 END::DOUBLE, sp * CASE WHEN grid THEN 0.35 ELSE 0.5 END::DOUBLE) AS slip, CASE side WHEN 'long' THEN rate * 10000 WHEN 'short' THEN -rate * 10000 ELSE CASE WHEN grid AND linear THEN abs(rate) * 10000 ELSE 0 END END AS each, nxt + ((now - nxt) // gap + 1) * gap AS rolled FROM s),
+e AS (SELECT *, CASE WHEN linear AND rate IS NOT NULL THEN CASE WHEN now + 43200 >= rolled THEN 1 + (now + 43200 - rolled) // gap ELSE 0 END ELSE 0 END AS events FROM k)
+SELECT l_orderkey, l_linenumber, round(sp, 6) AS spread_bps, round(slip, 6) AS slippage_bps, round(11 + sp + slip, 6) AS execution_bps, events::BIGINT AS funding_events, round(coalesce(each * events, 0), 6) AS funding_bps, round(11 + sp + slip + greatest(0, coalesce(each * events, 0)), 6) AS net_bps FROM e""")
+def cost_model(spark, d):
+    """Fees, spread, slippage and funding of trades until their horizon."""
+    n, supp = F.col("l_linenumber"), F.col("l_suppkey")
+    got = C.cost_model(
+        n % 2 == 0, n != 5, F.col("side"), F.when(n != 3, F.col("l_tax") * 100), F.lit(5.5), F.when(n != 6, (F.col("l_discount") - 0.05) / 100), 1700000000 - F.col("l_partkey") * 60, F.when(supp % 3 == 0, 60).when(supp % 3 == 1, 240), 1700000000 + supp, F.lit(43200)
+    )
+    return lines(spark, d).select("l_orderkey", "l_linenumber", *[r(got[c]).alias(c) for c in ("spread_bps", "slippage_bps", "execution_bps")], got["funding_events"].alias("funding_events"), r(got["funding_bps"]).alias("funding_bps"), r(got["net_bps"]).alias("net_bps"))
+
+
+@query(f"""WITH x AS (SELECT *, {SIDES} AS side, l_extendedprice AS p, [CASE WHEN l_linenumber > 1 THEN l_linenumber::DOUBLE END, CASE WHEN l_linenumber > 2 THEN (l_suppkey % 3 + 2)::DOUBLE END, CASE WHEN l_linenumber = 7 THEN 1.5 END] AS c FROM lineitem),
+y AS (SELECT *, list_distinct([v::BIGINT FOR v IN c IF v IS NOT NULL AND v = floor(v)]) AS vs, len([v FOR v IN c IF v IS NOT NULL AND v <> floor(v)]) AS bad FROM x)
+SELECT l_orderkey, l_linenumber, bad = 0 AND len(vs) <= 1 AS ok, CASE WHEN len(vs) = 1 THEN vs[1] END AS value, list_min(vs) AS least, list_max(vs) AS most, CASE side WHEN 'long' THEN p * 1.1::DOUBLE WHEN 'short' THEN p * 0.9::DOUBLE END AS take_profit, CASE side WHEN 'long' THEN p * 0.9::DOUBLE WHEN 'short' THEN p * 1.1::DOUBLE END AS stop_loss,
+  CASE WHEN side = 'neutral' THEN NULL WHEN (side = 'long') = (l_linenumber % 2 = 0) THEN 'Buy' ELSE 'Sell' END AS order_side, CASE WHEN side <> 'neutral' THEN l_linenumber % 2 <> 0 END AS reduce_only, round(CASE WHEN l_linenumber % 3 = 0 THEN (p - 20000) / p ELSE (20000 - p) / p END * 100, 9) AS room FROM y""")
+def order_plans(spark, d):
+    """Integers of several names, exits between kill switches, sides of orders and room to a bound."""
+    n, p = F.col("l_linenumber"), F.col("l_extendedprice")
+    found = C.resolved_integer(F.when(n > 1, n), F.when(n > 2, F.col("l_suppkey") % 3 + 2), F.when(n == 7, F.lit(1.5)))
+    x = lines(spark, d).withColumn("i", found).withColumn("x", C.exits(F.col("side"), p * 0.9, p * 1.1)).withColumn("o", C.order_side(F.col("side"), F.when(n % 2 == 0, "open").otherwise("close")))
+    room = C.distance_to_bound(p, F.lit(20000.0), F.when(n % 3 == 0, "lower").otherwise("upper"))
+    return x.select("l_orderkey", "l_linenumber", "i.ok", "i.value", "i.least", "i.most", "x.take_profit", "x.stop_loss", F.col("o.side").alias("order_side"), "o.reduce_only", r(room, 9).alias("room"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 4 THEN NULL ELSE (l_discount - 0.01) END AS a, l_tax - 0.005 AS b, l_discount AS m, l_tax AS t, CASE WHEN l_suppkey % 9 = 0 THEN NULL ELSE -l_tax / 2 END AS tail, l_quantity / 50 AS conf FROM lineitem),
+v AS (SELECT *, least(a, b) AS lo, least(m, t) AS mean, least(1, greatest(0, (conf - 0.2) / (1 - 0.2::DOUBLE))) AS margin FROM x),
+u AS (SELECT *, lo + 0.20::DOUBLE * margin * greatest(0, mean - lo) - 0.05::DOUBLE * greatest(0, -tail) AS value, concat_ws(',', CASE WHEN NOT (conf >= 0.2::DOUBLE AND conf <= 1) THEN 'CANDIDATE_CONFIDENCE_BELOW_VALIDATED_POLICY' END, CASE WHEN a IS NULL THEN 'POLICY_LOWER_BOUND_UNAVAILABLE' END, CASE WHEN a IS NOT NULL AND lo <= 0 THEN 'POLICY_LOWER_BOUND_NON_POSITIVE' END, CASE WHEN tail IS NULL THEN 'EXPECTED_SHORTFALL_UNAVAILABLE' END) AS codes FROM v)
+SELECT l_orderkey, l_linenumber, round(CASE WHEN codes = '' THEN value END, 9) AS utility, CASE WHEN codes = '' AND value <= 0.00005::DOUBLE THEN 'RISK_ADJUSTED_UTILITY_NON_POSITIVE' ELSE codes END AS codes FROM u""")
+def candidate_utility(spark, d):
+    """Utility of candidates and what keeps them from counting."""
+    n = F.col("l_linenumber")
+    lower = [F.when(n != 4, F.col("l_discount") - 0.01), F.col("l_tax") - 0.005]
+    got = C.utility(lower, [F.col("l_discount"), F.col("l_tax")], F.when(F.col("l_suppkey") % 9 != 0, -F.col("l_tax") / 2), F.col("l_quantity") / 50, F.lit(0.2))
+    return lines(spark, d).select("l_orderkey", "l_linenumber", r(got["utility"], 9).alias("utility"), F.array_join(got["codes"], ",").alias("codes"))
+
+
+@query("""WITH f AS (SELECT l_suppkey % 40 AS venue, l_partkey % 60 AS symbol, max(l_quantity) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY ALL), a AS (SELECT symbol, arg_min(q, venue) AS q FROM f GROUP BY symbol)
+SELECT o_orderkey, coalesce(f.q, a.q) AS q FROM orders LEFT JOIN f ON f.venue = o_custkey % 50 AND f.symbol = o_orderkey % 70 LEFT JOIN a ON a.symbol = o_orderkey % 70""")
+def feature_fallback(spark, d):
+    """Features of a venue and symbol, or of the symbol anywhere."""
+    f = table(spark, d, "lineitem").where("l_linenumber = 1").groupBy((F.col("l_suppkey") % 40).alias("venue"), (F.col("l_partkey") % 60).alias("symbol")).agg(F.max("l_quantity").alias("q"))
+    o = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("venue"), (F.col("o_orderkey") % 70).alias("symbol"))
+    return relational.with_fallback(o, f, ["venue", "symbol"], ["symbol"], ["q"]).select("o_orderkey", "q")
+
+
+@query("""SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 // 86400 * 86400 AS day, NOT (o_orderkey % 5 = 0 AND o_orderkey % 3 <> 0) AND o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AS valid FROM orders""")
+def valid_quotes(spark, d):
+    """Tickers that can be trusted, and the day they belong to."""
+    k, p = F.col("o_orderkey"), F.col("o_totalprice")
+    bid = F.when(k % 3 != 0, F.when(k % 5 == 0, p * 1.01).otherwise(p * 0.99))
+    ok = C.valid_quote(F.when(k % 2 == 0, p), bid, p, F.when(k % 7 == 0, -1.0), F.when(k % 11 == 0, float("nan")).when(k % 13 == 0, 0.0))
+    return table(spark, d, "orders").select("o_orderkey", C.day_start(epoch(F.col("o_orderdate"))).alias("day"), ok.alias("valid"))
