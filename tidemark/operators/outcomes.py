@@ -34,16 +34,17 @@ def _rate(prefix: str) -> Column:
 def breakdowns(outcomes: DataFrame, sets: dict[str, list[str]]) -> DataFrame:
     """Statistics of outcomes (success, ret and the keys) by several sets of keys at once: breakdown, keys (null where not in the set), total, wins, losses, win_rate, avg_ret_pct, avg_abs_ret_pct.
 
-    One scan: each row goes once into each set's partial aggregate. Keys that are
-    null are a group of their own.
+    One scan: rows are first summed by all keys together, as all measures add up;
+    only those sums go into each of the sets. Keys that are null are a group of
+    their own.
     """
     keys = list(dict.fromkeys(k for s in sets.values() for k in s))
-    entry = lambda name, own: F.struct(F.lit(name).alias("breakdown"), *[(F.col(k) if k in own else F.lit(None).cast(outcomes.schema[k].dataType)).alias(k) for k in keys])
-    x = outcomes.select("success", "ret", F.inline(F.array(*[entry(name, own) for name, own in sets.items()])))
-    n = F.count("*")
+    own = outcomes.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(F.col("success") == 1).alias("w"), F.sum("ret").alias("r"), F.sum(F.abs("ret")).alias("a"))
+    entry = lambda name, part: F.struct(F.lit(name).alias("breakdown"), *[(F.col(k) if k in part else F.lit(None).cast(outcomes.schema[k].dataType)).alias(k) for k in keys])
+    x = own.select("n", "w", "r", "a", F.inline(F.array(*[entry(name, part) for name, part in sets.items()])))
+    n, wins = F.sum("n"), F.sum("w")
     return x.groupBy("breakdown", *keys).agg(
-        n.alias("total"), F.count_if(F.col("success") == 1).alias("wins"), (n - F.count_if(F.col("success") == 1)).alias("losses"), (F.count_if(F.col("success") == 1) / n).alias("win_rate"),
-        (F.sum("ret") / n * 100).alias("avg_ret_pct"), (F.sum(F.abs("ret")) / n * 100).alias("avg_abs_ret_pct"),
+        n.alias("total"), wins.alias("wins"), (n - wins).alias("losses"), (wins / n).alias("win_rate"), (F.sum("r") / n * 100).alias("avg_ret_pct"), (F.sum("a") / n * 100).alias("avg_abs_ret_pct")
     )
 
 
