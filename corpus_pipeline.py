@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import exact_dedup, jaccard, mixing, packing, toxicity
-from tidemark.llm._common import row_key, saved
+from tidemark.llm._common import free_name, row_key, saved
 from tidemark.llm.queries import BYTE_BPE
 
 
@@ -22,17 +22,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that five-word shingles link at 0.8: the one with the least id, null counting as greatest. Rows without words are in no group."""
-    keyed = docs.withColumn("_key", row_key(docs, "doc_id", "text"))
-    groups = saved(jaccard.near_components(keyed, id_col="_key", k=5, percent=80).where(F.col("_key") == F.col("component_id")).select(F.col("_key").alias("_stays"), "n_shingles"), "near-stays")
-    stay = groups.groupBy("_stays").agg(((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("_again"))
+    key, stays, again = (free_name(docs, x) for x in ("_key", "_stays", "_again"))
+    keyed = docs.withColumn(key, row_key(docs, "doc_id", "text"))
+    groups = jaccard.near_components(keyed.select(key, "text"), id_col=key, k=5, percent=80).where(F.col(key) == F.col("component_id"))
+    groups = saved(groups.select(F.col(key).alias(stays), "n_shingles"), "near-stays")
+    stay = groups.groupBy(stays).agg(((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias(again))
 
     def staying(part: DataFrame) -> DataFrame:
-        return keyed.join(part, F.col("_key").eqNullSafe(F.col("_stays")), "left_semi")
+        return keyed.join(part, F.col(key).eqNullSafe(F.col(stays)), "left_semi")
 
-    far, again = staying(stay.where("not _again")), stay.where("_again")
-    if not again.isEmpty():  # rows that repeat id and text
-        far = far.unionByName(staying(again).dropDuplicates(["_key"]))
-    return far.drop("_key")
+    far, repeated = staying(stay.where(~F.col(again))), stay.where(F.col(again))
+    if not repeated.isEmpty():  # rows that repeat id and text
+        far = far.unionByName(staying(repeated).dropDuplicates([key]))
+    return far.drop(key)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

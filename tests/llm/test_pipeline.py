@@ -91,7 +91,7 @@ def words(docs):
 
 @pytest.mark.parametrize("rows", [odd_rows(), []], ids=["odd", "empty"])
 def test_every_stage_on_odd_rows(spark, tmp_path, rows):
-    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("_key", F.lit(1)).withColumn("_stays", F.lit("x"))
     docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic")).write.parquet(f"{tmp_path}/labels.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         before, docs = docs, saved(stage(spark, docs, str(tmp_path)), "stage")
