@@ -25,16 +25,22 @@ def tokens(text: Column) -> Column:
 
 
 def matches(text: Column, words: list[str]) -> Column:
-    """How many tokens of a text are one of ``words``: counted in place, without a list of tokens."""
+    """The tokens of a text that are among ``words``, in one pass and without a list of all tokens."""
     guard = "[a-z0-9']"
+    first = "".join(sorted({w[0] for w in words}))
     any_ = "|".join(sorted(words, key=len, reverse=True))
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<!{guard})(?:{any_})(?!{guard})"))
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?=[{first}])(?<!{guard})(?:{any_})(?!{guard})"), F.lit(0))
 
 
 def lexicon_score(text: Column, positive: list[str] = POSITIVE_WORDS, negative: list[str] = NEGATIVE_WORDS) -> Column:
     """(p - n) / (p + n) over tokens in the two lists of plain words; 0 where there are none."""
-    p, n = matches(text, positive), matches(text, negative)
-    return F.when(p + n > 0, (p - n) / (p + n)).otherwise(0.0)
+
+    def of(found: Column) -> Column:
+        n = F.size(found)
+        p = F.size(F.filter(found, lambda t: t.isin(*positive)))
+        return F.when(n > 0, (2 * p - n) / n).otherwise(0.0)
+
+    return F.transform(F.array(matches(text, [*positive, *negative])), of)[0]  # bound once, used twice
 
 
 def keyword_match(text: Column, keyword: str) -> Column:
