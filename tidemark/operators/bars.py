@@ -35,8 +35,8 @@ def resample(bars: DataFrame, source: int, target: int, key: str = "symbol") ->
     )
 
 
-def closed(bars: DataFrame, tf: int, as_of: int) -> DataFrame:
-    """Bars that have ended by ``as_of``."""
+def closed(bars: DataFrame, tf: int, as_of: int | Column) -> DataFrame:
+    """Bars that have ended by ``as_of``, a time or a column."""
     return bars.where(F.col("ts") + tf <= as_of)
 
 

@@ -69,8 +69,8 @@ def losing_streak(df: DataFrame, key: str, newest_first: list, value: str) -> Da
     return df.withColumn("_won", won).groupBy(key).agg(F.sum((F.col("_won") == 0).cast("int")).alias("streak"))
 
 
-def ewma(df: DataFrame, key: str, ts: str, value: str, weight: str, half_life: float, now: int) -> DataFrame:
-    """Mean of values by weight and age: half as much for each half life. No order is needed."""
+def ewma(df: DataFrame, key: str, ts: str, value: str, weight: str, half_life: float, now) -> DataFrame:
+    """Mean of values by weight and age: half as much for each half life before ``now``, a number or a column. No order is needed."""
     w = F.col(weight) * F.exp(-F.ln(F.lit(2.0)) * (F.lit(now) - F.col(ts)) / half_life)
     return df.groupBy(key).agg(F.try_divide(F.sum(w * F.col(value)), F.sum(w)).alias("ewma"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import market as M
 from ..operators import sentiment, stats
 from ..sources.tables import epoch, table, trades
-from .market import BARS, DAY, HOUR, TRADES, hourly, query, r
+from .market import BARS, DAY, HOUR, TRADES, hourly, newest, query, r
 
 
 @query(f"""WITH {BARS}, x AS (SELECT symbol, ts, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS r FROM b), k AS (SELECT ts, r AS m FROM x WHERE symbol = 'purchase'),
@@ -122,11 +122,11 @@ POINTS = f"{TRADES}, p AS (SELECT user_id % 50 AS key, ts, least(1, greatest(-1,
 
 
 def points(spark, d):
-    """Trades as sentiment points, each with the newest time of all: a one-row aggregate, joined."""
+    """Trades as sentiment points, each with the newest time of all."""
     t = trades(spark, d)
     s = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("price") / 50 - 1))
     x = t.select((F.col("user_id") % 50).alias("key"), "ts", s.alias("sentiment"), (F.col("trade_id") % 20).cast("double").alias("volume"))
-    return x.join(F.broadcast(t.agg(F.max("ts").alias("now"))))
+    return x.withColumn("now", newest(t))
 
 
 @query(f"""WITH {POINTS}, g AS (SELECT key, ts // 900 AS q, sum(s * w) / sum(w) AS s, least(3, sum(w)) AS w, max(now) - max(ts) AS age FROM p WHERE ts >= now - 21600 GROUP BY ALL),
@@ -189,7 +189,7 @@ def fetch_windows(spark, d):
 def chain_expiry(spark, d):
     """Rows past their own time to live or that of their chain's first row."""
     x = table(spark, d, "orders").select("o_orderkey", "o_custkey", epoch(F.col("o_orderdate")).alias("ts"))
-    now = x.agg(F.max("ts")).first()[0] or 0
+    now = newest(x)
     x = x.withColumn("chain_first", F.min("ts").over(Window.partitionBy("o_custkey")))
     return x.select("o_orderkey", "chain_first", ((F.col("ts") + DAY * (1 + F.col("o_orderkey") % 30) < now) | (F.col("chain_first") + DAY * 365 < now)).alias("expired"))
 

@@ -42,6 +42,11 @@ def r(c, digits: int = 6):
     return F.round(c, digits)
 
 
+def newest(df: DataFrame, ts: str = "ts"):
+    """The greatest time of a table as a scalar subquery: part of the plan, not a job of its own."""
+    return df.agg(F.max(ts)).scalar()
+
+
 def hourly(spark: SparkSession, d: str) -> DataFrame:
     return B.bars_from_trades(trades(spark, d), HOUR)
 
@@ -64,8 +69,7 @@ def resample_complete(spark, d):
 @query(f"WITH {BARS}, m AS (SELECT max(ts) + 1800 AS now FROM b) SELECT symbol, ts, close FROM b, m WHERE ts + 3600 <= now")
 def closed_bars(spark, d):
     x = hourly(spark, d)
-    as_of = (x.agg(F.max("ts")).first()[0] or 0) + 1800
-    return B.closed(x, HOUR, as_of).select("symbol", "ts", "close")
+    return B.closed(x, HOUR, newest(x) + 1800).select("symbol", "ts", "close")
 
 
 @query(f"""WITH {BARS}, n AS (SELECT symbol, ts, lead(ts) OVER (PARTITION BY symbol ORDER BY ts) AS after FROM b)
@@ -423,8 +427,7 @@ def tertiles(spark, d):
 @query(f"""WITH {TRADES}, m AS (SELECT max(ts) AS now FROM t) SELECT symbol, round(sum(price * least(4, sqrt(1 + trade_id % 9)) * exp(-ln(2.0) * (now - ts) / 86400)) / sum(least(4, sqrt(1 + trade_id % 9)) * exp(-ln(2.0) * (now - ts) / 86400)), 6) AS ewma FROM t, m GROUP BY symbol""")
 def sentiment_ewma(spark, d):
     t = trades(spark, d).withColumn("w", F.least(F.lit(4.0), F.sqrt(1 + F.col("trade_id") % 9)))
-    now = t.agg(F.max("ts")).first()[0] or 0
-    return stats.ewma(t, "symbol", "ts", "price", "w", float(DAY), now).withColumn("ewma", r("ewma"))
+    return stats.ewma(t.withColumn("now", newest(t)), "symbol", "ts", "price", "w", float(DAY), F.col("now")).withColumn("ewma", r("ewma"))
 
 
 @query("""WITH a AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS ts, epoch_us(o_orderdate) // 1000000 + 604800 AS av, o_totalprice AS v FROM orders),
@@ -536,7 +539,7 @@ def funding_events(spark, d):
 @query("""SELECT o_orderkey FROM orders WHERE epoch_us(o_orderdate) // 1000000 >= (SELECT max(epoch_us(o_orderdate) // 1000000) FROM orders) - 90 * 86400 OR EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity >= 50)""")
 def retention(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", epoch(F.col("o_orderdate")).alias("ts"))
-    cutoff = (o.agg(F.max("ts")).first()[0] or 0) - 90 * DAY
+    cutoff = newest(o) - 90 * DAY
     guarded = o.where(F.col("ts") < cutoff).join(table(spark, d, "lineitem").where("l_quantity >= 50").select("l_orderkey"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi")
     return o.where(F.col("ts") >= cutoff).unionByName(guarded).select("o_orderkey")
 

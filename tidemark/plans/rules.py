@@ -8,7 +8,7 @@ from ..functions import costs as C
 from ..functions import policy as P
 from ..operators import intervals, joins, money, relational, stats
 from ..sources.tables import epoch, table, trades
-from .market import BARS, DAY, HOUR, TRADES, hourly, query, r
+from .market import BARS, DAY, HOUR, TRADES, hourly, newest, query, r
 
 SIDES = "CASE l_returnflag WHEN 'A' THEN 'long' WHEN 'R' THEN 'short' ELSE 'neutral' END"
 
@@ -241,7 +241,7 @@ def warmup_readiness(spark, d):
     b = hourly(spark, d)
     c = b.groupBy("symbol").agg(F.count("*").alias("n"), F.max("ts").alias("last"))
     names = table(spark, d, "nation").select(F.col("n_name").alias("symbol")).unionByName(table(spark, d, "events").select(F.col("event_type").alias("symbol")).distinct())
-    x = names.join(c, "symbol", "left").crossJoin(F.broadcast(b.agg(F.max("ts").alias("now"))))  # one row
+    x = names.join(c, "symbol", "left").withColumn("now", newest(b))
     state = F.when(F.col("n").isNull(), "no_rows").when(F.col("n") < 100, "too_few").when(F.col("now") - F.col("last") > 2 * HOUR, "stale").otherwise("ready")
     return x.select("symbol", F.coalesce("n", F.lit(0)).alias("n"), state.alias("state"))
 
@@ -262,8 +262,7 @@ def open_roots(spark, d):
 def capture_scope(spark, d):
     """Keys that still have an open window."""
     t = trades(spark, d)
-    now = F.broadcast(t.agg(F.max("ts").alias("now")))  # one row
-    return t.where("trade_id % 11 = 0").select((F.col("user_id") % 20).alias("u"), "ts").crossJoin(now).where(F.col("ts") + 2 * DAY >= F.col("now")).select("u").distinct()
+    return t.where("trade_id % 11 = 0").select((F.col("user_id") % 20).alias("u"), "ts").where(F.col("ts") + 2 * DAY >= newest(t)).select("u").distinct()
 
 
 @query("""SELECT o_orderkey, sha256('{"bot":' || to_json(o_orderpriority) || ',"key":' || o_custkey || ',"state":' || to_json(o_orderstatus) || '}') AS fingerprint FROM orders""")
