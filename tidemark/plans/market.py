@@ -578,10 +578,10 @@ def _drained(spark, stream, mode="append"):
     return candles.drain(stream, f"{base}/stream-{uuid.uuid4().hex}", mode)
 
 
-@query("SELECT event_type AS symbol, epoch_us(ts) // 3600000000 * 3600 AS ts, max(value) AS high, min(value) AS low, count(*) AS volume FROM events GROUP BY ALL")
+@query("SELECT event_type AS symbol, epoch_us(ts) // 3600000000 * 3600 AS ts, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, count(*) AS volume FROM events GROUP BY event_type, epoch_us(ts) // 3600000000 * 3600")
 def stream_candles(spark, d):
     got = candles.candle_stream(candles.trade_stream(spark, d, "events").withColumnRenamed("event_type", "symbol"), "symbol", "value", "1 hour")
-    return _drained(spark, got, "complete").select("symbol", "ts", "high", "low", "volume")
+    return _drained(spark, got, "complete").select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 @query("SELECT event_id, user_id, value FROM events")
