@@ -26,7 +26,7 @@ def frequent_pairs(keys: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray
     Pairs are counted by a hash into a table; pairs that share a place in it are
     told apart by sorting.
     """
-    bits = min(21, max(10, (4 * len(keys)).bit_length()))
+    bits = min(20, max(10, (2 * len(keys)).bit_length()))
     hashed = ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
     filled = np.bincount(hashed, minlength=1 << bits)
     at = np.flatnonzero(filled[hashed] >= least)
