@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import saved
-from . import exact_dedup, grammar, jaccard, media, mixing, packing, repeats, sharding, toxicity, warc
+from . import codes, conversations, exact_dedup, grammar, jaccard, media, mixing, packing, repeats, sharding, topk, toxicity, warc
 
 #: Tokenizer files.
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -75,7 +75,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), BYTE_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_warc, op4_ngram_jaccard, op5_suffix_dedup, op6_mixing, op7_exact_dedup, op8_token_ids, op9_ogg, op10_packing)}
+def op11_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every twentieth vector with all others."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of every vector: 16 parts, 64 entries, two rounds."""
+    return codes.compress(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2, scale=256)
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, damaged first."""
+    return conversations.repair_damaged(_table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sharding, op2_toxicity, op3_warc, op4_ngram_jaccard, op5_suffix_dedup, op6_mixing, op7_exact_dedup, op8_token_ids, op9_ogg, op10_packing, op11_topk, op12_codes, op13_repair)}
+
+#: Vectors without null, NaN or infinite components.
+_WHOLE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+#: Parts of vectors assigned to their nearest entries, and the entries that follow.
+_ASSIGN = """{a} AS (SELECT vec_id, label, p, min({{'d': list_sum([(y[i] - b[i]) * (y[i] - b[i]) for i in range(1, w + 1)])::BIGINT, 'k': k}}) AS best, any_value(y) AS y FROM part JOIN {b} USING (p) GROUP BY vec_id, label, p)"""
+_UPDATE = """{c} AS (SELECT {b}.p, {b}.k, coalesce(any_value(m.y), any_value({b}.b)) AS b FROM {b} LEFT JOIN (SELECT p, k, list(z ORDER BY i) AS y FROM (SELECT p, best.k AS k, i, floor(sum(y[i])::DOUBLE / count(*))::BIGINT AS z FROM {a}, (SELECT unnest(range(1, (SELECT max(w) FROM part) + 1)) AS i) GROUP BY ALL) GROUP BY p, k) AS m ON m.p = {b}.p AND m.k = {b}.k GROUP BY {b}.p, {b}.k)"""
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -108,5 +130,20 @@ SELECT p.doc_id, size, source_size, target,
   CASE WHEN source_size = 0 THEN 0 ELSE size * floor(floor(target) / source_size) + greatest(0, least(start + size, floor(target) - source_size * floor(floor(target) / source_size)) - start) END::BIGINT AS taken,
   coalesce(o.slots, []::BIGINT[]) AS slots
 FROM p LEFT JOIN o ON p.source IS NOT DISTINCT FROM o_source AND p.start = o_start AND p.size > 0
+""",
+    "op11_topk": f"""
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE) for x in embedding] AS x FROM embeddings WHERE {_WHOLE}),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.x, v.x)::BIGINT AS score FROM v AS q JOIN v ON q.vec_id % 20 = 0 AND q.vec_id <> v.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s QUALIFY rank <= 20
+""",
+    "op12_codes": f"""
+WITH v AS (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS x, len(embedding) // 16 AS w FROM embeddings WHERE {_WHOLE}),
+part AS (SELECT vec_id, label, w, p, x[p * w + 1 : p * w + w] AS y FROM v, (SELECT unnest(range(16)) AS p)),
+book0 AS (SELECT p, k, y AS b FROM part JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM v QUALIFY k < 64) USING (vec_id)),
+{_ASSIGN.format(a="a0", b="book0")}, {_UPDATE.format(a="a0", b="book0", c="book1")},
+{_ASSIGN.format(a="a1", b="book1")}, {_UPDATE.format(a="a1", b="book1", c="book2")},
+{_ASSIGN.format(a="a2", b="book2")},
+g AS (SELECT vec_id, label, string_agg(printf('%02x', best.k), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a2 GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, (SELECT sha256(string_agg(array_to_string(b, ','), ',' ORDER BY p, k)) FROM book2) AS codebooks_sha256 FROM g
 """,
 }
