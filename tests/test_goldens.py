@@ -1,5 +1,6 @@
 """Operators on small inputs whose results are known."""
 
+import math
 import random
 from collections import namedtuple
 
@@ -168,7 +169,7 @@ def test_rules(spark):
         liq=P.liquidation_buffer(lit("long"), lit(100.0), lit(120.0)), none=P.liquidation_buffer(lit("flat"), lit(100.0), lit(90.0)), tp=P.trigger_errors(lit("long"), lit("take_profit"), lit(100.0), lit(100.0)), ok=P.trigger_errors(lit("short"), lit("stop_loss"), lit(100.0), lit(101.0)), bad=P.trigger_errors(lit("flat"), lit("stop_loss"), lit(100.0), lit(101.0)),
     )
     assert (got.gate, got.weak, got.shock, got.veto, got.calm, got.pays, got.side) == ("blocked", "no_trade", None, "down_break", "normal", True, False)
-    assert (got.model, got.other, got.conf) == (True, False, 0.70) and got.mixed == pytest.approx(0.6 * 0.92 * 0.88 * 0.93)
+    assert (got.model, got.other, got.conf) == (True, False, 0.70) and got.mixed == pytest.approx((0.5 / (1 + math.exp(-2.1 * 0.8)) + 0.2) * 0.92 * 0.88 * 0.93)
     assert (got.grid, got.trend, got.free, got.due, got.ms, got.s) == (21600, 43200, 60, 3820, 1_700_000_000, 1_700_000_000)
     assert (got.liq, got.none, got.ok, got.bad) == (0.0, None, [], ["PROTECTIVE_DIRECTION_INVALID"])
     assert got.tp == ["LONG_TP_TRIGGER_NOT_ABOVE_REFERENCE", "PROTECTIVE_TRIGGER_DIRECTION_MISMATCH"]
@@ -201,10 +202,11 @@ def plain_blocks(counts, least):
 
 def test_validation_blocks(spark):
     rng = random.Random(3)
-    for _ in range(300):
-        counts = [rng.randrange(1, 6) for _ in range(rng.randrange(1, 40))]
-        least = rng.randrange(1, 12)
-        assert intervals.block_starts(np.array(counts), least) == plain_blocks(counts, least), (counts, least)
+    counts = {str(k): [rng.randrange(1, 6) for _ in range(rng.randrange(1, 40))] for k in range(100)}
+    many = spark.createDataFrame([(k, t) for k, ns in counts.items() for t, n in enumerate(ns) for _ in range(n)], "k string, ts long")
+    for least in (1, 7):
+        got = sorted((r.k, r.first_ts) for r in intervals.validation_blocks(many, "k", "ts", least).collect())
+        assert got == sorted((k, at) for k, ns in counts.items() for at in plain_blocks(ns, least))
     df = spark.createDataFrame([("k", t) for t in range(20) for _ in range(2)] + [("few", 1), ("few", None)], "k string, ts long")
     got = sorted(intervals.validation_blocks(df, "k", "ts", 6).collect())
     assert [r.first_ts for r in got] == plain_blocks([2] * 20, 6) and sum(r.n for r in got) == 40 - 2 * got[0].first_ts and {r.k for r in got} == {"k"}
@@ -265,3 +267,22 @@ def test_features_fall_back_to_the_symbol(spark):
     f = spark.createDataFrame([("b", "s", 2), ("a", "s", 1), ("a", "t", 3)], "venue string, symbol string, x long")
     rows = spark.createDataFrame([(1, "b", "s"), (2, "z", "s"), (3, "z", "u")], "id long, venue string, symbol string")
     assert {r.id: r.x for r in relational.with_fallback(rows, f, ["venue", "symbol"], ["symbol"], ["x"]).collect()} == {1: 2, 2: 1, 3: None}
+
+
+def test_market_sentiment_reads_a_week_within_bounds(spark):
+    """Outliers are cut to -1..1 and older points do not count: the value of an hour's half life by hand."""
+    now = 40 * 86400
+    df = spark.createDataFrame([("m", now - 600, -0.2, 1.0), ("m", now - 3600, -5.0, 1.0), ("m", now - 30 * 86400, 1.0, 1.0)], "key string, ts long, sentiment double, volume double")
+    got = sentiment.market_sentiment(df.withColumn("now", F.lit(now)), "key", F.col("now")).first()
+    young, old = 0.5 ** (600 / 3600), 0.5
+    assert got.n_points == 2 and got.s_1h == pytest.approx((-0.2 * young - old) / (young + old)) and got.s_1h == pytest.approx(-0.49, abs=0.005)
+
+
+def test_frames_under_eighty_closed_bars_do_not_vote(spark):
+    bars = [("s", f, f * i, 1.0 + i / 1000, 1.0, 1.0 + i / 2000) for f, n in ((900, 80), (1800, 81), (14400, 600)) for i in range(n)]
+    df = spark.createDataFrame(bars, "symbol string, frame long, ts long, high double, low double, close double")
+    now = 14400 * 600 - 1  # the last bar of four hours is open, shorter frames ended long ago
+    got = {r.frame: r.n for r in indicators.frame_votes(df, now).collect()}
+    assert got == {900: 80, 1800: 81, 14400: 419}
+    assert {r.frame for r in indicators.frame_votes(df.where("frame < 14400"), 80 * 1800 + 1).collect()} == {900, 1800}
+    assert {r.frame for r in indicators.frame_votes(df.where("frame = 900"), 80 * 900 - 1).collect()} == set()

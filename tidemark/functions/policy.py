@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .direction import policy_confidence
 from .market import blocks
 from .numeric import clamp
 
@@ -93,11 +94,15 @@ def context_multiplier(atr: Column, sentiment: Column, open_interest: Column, fu
 
 
 def confidence(raw: Column, calibrated: Column, samples: Column, multiplier: Column, unwinding: Column, guarded: Column) -> Column:
-    """Raw confidence mixed with the calibrated one by its samples (0.1 to 0.5), or 0.7 at most without one, after context, an unwinding and a guarded market."""
-    w = F.when(calibrated.isNotNull(), clamp(samples / 300) * 0.40 + 0.10).otherwise(0.0)
-    mixed = clamp((1 - w) * raw + w * F.coalesce(calibrated, F.lit(0.0)))
-    mixed = F.when(calibrated.isNull(), F.least(mixed, F.lit(0.70))).otherwise(mixed)
-    return clamp(clamp(clamp(mixed * multiplier) * F.when(holds(unwinding), 0.88).otherwise(1.0)) * F.when(holds(guarded), 0.93).otherwise(1.0))
+    """Confidence of a raw score: its sigmoid at 2.1 times, 0.7 at most, after context, an unwinding and a guarded market, one clamp at a time.
+
+    Where a calibrated value is there, the policy's mix of both by its samples
+    takes the product of these factors instead; out of range, it is 0.
+    """
+    own, unwound, wary = 1 / (1 + F.exp(-2.1 * raw)), F.when(holds(unwinding), 0.88).otherwise(1.0), F.when(holds(guarded), 0.93).otherwise(1.0)
+    plain = clamp(clamp(clamp(F.least(own, F.lit(0.70)) * multiplier) * unwound) * wary)
+    mixed = policy_confidence(own, calibrated, samples, multiplier * unwound * wary)
+    return F.when(calibrated.isNull(), plain).otherwise(F.coalesce(mixed, F.lit(0.0)))
 
 
 def guarded_score(score: Column, guarded: Column, blocked: Column) -> Column:
@@ -191,8 +196,11 @@ def grid_leg(step_pct: Column, notional: Column, taker_bps: Column, cost_bps: Co
     }
 
 
-def economics_blocks(net_bps: Column, buffer_pct: Column, leverage: Column, most_leverage: float, notional: Column, most_notional: float, margin: Column, most_margin: float) -> Column:
-    """Codes of a finished plan: too thin a step, too small a buffer, and what exceeds a cap."""
-    return blocks(
-        ("NET_EDGE_THIN", net_bps < 2), ("LIQUIDATION_BUFFER_LOW", buffer_pct < 12), ("LEVERAGE_CAP", leverage > most_leverage), ("NOTIONAL_CAP", notional > most_notional), ("MARGIN_CAP", margin > most_margin)
-    )
+#: Codes of blocks after a plan is made, in their order.
+ECONOMICS_CODES = ("GRID_ECONOMICS_MISSING", "GRID_NET_PROFIT_NON_POSITIVE", "GRID_NET_PROFIT_TOO_THIN", "GRID_GROSS_EDGE_BELOW_COSTS", "LIQUIDATION_BUFFER_TOO_LOW", "MIN_LEVERAGE_PER_BOT", "MAX_LEVERAGE_PER_BOT", "MAX_POSITION_NOTIONAL_PER_BOT", "MAX_MARGIN_PER_BOT")
+
+
+def economics_blocks(net_bps: Column, gross_bps: Column, cost_bps: Column, buffer_pct: Column, leverage: Column, leverages: tuple[float, float], notional: Column, most_notional: float, margin: Column, most_margin: float) -> Column:
+    """Codes of a finished grid plan: a step's profit missing, none or thin, gross profit near its costs, a small buffer, and what breaks a bound."""
+    rules = [net_bps.isNull(), net_bps <= 0, (net_bps > 0) & (net_bps < 2), (cost_bps > 0) & (gross_bps <= cost_bps * 1.10), buffer_pct < 12, leverage < leverages[0], leverage > leverages[1], notional > most_notional, margin > most_margin]
+    return blocks(*zip(ECONOMICS_CODES, rules, strict=True))

@@ -5,6 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.direction import vote
+from ..functions.numeric import clamp
+
+
+#: Bars read of frames up to an hour, of longer ones, and closed bars that a frame needs to vote.
+SHORT_TAIL, LONG_TAIL, LEAST_BARS = 260, 420, 80
+
+
+def frame_votes(bars: DataFrame, now: int | Column, key: str = "symbol") -> DataFrame:
+    """The vote of each key's time frames: key, frame, n, slope, atr, hist, rsi, pb, score, trend_strength.
+
+    ``bars`` has key, frame (seconds), ts, high, low, close. Of a frame's last
+    bars (SHORT_TAIL, or LONG_TAIL above an hour) those closed by ``now`` count; a
+    frame with fewer than LEAST_BARS of them has no vote. Indicators are of log
+    prices: slope of means, true range, MACD, Wilder's index, band position.
+    """
+    read = Window.partitionBy(key, "frame").orderBy(F.col("ts").desc())
+    most = F.when(F.col("frame") > 3600, LONG_TAIL).otherwise(SHORT_TAIL)
+    tail = bars.withColumn("_k", F.row_number().over(read)).where((F.col("_k") <= most) & (F.col("ts") + F.col("frame") <= now))
+    order = Window.partitionBy(key, "frame").orderBy("ts")
+    newest = lambda n: F.col("_nth") <= n
+    x = tail.withColumn("_nth", F.row_number().over(read)).withColumn("lc", F.ln("close")).withColumn("_before", F.lag("lc").over(order))
+    x = x.withColumn("tr", F.greatest(F.ln("high") - F.ln("low"), F.abs(F.ln("high") - F.col("_before")), F.abs(F.ln("low") - F.col("_before"))))
+    mean = lambda c, n: F.avg(F.when(newest(n), F.col(c)))
+    series = F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda b: b["close"])
+    ends = x.groupBy(key, "frame").agg(
+        F.count("*").alias("n"), (mean("lc", 20) - mean("lc", 60)).alias("slope"), mean("tr", 14).alias("atr"), series.alias("xs"), F.max(F.when(newest(1), F.col("lc"))).alias("_last"), mean("lc", 20).alias("_mean"), F.stddev_pop(F.when(newest(20), F.col("lc"))).alias("_sd")
+    ).where(F.col("n") >= LEAST_BARS)
+    band = clamp((F.col("_last") - F.col("_mean") + 2 * F.col("_sd")) / F.greatest(F.lit(1e-9), 4 * F.col("_sd")))
+    ends = ends.withColumn("hist", macd_hist(F.col("xs"))).withColumn("rsi", rsi(F.col("xs"))).withColumn("pb", band)
+    said = vote(*[F.col(c) for c in ("slope", "atr", "hist", "rsi", "pb")])
+    return ends.select(key, "frame", "n", "slope", "atr", "hist", "rsi", "pb", said["score"].alias("score"), said["trend_strength"].alias("trend_strength"))
+
 
 def tails(bars: DataFrame, key: str, n: int = 260, value: str = "close") -> DataFrame:
     """key, xs: the last ``n`` values in order of ts. Rows beyond them are dropped before any are collected."""

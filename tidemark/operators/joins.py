@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import running
+
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", values: tuple[str, ...] = ("price",), bucket: int = 86400, forward: bool = False) -> DataFrame:
     """Each left row with the last right row of its key at or before its time (``forward``: the first at or after).
@@ -12,7 +14,8 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", values: t
     Both sides go, tagged, through one window per key and time bucket; what a
     bucket does not find comes from the nearest bucket that has a right row, by a
     window over one row a bucket. A hot key is spread over its buckets.
-    Right rows of one key and time must be unique. Unmatched rows get nulls.
+    Right rows of one key and time must be unique. Unmatched rows get nulls. Null
+    keys count as one key.
     """
     side = F.lit(-1) if forward else F.lit(1)
     pack = F.struct(*[F.col(v) for v in values], F.col(ts).alias("_at"))
@@ -28,16 +31,19 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", values: t
     buckets = both.groupBy("_key", "_bucket").agg(edge.alias("_edge"))
     earlier = Window.partitionBy("_key").orderBy(F.col("_bucket") * side).rowsBetween(Window.unboundedPreceding, -1)
     carried = buckets.select(F.col("_key").alias("_k"), F.col("_bucket").alias("_b"), F.last("_edge", ignorenulls=True).over(earlier).alias("_carried"))
-    got = found.join(carried, (F.col("_key") == F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
+    got = found.join(carried, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b")), "left")
     hit = F.coalesce("_here", "_carried")
     return got.select("_row.*", *[hit[v].alias(f"asof_{v}") for v in values], hit["_at"].alias("asof_ts"))
 
 
-def sessions(events: DataFrame, key: str, gap: int, ts: str = "ts") -> DataFrame:
-    """Spans of events no more than ``gap`` apart: key, span_start, span_end, n."""
-    order = Window.partitionBy(key).orderBy(ts)
-    new = F.coalesce((F.col(ts) - F.lag(ts).over(order) > gap).cast("int"), F.lit(1))
-    return events.withColumn("_new", new).withColumn("_span", F.sum("_new").over(order)).groupBy(key, "_span").agg(F.min(ts).alias("span_start"), F.max(ts).alias("span_end"), F.count("*").alias("n")).drop("_span")
+def sessions(events: DataFrame, key: str, gap: int, ts: str = "ts", bucket: int = 30 * 86400) -> DataFrame:
+    """Spans of events no more than ``gap`` apart: key, span_start, span_end, n. Times and numbers are carried from bucket to bucket of ``bucket`` seconds."""
+    at = F.floor(F.col(ts) / bucket)
+    times = events.groupBy(key, ts).agg(F.count("*").alias("_n"))
+    x = running(times, [key], at, [ts], {"_before": ("max", F.col(ts))}, inclusive=False)
+    new = F.when(F.col(ts) - F.col("_before") <= gap, 0).otherwise(1)
+    x = running(x.withColumn("_new", new), [key], at, [ts], {"_span": ("sum", F.col("_new"))})
+    return x.groupBy(key, "_span").agg(F.min(ts).alias("span_start"), F.max(ts).alias("span_end"), F.sum("_n").alias("n")).drop("_span")
 
 
 def covering_span(windows: DataFrame, spans: DataFrame, key: str, start: str, end: str) -> DataFrame:

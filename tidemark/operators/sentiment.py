@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clamp, finite
 
+WEEK = 7 * 86400
+
 #: Weight of each source in a symbol's blend.
 SOURCE_WEIGHTS = {"momentum": 0.45, "reddit": 0.30, "rss": 0.15, "trending": 0.10}
 
@@ -16,6 +18,12 @@ def point_weight(volume: Column) -> Column:
     return F.least(F.lit(4.0), F.sqrt(F.greatest(F.lit(1.0), F.coalesce(finite(volume), F.lit(1.0)))))
 
 
+def recent_points(points: DataFrame, now: Column, span: int) -> DataFrame:
+    """Points (ts, sentiment, volume) of the last ``span`` seconds with a finite sentiment, cut to -1..1, and a volume of 0 at least (missing: 0)."""
+    sentiment, volume = finite(F.col("sentiment")), F.greatest(F.lit(0), F.coalesce(F.col("volume"), F.lit(0)))
+    return points.where(sentiment.isNotNull() & (F.col("ts") >= now - span)).withColumns({"sentiment": clamp(sentiment, -1.0, 1.0), "volume": volume})
+
+
 def decayed(value: Column, weight: Column, age: Column, half_life: float) -> Column:
     """Aggregate: mean by weight and age, half as much for each half life; 0 without weight."""
     w = weight * F.exp(-F.ln(F.lit(2.0)) / half_life * F.greatest(F.lit(0), age))
@@ -25,11 +33,12 @@ def decayed(value: Column, weight: Column, age: Column, half_life: float) -> Col
 def market_sentiment(points: DataFrame, key: str, now: Column) -> DataFrame:
     """One row a key of points (ts, sentiment, volume): means of four half lives, impulse, effective score, votes, regime, strength, panic and euphoria.
 
-    ``now`` is a column of the points. A regime that ties goes to the vote of the
+    ``now`` is a column of the points. Points of the last seven days count, each
+    within -1 and 1, so that no outlier outweighs the rest. A regime that ties goes to the vote of the
     effective score, then to that of six hours, then to neutral.
     """
-    age, w = now - F.col("ts"), point_weight(F.col("volume"))
-    good = points.where(finite(F.col("sentiment")).isNotNull())
+    good = recent_points(points.withColumn("_now", now), F.col("_now"), WEEK)
+    age, w = F.col("_now") - F.col("ts"), point_weight(F.col("volume"))
     lives = {"s_1h": 3600.0, "s_6h": 21600.0, "s_1d": 86400.0, "s_7d": 604800.0}
     x = good.groupBy(key).agg(F.count("*").alias("n_points"), *[decayed(F.col("sentiment"), w, age, life).alias(name) for name, life in lives.items()])
     x = x.withColumn("impulse", F.col("s_1h") - F.col("s_6h"))

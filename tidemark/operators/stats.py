@@ -2,45 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .buckets import followed, running
+from .joins import as_of
+
 
-def weighted_returns(df: DataFrame, key: str, ret: str, weight: str) -> DataFrame:
+def weighted_returns(df: DataFrame, key: str, ret: str, weight: str, width: float = 0.001) -> DataFrame:
     """Weighted mean and deviation, Kish's effective sample and return of the worst 20 % of weight.
 
     Expected shortfall takes whole rows by return until their weight reaches a
-    fifth of all, and of the row at the border what is left.
+    fifth of all, and of the row at the border what is left. A key's returns are
+    summed in buckets of ``width`` first; only the bucket at the border is looked
+    into.
     """
-    order = Window.partitionBy(key).orderBy(ret, weight)
-    before = F.coalesce(F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    target = 0.2 * F.sum(weight).over(Window.partitionBy(key))
-    x = df.where((F.col(weight) > 0) & F.col(ret).isNotNull()).withColumn("_tail", F.least(F.col(weight), F.greatest(F.lit(0.0), target - before)))
-    w, r = F.col(weight), F.col(ret)
-    mean = F.sum(w * r) / F.sum(w)
-    return x.groupBy(key).agg(
-        F.count("*").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum(w * r * r) / F.sum(w) - mean * mean)).alias("std"), (F.sum(w) * F.sum(w) / F.sum(w * w)).alias("n_eff"), F.try_divide(F.sum(F.col("_tail") * r), F.sum("_tail")).alias("shortfall")
-    )
+    x = df.where((F.col(weight) > 0) & F.col(ret).isNotNull()).select(key, F.col(ret).alias("_r"), F.col(weight).cast("double").alias("_w")).withColumn("_bucket", F.floor(F.col("_r") / width))
+    w, r = F.col("_w"), F.col("_r")
+    sums = x.groupBy(key, "_bucket").agg(F.count("*").alias("n"), F.sum(w).alias("w"), F.sum(w * r).alias("wr"), F.sum(w * r * r).alias("wrr"), F.sum(w * w).alias("ww"))
+    order = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0))).withColumn("_target", 0.2 * F.sum("w").over(Window.partitionBy(key)))
+    whole = F.col("before") + F.col("w") <= F.col("_target")
+    at_border = ~whole & (F.col("before") < F.col("_target"))
+    total, mean = F.sum("w"), F.sum("wr") / F.sum("w")
+    got = sums.groupBy(key).agg(
+        F.sum("n").alias("n"), mean.alias("mean"), F.sqrt(F.greatest(F.lit(0.0), F.sum("wrr") / total - mean * mean)).alias("std"), (total * total / F.sum("ww")).alias("n_eff"), F.coalesce(F.sum(F.when(whole, F.col("wr"))), F.lit(0.0)).alias("_full"),
+        F.max("_target").alias("_fifth"), F.max(F.when(at_border, F.struct("_bucket", (F.col("_target") - F.col("before")).alias("need")))).alias("_border"),
+    )
+    border = got.select(F.col(key).alias("_k"), F.col("_border._bucket").alias("_b"), F.col("_border.need").alias("need"))
+    last = x.join(border, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_b"))).groupBy("_k", "need", "_r").agg(F.sum(w).alias("_w"))
+    before = F.coalesce(F.sum("_w").over(Window.partitionBy("_k").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    last = last.withColumn("_tail", F.least(w, F.greatest(F.lit(0.0), F.col("need") - before))).groupBy("_k").agg(F.sum(F.col("_tail") * r).alias("_part"))
+    joined = got.join(last, F.col(key).eqNullSafe(F.col("_k")), "left")
+    return joined.select(key, "n", "mean", "std", "n_eff", F.try_divide(F.col("_full") + F.coalesce("_part", F.lit(0.0)), F.col("_fifth")).alias("shortfall"))
+
+
+def merged(df: DataFrame, key: str, start: str, end: str, joins: Callable[[Column, Column], Column], names: tuple[str, str], bucket: int) -> DataFrame:
+    """Intervals of each key merged in order of start: key, the two ``names``, n. ``joins`` of (start, greatest end before it) says whether one goes on.
+
+    Ends and numbers are carried from bucket to bucket of ``bucket`` seconds.
+    """
+    s, e = F.col("_s"), F.col("_e")
+    thin = df.groupBy(key, F.col(start).alias("_s")).agg(F.max(end).alias("_e"), F.count("*").alias("_n"))
+    at = F.floor(s / bucket)
+    x = running(thin, [key], at, ["_s"], {"_so_far": ("max", e)}, inclusive=False)
+    x = running(x.withColumn("_new", F.when(joins(s, F.col("_so_far")), 0).otherwise(1)), [key], at, ["_s"], {"_c": ("sum", F.col("_new"))})
+    return x.groupBy(key, "_c").agg(F.min(s).alias(names[0]), F.max(e).alias(names[1]), F.sum("_n").alias("n")).drop("_c")
 
 
-def clusters(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Merged overlapping intervals of each key: key, cluster_start, cluster_end, n. Touching ones stay apart."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    so_far = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    x = df.withColumn("_new", F.coalesce((F.col(start) >= so_far).cast("int"), F.lit(1))).withColumn("_c", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return x.groupBy(key, "_c").agg(F.min(start).alias("cluster_start"), F.max(end).alias("cluster_end"), F.count("*").alias("n")).drop("_c")
+def clusters(df: DataFrame, key: str, start: str, end: str, bucket: int = 30 * 86400) -> DataFrame:
+    """Merged overlapping intervals of each key: key, cluster_start, cluster_end, n. Touching ones stay apart; an interval ends after it starts."""
+    return merged(df, key, start, end, lambda s, before: s < before, ("cluster_start", "cluster_end"), bucket)
 
 
-def most_apart(df: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """The greatest number of intervals of each key that do not overlap: earliest finish first.
+def most_apart(df: DataFrame, key: str, start: str, end: str, bucket: int = 90 * 86400) -> DataFrame:
+    """The greatest number of intervals of each key that do not overlap: earliest finish first. key, apart.
 
-    Intervals are first thinned to one a start (the earliest end), then folded.
+    After an interval comes the one of earliest end among those that start at its
+    end or later: a running minimum from the last start backwards, looked up by an
+    as-of join. Those links are followed from the earliest end.
     """
-    thin = df.groupBy(key, F.col(start).alias("s")).agg(F.min(end).alias("e"))
-    spans = F.array_sort(F.collect_list(F.struct("e", "s")))
-    zero = F.struct(F.lit(-(2**62)).alias("last"), F.lit(0).cast("long").alias("n"))
-    step = lambda acc, x: F.when(x["s"] >= acc["last"], F.struct(x["e"].alias("last"), (acc["n"] + 1).alias("n"))).otherwise(acc)
-    return thin.groupBy(key).agg(F.aggregate(spans, zero, step)["n"].alias("apart"))
+    ends = df.where(F.col(end) > F.col(start)).groupBy(key, F.col(start).cast("long").alias("ts")).agg(F.min(F.col(end).cast("long")).alias("_e"))
+    soonest = running(ends, [key], -F.floor(F.col("ts") / bucket), [F.col("ts").desc()], {"soonest": ("min", F.col("_e"))}).select(key, "ts", "soonest")
+    at = ends.select(key, F.col("_e").alias("ts")).distinct()
+    links = as_of(at, soonest, key, values=("soonest",), bucket=bucket, forward=True)
+    way = followed(links.select(key, F.col("ts").alias("at"), F.col("asof_soonest").alias("after")), key, bucket)
+    return way.groupBy(key).agg(F.count("*").alias("apart"))
 
 
 def pearson(df: DataFrame, key: str, x: str, y: str) -> DataFrame:
@@ -56,11 +85,22 @@ def tertiles(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(value).alias("n"), at("cast(1 as double) / 3").alias("low"), at("cast(2 as double) / 3").alias("high")).where("n >= 6 and low < high")
 
 
-def drawdown(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
-    """Total, peak of the running sum (0 at least) and deepest fall from it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    x = df.withColumn("_sum", F.sum(value).over(w)).withColumn("_peak", F.greatest(F.lit(0.0), F.max("_sum").over(w)))
-    return x.groupBy(key).agg(F.sum(value).alias("total"), F.max("_peak").alias("peak"), F.max(F.col("_peak") - F.col("_sum")).alias("max_drawdown"))
+def drawdown(df: DataFrame, key: str, order: list[str], value: str, bucket: Column | None = None) -> DataFrame:
+    """Total, peak of the running sum (0 at least) and deepest fall from it.
+
+    ``bucket`` rises with ``order`` (by default its first column's month). A
+    bucket comes to its total, its highest and lowest sum and its own deepest
+    fall; a window over these carries sum and peak on.
+    """
+    at = bucket if bucket is not None else F.date_trunc("month", F.col(order[0]))
+    w = Window.partitionBy(key, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    x = df.withColumn("_bucket", at).withColumn("_sum", F.sum(value).over(w)).withColumn("_peak", F.max("_sum").over(w))
+    parts = x.groupBy(key, "_bucket").agg(F.sum(value).alias("_total"), F.max("_sum").alias("_high"), F.min("_sum").alias("_low"), F.max(F.col("_peak") - F.col("_sum")).alias("_fall"))
+    earlier = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0.0))).withColumn("_top", F.col("_before") + F.col("_high"))
+    parts = parts.withColumn("_former", F.greatest(F.lit(0.0), F.max("_top").over(earlier)))
+    fall = F.greatest("_fall", F.col("_former") - F.col("_before") - F.col("_low"))
+    return parts.groupBy(key).agg(F.sum("_total").alias("total"), F.greatest(F.lit(0.0), F.max("_top")).alias("peak"), F.max(fall).alias("max_drawdown"))
 
 
 def losing_streak(df: DataFrame, key: str, newest_first: list, value: str) -> DataFrame:
@@ -93,30 +133,32 @@ def walk_forward(df: DataFrame, ts: str, available: str, value: str, bucket: int
     return done.select(F.col("t").alias("validation_ts"), n.alias("n_train"), total.alias("total_train"), F.try_divide(total, n).alias("mean_train"))
 
 
-def apart_by(df: DataFrame, key: str, ts: str, embargo: int, most: int = 1_000_000) -> DataFrame:
+def apart_by(df: DataFrame, key: str, ts: str, embargo: int, bucket: int | None = None) -> DataFrame:
     """key, ts: of a key's distinct times in order, the first and then each that is ``embargo`` or more after the last one taken.
 
-    A key's distinct times are folded in one row; a key with more than ``most`` of them is refused.
+    A time's successor is the first at or after ``embargo`` beyond it, by an as-of
+    join; successors are followed bucket by bucket (64 embargoes, or a day, by default).
     """
-    times = df.where(F.col(ts).isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(ts)).alias("ts"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<long>").alias("kept"))
-    take = lambda acc, x: F.when(acc["last"].isNull() | (x - acc["last"] >= embargo), F.struct(x.cast("long").alias("last"), F.concat(acc["kept"], F.array(x.cast("long"))).alias("kept"))).otherwise(acc)
-    bounded = F.when(F.size("ts") <= most, F.col("ts")).otherwise(F.raise_error(F.lit("more distinct times than apart_by folds")).cast("array<long>"))
-    return times.select(key, F.explode(F.aggregate(bounded, start, take)["kept"]).alias(ts))
+    width = bucket or max(86400, 64 * embargo)
+    times = df.where(F.col(ts).isNotNull()).select(key, F.col(ts).cast("long").alias("at")).distinct()
+    there = times.select(key, F.col("at").alias("ts"), F.col("at").alias("next"))
+    links = as_of(times.withColumn("ts", F.col("at") + max(1, embargo)), there, key, values=("next",), bucket=width, forward=True)
+    return followed(links.select(key, "at", F.col("asof_next").alias("after")), key, width).withColumnRenamed("at", ts)
 
 
-def purged(df: DataFrame, validation: DataFrame, key: str, ts: str, available: str) -> DataFrame:
+def purged(df: DataFrame, validation: DataFrame, key: str, ts: str, available: str, bucket: int = 30 * 86400) -> DataFrame:
     """Training rows of each validation time: those decided before it whose label came in between the decision and it.
 
     ``validation`` has key and v_ts. Rows without a label time, or with one
     before their own time, are never trained on. Returns key, v_ts, n_train and
-    last_label.
+    last_label. Labels are counted by time, and counts carried from bucket to
+    bucket of ``bucket`` seconds.
     """
-    rows = df.where(F.col(available) >= F.col(ts)).select(key, F.col(available).alias("_t"), F.lit(1).cast("long").alias("_n"), F.lit(0).alias("_v"))
-    times = validation.select(key, F.col("v_ts").alias("_t"), F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_v")).distinct()
+    labels = df.where(F.col(available) >= F.col(ts)).groupBy(key, F.col(available).alias("_t")).agg(F.count("*").alias("_n")).withColumn("_v", F.lit(0))
+    times = validation.select(key, F.col("v_ts").alias("_t")).distinct().select(key, "_t", F.lit(0).cast("long").alias("_n"), F.lit(1).alias("_v"))
     # at equal times the validation comes first: a label of that very moment is not known yet
-    w = Window.partitionBy(key).orderBy("_t", F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(times).withColumn("n_train", F.sum("_n").over(w)).withColumn("last_label", F.max(F.when(F.col("_v") == 0, F.col("_t"))).over(w))
+    known = {"n_train": ("sum", F.col("_n")), "last_label": ("max", F.when(F.col("_v") == 0, F.col("_t")))}
+    both = running(labels.unionByName(times), [key], F.floor(F.col("_t") / bucket), ["_t", F.col("_v").desc()], known)
     return both.where("_v = 1").select(key, F.col("_t").alias("v_ts"), "n_train", "last_label")
 
 

@@ -14,7 +14,7 @@ from ..operators import indicators, models, relational
 from ..sources import messages
 from ..sources.tables import epoch, table, trades
 from ..streaming import candles, states
-from .market import DAY, _drained, query, r
+from .market import DAY, TRADES, _drained, newest, query, r
 
 
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_discount - 0.05 AS slope, 0.01 + l_tax / 2 AS atr, (l_tax - 0.04) / 10 AS hist, l_quantity * 2 AS rsi, l_linenumber / 7.0::DOUBLE AS b FROM lineitem),
@@ -27,14 +27,17 @@ def frame_vote(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", r(vote["score"]).alias("score"), r(vote["trend_strength"]).alias("trend_strength"))
 
 
-@query("""WITH v AS (SELECT l_orderkey AS k, l_linenumber AS i, l_discount * 20 - 0.9::DOUBLE AS x, l_quantity / 70 AS t, CASE l_linenumber WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.25 WHEN 3 THEN 2.0 WHEN 4 THEN 2.25 ELSE 0.75 END AS w FROM lineitem WHERE l_linenumber <= 5),
-y AS (SELECT *, greatest(-1.0, least(1.0, x)) AS s FROM v),
+DECIDED = """y AS (SELECT *, greatest(-1.0, least(1.0, x)) AS s FROM v),
 a AS (SELECT k, round(coalesce(sum(w * s) FILTER (i <= 3) / sum(w) FILTER (i <= 3), 0), 9) AS tactical, round(coalesce(sum(w * s) FILTER (i > 3) / sum(w) FILTER (i > 3), 0), 9) AS structural, round(sum(w * s) / sum(w), 9) AS s, round(sum(w * t) / sum(w), 9) AS trendiness,
   coalesce(sum(w) FILTER (s > 0.1::DOUBLE), 0) AS up, coalesce(sum(w) FILTER (s < -0.1::DOUBLE), 0) AS down, sum(w) AS total FROM y GROUP BY k),
 b AS (SELECT *, CASE WHEN s > 0.1::DOUBLE THEN 'long' WHEN s < -0.1::DOUBLE THEN 'short' ELSE 'neutral' END AS bias, CASE WHEN structural > 0.1::DOUBLE THEN 'long' WHEN structural < -0.1::DOUBLE THEN 'short' ELSE 'neutral' END AS base FROM a),
 c AS (SELECT *, round(CASE WHEN base = 'neutral' OR up + down = 0 THEN 0.5 ELSE 0.5 + (CASE base WHEN 'long' THEN up ELSE down END / (up + down) - 0.5) * (up + down) / total END, 9) AS coherence FROM b),
 e AS (SELECT *, CASE WHEN trendiness >= 0.48 AND coherence >= 0.5 THEN 'trend' WHEN trendiness <= 0.25 THEN 'range' ELSE 'transition' END AS regime FROM c),
-f AS (SELECT *, CASE WHEN abs(s) < 0.12 THEN 'neutral' WHEN regime <> 'range' THEN CASE WHEN s > 0 THEN 'long' ELSE 'short' END WHEN bias <> 'neutral' AND bias = base AND abs(s) >= 0.15 AND abs(structural) >= 0.1 AND coherence >= 0.62 THEN bias ELSE 'neutral' END AS plain FROM e)
+f AS (SELECT *, CASE WHEN abs(s) < 0.12 THEN 'neutral' WHEN regime <> 'range' THEN CASE WHEN s > 0 THEN 'long' ELSE 'short' END WHEN bias <> 'neutral' AND bias = base AND abs(s) >= 0.15 AND abs(structural) >= 0.1 AND coherence >= 0.62 THEN bias ELSE 'neutral' END AS plain FROM e)"""
+
+
+@query(f"""WITH v AS (SELECT l_orderkey AS k, l_linenumber AS i, l_discount * 20 - 0.9::DOUBLE AS x, l_quantity / 70 AS t, CASE l_linenumber WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 1.25 WHEN 3 THEN 2.0 WHEN 4 THEN 2.25 ELSE 0.75 END AS w FROM lineitem WHERE l_linenumber <= 5),
+{DECIDED}
 SELECT k, tactical, structural, s, trendiness, coherence, regime, bias, base <> 'neutral' AND abs(structural) >= 0.18 AND plain <> base AS veto,
   CASE WHEN base <> 'neutral' AND abs(structural) >= 0.18 AND plain <> base THEN CASE WHEN coherence >= 0.55 THEN base ELSE 'neutral' END ELSE plain END AS direction,
   round(least(0.99, 0.30 + 0.52 * abs(s) + 0.18 * coherence + CASE regime WHEN 'trend' THEN 0.08 WHEN 'range' THEN -0.08 ELSE 0 END), 6)::DOUBLE AS confidence,
@@ -46,20 +49,39 @@ def direction_tree(spark, d):
     return D.aggregate(x, "k").withColumn("confidence", r("confidence")).withColumn("regime_confidence", r("regime_confidence"))
 
 
-@query()
+def frame_bars(spark, d):
+    """Candles of all time frames, from trades."""
+    return reduce(lambda a, b: a.unionByName(b), [B.bars_from_trades(trades(spark, d), f).withColumn("frame", F.lit(f)) for f in D.FRAME_WEIGHTS])
+
+
+FRAMES = f"""{TRADES}, f AS (SELECT unnest([900, 1800, 3600, 14400, 86400]) AS frame), w AS (SELECT max(ts) AS now FROM t),
+b AS (SELECT symbol, frame, ts - ts % frame AS ts, max(price) AS high, min(price) AS low, arg_max(price, (us, trade_id)) AS close FROM t, f GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY symbol, frame ORDER BY ts DESC) AS rn FROM b),
+c AS (SELECT *, ln(close) AS lc, row_number() OVER (PARTITION BY symbol, frame ORDER BY ts DESC) AS nth, ln(lag(close) OVER (PARTITION BY symbol, frame ORDER BY ts)) AS p FROM k, w WHERE rn <= CASE WHEN frame > 3600 THEN 420 ELSE 260 END AND ts + frame <= now),
+a AS (SELECT symbol, frame, count(*) AS n, avg(lc) FILTER (nth <= 20) - avg(lc) FILTER (nth <= 60) AS slope, avg(greatest(ln(high) - ln(low), abs(ln(high) - p), abs(ln(low) - p))) FILTER (nth <= 14) AS atr,
+  list(close ORDER BY ts) AS xs, max(lc) FILTER (nth = 1) AS last, avg(lc) FILTER (nth <= 20) AS mid, stddev_pop(lc) FILTER (nth <= 20) AS sd FROM c GROUP BY ALL HAVING count(*) >= 80),
+e AS (SELECT *, [ln(x) for x in xs] AS ys, [ln(xs[i]) - ln(xs[i - 1]) for i in range(2, len(xs) + 1)] AS d FROM a),
+m AS (SELECT *, list_reduce(ys[2:], lambda acc, x: list_append(acc, acc[-1] * (1 - 2.0::DOUBLE / 13) + x * (2.0::DOUBLE / 13)), ys[1:1]) AS fast, list_reduce(ys[2:], lambda acc, x: list_append(acc, acc[-1] * (1 - 2.0::DOUBLE / 27) + x * (2.0::DOUBLE / 27)), ys[1:1]) AS slow, [greatest(x, 0.0) for x in d] AS u, [greatest(-x, 0.0) for x in d] AS z FROM e),
+l AS (SELECT *, [fast[i] - slow[i] for i in range(1, len(fast) + 1)] AS line, list_reduce([list_sum(u[1:14]) / 14] || u[15:], lambda m, x: (m * 13 + x) / 14) AS up, list_reduce([list_sum(z[1:14]) / 14] || z[15:], lambda m, x: (m * 13 + x) / 14) AS down FROM m),
+i AS (SELECT *, line[-1] - list_reduce(line, lambda acc, x: acc + 2.0::DOUBLE / 10 * (x - acc)) AS hist, CASE WHEN up = 0 AND down = 0 THEN 50 WHEN down = 0 THEN 100 ELSE 100 - 100 / (1 + up / down) END AS rsi, least(1, greatest(0, (last - mid + 2 * sd) / greatest(1e-9, 4 * sd))) AS pb FROM l),
+o AS (SELECT *, greatest(-1.0, least(1.0, slope / greatest(1e-6::DOUBLE, atr) * 0.22::DOUBLE)) AS v1, greatest(-1.0, least(1.0, hist / greatest(1e-9::DOUBLE, atr) * 4.0)) AS v2, greatest(-1.0, least(1.0, (rsi - 50) / 30)) AS v3, greatest(-1.0, least(1.0, (pb - 0.5::DOUBLE) * 2)) AS v4 FROM i),
+g AS (SELECT symbol, frame, n, atr, rsi, hist, greatest(-1.0, least(1.0, 0.55::DOUBLE * v1 + 0.22::DOUBLE * v2 + 0.15::DOUBLE * v3 + 0.08::DOUBLE * v4)) AS score, least(1, abs(v1) * 0.75::DOUBLE + abs(v2) * 0.25::DOUBLE) AS trend_strength FROM o)"""
+
+
+@query(f"WITH {FRAMES} SELECT symbol, frame, n, round(atr, 6) AS atr, round(rsi, 5) AS rsi, round(hist, 6) AS hist, round(score, 6) AS score, round(trend_strength, 6) AS trend_strength FROM g")
+def frame_votes(spark, d):
+    """Votes of every symbol's time frames from their closed bars."""
+    x = indicators.frame_votes(frame_bars(spark, d), newest(trades(spark, d)))
+    return x.select("symbol", F.col("frame").cast("int").alias("frame"), "n", r("atr").alias("atr"), r("rsi", 5).alias("rsi"), r("hist").alias("hist"), r("score").alias("score"), r("trend_strength").alias("trend_strength"))
+
+
+@query(f"""WITH v AS (SELECT symbol AS k, CASE frame WHEN 900 THEN 1 WHEN 1800 THEN 2 WHEN 3600 THEN 3 WHEN 14400 THEN 4 ELSE 5 END AS i, score AS x, trend_strength AS t, CASE frame WHEN 900 THEN 1.0::DOUBLE WHEN 1800 THEN 1.25 WHEN 3600 THEN 2.0 WHEN 14400 THEN 2.25 ELSE 0.75 END AS w FROM (WITH {FRAMES} SELECT * FROM g)),
+{DECIDED}
+SELECT k AS symbol, s, trendiness, coherence, regime, CASE WHEN base <> 'neutral' AND abs(structural) >= 0.18 AND plain <> base THEN CASE WHEN coherence >= 0.55 THEN base ELSE 'neutral' END ELSE plain END AS direction,
+  round(least(0.99, 0.30 + 0.52 * abs(s) + 0.18 * coherence + CASE regime WHEN 'trend' THEN 0.08 WHEN 'range' THEN -0.08 ELSE 0 END), 6)::DOUBLE AS confidence FROM f""")
 def direction_of_symbols(spark, d):
-    """Direction of each symbol from candles of all five frames, by indicators of log prices."""
-    order = Window.partitionBy("symbol", "frame").orderBy("ts")
-    last = lambda n: order.rowsBetween(1 - n, 0)
-    x = reduce(lambda a, b: a.unionByName(b), [B.bars_from_trades(trades(spark, d), f).withColumn("frame", F.lit(f)) for f in D.FRAME_WEIGHTS])
-    x = x.withColumn("lc", F.ln("close")).withColumn("before", F.lag("lc").over(order)).withColumn("tr", F.greatest(F.ln("high") - F.ln("low"), F.abs(F.ln("high") - F.col("before")), F.abs(F.ln("low") - F.col("before"))))
-    n, mean, sd = F.count("*").over(order), F.avg("lc").over(last(20)), F.stddev_pop("lc").over(last(20))
-    x = x.withColumn("atr", F.when(n >= 16, F.avg("tr").over(last(14))).otherwise(0.0)).withColumn("slope", F.when(n >= 62, mean - F.avg("lc").over(last(60))).otherwise(0.0))
-    x = x.withColumn("pb", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("lc") - mean + 2 * sd) / F.greatest(F.lit(1e-9), 4 * sd)))).withColumn("name", F.struct("symbol", "frame"))
-    xs = F.col("xs")
-    ends = indicators.tails(x, "name").select("name", indicators.rsi(xs).alias("rsi"), indicators.macd_hist(xs).alias("hist"))
-    vote = D.vote(F.col("slope"), F.col("atr"), F.col("hist"), F.col("rsi"), F.col("pb"))
-    votes = relational.latest(x.select("name", "ts", "slope", "atr", "pb"), ["name"], ["ts"]).join(ends, "name").select("name.symbol", "name.frame", vote["score"].alias("score"), vote["trend_strength"].alias("trend_strength"))
+    """Direction of each symbol from the votes of its time frames."""
+    votes = indicators.frame_votes(frame_bars(spark, d), newest(trades(spark, d)))
     return D.aggregate(votes, "symbol").select("symbol", "s", "trendiness", "coherence", "regime", "direction", r("confidence").alias("confidence"))
 
 

@@ -118,14 +118,14 @@ def recency_weights(spark, d):
     return x.select("o_orderkey", r(F.col("w") * F.count("*").over(key) / F.sum("w").over(key)).alias("weight"))
 
 
-POINTS = f"{TRADES}, p AS (SELECT user_id % 50 AS key, ts, least(1, greatest(-1, price / 50 - 1)) AS s, trade_id % 20 AS volume, least(4, sqrt(greatest(1, trade_id % 20))) AS w, max(ts) OVER () AS now FROM t)"
+POINTS = f"{TRADES}, p AS (SELECT user_id % 50 AS key, ts, least(1, greatest(-1, price / 50 - 1)) AS s, trade_id % 20 AS volume, least(4, sqrt(greatest(1, trade_id % 20))) AS w, max(ts) OVER () AS now, price FROM t)"
 
 
 def points(spark, d):
     """Trades as sentiment points, each with the newest time of all."""
     t = trades(spark, d)
     s = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("price") / 50 - 1))
-    x = t.select((F.col("user_id") % 50).alias("key"), "ts", s.alias("sentiment"), (F.col("trade_id") % 20).cast("double").alias("volume"))
+    x = t.select((F.col("user_id") % 50).alias("key"), "ts", s.alias("sentiment"), (F.col("trade_id") % 20).cast("double").alias("volume"), "price")
     return x.withColumn("now", newest(t))
 
 
@@ -142,7 +142,7 @@ _VOTED = lambda name: " + ".join(f"CASE WHEN {v} = '{name}' THEN {w}::DOUBLE ELS
 _VOTE = lambda c: f"CASE WHEN {c} <= -0.35 THEN 'risk_off' WHEN {c} >= 0.35 THEN 'risk_on' ELSE 'neutral' END"
 
 
-@query(f"""WITH {POINTS}, a AS (SELECT key, count(*) AS n_points, {_LIFE(3600)} AS s1, {_LIFE(21600)} AS s6, {_LIFE(86400)} AS sd, {_LIFE(604800)} AS sw FROM p GROUP BY key),
+@query(f"""WITH {POINTS}, wide AS (SELECT * REPLACE (price / 25 - 2 AS s) FROM p), a AS (SELECT key, count(*) AS n_points, {_LIFE(3600)} AS s1, {_LIFE(21600)} AS s6, {_LIFE(86400)} AS sd, {_LIFE(604800)} AS sw FROM (SELECT * REPLACE (least(1, greatest(-1, s)) AS s) FROM wide WHERE ts >= now - 604800) GROUP BY key),
 e AS (SELECT *, least(1, greatest(-1, 0.50 * s1 + 0.30 * s6 + 0.15 * sd + 0.05 * sw + 0.20 * (s1 - s6))) AS eff FROM a),
 v AS (SELECT *, {_VOTE('s1')} AS v1, {_VOTE('s6')} AS v6, {_VOTE('sd')} AS vd, {_VOTE('sw')} AS vw, {_VOTE('eff')} AS ve FROM e),
 m AS (SELECT *, round({_VOTED('risk_on')}, 6) AS a_on, round({_VOTED('risk_off')}, 6) AS a_off, round({_VOTED('neutral')}, 6) AS a_no FROM v),
@@ -150,7 +150,8 @@ k AS (SELECT *, list_sort([a_on, a_off, a_no]) AS o, list_sort([{{'w': a_on, 'e'
 SELECT key, n_points, round(eff, 6) AS effective, round(s1 - s6, 6) AS impulse, best[3].name AS regime, round((o[3] - o[2]) / (a_on + a_off + a_no), 6) AS strength, (eff <= -0.62 AND s1 - s6 < -0.08) OR s6 <= -0.60 AS panic, (eff >= 0.62 AND s1 - s6 > 0.08) OR s6 >= 0.60 AS euphoria FROM k""")
 def market_sentiment(spark, d):
     """Four half lives, their votes and what they come to."""
-    x = sentiment.market_sentiment(points(spark, d), "key", F.col("now"))
+    wide = points(spark, d).withColumn("sentiment", F.col("price") / 25 - 2)  # beyond -1 and 1 too
+    x = sentiment.market_sentiment(wide, "key", F.col("now"))
     return x.select("key", "n_points", r("effective").alias("effective"), r("impulse").alias("impulse"), "regime", r("strength").alias("strength"), "panic", "euphoria")
 
 

@@ -83,7 +83,7 @@ def trigger_geometry(spark, d):
 
 @query("""WITH x AS (SELECT *, CASE WHEN l_linenumber < 4 THEN l_tax * 10 END AS cal, CASE WHEN l_linenumber = 2 THEN 0.92::DOUBLE ELSE 1 END * CASE WHEN l_suppkey % 4 = 0 THEN 0.94::DOUBLE ELSE 1 END * CASE WHEN l_suppkey % 3 = 0 AND l_linenumber <> 5 THEN 0.96::DOUBLE ELSE 1 END * CASE WHEN l_linenumber = 6 THEN 0.98::DOUBLE ELSE 1 END * CASE WHEN l_linenumber < 3 THEN 0.93::DOUBLE ELSE 1 END AS ctx FROM lineitem),
 m AS (SELECT *, CASE WHEN cal IS NULL THEN 0 ELSE least(1, l_suppkey / 300.0::DOUBLE) * 0.40::DOUBLE + 0.10::DOUBLE END AS w FROM x),
-c AS (SELECT *, CASE WHEN cal IS NULL THEN least(0.7::DOUBLE, least(1, l_quantity / 50)) ELSE least(1, greatest(0, (1 - w) * (l_quantity / 50) + w * cal)) END AS mixed FROM m),
+c AS (SELECT *, CASE WHEN cal IS NOT NULL AND l_suppkey = 0 THEN 0 WHEN cal IS NULL THEN least(0.7::DOUBLE, 1 / (1 + exp(-2.1 * (l_quantity / 50)))) ELSE least(1, greatest(0, (1 - w) / (1 + exp(-2.1 * (l_quantity / 50))) + w * cal)) END AS mixed FROM m),
 f AS (SELECT *, mixed * ctx * CASE WHEN l_returnflag = 'R' THEN 0.88::DOUBLE ELSE 1 END * CASE WHEN l_linestatus = 'O' THEN 0.93::DOUBLE ELSE 1 END AS conf, CASE WHEN l_linestatus = 'O' AND l_linenumber <> 1 THEN (l_discount * 10 - 0.2) * 0.92::DOUBLE ELSE l_discount * 10 - 0.2::DOUBLE END AS score FROM c)
 SELECT l_orderkey, l_linenumber, round(conf, 6) AS confidence, round(score, 6) AS score, CASE WHEN l_linenumber = 1 THEN 'blocked' WHEN score < 0.1::DOUBLE THEN 'no_trade' WHEN l_suppkey % 2 = 0 AND conf < 0.3::DOUBLE THEN 'no_trade' ELSE 'recommended' END AS status, round(least(1, l_tax / 0.10::DOUBLE), 6) AS risk FROM f""")
 def decision_status(spark, d):
@@ -140,13 +140,13 @@ def position_costs(spark, d):
 @query("""WITH x AS (SELECT l_orderkey, l_linenumber, greatest(0, (l_tax * 20 - 0.1::DOUBLE) / 100) * 10000 AS gross, greatest(l_discount * 100, 5.5::DOUBLE * 2) AS cost, (l_discount - 0.05) * 100 AS f, l_extendedprice AS size, l_quantity AS q FROM lineitem),
 n AS (SELECT *, gross - cost AS net FROM x)
 SELECT l_orderkey, l_linenumber, round(gross, 4) AS gross_bps, round(cost, 4) AS cost_bps, round(net, 4) AS net_bps, round(net - greatest(0, f), 4) AS stress_bps, round(gross * least(1, greatest(0, q / 50)) - cost, 4) AS projected_bps, net > 0 AS breakeven,
-  concat_ws(',', CASE WHEN net < 2 THEN 'NET_EDGE_THIN' END, CASE WHEN q < 12 THEN 'LIQUIDATION_BUFFER_LOW' END, CASE WHEN l_linenumber > 5 THEN 'LEVERAGE_CAP' END, CASE WHEN size > 60000 THEN 'NOTIONAL_CAP' END, CASE WHEN size / l_linenumber > 30000 THEN 'MARGIN_CAP' END) AS blocks FROM n""")
+  concat_ws(',', CASE WHEN net <= 0 THEN 'GRID_NET_PROFIT_NON_POSITIVE' WHEN net < 2 THEN 'GRID_NET_PROFIT_TOO_THIN' END, CASE WHEN gross <= cost * 1.10::DOUBLE THEN 'GRID_GROSS_EDGE_BELOW_COSTS' END, CASE WHEN q < 12 THEN 'LIQUIDATION_BUFFER_TOO_LOW' END, CASE WHEN l_linenumber < 2 THEN 'MIN_LEVERAGE_PER_BOT' END, CASE WHEN l_linenumber > 5 THEN 'MAX_LEVERAGE_PER_BOT' END, CASE WHEN size > 60000 THEN 'MAX_POSITION_NOTIONAL_PER_BOT' END, CASE WHEN size / l_linenumber > 30000 THEN 'MAX_MARGIN_PER_BOT' END) AS blocks FROM n""")
 def grid_leg(spark, d):
     """What one step of a grid earns, and the codes that economics put on a plan."""
     size, n = F.col("l_extendedprice"), F.col("l_linenumber")
     leg = P.grid_leg(F.col("l_tax") * 20 - 0.1, size, F.lit(5.5), F.col("l_discount") * 100, (F.col("l_discount") - 0.05) * 100, F.col("l_quantity") / 50)
     x = lines(spark, d).select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", *[c.alias(name) for name, c in leg.items()])
-    codes = P.economics_blocks(F.col("net_bps"), F.col("l_quantity"), n, 5, size, 60000, size / n, 30000)
+    codes = P.economics_blocks(F.col("net_bps"), F.col("gross_bps"), F.col("cost_bps"), F.col("l_quantity"), n, (2, 5), size, 60000, size / n, 30000)
     return x.select("l_orderkey", "l_linenumber", *[r(c, 4).alias(c) for c in ("gross_bps", "cost_bps", "net_bps", "stress_bps", "projected_bps")], "breakeven", F.array_join(codes, ",").alias("blocks"))
 
 
