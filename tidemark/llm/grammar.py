@@ -163,7 +163,7 @@ class Shard:
         return expand(self.symbols, self.lengths, self.texts), np.diff(bounds)
 
 
-def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, terminals: int = 49408, keeps_space: bool = False, shard_ids: int = 2_000_000) -> DataFrame:
+def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, terminals: int = 49408, keeps_space: bool = False, shard_ids: int = 1_000_000) -> DataFrame:
     """Encode whole texts, in order of ``id_col``, to grammar-compressed shards.
 
     Rows are range-partitioned and sorted by id; each task writes shards of about

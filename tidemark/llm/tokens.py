@@ -40,7 +40,7 @@ class _Words(dict):
     letters are looked up without it.
     """
 
-    def __init__(self, tokenizer: Tokenizer, before: str, most: int = 400_000):
+    def __init__(self, tokenizer: Tokenizer, before: str, most: int = 100_000):
         super().__init__()
         self.tokenizer, self.before, self.shown, self.most = tokenizer, before, _shown(before), most
         self.old: dict[str, bytes] = {}
