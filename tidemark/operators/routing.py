@@ -14,7 +14,7 @@ def select_strategy(candidates: DataFrame, keys: list[str]) -> DataFrame:
 
     Candidates that are not eligible or not above the least utility do not count.
     Best is the greatest utility, then lower bound, then confidence, then id. It
-    wins unless the next is too near both in all and by share of its own utility.
+    wins unless the next is too near both in all and by share of the next one's utility.
     Only two rows a key pass the window's limit.
     """
     fit = candidates.where(F.coalesce(F.col("eligible"), F.lit(False)) & F.col("rec_id").isNotNull() & (F.col("utility") > LEAST_UTILITY))

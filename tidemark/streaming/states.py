@@ -14,7 +14,9 @@ SEVERITY = {"normal": 0, "guarded": 1, "lockdown": 2}
 def fold(stream: DataFrame, keys: list[str], columns: list[str], order: list[str], step: Callable, added: str, state_schema: str) -> DataFrame:
     """Fold a stream's rows by key: ``step(state or None, row)`` gives (state, values of the ``added`` columns).
 
-    Rows of a trigger go in ``order``. Only the state outlives a trigger.
+    Rows of a trigger go in ``order``; rows of different triggers as these come,
+    so a source must not bring a key's older rows later. Only the state outlives
+    a trigger.
     """
     fields = {f.name: f.dataType.simpleString() for f in stream.schema}
     out = [*keys, *columns]
@@ -125,3 +127,51 @@ def hold_veto(state: tuple | None, row, release: int) -> tuple[tuple, tuple]:
 def veto_cooldown(stream: DataFrame, keys: list[str], release: int = 120) -> DataFrame:
     """Breaks that last some time after the last of them: adds stable and held. Takes ts and state (normal or a break)."""
     return fold(stream, keys, ["ts", "state"], ["ts"], lambda s, r: hold_veto(s, r, release), "stable string, held boolean", "ts long, state string")
+
+
+#: Rises of score, confidence and reward to risk, and shift of entry (percent), from which a publication is a material upgrade.
+UPGRADE_SCORE, UPGRADE_CONFIDENCE, UPGRADE_REWARD, UPGRADE_ENTRY = 0.08, 0.05, 0.08, 1.0
+
+
+def material_upgrade(before: tuple, now: tuple) -> bool:
+    """Whether (score, confidence, reward to risk, entry) is materially better than, or apart from, what came before; missing values count as 0, a missing entry as the same."""
+    rises = [round((b or 0.0) - (a or 0.0), 6) for a, b in zip(before[:3], now[:3], strict=True)]
+    shift = abs(now[3] - before[3]) / before[3] * 100 if before[3] and before[3] > 0 and now[3] and now[3] > 0 else 0.0
+    return rises[0] >= UPGRADE_SCORE or rises[1] >= UPGRADE_CONFIDENCE or rises[2] >= UPGRADE_REWARD or shift >= UPGRADE_ENTRY
+
+
+def lock_publication(state: tuple | None, row, horizon: int, alive: int, cooldown: int) -> tuple[tuple, tuple]:
+    """One step of the publication lock.
+
+    The state is the position that is open (id, until when) and the publication
+    that goes with it (id, when, values). While the position is open, rows reuse
+    the publication as long as it is alive, and then publish a fresh one without a
+    second label. After it, within the cooldown, a row is new only on a material
+    upgrade. A row that publishes with a label locks for ``horizon`` seconds.
+    """
+    ts, rec = int(row.ts), int(row.rec)
+    plain = lambda x: None if x is None or x != x else float(x)
+    values = tuple(plain(x) for x in (row.score, row.confidence, row.reward, row.entry))
+    fresh = ((rec, ts + horizon, rec, ts, *values), ("publish_new", rec, rec, True))
+    if state is None:
+        return fresh
+    position, until, publication, since, *before = state
+    if ts < until:
+        if ts - since <= alive:
+            return state, ("reuse_active", publication, position, False)
+        return (position, until, rec, ts, *values), ("publish_fresh_operator_root", rec, position, False)
+    if ts - since > cooldown or material_upgrade(tuple(before), values):
+        return fresh
+    return state, ("reuse_active", publication, position, False)
+
+
+def publication_lock(stream: DataFrame, keys: list[str], horizon: int, alive: int, cooldown: int) -> DataFrame:
+    """What each recommendation of a stream becomes: adds decision, publication_root, outcome_root, labels. Takes ts, rec (id, a number), score, confidence, reward, entry.
+
+    The lock ends by the rows' own times. State steps order the rows of a trigger
+    by time; triggers must come in order of time.
+    """
+    columns = ["ts", "rec", "score", "confidence", "reward", "entry"]
+    added = "decision string, publication_root long, outcome_root long, labels boolean"
+    state = "position long, until long, publication long, since long, score double, confidence double, reward double, entry double"
+    return fold(stream, keys, columns, ["ts", "rec"], lambda s, r: lock_publication(s, r, horizon, alive, cooldown), added, state)
