@@ -39,7 +39,8 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list, values:
 
 def _inside(part: pd.DataFrame, width: int) -> tuple[pd.DataFrame, np.ndarray]:
     """Rows in order of key, bucket and ``at``, and for each the place of the row that it leads to; -1 where that is in another bucket, or nowhere."""
-    part = part.assign(group=part.groupby(["k", "bucket"], dropna=False).ngroup()).sort_values(["group", "at"]).reset_index(drop=True)
+    keys = part["k"].map(repr) if part["k"].dtype == object else part["k"]  # struct keys come as dictionaries
+    part = part.assign(group=part.groupby([keys, "bucket"], dropna=False).ngroup()).sort_values(["group", "at"]).reset_index(drop=True)
     base = (part["group"] - part["bucket"]).to_numpy(np.int64) * width
     places, to = part["at"].to_numpy(np.int64) + base, part["after"].fillna(-1).to_numpy(np.int64)
     stays = part["after"].notna().to_numpy() & (to // width == part["bucket"].to_numpy(np.int64))

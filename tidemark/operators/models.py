@@ -18,31 +18,39 @@ def linear_probability(features: list[Column], weights: list[float], bias: float
     return sigmoid(total)
 
 
-def fit_weighted(x: np.ndarray, y: np.ndarray, iterations: int = 450, rate: float = 0.12, l2: float = 0.08) -> tuple[np.ndarray, float]:
-    """Class-balanced logistic regression by decaying gradient steps on standardised columns: (weights, bias) for raw columns."""
-    mean, std = x.mean(0), x.std(0)
-    std[std < 1e-9] = 1.0
-    z = (x - mean) / std
+def fit_weighted(x: np.ndarray, y: np.ndarray, iterations: int = 450, rate: float = 0.12, l2: float = 0.08, weights: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Class-balanced logistic regression by decaying gradient steps on standardised columns: (weights, bias) for raw columns.
+
+    Rows weigh ``weights`` (1 by default). With one class alone there is a bias only.
+    """
+    own = np.ones(len(y)) if weights is None else weights
     wins = y.sum()
-    weight = np.where(y == 1, len(y) / (2 * max(1.0, wins)), len(y) / (2 * max(1.0, len(y) - wins)))
-    w, b = np.zeros(x.shape[1]), 0.0
+    if wins in (0, len(y)):
+        share = min(0.98, max(0.02, wins / max(1, len(y))))
+        return np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
+    mean = np.average(x, axis=0, weights=own)
+    std = np.maximum(1e-6, np.sqrt(np.average((x - mean) ** 2, axis=0, weights=own)))
+    z = (x - mean) / std
+    weight = own * np.where(y == 1, len(y) / (2 * wins), len(y) / (2 * (len(y) - wins)))
+    share = min(0.98, max(0.02, (weight * y).sum() / weight.sum()))
+    w, b = np.zeros(x.shape[1]), float(np.log(share / (1 - share)))
     for step in range(iterations):
-        p = 1 / (1 + np.exp(-np.clip(z @ w + b, -60, 60)))
-        g = (p - y) * weight / weight.sum()
+        g = (1 / (1 + np.exp(-np.clip(z @ w + b, -60, 60))) - y) * weight / weight.sum()
         now = rate / np.sqrt(1 + step / 75)
-        w, b = w - now * (z.T @ g + l2 * w / len(y)), b - now * g.sum()
+        w, b = w - now * (z.T @ g + l2 * w), b - now * g.sum()
     return w / std, float(b - (w / std) @ mean)
 
 
-def fit_platt(x: np.ndarray, y: np.ndarray, iterations: int = 300, rate: float = 0.06, least: int = 80) -> tuple[float, float, bool]:
+def fit_platt(x: np.ndarray, y: np.ndarray, iterations: int = 300, rate: float = 0.06, least: int = 80, weights: np.ndarray | None = None) -> tuple[float, float, bool]:
     """Platt's (a, b, fitted). Not fitted where twice the rarer label is under ``least`` or the share of wins is not in 0.15 to 0.85."""
     wins = int(y.sum())
     if 2 * min(wins, len(y) - wins) < least or not 0.15 <= wins / len(y) <= 0.85:
         return 1.0, 0.0, False
-    a, b = 1.0, 0.0
+    own = np.ones(len(y)) if weights is None else weights
+    own, a, b = own / own.sum(), 1.0, 0.0
     for _ in range(iterations):
-        error = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500))) - y
-        a, b = a - rate * (error @ x) / len(x), b - rate * error.mean()
+        error = (1 / (1 + np.exp(-np.clip(a * x + b, -500, 500))) - y) * own
+        a, b = a - rate * (error @ x), b - rate * error.sum()
     return float(a), float(b), True
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import saved
 from .buckets import followed, running
 from .joins import as_of
 
@@ -57,19 +58,34 @@ def clusters(df: DataFrame, key: str, start: str, end: str, bucket: int = 30 * 8
     return merged(df, key, start, end, lambda s, before: s < before, ("cluster_start", "cluster_end"), bucket)
 
 
-def most_apart(df: DataFrame, key: str, start: str, end: str, bucket: int = 90 * 86400) -> DataFrame:
-    """The greatest number of intervals of each key that do not overlap: earliest finish first. key, apart.
-
-    After an interval comes the one of earliest end among those that start at its
-    end or later: a running minimum from the last start backwards, looked up by an
-    as-of join. Those links are followed from the earliest end.
-    """
+def _apart_links(df: DataFrame, key: str, start: str, end: str, bucket: int) -> DataFrame:
+    """key, at, after: each end and the end of the interval to take next, the one of earliest end among those that start then or later."""
     ends = df.where(F.col(end) > F.col(start)).groupBy(key, F.col(start).cast("long").alias("ts")).agg(F.min(F.col(end).cast("long")).alias("_e"))
     soonest = running(ends, [key], -F.floor(F.col("ts") / bucket), [F.col("ts").desc()], {"soonest": ("min", F.col("_e"))}).select(key, "ts", "soonest")
     at = ends.select(key, F.col("_e").alias("ts")).distinct()
     links = as_of(at, soonest, key, values=("soonest",), bucket=bucket, forward=True)
-    way = followed(links.select(key, F.col("ts").alias("at"), F.col("asof_soonest").alias("after")), key, bucket)
-    return way.groupBy(key).agg(F.count("*").alias("apart"))
+    return links.select(key, F.col("ts").alias("at"), F.col("asof_soonest").alias("after"))
+
+
+def most_apart(df: DataFrame, key: str, start: str, end: str, bucket: int = 90 * 86400) -> DataFrame:
+    """The greatest number of intervals of each key that do not overlap: earliest finish first. key, apart.
+
+    Links from each end to the next are made by a running minimum and an as-of
+    join, and followed from the earliest end.
+    """
+    return followed(_apart_links(df, key, start, end, bucket), key, bucket).groupBy(key).agg(F.count("*").alias("apart"))
+
+
+def apart(df: DataFrame, key: str, start: str, end: str, bucket: int = 90 * 86400) -> DataFrame:
+    """key, start, end: intervals of each key that do not overlap, as many as can be: earliest finish first, of equal ends the earliest start that fits."""
+    links = saved(_apart_links(df, key, start, end, bucket), "apart-links")
+    way = saved(followed(links, key, bucket), "apart-way").select(F.col(key).alias("_k"), F.col("at").alias("_at"))
+    first = way.groupBy("_k").agg(F.min("_at").alias("_e")).select("_k", F.lit(None).cast("long").alias("_from"), "_e")
+    later = links.where("after is not null").join(way, F.col(key).eqNullSafe(F.col("_k")) & (F.col("at") == F.col("_at")), "left_semi").select(F.col(key).alias("_k"), F.col("at").alias("_from"), F.col("after").alias("_e"))
+    taken = first.unionByName(later)
+    spans = df.where(F.col(end) > F.col(start)).select(key, F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_end")).distinct()
+    fits = spans.join(taken, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_end") == F.col("_e"))).where(F.col("_from").isNull() | (F.col("_s") >= F.col("_from")))
+    return fits.groupBy(key, F.col("_end").alias(end)).agg(F.min("_s").alias(start)).select(key, start, end)
 
 
 def pearson(df: DataFrame, key: str, x: str, y: str) -> DataFrame:

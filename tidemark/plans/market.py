@@ -589,4 +589,4 @@ def stream_distinct(spark, d):
     return _drained(spark, candles.distinct_ever(candles.trade_stream(spark, d, "events"), ["event_id"]).select("event_id", "user_id", "value"))
 
 
-from . import continuous, decisions, evidence, rules  # noqa: E402, F401  register their queries here
+from . import continuous, decisions, evidence, learning, rules  # noqa: E402, F401  register their queries here
