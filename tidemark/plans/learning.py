@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import eligibility as EL
 from ..functions import features as X
+from ..functions import policy as P
 from ..operators import crossfit, lineage, selection
 from ..sources.recorded import RecordedMessages
 from ..sources.shared import shared_dir
@@ -130,3 +132,41 @@ def purged_skill(spark, d):
     oof = crossfit.out_of_fold(fold_rows(spark, d), "k", "ts", "available", FOLD_FEATURES, "score", "y", "w", least=40)
     got = crossfit.skill(oof, "k", "y", "w", 40)
     return got.select("k", "status", "samples", "final_samples", *[r(c).alias(c) for c in ("feature_loss", "score_loss", "null_loss", "final_feature_loss", "final_score_loss", "final_null_loss")])
+
+
+#: A contract in canonical form, and the JSON of reasons around it: the score floor alone varies.
+_CONTRACT = "'{\"calibration\":{\"label_due_grace_sec\":60},\"selection\":{' || CASE WHEN o_orderkey % 13 <> 0 THEN '\"mean_reversion_min_score\":0.4,' ELSE '' END || '\"min_score_to_recommend\":0.' || (1 + o_orderkey % 3)::VARCHAR || '}}'"
+_POLICY = """'{"feature_snapshot": {"mean_reversion_score": 0.' || d1 || ', "mean_reversion_evidence_valid": ' || CASE WHEN o_orderkey % 4 = 0 THEN '0' ELSE '1' END || ', "trend_strength": ' || CASE WHEN o_orderkey % 6 = 0 THEN '"no"' ELSE '0.' || d1 END || ', "trend_evidence_valid": true, "coherence": 0.7, "regime": "' || CASE WHEN o_orderkey % 10 = 7 THEN 'range' ELSE 'Trend ' END || '"},
+"outcome_policy": {"policy_contract": ' || contract || ', "policy_fingerprint": "' || CASE WHEN o_orderkey % 17 = 0 THEN 'x' ELSE '' END || hash || '", "policy_evaluation_eligible": ' || CASE WHEN o_orderkey % 5 = 0 THEN '"true"' ELSE 'true' END || ', "eligible": ' || CASE WHEN o_orderkey % 8 = 0 THEN 'false' ELSE 'true' END || ', "sample_role": "' || CASE WHEN o_orderkey % 3 = 0 THEN 'shadow_no_trade' ELSE 'live' END || '", "label_due_ts": ' || (ts + 3660 + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END)::VARCHAR || '},
+"execution_constraints": {' || CASE WHEN o_orderkey % 7 < 3 THEN '"raw_direction": "' || CASE WHEN o_orderkey % 7 = 0 THEN 'short' ELSE 'up' END || '"' ELSE '' END || '}, "risk_checks": {"blocks": [' || CASE WHEN o_orderkey % 9 = 0 THEN '{"code": "SPREAD"}, " SPREAD ", {"reason": "THIN"}, 5' ELSE '' END || ']}}'"""
+_SPARK_POLICY = _POLICY.replace("::VARCHAR", "::STRING")
+_J = lambda path: f"json_extract_string(j, '$.{path}')"
+_ON = lambda path: f"coalesce(json_type(j, '$.{path}') = 'BOOLEAN' AND {_J(path)} = 'true', false)"
+
+
+@query(f"""WITH o AS (SELECT o_orderkey, (o_orderkey % 10)::VARCHAR AS d1, epoch_us(o_orderdate) // 1000000 AS ts, CASE WHEN o_orderkey % 3 = 1 THEN 'directional_trend' ELSE 'futures_grid' END AS bot, CASE WHEN o_orderkey % 29 <> 0 THEN o_custkey % 10 / 10.0 END::DOUBLE AS score, CASE WHEN o_orderkey % 23 <> 0 THEN epoch_us(o_orderdate) // 1000000 + 3660 + o_orderkey % 5 - 1 END AS available, ['long', 'short', 'neutral', ''][1 + o_orderkey % 4] AS side, {_CONTRACT} AS contract FROM orders),
+h AS (SELECT *, sha256(contract) AS hash FROM o), x AS (SELECT *, CASE WHEN o_orderkey % 31 <> 0 THEN ({_POLICY})::JSON END AS j, (SELECT max(hash) FROM h WHERE o_orderkey % 3 = 1 AND o_orderkey % 13 <> 0) AS active, 800000000 AS now FROM h),
+p AS (SELECT *, bot = 'directional_trend' AS trending, try_cast({_J('feature_snapshot.mean_reversion_score')} AS DOUBLE) AS rev, coalesce(try_cast({_J('feature_snapshot.trend_strength')} AS DOUBLE) BETWEEN 0 AND 1, false) AS strong, coalesce({_J('feature_snapshot.coherence')} = '0.7', false) AS coherent, coalesce(lower(trim({_J('feature_snapshot.regime')})), '') AS regime, coalesce({_J('feature_snapshot.mean_reversion_evidence_valid')} = '1', false) AS reverts,
+  try_cast({_J('outcome_policy.policy_contract.selection.min_score_to_recommend')} AS DOUBLE) AS floor, try_cast({_J('outcome_policy.policy_contract.selection.mean_reversion_min_score')} AS DOUBLE) AS least, {_ON('outcome_policy.policy_evaluation_eligible')} AS evaluated, {_ON('outcome_policy.eligible')} AS counted, {_J('outcome_policy.policy_fingerprint')} AS own, try_cast({_J('outcome_policy.label_due_ts')} AS BIGINT) AS said, ts + 3600 + CASE WHEN j IS NULL THEN 120 ELSE 60 END AS due FROM x),
+q AS (SELECT *, strong AND coherent AND regime = 'trend' AS trends, coalesce(own = hash, false) AS verified, coalesce(own = active, false) AS match, coalesce(said = due AND available >= due, false) AS kept, coalesce(said IS NOT NULL AND available IS NOT NULL AND greatest(said, available) <= now, false) AS ripe, coalesce({_J('execution_constraints.raw_direction')}, nullif(side, ''), 'neutral') AS raw0 FROM p),
+r AS (SELECT *, match AND verified AND evaluated AND coalesce(score >= floor, false) AND CASE WHEN trending THEN trends ELSE reverts AND coalesce(rev >= least, false) END AND kept AND ripe AS calibrates, CASE WHEN raw0 IN ('long', 'short', 'neutral') THEN raw0 ELSE 'neutral' END AS raw_direction, CASE WHEN side = '' THEN 'neutral' ELSE side END AS execution_direction FROM q)
+SELECT o_orderkey, CASE WHEN NOT match THEN 'other_policy' WHEN calibrates THEN 'calibration_eligible' WHEN evaluated AND verified THEN 'policy_evaluation_candidate' WHEN counted AND {_J('outcome_policy.sample_role')} = 'shadow_no_trade' THEN 'shadow_exploration' WHEN counted THEN 'outcome_only' ELSE 'excluded' END AS cohort, calibrates AS calibration_eligible, match AND verified AS in_policy, raw_direction, execution_direction,
+  CASE WHEN execution_direction <> 'neutral' THEN NULL WHEN raw_direction = 'short' THEN 'futures_neutral' WHEN raw_direction = 'neutral' THEN 'true_neutral' ELSE 'other_neutralized' END AS neutral_source,
+  concat_ws(',', CASE WHEN NOT match THEN 'ACTIVE_POLICY_FINGERPRINT_MISMATCH' END, CASE WHEN NOT verified THEN 'POLICY_CONTRACT_UNVERIFIED' END, CASE WHEN NOT evaluated THEN 'POLICY_EVALUATION_EXCLUDED' END, CASE WHEN score IS NULL THEN 'SCORE_INVALID' END, CASE WHEN floor IS NULL THEN 'SCORE_POLICY_FLOOR_MISSING' END, CASE WHEN score < floor THEN 'SCORE_BELOW_POLICY_FLOOR' END,
+   CASE WHEN trending AND NOT trends THEN 'TREND_EVIDENCE_INVALID' END, CASE WHEN trending AND NOT strong THEN 'TREND_STRENGTH_INVALID' END, CASE WHEN trending AND NOT coherent THEN 'TREND_COHERENCE_INVALID' END, CASE WHEN trending AND regime <> 'trend' THEN 'TREND_REGIME_MISMATCH' END, CASE WHEN NOT trending AND NOT reverts THEN 'MEAN_REVERSION_EVIDENCE_INVALID' END, CASE WHEN NOT trending AND least IS NULL THEN 'MEAN_REVERSION_POLICY_FLOOR_MISSING' END, CASE WHEN NOT trending AND reverts AND rev < least THEN 'MEAN_REVERSION_BELOW_POLICY_FLOOR' END,
+   CASE WHEN said IS NULL THEN 'LABEL_DUE_MISSING' END, CASE WHEN said <> due THEN 'LABEL_DUE_CONTRACT_MISMATCH' END, CASE WHEN available IS NULL THEN 'LABEL_AVAILABILITY_MISSING' END, CASE WHEN available < due THEN 'LABEL_AVAILABILITY_PREMATURE' END, CASE WHEN NOT ripe THEN 'LABEL_NOT_MATURED' END, CASE WHEN (o_orderkey % 6 = 1) <> evaluated AND o_orderkey % 6 < 2 THEN 'MATERIALIZED_POLICY_ELIGIBILITY_MISMATCH' END, CASE WHEN j IS NOT NULL AND o_orderkey % 9 = 0 THEN 'SPREAD,THIN,5' END) AS codes FROM r""")
+def exact_policy(spark, d):
+    """Which orders, as labelled outcomes, count for the policy in force, and what keeps the others out."""
+    k = F.col("o_orderkey")
+    o = table(spark, d, "orders").withColumn("ts", epoch(F.col("o_orderdate"))).withColumn("d1", (k % 10).cast("string")).withColumn("contract", F.expr(_CONTRACT.replace("::VARCHAR", "::STRING")))
+    o = o.withColumn("hash", F.sha2("contract", 256))
+    active = o.where("o_orderkey % 3 = 1 and o_orderkey % 13 <> 0").agg(F.max("hash")).scalar()
+    side = F.element_at(F.array(F.lit("long"), F.lit("short"), F.lit("neutral"), F.lit("")), (k % 4 + 1).cast("int"))
+    x = o.select(
+        "o_orderkey", "ts", "hash", F.when(k % 3 == 1, "directional_trend").otherwise("futures_grid").alias("bot"), F.when(k % 29 != 0, F.col("o_custkey") % 10 / 10.0).alias("score"), F.when(k % 23 != 0, F.col("ts") + 3660 + k % 5 - 1).alias("available"), side.alias("side"), X.variant(F.when(k % 31 != 0, F.expr(_SPARK_POLICY))).alias("v")
+    )
+    x = x.withColumn("active", active)
+    v, active = F.col("v"), F.col("active")
+    got = EL.eligibility(v, F.col("bot"), F.col("score"), F.col("ts"), F.lit(3600), F.col("available"), {"policy": k % 6}, active, F.lit(800000000))
+    inside = P.holds((F.lower(EL.text(v, "$.outcome_policy.policy_fingerprint")) == active) & (EL.contract_fingerprint(v) == active))
+    return x.select("o_orderkey", got["cohort"].alias("cohort"), got["calibration_eligible"].alias("calibration_eligible"), inside.alias("in_policy"), *[c.alias(n) for n, c in EL.directions(v, F.col("side"), F.lit(None).cast("string")).items()], F.array_join(got["reason_codes"], ",").alias("codes"))
