@@ -54,3 +54,32 @@ def observability(outcomes: DataFrame, key: str, ts: str = "ts", end: str = "end
     windows = outcomes.select(key, F.col(ts).alias("s"), F.col(end).alias("e")).distinct()
     merged = stats.clusters(windows, key, "s", "e").groupBy(key).agg(F.count("*").alias("clusters"))
     return reduce(lambda a, b: a.join(b, key), [merged, stats.most_apart(windows, key, "s", "e")], x)
+
+
+def label_ledger(rows: DataFrame, outcomes: DataFrame, ledger: DataFrame, key: str, now: Column, grace: int = 120) -> DataFrame:
+    """What the ledger of labels says of each root that counts: key, ts, label_due_ts, state, reason.
+
+    ``rows`` has key, ts, horizon, root and eligible; ``outcomes`` key and
+    available; ``ledger`` key and state (waiting or censored) of what is there.
+    An outcome makes a root labeled, whatever the ledger says; a censored one
+    stays so; others wait until they are due, and are unresolved after. Roots new
+    to the ledger get a reason that says whence they come.
+    """
+    o = outcomes.groupBy(F.col(key).alias("_o")).agg(F.max("available").alias("_available"))
+    seen = ledger.groupBy(F.col(key).alias("_l")).agg(F.max("state").alias("_state"))
+    x = rows.where(F.coalesce("root", F.lit(True)) & F.col("ts").isNotNull() & (F.col("ts") > 0)).join(o, F.col(key) == F.col("_o"), "left").join(seen, F.col(key) == F.col("_l"), "left")
+    planned = F.when(F.col("horizon") > 0, F.col("ts") + F.col("horizon") + grace)
+    labeled = F.col("_o").isNotNull()
+    due = F.when(labeled & (F.col("_available") >= F.col("ts")), F.col("_available")).otherwise(planned)
+    x = x.withColumn("label_due_ts", due).where(labeled | F.col("_l").isNotNull() | (F.coalesce("eligible", F.lit(False)) & planned.isNotNull()))
+    state = F.when(labeled, "labeled").when(F.col("_state") == "censored", "censored").when(F.col("label_due_ts") <= now, "unresolved").otherwise("waiting")
+    reason = F.when(F.col("_l").isNotNull(), "kept").when(labeled, "existing_outcome_materialized").otherwise("scheduled_for_label_horizon")
+    return x.select(key, "ts", "label_due_ts", state.alias("state"), reason.alias("reason"))
+
+
+def ledger_counts(ledger: DataFrame, key: str, valid: Column) -> DataFrame:
+    """Matured roots of each key by what became of them: matured_total, labeled_total, censored_total, unresolved_total, invalid_labeled_total. ``valid`` says whether a labeled root's label is sound."""
+    is_ = lambda s: F.col("state") == s
+    return ledger.where(F.col("state") != "waiting").groupBy(key).agg(
+        F.count("*").alias("matured_total"), F.count_if(is_("labeled")).alias("labeled_total"), F.count_if(is_("censored")).alias("censored_total"), F.count_if(is_("unresolved")).alias("unresolved_total"), F.count_if(is_("labeled") & ~F.coalesce(valid, F.lit(False))).alias("invalid_labeled_total")
+    )

@@ -56,3 +56,24 @@ def with_fallback(rows: DataFrame, features: DataFrame, keys: list[str], loose:
     x = rows.join(exact, [F.col(k) == F.col(f"_x_{k}") for k in keys], "left").join(any_, [F.col(k) == F.col(f"_y_{k}") for k in loose], "left")
     hit = F.coalesce("_exact", "_any")
     return x.select(*rows.columns, *[hit[v].alias(v) for v in values])
+
+
+def newest_valid(df: DataFrame, keys: list[str], ts: str, valid: Column, n: int) -> DataFrame:
+    """Each key's ``n`` newest rows that are valid: rows are judged before they are counted, so invalid ones take no place. Adds rn, 1 the newest."""
+    newest_first = Window.partitionBy(*keys).orderBy(F.col(ts).desc())
+    return df.where(valid).withColumn("rn", F.row_number().over(newest_first)).where(F.col("rn") <= n)
+
+
+def latest_or_fallback(df: DataFrame, keys: list[str], ts: str, valid: Column, columns: list[str], fallback: dict[str, Column]) -> DataFrame:
+    """Each key's newest valid row, or where it has none its newest row with ``fallback`` in place of columns; adds is_valid. One partial aggregate."""
+    good = F.coalesce(valid, F.lit(False))
+    best = F.max_by(F.struct(F.col(ts), good.alias("is_valid"), *columns), F.struct(good, F.col(ts)))
+    got = df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
+    return got.withColumns({c: F.when(F.col("is_valid"), F.col(c)).otherwise(x) for c, x in fallback.items()})
+
+
+def work_queue(due: DataFrame, attempts: DataFrame, key: str, ts: str, attempted: str, n: int) -> DataFrame:
+    """The ``n`` rows to work on next: least recently attempted first (never counts as 0), then oldest, then key."""
+    last = attempts.groupBy(F.col(key).alias("_k")).agg(F.max(attempted).alias("last_attempt"))
+    x = due.join(last, F.col(key) == F.col("_k"), "left").drop("_k").withColumn("last_attempt", F.coalesce("last_attempt", F.lit(0)))
+    return x.orderBy("last_attempt", ts, key).limit(n)

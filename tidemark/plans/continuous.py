@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
+from ..operators import outcomes, relational, shock
 from ..sources.shared import saved, shared_dir
 from ..sources.tables import epoch, table, trades
 from ..streaming import candles, coverage, states, stores
@@ -162,3 +163,61 @@ def stream_publication_lock(spark, d):
         F.col("user_id").alias("k"), epoch(F.col("ts")).cast("long").alias("ts"), F.col("event_id").alias("rec"), (F.col("value") % 10 / 10).alias("score"), (F.col("value") % 7 / 10).alias("confidence"), (F.col("event_id") % 9 / 10.0).alias("reward"), (100 + F.col("event_id") % 3).cast("double").alias("entry")
     )
     return _drained(spark, states.publication_lock(x, ["k"], 5 * DAY, DAY, 10 * DAY)).select("k", "ts", "rec", "decision", "publication_root", "outcome_root", "labels")
+
+
+SHOCKS = "s AS (SELECT l_partkey % 50 AS ts, CASE WHEN l_linenumber = 1 AND l_suppkey % 2 = 0 THEN 'BTC' WHEN l_linenumber = 2 AND l_suppkey % 2 = 0 THEN 'eth' ELSE 's' || l_suppkey END AS symbol, CASE WHEN l_orderkey % 7 <> 3 THEN ((l_partkey % 50) - 25) / 1500.0::DOUBLE + (l_orderkey % 11 - 5) / (CASE WHEN l_partkey % 50 = 25 THEN 200.0 ELSE 1500.0 END)::DOUBLE END AS r5, ((l_partkey % 50) - 25) / 900.0::DOUBLE * CASE WHEN l_orderkey % 13 = 0 OR l_partkey % 50 = 25 AND l_orderkey % 3 = 0 THEN -1 ELSE 1 END - CASE WHEN l_partkey % 50 = 25 THEN (l_orderkey % 11 - 5) / 300.0::DOUBLE ELSE 0 END AS r15, l_quantity / 25 AS volume_z, CASE WHEN l_partkey % 3 = 0 THEN -1 WHEN l_partkey % 3 = 1 THEN 1 ELSE 0 END AS vote FROM lineitem)"
+_FIVE = "coalesce(r5, 0)"
+_SIGNALS = lambda sign, breadth: f"[CASE WHEN {sign} * btc >= 0.016::DOUBLE THEN 2 WHEN {sign} * btc >= 0.009::DOUBLE THEN 1 ELSE 0 END, CASE WHEN {sign} * eth >= 0.020::DOUBLE THEN 2 WHEN {sign} * eth >= 0.012::DOUBLE THEN 1 ELSE 0 END, CASE WHEN {breadth} >= 0.68::DOUBLE THEN 2 WHEN {breadth} >= 0.55::DOUBLE THEN 1 ELSE 0 END, CASE WHEN {sign} * mid >= 0.010::DOUBLE AND vol >= 1.0 THEN 2 WHEN {sign} * mid >= 0.008::DOUBLE AND vol >= 0.8::DOUBLE THEN 1 ELSE 0 END, CASE WHEN vote = {sign} THEN 1 ELSE 0 END]"
+
+
+@query(f"""WITH {SHOCKS}, a AS (SELECT ts, count(*) AS active, avg(({_FIVE} <= -0.008::DOUBLE AND r15 <= -0.012::DOUBLE)::INT) AS bd, avg(({_FIVE} >= 0.008::DOUBLE AND r15 >= 0.012::DOUBLE)::INT) AS bu, avg((abs({_FIVE}) >= 0.010::DOUBLE AND {_FIVE} * r15 < 0)::INT) AS bm, coalesce(median(r5), 0) AS mid, coalesce(median(abs(r5)), 0) AS size, median(volume_z) AS vol,
+  max(r5) FILTER (lower(symbol) = 'btc') AS btc, max(r5) FILTER (lower(symbol) = 'eth') AS eth, max(vote) AS vote FROM s GROUP BY ts),
+w AS (SELECT *, {_SIGNALS(-1, 'bd')} AS d, {_SIGNALS(1, 'bu')} AS u FROM a), k AS (SELECT *, list_sum(d)::INT AS dw, list_sum(u)::INT AS uw, len(list_filter(d, lambda x: x = 2)) AS ds, len(list_filter(u, lambda x: x = 2)) AS us FROM w),
+z AS (SELECT *, CASE WHEN active >= 6 AND size >= 0.012::DOUBLE AND vol >= 1.1::DOUBLE AND bm >= 0.20::DOUBLE AND abs(mid) <= 0.004::DOUBLE THEN 'chaos' WHEN dw >= 5 AND ds >= 2 AND dw > uw THEN 'red_down' WHEN uw >= 5 AND us >= 2 AND uw > dw THEN 'red_up' WHEN dw >= 3 AND ds >= 1 AND dw > uw THEN 'amber_down' WHEN uw >= 3 AND us >= 1 AND uw > dw THEN 'amber_up' ELSE 'normal' END AS state FROM k)
+SELECT ts, active, round(bd, 6) AS breadth_down, round(mid, 6) AS median_r5, dw AS down_weight, uw AS up_weight, state, CASE WHEN state IN ('chaos', 'red_down', 'red_up') THEN 'lockdown' WHEN state LIKE 'amber%' THEN 'guarded' ELSE 'normal' END AS severity, CASE WHEN state = 'chaos' THEN 'two_sided' WHEN state LIKE '%down' THEN 'down' WHEN state LIKE '%up' THEN 'up' ELSE 'neutral' END AS bias,
+  state IN ('chaos', 'red_down', 'red_up') OR state = 'amber_down' AND dw >= 4 AND (ds >= 2 OR bd >= 0.68::DOUBLE OR size >= 0.010::DOUBLE) OR state = 'amber_up' AND uw >= 4 AND (us >= 2 OR bu >= 0.68::DOUBLE OR size >= 0.010::DOUBLE) AS blocks_neutral FROM z""")
+def market_shock(spark, d):
+    """State of the market from how many symbols move at once, the benchmarks, the impulse and sentiment."""
+    p, k, s = F.col("l_partkey") % 50, F.col("l_orderkey"), F.col("l_suppkey")
+    symbol = F.when((F.col("l_linenumber") == 1) & (s % 2 == 0), "BTC").when((F.col("l_linenumber") == 2) & (s % 2 == 0), "eth").otherwise(F.concat(F.lit("s"), s))
+    r5 = F.when(k % 7 != 3, (p - 25) / 1500.0 + (k % 11 - 5) / F.when(p == 25, 200.0).otherwise(1500.0))
+    r15 = (p - 25) / 900.0 * F.when((k % 13 == 0) | ((p == 25) & (k % 3 == 0)), -1).otherwise(1) - F.when(p == 25, (k % 11 - 5) / 300.0).otherwise(0.0)
+    vote = F.when(F.col("l_partkey") % 3 == 0, -1).when(F.col("l_partkey") % 3 == 1, 1).otherwise(0)
+    x = table(spark, d, "lineitem").select(p.alias("ts"), symbol.alias("symbol"), r5.alias("r5"), r15.alias("r15"), (F.col("l_quantity") / 25).alias("volume_z"), vote.alias("panic_vote"))
+    return shock.market_shock(x, ["ts"]).select("ts", "active", r("breadth_down").alias("breadth_down"), r("median_r5").alias("median_r5"), "down_weight", "up_weight", "state", "severity", "bias", "blocks_neutral")
+
+
+@query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC)::INT AS rn FROM orders WHERE o_totalprice > 60000 AND o_orderkey % 7 <> 0 QUALIFY rn <= 3")
+def newest_valid(spark, d):
+    """Each customer's three newest orders that are valid; others take no place."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return relational.newest_valid(o, ["o_custkey"], "o_orderkey", (F.col("o_totalprice") > 60000) & (F.col("o_orderkey") % 7 != 0), 3).select("o_custkey", "o_orderkey", "rn")
+
+
+@query("""WITH x AS (SELECT *, o_totalprice > 200000 AS ok FROM orders) SELECT o_custkey, max_by(o_orderkey, (ok, o_orderkey)) AS o_orderkey, bool_or(ok) AS is_valid, CASE WHEN bool_or(ok) THEN max_by(o_totalprice, (ok, o_orderkey)) END AS price FROM x GROUP BY o_custkey""")
+def latest_or_fallback(spark, d):
+    """Each customer's newest valid order, or the newest of all without its price."""
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").alias("price"))
+    return relational.latest_or_fallback(o, ["o_custkey"], "o_orderkey", F.col("price") > 200000, ["price"], {"price": F.lit(None).cast("double")})
+
+
+@query("""WITH a AS (SELECT l_orderkey, max(epoch_us(l_shipdate) // 1000000) AS m FROM lineitem WHERE l_linenumber > 2 GROUP BY 1)
+SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS ts, coalesce(m, 0) AS last_attempt FROM orders LEFT JOIN a ON l_orderkey = o_orderkey ORDER BY coalesce(m, 0), ts, o_orderkey LIMIT 50""")
+def work_queue(spark, d):
+    """The fifty orders to work on next: least recently attempted, then oldest."""
+    due = table(spark, d, "orders").select("o_orderkey", epoch(F.col("o_orderdate")).alias("ts"))
+    tries = table(spark, d, "lineitem").where("l_linenumber > 2").select(F.col("l_orderkey").alias("o_orderkey"), epoch(F.col("l_shipdate")).alias("at"))
+    return relational.work_queue(due, tries, "o_orderkey", "ts", "at", 50)
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) // 1000000 AS ts, CASE WHEN o_orderkey % 8 <> 0 THEN 86400 * (1 + o_orderkey % 30) END AS h, o_orderkey % 5 <> 0 AS root, o_orderkey % 3 <> 0 AS eligible FROM orders),
+a AS (SELECT l_orderkey, max(epoch_us(l_shipdate) // 1000000) - 8640000 AS av FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1), g AS (SELECT DISTINCT l_orderkey, 'censored' AS st FROM lineitem WHERE l_returnflag = 'A' AND l_linenumber = 4),
+x AS (SELECT o.*, a.av, a.l_orderkey IS NOT NULL AS lab, g.st, ts + h + 120 AS planned FROM o LEFT JOIN a ON a.l_orderkey = k LEFT JOIN g ON g.l_orderkey = k WHERE root)
+SELECT k, ts, CASE WHEN lab AND av >= ts THEN av ELSE planned END AS label_due_ts, CASE WHEN lab THEN 'labeled' WHEN st = 'censored' THEN 'censored' WHEN planned <= 800000000 THEN 'unresolved' ELSE 'waiting' END AS state, CASE WHEN st IS NOT NULL THEN 'kept' WHEN lab THEN 'existing_outcome_materialized' ELSE 'scheduled_for_label_horizon' END AS reason FROM x WHERE lab OR st IS NOT NULL OR eligible AND planned IS NOT NULL""")
+def label_ledger(spark, d):
+    """What the ledger says of each order as a root: labeled, censored, waiting or unresolved."""
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.alias("k"), epoch(F.col("o_orderdate")).alias("ts"), F.when(k % 8 != 0, 86400 * (1 + k % 30)).alias("horizon"), (k % 5 != 0).alias("root"), (k % 3 != 0).alias("eligible"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_returnflag", "l_linenumber", (epoch(F.col("l_shipdate")) - 8640000).alias("available"))
+    ledger = lines.where("l_returnflag = 'A' and l_linenumber = 4").select("k", F.lit("censored").alias("state"))
+    return outcomes.label_ledger(rows, lines.where("l_returnflag = 'R'").select("k", "available"), ledger, "k", F.lit(800000000))

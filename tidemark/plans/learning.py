@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import eligibility as EL
 from ..functions import features as X
 from ..functions import policy as P
-from ..operators import crossfit, lineage, selection
+from ..operators import calibrator, crossfit, lineage, selection
 from ..sources.recorded import RecordedMessages
 from ..sources.shared import shared_dir
 from ..sources.tables import epoch, table
@@ -121,7 +121,7 @@ def fold_rows(spark, d):
     """Line items as labelled rows: what their discount and quantity foretell."""
     ts, signal = epoch(F.col("l_shipdate")), F.col("l_discount") * 10 + F.col("l_quantity") / 50 + F.col("l_partkey") % 17 / 17
     return table(spark, d, "lineitem").select(
-        (F.col("l_linenumber") % 3).alias("k"), ts.alias("ts"), (ts + DAY * (1 + F.col("l_linenumber"))).alias("available"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"),
+        (F.col("l_linenumber") % 3).alias("k"), ts.alias("ts"), (ts + DAY * (1 + F.col("l_linenumber"))).alias("available"), (F.col("l_quantity") / 50).alias("quantity"), (F.col("l_discount") * 10).alias("discount"), (F.col("l_tax") * 10).alias("tax"),
         (F.col("l_tax") * 10 - 0.4).alias("score"), (signal > 1.4).cast("int").alias("y"), (1 + F.col("l_suppkey") % 4).cast("double").alias("w"), (F.col("l_discount") - F.col("l_tax")).alias("ret"),
     )
 
@@ -170,3 +170,36 @@ def exact_policy(spark, d):
     got = EL.eligibility(v, F.col("bot"), F.col("score"), F.col("ts"), F.lit(3600), F.col("available"), {"policy": k % 6}, active, F.lit(800000000))
     inside = P.holds((F.lower(EL.text(v, "$.outcome_policy.policy_fingerprint")) == active) & (EL.contract_fingerprint(v) == active))
     return x.select("o_orderkey", got["cohort"].alias("cohort"), got["calibration_eligible"].alias("calibration_eligible"), inside.alias("in_policy"), *[c.alias(n) for n, c in EL.directions(v, F.col("side"), F.lit(None).cast("string")).items()], F.array_join(got["reason_codes"], ",").alias("codes"))
+
+
+@query()
+def calibrator_gates(spark, d):
+    """What keeps the calibrator of each key of line items from use."""
+    x = fold_rows(spark, d).withColumn("raw", F.lit(0.6)).withColumn("adjustment", F.lit(0.9))
+    got = calibrator.calibrator_gates(x, "k", "ts", "available", FOLD_FEATURES, "score", "y", "w", "ret", "raw", "adjustment", least=40)
+    return got.select("k", "samples", "expectancy", r("mean").alias("mean"), "clusters", r("win_rate").alias("win_rate"), "balanced", "oof_samples", "skill", "selected", "terminal", "gate", "fitted")
+
+
+@query()
+def trend_event_models(spark, d):
+    """Models of events of line items, judged on each key's last times."""
+    x = fold_rows(spark, d)
+    event = F.when(F.col("discount") > 0.6, "TP_FIRST").when(F.col("quantity") > 0.5, "SL_FIRST").otherwise("HORIZON_EXIT")
+    got = calibrator.event_models(x.withColumn("event", event), "k", "ts", "available", DAY, FOLD_FEATURES, "event", ["TP_FIRST", "SL_FIRST", "HORIZON_EXIT"], "ret", "HORIZON_EXIT")
+    return got.select("k", "status", "n_samples", "fit_samples", "holdout_samples", *[r(c).alias(c) for c in ("loss", "null_loss", "gap", "error_bound", "horizon_mean")])
+
+
+@query("""WITH x AS (SELECT l_suppkey AS k, 10 + l_suppkey % 7 AS matured, 9 + l_suppkey % 5 AS labeled, l_suppkey % 4 AS censored, CASE WHEN l_suppkey % 11 = 0 THEN 1 ELSE 0 END AS unresolved, 0 AS invalid, CASE WHEN l_suppkey % 9 = 0 THEN 'negative' ELSE 'positive' END AS expectancy, count(*)::BIGINT AS samples, avg(l_discount) AS mean, stddev_pop(l_discount) / 20 AS std, min(l_discount) - 0.02::DOUBLE AS es FROM lineitem GROUP BY l_suppkey),
+y AS (SELECT *, matured * 40 AS m, greatest(0, labeled * 40 - labeled * 40) AS z FROM x),
+a AS (SELECT *, CASE WHEN expectancy = 'positive' THEN greatest(0, samples - m) ELSE 0 END + unresolved > 0 OR least(samples, labeled * 40) < labeled * 40 AND labeled * 40 > samples AS hard, censored / m AS rate, greatest(-1, least(-0.01::DOUBLE, es, mean - 3 * std)) AS assumed FROM y),
+b AS (SELECT *, (mean * samples + assumed * censored) / (samples + censored) AS adjusted, NOT hard AND censored > 0 AND expectancy = 'positive' AS judged FROM a)
+SELECT k, round(rate, 6) AS censoring_rate, round(CASE WHEN judged THEN assumed END, 6) AS assumed_return, round(CASE WHEN judged THEN adjusted END, 6) AS adjusted_mean, CASE WHEN hard THEN 'hard_block' WHEN NOT judged THEN 'not_evaluated' WHEN rate <= 0.05::DOUBLE AND adjusted > 0 AND mean - 0.01::DOUBLE > 0 THEN 'passed' ELSE 'failed' END AS sensitivity FROM b""")
+def censoring_sensitivity(spark, d):
+    """Whether a conclusion outlives the roots that could not be observed."""
+    k = F.col("l_suppkey")
+    x = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("samples"), F.avg("l_discount").alias("mean"), (F.stddev_pop("l_discount") / 20).alias("std"), (F.min("l_discount") - 0.02).alias("shortfall"))
+    x = x.select(
+        k.alias("k"), "samples", "mean", "std", "shortfall", F.col("samples").cast("double").alias("n_eff"), (F.col("mean") - 0.01).alias("lower"), (F.col("mean") - 0.01).alias("temporal_lower"), ((10 + k % 7) * 40).alias("matured_total"), ((9 + k % 5) * 40).alias("labeled_total"), (k % 4).alias("censored_total"),
+        F.when(k % 11 == 0, 1).otherwise(0).alias("unresolved_total"), F.lit(0).alias("invalid_labeled_total"), F.when(k % 9 == 0, "negative").otherwise("positive").alias("expectancy"),
+    )
+    return calibrator.censoring(x).select("k", r("censoring_rate").alias("censoring_rate"), r("assumed_return").alias("assumed_return"), r("adjusted_mean").alias("adjusted_mean"), "sensitivity")
