@@ -40,7 +40,7 @@ class _Words(dict):
     letters are looked up without it.
     """
 
-    def __init__(self, tokenizer: Tokenizer, before: str, most: int = 100_000):
+    def __init__(self, tokenizer: Tokenizer, before: str, most: int = 400_000):
         super().__init__()
         self.tokenizer, self.before, self.shown, self.most = tokenizer, before, _shown(before), most
         self.old: dict[str, bytes] = {}
@@ -83,13 +83,15 @@ class WordEncoder:
     on either side: a space goes to the word that follows it (``keeps_space``)
     or to none. Texts with other white space are encoded whole. ``path`` names a
     file of the tokenizers library. Words kept are bounded; the memory is small.
+    Text that spells a special token is text like any other
+    (``encode_special_tokens``), so no document can write an end of its own.
     """
 
-    def __init__(self, path: str, keeps_space: bool):
+    def __init__(self, path: str, keeps_space: bool, words: int = 400_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first = _Words(self.tokenizer, "")
-        self.later = _Words(self.tokenizer, " ") if keeps_space else self.first
+        self.first = _Words(self.tokenizer, "", words)
+        self.later = _Words(self.tokenizer, " ", words) if keeps_space else self.first
         self.newline = self.first["\n"]
 
     def __call__(self, text: str) -> bytes:
@@ -109,8 +111,8 @@ class WordEncoder:
 
 
 @cache
-def encoder(path: str, keeps_space: bool) -> WordEncoder:
-    """The process's own encoder of a file."""
+def encoder(path: str, keeps_space: bool, words: int = 400_000) -> WordEncoder:
+    """The process's own encoder of a file; two generations of ``words`` words are kept at most."""
     if not Path(path).is_file():
         raise FileNotFoundError(f"no tokenizer at {path}; each executor needs the file at this path")
-    return WordEncoder(path, keeps_space)
+    return WordEncoder(path, keeps_space, words)
