@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +11,9 @@ from ..functions import market, sentiment
 from ..functions.numeric import clamp, quantize
 from ..operators import bars as B
 from ..operators import indicators, joins, labels, models, outcomes, relational, routing, stats
+from ..sources.shared import shared_dir
 from ..sources.tables import epoch, table, trades
-from ..streaming import candles
+from ..streaming import candles, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -574,14 +573,17 @@ def fit_calibration(spark, d):
 
 
 def _drained(spark, stream, mode="append"):
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tidemark-")
-    return candles.drain(stream, f"{base}/stream-{uuid.uuid4().hex}", mode)
+    return candles.drain(stream, shared_dir(spark, "stream"), mode)
 
 
 @query("SELECT event_type AS symbol, epoch_us(ts) // 3600000000 * 3600 AS ts, arg_min(value, (ts, value)) AS open, max(value) AS high, min(value) AS low, arg_max(value, (ts, value)) AS close, count(*) AS volume FROM events GROUP BY event_type, epoch_us(ts) // 3600000000 * 3600")
 def stream_candles(spark, d):
+    """Candles of a stream, merged into a table as they change: the watermark frees their state, the table keeps them."""
+    base = shared_dir(spark, "candles")
     got = candles.candle_stream(candles.trade_stream(spark, d, "events").withColumnRenamed("event_type", "symbol"), "symbol", "value", "1 hour")
-    return _drained(spark, got, "complete").select("symbol", "ts", "open", "high", "low", "close", "volume")
+    parted = got.withColumn("part", F.floor(F.col("ts") / (30 * DAY)).cast("int"))
+    stores.merge_stream(parted, f"{base}/table", f"{base}/checkpoint", ["symbol", "ts"], "part", mode="update").awaitTermination()
+    return stores.stored(spark, f"{base}/table").select("symbol", "ts", "open", "high", "low", "close", "volume")
 
 
 @query("SELECT event_id, user_id, value FROM events")
