@@ -57,9 +57,11 @@ def write_warc(pages: DataFrame, path: str | None = None, id_col: str = "page_id
     path = path or shared_dir(pages.sparkSession, "warc")
     html = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     keyed = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), html.alias("payload"), F.sha1(html).alias("sha"), F.length(html).alias("n"))
-    firsts = keyed.groupBy("sha", "n").agg(F.min("id").alias("first"))
-    refers = F.when((F.col("n") >= revisit_from) & F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    linked = keyed.join(firsts, ["sha", "n"]).select("id", "url", "payload", refers.alias("refers_to"))
+    # Narrow keys are grouped and saved by themselves: the payloads then meet a saved table, so that a payload of very many rows is split.
+    repeats = keyed.groupBy("sha", "n").agg(F.min("id").alias("first"), F.count("*").alias("times")).where((F.col("times") > 1) & (F.col("n") >= revisit_from))
+    repeats = saved(repeats.select("sha", "n", "first"), "warc-repeats")
+    refers = F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
+    linked = keyed.join(repeats, ["sha", "n"], "left").select("id", "url", "payload", refers.alias("refers_to"))
     schema = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
