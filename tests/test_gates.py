@@ -110,3 +110,29 @@ def test_scopes_and_contracts(spark):
     df = spark.createDataFrame([(i, t, "v1+x" if i else "v2") for i, t in enumerate(texts)] + [(9, texts[0], "v1")], "i int, j string, version string").withColumn("v", X.variant(F.col("j")))
     got = {r.i: (r.a, r.m, r.p) for r in df.select("i", *[EL.in_scope(F.col("v"), F.col("version"), s, "v1", sha).alias(n) for s, n in (("archive", "a"), ("current_model", "m"), ("current_policy", "p"))]).collect()}
     assert got == {0: (True, False, False), **{i: (True, True, False) for i in range(1, 6)}, 9: (True, True, True)}
+
+
+def test_warm_up_and_alerts_by_hand(spark):
+    from types import SimpleNamespace as Row
+
+    from tidemark.streaming import states
+
+    state, made = None, []
+    for ts, ready, sig in [(0, False, "a"), (10, False, "b"), (70, False, "b"), (80, False, "b"), (90, True, "b"), (95, True, "c"), (96, False, "c")]:
+        state, (event,) = states.warm_up(state, Row(ts=ts, ready=ready, signature=sig), 60)
+        made.append(event)
+    assert made == ["RECO_WARMUP_SKIP", None, "RECO_WARMUP_SKIP", None, "RECO_WARMUP_RECOVERED", None, "RECO_WARMUP_SKIP"]
+    health = spark.createDataFrame([(1, 5, 2, 4, 1, 0), (2, 4, 1, 4, 0, 0), (3, 9, 0, 0, 0, 5)], "i int, errors int, bad int, total int, healthy int, recommendations int")
+    assert sorted((r.i, r.alert) for r in states.due_alerts(health).collect()) == [(1, "collect_errors"), (1, "no_recos"), (1, "symbols_stale"), (3, "collect_errors")]
+
+
+def test_repair_jobs_by_hand(spark):
+    from tidemark.operators import queues
+
+    jobs = spark.createDataFrame(
+        [("a", "s", 50, 10, 90, 0), ("b", "s", 51, 10, 90, 1), ("c", "s", None, 10, 90, 9), ("d", "s", 50, 90, 10, 0), ("e", "t", None, 10, 90, 4)], "repair_id string, symbol string, expected_ts long, range_start_ts long, range_end_ts long, attempt_count int"
+    )
+    found = spark.createDataFrame([("s", 50), ("s", 50), ("t", 95)], "symbol string, ts long")
+    got = {r.repair_id: (r.state, r.next_attempt_ts, r.attempt_count) for r in queues.attempted(jobs, found, 1000).collect()}
+    assert got == {"a": ("resolved", 1000, 1), "b": ("pending", 1120, 2), "c": ("resolved", 1000, 10), "d": ("pending", 2800, 1), "e": ("pending", 2800, 5)}
+    assert queues.attempted(jobs.limit(0), found, 1000).collect() == []

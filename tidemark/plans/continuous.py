@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import bars as B
-from ..operators import outcomes, relational, shock
+from ..operators import outcomes, queues, relational, shock
 from ..sources.shared import saved, shared_dir
 from ..sources.tables import epoch, table, trades
 from ..streaming import candles, coverage, states, stores
@@ -221,3 +221,64 @@ def label_ledger(spark, d):
     lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), "l_returnflag", "l_linenumber", (epoch(F.col("l_shipdate")) - 8640000).alias("available"))
     ledger = lines.where("l_returnflag = 'A' and l_linenumber = 4").select("k", F.lit("censored").alias("state"))
     return outcomes.label_ledger(rows, lines.where("l_returnflag = 'R'").select("k", "available"), ledger, "k", F.lit(800000000))
+
+
+@query("""WITH RECURSIVE x AS (SELECT user_id AS k, epoch_us(ts) // 1000000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS rn, value % 3 > 1 AS ready, 's' || event_id % 4 AS sig FROM events),
+g AS (SELECT k, rn, t, ready, sig, CASE WHEN NOT ready THEN 'RECO_WARMUP_SKIP' END AS event, CASE WHEN NOT ready THEN t ELSE 0 END AS logged FROM x WHERE rn = 1 UNION ALL
+  SELECT k, rn, t, ready, sig, what, CASE WHEN what IS NOT NULL THEN t ELSE plog END FROM (SELECT x.*, g.logged AS plog, CASE WHEN x.ready THEN CASE WHEN NOT g.ready THEN 'RECO_WARMUP_RECOVERED' END WHEN g.ready OR x.sig <> g.sig AND x.t - g.logged >= 172800 THEN 'RECO_WARMUP_SKIP' END AS what FROM g JOIN x ON x.k = g.k AND x.rn = g.rn + 1))
+SELECT k, t AS ts, ready, sig AS signature, event FROM g""")
+def stream_warm_up(spark, d):
+    """Events of the warm-up log of a stream of readiness."""
+    x = candles.trade_stream(spark, d, "events").select(F.col("user_id").alias("k"), epoch(F.col("ts")).cast("long").alias("ts"), (F.col("value") % 3 > 1).alias("ready"), F.concat(F.lit("s"), F.col("event_id") % 4).alias("signature"))
+    return _drained(spark, states.warm_up_events(x, ["k"], 2 * DAY))
+
+
+@query("""WITH RECURSIVE h AS (SELECT user_id AS k, epoch_us(ts) // 1000000 AS t, event_id, event_id % 8 >= 5 AS a, event_id % 4 >= 2 AS b, event_id % 3 = 0 AND event_id % 5 > 0 AS c FROM events),
+d AS (SELECT k, t, event_id, unnest(['collect_errors', 'symbols_stale', 'no_recos']) AS alert, unnest([a, b, c]) AS due FROM h), x AS (SELECT *, row_number() OVER (PARTITION BY k, alert ORDER BY t, event_id) AS rn FROM d WHERE due),
+g AS (SELECT k, alert, rn, t, true AS sent, t AS last FROM x WHERE rn = 1 UNION ALL SELECT x.k, x.alert, x.rn, x.t, x.t - g.last >= 864000, CASE WHEN x.t - g.last >= 864000 THEN x.t ELSE g.last END FROM g JOIN x ON x.k = g.k AND x.alert = g.alert AND x.rn = g.rn + 1)
+SELECT k, alert, t AS ts, sent FROM g""")
+def stream_alerts(spark, d):
+    """Due alerts of a stream of health rows, and which of them are sent."""
+    e = F.col("event_id")
+    x = candles.trade_stream(spark, d, "events").select(F.col("user_id").alias("k"), epoch(F.col("ts")).cast("long").alias("ts"), (e % 8).alias("errors"), (e % 4).alias("bad"), F.lit(4).alias("total"), (e % 5).alias("healthy"), (e % 3).alias("recommendations"))
+    return _drained(spark, states.alert_cooldown(states.due_alerts(x).select("k", "alert", "ts"), ["k", "alert"], 10 * DAY))
+
+
+@query("""WITH j AS (SELECT o_orderkey AS id, o_custkey AS symbol, epoch_us(o_orderdate) // 1000000 AS t, CASE WHEN o_orderkey % 4 <> 0 THEN epoch_us(o_orderdate) // 1000000 + 86400 * (o_orderkey % 30) END AS expected, epoch_us(o_orderdate) // 1000000 AS lo, epoch_us(o_orderdate) // 1000000 + CASE WHEN o_orderkey % 17 = 0 THEN -5 ELSE 2592000 END AS hi, o_orderkey % 6 AS tries FROM orders WHERE o_orderstatus <> 'F'),
+f AS (SELECT DISTINCT o_custkey AS symbol, epoch_us(l_shipdate) // 1000000 AS ts FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+d AS (SELECT * FROM j WHERE t <= 850000000 ORDER BY t, id LIMIT 2000), h AS (SELECT d.*, hi >= lo AND EXISTS (SELECT 1 FROM f WHERE f.symbol = d.symbol AND f.ts BETWEEN lo AND hi AND (expected IS NULL OR f.ts = expected)) AS hit FROM d)
+SELECT id AS repair_id, CASE WHEN hit THEN 'resolved' ELSE 'pending' END AS state, CASE WHEN hit THEN 850000000 WHEN hi < lo THEN 850001800 ELSE 850000000 + [60, 120, 300, 600, 1800][least(4, tries) + 1] END AS next_attempt_ts, tries + 1 AS attempt_count FROM h""")
+def repair_queue(spark, d):
+    """The next jobs of a repair queue after a try: resolved by what has come meanwhile, or put off."""
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", epoch(F.col("o_orderdate")).alias("t"))
+    k, t = F.col("o_orderkey"), F.col("t")
+    jobs = o.where("o_orderstatus <> 'F'").select(
+        k.alias("repair_id"), F.col("o_custkey").alias("symbol"), F.when(k % 4 != 0, t + DAY * (k % 30)).alias("expected_ts"), t.alias("range_start_ts"), (t + F.when(k % 17 == 0, -5).otherwise(30 * DAY)).alias("range_end_ts"), (k % 6).alias("attempt_count"), F.lit("pending").alias("state"), t.alias("next_attempt_ts"), k.alias("first_requested_ts")
+    )
+    found = table(spark, d, "lineitem").select("l_orderkey", epoch(F.col("l_shipdate")).alias("ts")).join(o, F.col("l_orderkey") == k).select(F.col("o_custkey").alias("symbol"), "ts")
+    return queues.attempted(queues.due_jobs(jobs, 850000000, 2000), found, 850000000).select("repair_id", "state", F.col("next_attempt_ts").cast("long").alias("next_attempt_ts"), "attempt_count")
+
+
+@query("""WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS bot, l_orderkey AS origin, CASE WHEN l_linenumber = 1 AND l_orderkey % 3 = 0 THEN 'r' || l_suppkey % 50 END AS own, epoch_us(l_shipdate) // 1000000 AS started, l_linestatus AS st FROM lineitem WHERE l_linestatus = 'O'),
+r AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN ' r' || o_custkey % 100 || ' ' WHEN o_orderkey % 5 = 0 THEN '  ' END AS root FROM orders), p AS (SELECT own AS root, max({'s': started, 'b': bot}) AS m FROM b WHERE own IS NOT NULL GROUP BY own),
+q AS (SELECT coalesce(nullif(trim(r.root), ''), r.o_orderkey::VARCHAR) AS root, max({'s': started, 'b': bot}) AS m FROM b JOIN r ON r.o_orderkey = b.origin GROUP BY 1)
+SELECT root, m.b AS bot_id, m.s AS started_ts FROM p UNION ALL SELECT root, m.b, m.s FROM q WHERE root NOT IN (SELECT root FROM p)""")
+def bots_by_root(spark, d):
+    """The newest running bot of each publication root, by its own root or that of the row it came from."""
+    bots = table(spark, d, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("bot_id"), F.col("l_orderkey").cast("string").alias("origin_rec_id"), F.when((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 3 == 0), F.concat(F.lit("r"), F.col("l_suppkey") % 50)).alias("publication_root"), epoch(F.col("l_shipdate")).alias("started_ts"), F.col("l_linestatus").alias("status")
+    )
+    k = F.col("o_orderkey")
+    rows = table(spark, d, "orders").select(k.cast("string").alias("rec_id"), F.when(k % 2 == 0, F.concat(F.lit(" r"), F.col("o_custkey") % 100, F.lit(" "))).when(k % 5 == 0, "  ").alias("publication_root"))
+    return queues.newest_by_root(bots, rows, "O")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, epoch_us(o_orderdate) // 1000000 AS ts, CASE WHEN o_orderkey % 7 <> 0 THEN 3600 * (o_orderkey % 5) END AS h, CASE o_orderkey % 3 WHEN 0 THEN 60 WHEN 1 THEN 300 END AS g FROM orders),
+y AS (SELECT *, ts + h + 60 * (k % 4) AS av, ts + h + CASE WHEN k % 11 = 0 THEN 1 ELSE coalesce(g, 120) END AS said FROM x)
+SELECT k, said AS label_available_ts FROM y WHERE h > 0 AND av < ts + h + 120 AND said = ts + h + coalesce(g, 120) AND said <= 850000000 AND av < said""")
+def early_labels(spark, d):
+    """Labels declared available before their contract allows, with the time they should have."""
+    k, ts = F.col("o_orderkey"), epoch(F.col("o_orderdate"))
+    h, g = F.when(k % 7 != 0, 3600 * (k % 5)), F.when(k % 3 == 0, 60).when(k % 3 == 1, 300)
+    x = table(spark, d, "orders").select(k.alias("key"), ts.alias("ts"), h.alias("horizon"), (ts + h + 60 * (k % 4)).alias("available"), g.alias("contract_grace"), (ts + h + F.when(k % 11 == 0, 1).otherwise(F.coalesce(g, F.lit(120)))).alias("stored_due"))
+    return queues.early_labels(x, 850000000).withColumnRenamed("key", "k")

@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SEVERITY = {"normal": 0, "guarded": 1, "lockdown": 2}
@@ -175,3 +176,48 @@ def publication_lock(stream: DataFrame, keys: list[str], horizon: int, alive: in
     added = "decision string, publication_root long, outcome_root long, labels boolean"
     state = "position long, until long, publication long, since long, score double, confidence double, reward double, entry double"
     return fold(stream, keys, columns, ["ts", "rec"], lambda s, r: lock_publication(s, r, horizon, alive, cooldown), added, state)
+
+
+def warm_up(state: tuple | None, row, cooldown: int) -> tuple[tuple, tuple]:
+    """One step of the warm-up log: an event when readiness is lost, when what is missing changes and the last event is ``cooldown`` seconds old, and when it is back."""
+    blocked, signature, logged = state or (False, "", 0)
+    ts, event = int(row.ts), None
+    if not row.ready:
+        if not blocked or (row.signature != signature and ts - logged >= max(1, cooldown)):
+            event = "RECO_WARMUP_SKIP"
+    elif blocked:
+        event = "RECO_WARMUP_RECOVERED"
+    return (not row.ready, row.signature, ts if event else logged), (event,)
+
+
+def warm_up_events(stream: DataFrame, keys: list[str], cooldown: int) -> DataFrame:
+    """Events of the warm-up log: adds event (null: nothing to log). Takes ts, ready and signature (of what is missing)."""
+    return fold(stream, keys, ["ts", "ready", "signature"], ["ts"], lambda s, r: warm_up(s, r, cooldown), "event string", "blocked boolean, signature string, logged long")
+
+
+#: Errors in ten minutes and share of symbols stale or missing from which an alert is due.
+ALERT_ERRORS, ALERT_STALE = 5, 0.5
+
+
+def due_alerts(health: DataFrame) -> DataFrame:
+    """Alerts that are due, a row each: the columns of ``health`` and alert (collect_errors, symbols_stale, no_recos).
+
+    ``health`` has errors, bad, total and healthy (numbers of symbols) and recommendations.
+    """
+    rules = {
+        "collect_errors": F.col("errors") >= ALERT_ERRORS,
+        "symbols_stale": (F.col("total") > 0) & (F.col("bad") / F.greatest(F.col("total"), F.lit(1)) >= ALERT_STALE),
+        "no_recos": (F.col("recommendations") == 0) & (F.col("healthy") > 0),
+    }
+    found = F.filter(F.array(*[F.when(rule, F.lit(name)) for name, rule in rules.items()]), lambda a: a.isNotNull())
+    return health.withColumn("alert", F.explode(found))
+
+
+def alert_cooldown(stream: DataFrame, keys: list[str], cooldown: int) -> DataFrame:
+    """Which due alerts are sent: adds sent; after one, ``cooldown`` seconds pass before the next of its keys. Takes ts."""
+
+    def step(state: tuple | None, row) -> tuple[tuple, tuple]:
+        sends = state is None or row.ts - state[0] >= cooldown
+        return ((int(row.ts),) if sends else state), (sends,)
+
+    return fold(stream, keys, ["ts"], ["ts"], step, "sent boolean", "last long")
