@@ -118,7 +118,7 @@ def test_warm_up_and_alerts_by_hand(spark):
     from tidemark.streaming import states
 
     state, made = None, []
-    for ts, ready, sig in [(0, False, "a"), (10, False, "b"), (70, False, "b"), (80, False, "b"), (90, True, "b"), (95, True, "c"), (96, False, "c")]:
+    for ts, ready, sig in [(0, False, "a"), (10, False, "b"), (70, False, "c"), (80, False, "c"), (90, True, "c"), (95, True, "c"), (96, False, "c")]:
         state, (event,) = states.warm_up(state, Row(ts=ts, ready=ready, signature=sig), 60)
         made.append(event)
     assert made == ["RECO_WARMUP_SKIP", None, "RECO_WARMUP_SKIP", None, "RECO_WARMUP_RECOVERED", None, "RECO_WARMUP_SKIP"]
