@@ -65,8 +65,16 @@ def next_bar(rows: DataFrame, bars: DataFrame, key: str, tf: int, ts: str = "ts"
     return rows.withColumn("_target", target).join(b, (F.col(key) == F.col("_k")) & (F.col("_target") == F.col("entry_ts")), "left").drop("_k", "_target")
 
 
-def in_range(points: DataFrame, ranges: DataFrame, key: str, ts: Column, start: Column, end: Column, bucket: int) -> DataFrame:
-    """Points of ``ranges``' key within [start, end): an equi-join on time buckets that each range spans, then the exact test."""
+def in_range(points: DataFrame, ranges: DataFrame, key: str, ts: Column, start: Column, end: Column, bucket: int, spread: Column | None = None, salts: int = 8) -> DataFrame:
+    """Points of ``ranges``' key within [start, end): an equi-join on time buckets that each range spans, then the exact test.
+
+    With ``spread``, something that tells ranges apart, the ranges of a key and
+    bucket are dealt to ``salts`` tasks, each of which gets all points of them:
+    for keys with many ranges and few points a bucket.
+    """
     r = ranges.withColumn("_bucket", F.explode(F.sequence(F.floor(start / bucket), F.floor((end - 1) / bucket))))
-    p = points.withColumn("_bucket", F.floor(ts / bucket))
-    return r.join(p, [key, "_bucket"]).where((ts >= start) & (ts < end)).drop("_bucket")
+    p, on = points.withColumn("_bucket", F.floor(ts / bucket)), [key, "_bucket"]
+    if spread is not None:
+        r = r.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+        p, on = p.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [*on, "_salt"]
+    return r.join(p, on).where((ts >= start) & (ts < end)).drop("_bucket", "_salt")

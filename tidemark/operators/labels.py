@@ -23,7 +23,7 @@ def first_touch(entries: DataFrame, bars: DataFrame, key: str, tf: int, horizon:
     return), net (less costs), success, and mfe and mae: the best and worst
     excursions, of the exit's own bar only the level it left at. An entry's path
     is at most horizon / tf bars, in one group; entries of a hot key spread by
-    time bucket.
+    time bucket and by salts of their ids.
     """
     add = lambda df, name, value: df if name in df.columns else df.withColumn(name, value)
     entries = add(add(entries, "direction", F.lit("long")), "cost_bps", F.lit(0.0))
@@ -31,7 +31,7 @@ def first_touch(entries: DataFrame, bars: DataFrame, key: str, tf: int, horizon:
     entry, target, stop, ts, start = (F.col(x) for x in ("entry", "target", "stop", "bar_ts", "entry_ts"))
     fair = F.coalesce((entry > 0) & (target > 0) & (stop > 0) & (s * stop < s * entry) & (s * entry < s * target), F.lit(False))
     b = bars.select(key, F.col("ts").alias("bar_ts"), "open", "high", "low", "close", valid_bar().alias("_valid"))
-    path = in_range(b, entries.where(fair), key, ts, start, start + horizon + 1, bucket)
+    path = in_range(b, entries.where(fair), key, ts, start, start + horizon + 1, bucket, spread=F.col("entry_id"))
     o, best, worst = F.col("open"), F.when(s > 0, F.col("high")).otherwise(F.col("low")), F.when(s > 0, F.col("low")).otherwise(F.col("high"))
     gap, jump, up, down = s * o <= s * stop, s * o >= s * target, s * best >= s * target, s * worst <= s * stop
     inside = ts < start + horizon
