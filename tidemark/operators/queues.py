@@ -64,3 +64,35 @@ def early_labels(outcomes: DataFrame, now: Column | int, grace: int = 120) -> Da
     due = F.when((F.col("ts") > 0) & (F.col("horizon") > 0) & (own > 0), F.col("ts") + F.col("horizon") + own)
     early = (F.col("available") > 0) & (F.col("available") < F.col("ts") + F.col("horizon") + grace) & (F.col("stored_due") == due) & (due <= now) & (F.col("available") < due)
     return outcomes.where(early).select("key", F.col("stored_due").alias("label_available_ts"))
+
+
+def direction_conflicts(rows: DataFrame, running: DataFrame) -> DataFrame:
+    """What running bots keep a candidate from: rec_id, bot_id, code, same_root.
+
+    ``rows`` has rec_id, root, venue, symbol, direction, bot; ``running`` bot_id,
+    root, venue, symbol, direction, bot. Another strategy on the symbol, a running
+    bot of unknown direction, or one of the opposite direction conflict. Grids may
+    be neutral too. Rows of unknown strategies, venues or directions have none.
+    """
+    low, up = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit("")))), lambda c: F.upper(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    kinds = ("futures_grid", "directional_trend")
+    allowed = lambda bot, side: side.isin("long", "short") | ((bot == kinds[0]) & (side == "neutral"))
+    mine = rows.select("rec_id", F.coalesce(F.nullif(F.trim("root"), F.lit("")), F.col("rec_id").cast("string")).alias("root"), low("venue").alias("venue"), up("symbol").alias("symbol"), low("direction").alias("side"), F.trim("bot").alias("kind"))
+    mine = mine.where((F.col("venue") == "linear") & F.col("kind").isin(*kinds) & allowed(F.col("kind"), F.col("side")))
+    theirs = running.select("bot_id", F.trim("root").alias("b_root"), low("venue").alias("venue"), up("symbol").alias("symbol"), low("direction").alias("b_side"), F.trim("bot").alias("b_kind")).where(F.col("b_kind").isin(*kinds))
+    both = mine.join(theirs, ["venue", "symbol"])
+    code = F.when(F.col("b_kind") != F.col("kind"), "SYMBOL_STRATEGY_ALREADY_RUNNING").when(~allowed(F.col("b_kind"), F.col("b_side")), "EXISTING_SYMBOL_DIRECTION_UNKNOWN").when(F.col("b_side") != F.col("side"), "OPPOSITE_SYMBOL_DIRECTION_RUNNING")
+    return both.withColumn("code", code).where("code is not null").select("rec_id", "bot_id", "code", F.coalesce(F.col("b_root") == F.col("root"), F.lit(False)).alias("same_root"))
+
+
+def repair_status(jobs: DataFrame) -> DataFrame:
+    """One row over all jobs: pending, resolved, failed, next_due_ts (of pending ones), last_updated_ts."""
+    is_ = lambda s: F.col("state") == s
+    return jobs.agg(F.count_if(is_("pending")).alias("pending"), F.count_if(is_("resolved")).alias("resolved"), F.count_if(is_("failed")).alias("failed"), F.min(F.when(is_("pending"), F.col("next_attempt_ts"))).alias("next_due_ts"), F.max("updated_ts").alias("last_updated_ts"))
+
+
+def best_snapshot(snapshots: DataFrame, benchmarks: tuple[str, ...] = ("BTCUSDT", "ETHUSDT")) -> DataFrame:
+    """Of each symbol's venues the freshest snapshot: symbol, venue, age_sec; benchmarks take the venue linear on equal age, others the one of least ``priority``."""
+    prefer = F.when(F.col("symbol").isin(*benchmarks) & (F.col("venue") == "linear"), 0).otherwise(1)
+    age = F.coalesce("age_sec", F.lit(10**9))
+    return snapshots.groupBy("symbol").agg(F.min_by(F.struct("venue", "age_sec"), F.struct(age, prefer, "priority")).alias("_b")).select("symbol", "_b.*")

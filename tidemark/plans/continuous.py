@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import leverage
 from ..operators import bars as B
 from ..operators import outcomes, queues, relational, shock
 from ..sources.shared import saved, shared_dir
@@ -282,3 +283,61 @@ def early_labels(spark, d):
     h, g = F.when(k % 7 != 0, 3600 * (k % 5)), F.when(k % 3 == 0, 60).when(k % 3 == 1, 300)
     x = table(spark, d, "orders").select(k.alias("key"), ts.alias("ts"), h.alias("horizon"), (ts + h + 60 * (k % 4)).alias("available"), g.alias("contract_grace"), (ts + h + F.when(k % 11 == 0, 1).otherwise(F.coalesce(g, F.lit(120)))).alias("stored_due"))
     return queues.early_labels(x, 850000000).withColumnRenamed("key", "k")
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS i, ['long', 'short', 'neutral', ' Long '][1 + l_partkey % 4] AS side, l_quantity / 50 AS s, l_discount * 10 AS rg, l_tax * 12 AS tr, l_tax / 4 AS atr, l_suppkey % 60 * 0.8::DOUBLE AS cost, (l_partkey % 7) / 2.0::DOUBLE AS fund, l_quantity AS gross, 1 + l_linenumber % 4 AS lo, l_linenumber + 1 AS hi, CASE WHEN l_partkey % 3 = 0 THEN 3 END AS safe FROM lineitem),
+y AS (SELECT *, lower(trim(side)) AS d, greatest(lo, hi) AS top, gross - cost - fund AS net FROM x), z AS (SELECT *, CASE WHEN safe IS NULL THEN top ELSE greatest(lo, least(top, safe)) END AS cap, CASE WHEN d = 'neutral' THEN least(1, rg) * (1 - least(0.75::DOUBLE, least(1, tr) * 0.75::DOUBLE)) ELSE least(1, s) END AS setup FROM y),
+q AS (SELECT *, least(1, greatest(0, 0.45::DOUBLE * setup + 0.35::DOUBLE * least(1, greatest(0, (net - 2) / 8)) + 0.15::DOUBLE * least(1, greatest(0, (0.025::DOUBLE - atr) / 0.020::DOUBLE)) + 0.05::DOUBLE * least(1, greatest(0, (45 - cost) / 30)))) AS q FROM z),
+l AS (SELECT *, coalesce(list_max(list_filter(range(lo + 1, cap + 1), lambda v: q >= 0.58::DOUBLE + 0.22::DOUBLE * ((v - lo) / greatest(1, cap - lo)) AND net >= 3 + 4 * ((v - lo) / greatest(1, cap - lo)) AND atr <= 0.023::DOUBLE - 0.006::DOUBLE * ((v - lo) / greatest(1, cap - lo)))), lo) AS lev FROM q)
+SELECT k, i, lev::INT AS leverage, round(setup, 6) AS setup, CASE WHEN lo <= 1 AND top <= 1 THEN 'operator_minimum_is_one' WHEN atr >= 0.05::DOUBLE OR cost >= 45 THEN 'unsafe_volatility_or_execution_cost' WHEN atr > 0.025::DOUBLE THEN 'atr_too_high_for_operator_minimum' WHEN net < 2 THEN 'insufficient_net_edge_for_operator_minimum' WHEN lo = top OR lev = lo THEN 'operator_minimum_selected' ELSE 'adaptive_interval_selected' END AS note FROM l""")
+def operator_leverage(spark, d):
+    """Leverage of grids within the operator's interval, and why."""
+    n, p = F.col("l_linenumber"), F.col("l_partkey")
+    side = F.element_at(F.array(*map(F.lit, ("long", "short", "neutral", " Long "))), (p % 4 + 1).cast("int"))
+    got = leverage.operator_leverage(side, F.col("l_quantity") / 50, F.col("l_discount") * 10, F.col("l_tax") * 12, F.col("l_tax") / 4, F.col("l_suppkey") % 60 * 0.8, p % 7 / 2.0, F.col("l_quantity"), (1 + n % 4).cast("int"), (n + 1).cast("int"), F.when(p % 3 == 0, 3))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), n.alias("i"), got["leverage"].cast("int").alias("leverage"), r(got["setup"]).alias("setup"), got["note"].alias("note"))
+
+
+@query("""WITH x AS (SELECT *, ['recommended', 'no_trade', 'blocked', 'active'][1 + o_orderkey % 4] AS st, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS blocks, o_orderkey % 7 <> 0 AND o_orderkey % 13 <> 0 AS complete, o_orderkey % 13 = 0 AS rejected, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 11 <> 0 END, true) AS priced, CASE o_orderkey % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'evidence' ELSE 'other' END AS why, o_totalprice / 200000 AS score FROM orders),
+y AS (SELECT *, complete AND priced AND blocks = 0 AS sound, st IN ('recommended', 'active', 'executed') AS acted FROM x), z AS (SELECT *, st = 'no_trade' AND sound AS shadow, score >= 0.5::DOUBLE AND sound AND why <> 'other' AS evaluated FROM y)
+SELECT o_orderkey, acted OR shadow AS eligible, evaluated AS policy_evaluation_eligible, CASE WHEN evaluated THEN 'current_policy_evaluation' WHEN shadow THEN 'shadow_exploration' ELSE 'excluded' END AS calibration_role, CASE WHEN shadow THEN 'shadow_no_trade' WHEN acted THEN 'actionable_root' ELSE 'excluded' END AS sample_role FROM z""")
+def outcome_roles(spark, d):
+    """Roles of orders' outcomes: acted on, shadow, evaluated or excluded."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*map(F.lit, ("recommended", "no_trade", "blocked", "active"))), (k % 4 + 1).cast("int"))
+    reasons = F.when(k % 3 == 0, F.array().cast("array<string>")).when(k % 3 == 1, F.array(F.lit("EVIDENCE"))).otherwise(F.array(F.lit("EVIDENCE"), F.lit("SPREAD")))
+    got = leverage.outcome_roles(status, F.when(k % 5 == 0, 1).otherwise(0), reasons, ["EVIDENCE"], k % 7 != 0, F.when(k % 3 == 0, k % 11 != 0), F.col("o_totalprice") / 200000, 0.5, k % 13 == 0)
+    return table(spark, d, "orders").select("o_orderkey", *[got[c].alias(c) for c in ("eligible", "policy_evaluation_eligible", "calibration_role", "sample_role")])
+
+
+@query("""WITH c AS (SELECT o_orderkey AS rec, CASE WHEN o_orderkey % 2 = 0 THEN 'r' || o_custkey % 9 ELSE ' ' END AS root, CASE WHEN o_orderkey % 10 = 0 THEN 'spot' ELSE 'linear' END AS venue, 's' || o_custkey AS symbol, ['long', 'short', 'neutral'][1 + o_orderkey % 3] AS side, CASE WHEN o_orderkey % 4 < 2 THEN 'futures_grid' ELSE 'directional_trend' END AS kind FROM orders),
+b AS (SELECT o_orderkey AS bot, 'r' || o_custkey % 9 AS root, ' S' || o_custkey AS symbol, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE ['LONG', 'short', 'neutral'][1 + o_orderkey % 3] END AS side, CASE WHEN o_orderkey % 4 < 2 THEN 'futures_grid' ELSE 'directional_trend' END AS kind FROM orders WHERE o_orderstatus = 'P'),
+j AS (SELECT rec, bot, CASE WHEN b.kind <> c.kind THEN 'SYMBOL_STRATEGY_ALREADY_RUNNING' WHEN NOT coalesce(lower(b.side) IN ('long', 'short') OR b.kind = 'futures_grid' AND b.side = 'neutral', false) THEN 'EXISTING_SYMBOL_DIRECTION_UNKNOWN' WHEN lower(b.side) <> c.side THEN 'OPPOSITE_SYMBOL_DIRECTION_RUNNING' END AS code, b.root = CASE WHEN trim(c.root) = '' THEN rec::VARCHAR ELSE c.root END AS same_root
+ FROM c JOIN b ON upper(trim(b.symbol)) = upper(c.symbol) WHERE venue = 'linear' AND (c.side <> 'neutral' OR c.kind = 'futures_grid')) SELECT rec AS rec_id, bot AS bot_id, code, same_root FROM j WHERE code IS NOT NULL""")
+def direction_conflicts(spark, d):
+    """Running bots that keep orders, as candidates, from their symbol."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    side = F.element_at(F.array(*map(F.lit, ("long", "short", "neutral"))), (k % 3 + 1).cast("int"))
+    kind = F.when(k % 4 < 2, "futures_grid").otherwise("directional_trend")
+    o = table(spark, d, "orders")
+    rows = o.select(k.alias("rec_id"), F.when(k % 2 == 0, F.concat(F.lit("r"), c % 9)).otherwise(" ").alias("root"), F.when(k % 10 == 0, "spot").otherwise("linear").alias("venue"), F.concat(F.lit("s"), c).alias("symbol"), side.alias("direction"), kind.alias("bot"))
+    bots = o.where("o_orderstatus = 'P'").select(k.alias("bot_id"), F.concat(F.lit("r"), c % 9).alias("root"), F.lit("Linear ").alias("venue"), F.concat(F.lit(" S"), c).alias("symbol"), F.when(k % 5 != 0, F.when(k % 3 == 0, "LONG").otherwise(side)).alias("direction"), kind.alias("bot"))
+    return queues.direction_conflicts(rows, bots)
+
+
+@query("""SELECT count(*) FILTER (o_orderstatus = 'O') AS pending, count(*) FILTER (o_orderstatus = 'F') AS resolved, count(*) FILTER (o_orderstatus = 'P') AS failed, min(epoch_us(o_orderdate) // 1000000) FILTER (o_orderstatus = 'O') AS next_due_ts, max(epoch_us(o_orderdate) // 1000000 + 60) AS last_updated_ts FROM orders""")
+def repair_status(spark, d):
+    """Jobs of a repair queue by state, when the next is due, and the last change."""
+    ts = epoch(F.col("o_orderdate"))
+    state = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "F", "resolved").otherwise("failed")
+    return queues.repair_status(table(spark, d, "orders").select(state.alias("state"), ts.alias("next_attempt_ts"), (ts + 60).alias("updated_ts")))
+
+
+@query("""WITH x AS (SELECT CASE l_suppkey WHEN 1 THEN 'BTCUSDT' WHEN 2 THEN 'ETHUSDT' ELSE 's' || l_suppkey END AS symbol, ['spot', 'linear', 'inverse'][1 + l_linenumber % 3] AS venue, l_linenumber % 3 AS p, min(CASE WHEN l_partkey % 5 <> 0 THEN l_partkey % 7 END) AS age FROM lineitem GROUP BY ALL)
+SELECT symbol, venue, age AS age_sec FROM x QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY coalesce(age, 1000000000), CASE WHEN symbol IN ('BTCUSDT', 'ETHUSDT') AND venue = 'linear' THEN 0 ELSE 1 END, p) = 1""")
+def best_snapshot(spark, d):
+    """Each symbol's freshest venue."""
+    s, n = F.col("l_suppkey"), F.col("l_linenumber")
+    symbol = F.when(s == 1, "BTCUSDT").when(s == 2, "ETHUSDT").otherwise(F.concat(F.lit("s"), s))
+    x = table(spark, d, "lineitem").select(symbol.alias("symbol"), F.element_at(F.array(*map(F.lit, ("spot", "linear", "inverse"))), (n % 3 + 1).cast("int")).alias("venue"), (n % 3).alias("priority"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey") % 7).alias("age"))
+    return queues.best_snapshot(x.groupBy("symbol", "venue", "priority").agg(F.min("age").alias("age_sec")))
