@@ -145,3 +145,26 @@ def test_ftrl_against_plain_loops():
         bias_n += g * g
     assert np.allclose(model.weights(np.arange(64)), [weight(i) for i in range(64)])
     assert abs(model.bias() + bias_z / ((beta + math.sqrt(bias_n)) / alpha)) < 1e-9
+
+
+def test_toxicity_scores_by_hand(spark):
+    """A score is the sigmoid of the bias and the weights of a text's distinct words, pairs and pairs around a word."""
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import toxicity
+    from tidemark.llm.words import WordHashes
+
+    of = lambda text: toxicity.features(text.encode(), WordHashes(), 20).tolist()
+    (bad,), around = of("Bad"), of("bad q bad")[-1]
+    assert [len(of(t)) for t in ("", "a", "a b", "a b c d")] == [0, 1, 3, 9]  # words, pairs, pairs with a word between
+    assert of("BAD, bad")[:2] == [bad, bad] and of("bad q bad")[-1] == of("bad r bad")[-1] != of("bad bad")[-1]
+    model = {"bits": 20, "places": np.array([bad, around], np.int32), "weights": np.array([0.75, -0.25], np.float32), "bias": -0.5}
+    docs = spark.createDataFrame([(1, "bad x bad, bad"), (2, "fine"), (3, None), (4, "bad"), (5, "q bad z bad q")], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, model).collect()}
+    sigmoid = lambda x: 1 / (1 + math.exp(-x))
+    want = {1: sigmoid(0.75 - 0.25 - 0.5), 2: sigmoid(-0.5), 3: sigmoid(-0.5), 4: sigmoid(0.75 - 0.5), 5: sigmoid(0.75 - 0.25 - 0.5)}
+    assert all(abs(got[k] - v) < 1e-12 for k, v in want.items())
+    # labels of held-out rows change nothing
+    docs, labels = documents(spark), spark.read.parquet(f"{SF}/labels.parquet")
+    turned = labels.withColumn("toxic", F.when(toxicity.held_out("doc_id"), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert sorted(map(tuple, toxicity.toxicity(docs, labels).collect())) == sorted(map(tuple, toxicity.toxicity(docs, turned).collect()))
