@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import leverage
+from ..functions import inputs, leverage
 from ..operators import bars as B
 from ..operators import outcomes, queues, relational, shock
 from ..sources.shared import saved, shared_dir
@@ -341,3 +341,69 @@ def best_snapshot(spark, d):
     symbol = F.when(s == 1, "BTCUSDT").when(s == 2, "ETHUSDT").otherwise(F.concat(F.lit("s"), s))
     x = table(spark, d, "lineitem").select(symbol.alias("symbol"), F.element_at(F.array(*map(F.lit, ("spot", "linear", "inverse"))), (n % 3 + 1).cast("int")).alias("venue"), (n % 3).alias("priority"), F.when(F.col("l_partkey") % 5 != 0, F.col("l_partkey") % 7).alias("age"))
     return queues.best_snapshot(x.groupBy("symbol", "venue", "priority").agg(F.min("age").alias("age_sec")))
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS i, CASE l_partkey % 9 WHEN 0 THEN 'x' WHEN 1 THEN '-1' WHEN 2 THEN NULL ELSE l_partkey::VARCHAR END AS last, CASE WHEN l_partkey % 5 = 0 THEN '' ELSE l_suppkey::VARCHAR END AS bid, (l_suppkey + l_partkey % 4 - 1)::VARCHAR AS ask, CASE WHEN l_partkey % 7 = 0 THEN 'Infinity' ELSE '1' || l_linenumber END AS vol FROM lineitem),
+z AS (SELECT k, i, try_cast(last AS DOUBLE) AS l, try_cast(bid AS DOUBLE) AS b, try_cast(ask AS DOUBLE) AS a0, try_cast(vol AS DOUBLE) AS v FROM x), y AS (SELECT *, CASE WHEN a0 >= 0 THEN a0 END AS a FROM z)
+SELECT k, i, CASE WHEN l >= 0 THEN l END AS last, CASE WHEN b >= 0 AND NOT coalesce(a < b, false) THEN b END AS bid, CASE WHEN a >= 0 AND NOT coalesce(a < b, false) THEN a END AS ask, CASE WHEN isfinite(v) THEN v END AS vol24h FROM y""")
+def ticker_texts(spark, d):
+    """Tickers out of text: bad numbers and crossed quotes are null."""
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    last = F.when(p % 9 == 0, "x").when(p % 9 == 1, "-1").when(p % 9 != 2, p.cast("string"))
+    got = inputs.ticker(last, F.when(p % 5 == 0, "").otherwise(s.cast("string")), (s + p % 4 - 1).cast("string"), F.when(p % 7 == 0, "Infinity").otherwise(F.concat(F.lit("1"), "l_linenumber")), F.lit(None).cast("string"))
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("i"), *[got[c].alias(c) for c in ("last", "bid", "ask", "vol24h")])
+
+
+@query("""WITH x AS (SELECT l_orderkey AS k, list(CASE WHEN l_partkey % 6 = 0 THEN NULL WHEN l_partkey % 6 = 1 THEN 'NaN'::DOUBLE ELSE l_quantity - 3 END ORDER BY l_linenumber, l_partkey, l_quantity) AS c, list(l_quantity ORDER BY l_linenumber, l_partkey, l_quantity) FILTER (l_linenumber < 6) AS h, list(l_quantity * 0.9::DOUBLE ORDER BY l_linenumber, l_partkey, l_quantity) AS l FROM lineitem GROUP BY 1),
+n AS (SELECT *, least(len(c), coalesce(len(h), 0), len(l)) AS n FROM x), z AS (SELECT k, unnest(c[len(c) - n + 1:]) AS c, unnest(h[len(h) - n + 1:]) AS h, unnest(l[len(l) - n + 1:]) AS l FROM n WHERE n > 0)
+SELECT n.k, coalesce(a.bars, 0) AS bars, coalesce(round(a.c, 4), 0) AS closes, coalesce(round(a.spread, 4), 0) AS spread FROM n LEFT JOIN (SELECT k, count(*) AS bars, sum(c) AS c, sum(greatest(c, h, l) - least(c, h, l)) AS spread FROM z WHERE c > 0 AND NOT isnan(c) AND h > 0 AND l > 0 GROUP BY k) AS a USING (k)""")
+def price_vectors(spark, d):
+    """Vectors of prices of each order made safe: how many bars are left, their closes and spreads."""
+    p, q = F.col("l_partkey"), F.col("l_quantity").cast("double")
+    close = F.when(p % 6 == 0, None).when(p % 6 == 1, float("nan")).otherwise(q - 3)
+    line = F.struct("l_linenumber", "l_partkey", q.alias("q"), close.alias("c"), F.when(F.col("l_linenumber") < 6, q).alias("h"), (q * 0.9).alias("l"))
+    x = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.array_sort(F.collect_list(line)).alias("xs"))
+    bars = inputs.safe_bars(F.col("xs.c"), F.filter("xs.h", lambda v: v.isNotNull()), F.col("xs.l"))
+    x = x.withColumn("bars", bars)
+    total = lambda f: F.aggregate("bars", F.lit(0.0), lambda s, b: s + f(b))
+    return x.select("k", F.size("bars").cast("long").alias("bars"), r(total(lambda b: b["c"]), 4).alias("closes"), r(total(lambda b: b["h"] - b["l"]), 4).alias("spread"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, epoch_us(o_orderdate) // 1000000 AS ts, CASE WHEN o_orderkey % 5 <> 0 THEN epoch_us(o_orderdate) // 1000000 + o_orderkey % 300 - 150 END AS tick, epoch_us(o_orderdate) // 1000000 + o_custkey % 400 - 20 AS now FROM orders),
+a AS (SELECT *, greatest(0, now - ts) AS ca, CASE WHEN tick > 0 THEN greatest(0, now - tick) END AS ta FROM x), b AS (SELECT *, CASE WHEN ta IS NULL THEN greatest(ca, 181) ELSE greatest(ca, ta) END AS age FROM a)
+SELECT o_orderkey, age AS age_sec, CASE WHEN ta IS NULL THEN 'ticker_missing' WHEN ta > ca THEN 'ticker' ELSE 'candle' END AS source, age > 180 AS stale, CASE WHEN tick IS NULL THEN 72 ELSE least(200, greatest(6, ceil(greatest(0, now - tick) / 60.0)::BIGINT + 2)) END AS limit_rows, greatest(0, (tick - 120) * 1000) AS start_ms FROM b""")
+def stale_inputs(spark, d):
+    """Age of the slowest input of orders, whether it is too old, and what to fetch."""
+    k, ts = F.col("o_orderkey"), epoch(F.col("o_orderdate"))
+    x = table(spark, d, "orders").select(k, ts.alias("ts"), F.when(k % 5 != 0, ts + k % 300 - 150).alias("tick"), (ts + F.col("o_custkey") % 400 - 20).alias("now"))
+    age, plan = inputs.staleness(F.col("ts"), F.col("tick"), F.col("now"), 180), inputs.interest_plan(F.col("tick"), F.col("now"), 60)
+    start = F.when(F.col("tick").isNull(), 0).otherwise(plan["start_ms"])
+    return x.select("o_orderkey", *[c.alias(n) for n, c in age.items()], plan["limit"].cast("long").alias("limit_rows"), start.cast("long").alias("start_ms"))
+
+
+@query("""WITH x AS (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'Directional_Trend' ELSE 'futures_grid' END AS bot, ['long', 'neutral', ' SHORT'][1 + o_orderkey % 3] AS side, CASE o_orderkey % 5 WHEN 0 THEN 'trend_evaluation_rejected' WHEN 1 THEN '' WHEN 2 THEN 'odd' END AS stored, CASE WHEN o_orderkey % 4 = 1 THEN ' Trend_Evaluation_Rejected ' END AS stated, CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN ' Expired' END AS eff, o_orderstatus AS st FROM orders)
+SELECT o_orderkey, CASE WHEN bot = 'Directional_Trend' AND side = 'neutral' THEN 'trend_evaluation_rejected' WHEN stored = 'trend_evaluation_rejected' THEN stored WHEN coalesce(stored, '') = '' AND stated IS NOT NULL THEN 'trend_evaluation_rejected' ELSE 'strategy_recommendation' END AS kind, CASE WHEN eff = ' Expired' THEN 'expired' ELSE lower(st) END AS seen FROM x""")
+def candidate_kinds(spark, d):
+    """Kinds of orders as candidates, and what an operator sees them as."""
+    k = F.col("o_orderkey")
+    side = F.element_at(F.array(F.lit("long"), F.lit("neutral"), F.lit(" SHORT")), (k % 3 + 1).cast("int"))
+    stored = F.when(k % 5 == 0, "trend_evaluation_rejected").when(k % 5 == 1, "").when(k % 5 == 2, "odd")
+    kind = inputs.candidate_kind(F.when(k % 2 == 0, "Directional_Trend").otherwise("futures_grid"), side, stored, F.when(k % 4 == 1, " Trend_Evaluation_Rejected "))
+    return table(spark, d, "orders").select("o_orderkey", kind.alias("kind"), inputs.effective_status(F.when(k % 3 == 0, "").when(k % 3 == 1, " Expired"), F.col("o_orderstatus")).alias("seen"))
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, epoch_us(l_shipdate) // 1000000 AS ts, l_shipmode AS action FROM (SELECT *, ['START', 'STOP'][1 + l_partkey % 2] AS l_shipmode FROM lineitem WHERE l_linenumber > 3))
+SELECT l_orderkey, l_linenumber, ts, action, o_custkey, o_orderstatus AS recommendation_status FROM l LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 6 <> 0) ON o_orderkey = l_orderkey""")
+def decision_log(spark, d):
+    """Decisions with what they were about, where that is still there."""
+    log = table(spark, d, "lineitem").where("l_linenumber > 3").select("l_orderkey", "l_linenumber", epoch(F.col("l_shipdate")).alias("ts"), F.when(F.col("l_partkey") % 2 == 0, "START").otherwise("STOP").alias("action"))
+    about = table(spark, d, "orders").where("o_orderkey % 6 <> 0").select("o_orderkey", "o_custkey", F.col("o_orderstatus").alias("recommendation_status"))
+    return log.join(about, F.col("l_orderkey") == F.col("o_orderkey"), "left").drop("o_orderkey")
+
+
+@query("""WITH s AS (SELECT o_custkey, max_by(o_orderstatus, o_orderkey) AS st FROM orders GROUP BY 1) SELECT coalesce(nullif(lower(trim(st)), ''), 'unknown') AS status, count(*) AS n FROM s GROUP BY 1""")
+def latest_status_counts(spark, d):
+    """Latest states by status."""
+    state = relational.latest(table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderkey"])
+    status = F.coalesce(F.nullif(F.lower(F.trim("o_orderstatus")), F.lit("")), F.lit("unknown"))
+    return state.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
