@@ -12,29 +12,37 @@ from ..sources.shared import saved
 _AGGREGATES = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
-def running(df: DataFrame, keys: list[str], bucket: Column, order: list, values: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
-    """``df`` with running aggregates: ``values`` names them, each a kind (sum, max or min) and what it is of.
+def keyed(df: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
+    """``df`` with _kb, keys and bucket as one value that is never null: windows and joins on it share one shuffle, null keys too."""
+    return df.withColumn("_kb", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], bucket.alias("bucket")))
 
-    Rows go by ``bucket``, which must rise with ``order``, then ``order``. What
-    earlier buckets come to is found by a window over one row a bucket, the rest
-    by a window in each bucket. Nothing before a row gives null (a sum: 0).
-    """
-    w = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    x = df.withColumn("_bucket", bucket)
+
+def carried_on(x: DataFrame, order: list, values: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+    """:func:`running` of a table that is :func:`keyed`; _kb stays."""
+    w = Window.partitionBy("_kb").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     names = {name: f"_base_{i}" for i, name in enumerate(values)}
-    per_bucket = x.groupBy(*keys, "_bucket").agg(*[_AGGREGATES[kind](c).alias(names[name]) for name, (kind, c) in values.items()])
-    earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = per_bucket.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_bucket").alias("_of"), *[_AGGREGATES[kind](names[name]).over(earlier).alias(names[name]) for name, (kind, _) in values.items()])
-    same = F.col("_bucket").eqNullSafe(F.col("_of"))
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    per_bucket = x.groupBy("_kb").agg(*[_AGGREGATES[kind](c).alias(names[name]) for name, (kind, c) in values.items()])
+    key = F.col("_kb").dropFields("bucket") if len(x.schema["_kb"].dataType.names) > 1 else F.lit(0)
+    earlier = Window.partitionBy(key).orderBy("_kb.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_bucket.select(F.col("_kb").alias("_of"), *[_AGGREGATES[kind](names[name]).over(earlier).alias(names[name]) for name, (kind, _) in values.items()])
+    columns = x.columns
     for name, (kind, c) in values.items():
         x = x.withColumn(name, _AGGREGATES[kind](c).over(w))
-    joined = x.join(carried, same)
+    joined = x.join(carried, F.col("_kb") == F.col("_of"))
     for name, (kind, _) in values.items():
         here, base = F.col(name), F.col(names[name])
         joined = joined.withColumn(name, F.coalesce(here, F.lit(0)) + F.coalesce(base, F.lit(0)) if kind == "sum" else (F.greatest if kind == "max" else F.least)(here, base))
-    return joined.select(*df.columns, *values)
+    return joined.select(*columns, *values)
+
+
+def running(df: DataFrame, keys: list[str], bucket: Column, order: list, values: dict[str, tuple[str, Column]], inclusive: bool = True) -> DataFrame:
+    """``df`` with running aggregates: ``values`` names them, each a kind (sum, max or min) and what it is of.
+
+    Rows go by ``bucket``, which must rise with ``order``, then ``order``. What
+    earlier buckets come to is found by a window over one row a bucket, the rest
+    by a window in each bucket. Nothing before a row gives null (a sum: 0).
+    """
+    return carried_on(keyed(df, keys, bucket), order, values, inclusive).drop("_kb")
 
 
 def _inside(part: pd.DataFrame, width: int) -> tuple[pd.DataFrame, np.ndarray]:

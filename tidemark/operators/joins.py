@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .buckets import running
+from .buckets import carried_on, keyed
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", values: tuple[str, ...] = ("price",), bucket: int = 86400, forward: bool = False) -> DataFrame:
@@ -38,11 +38,10 @@ def as_of(left: DataFrame, right: DataFrame, key: str, ts: str = "ts", values: t
 
 def sessions(events: DataFrame, key: str, gap: int, ts: str = "ts", bucket: int = 30 * 86400) -> DataFrame:
     """Spans of events no more than ``gap`` apart: key, span_start, span_end, n. Times and numbers are carried from bucket to bucket of ``bucket`` seconds."""
-    at = F.floor(F.col(ts) / bucket)
-    times = events.groupBy(key, ts).agg(F.count("*").alias("_n"))
-    x = running(times, [key], at, [ts], {"_before": ("max", F.col(ts))}, inclusive=False)
+    times = keyed(events.groupBy(key, ts).agg(F.count("*").alias("_n")), [key], F.floor(F.col(ts) / bucket))
+    x = carried_on(times, [ts], {"_before": ("max", F.col(ts))}, inclusive=False)
     new = F.when(F.col(ts) - F.col("_before") <= gap, 0).otherwise(1)
-    x = running(x.withColumn("_new", new), [key], at, [ts], {"_span": ("sum", F.col("_new"))})
+    x = carried_on(x.withColumn("_new", new), [ts], {"_span": ("sum", F.col("_new"))})
     return x.groupBy(key, "_span").agg(F.min(ts).alias("span_start"), F.max(ts).alias("span_end"), F.sum("_n").alias("n")).drop("_span")
 
 

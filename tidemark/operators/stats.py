@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import saved
-from .buckets import followed, running
+from .buckets import carried_on, followed, keyed, running
 from .joins import as_of
 
 
@@ -47,9 +47,8 @@ def merged(df: DataFrame, key: str, start: str, end: str, joins: Callable[[Colum
     """
     s, e = F.col("_s"), F.col("_e")
     thin = df.groupBy(key, F.col(start).alias("_s")).agg(F.max(end).alias("_e"), F.count("*").alias("_n"))
-    at = F.floor(s / bucket)
-    x = running(thin, [key], at, ["_s"], {"_so_far": ("max", e)}, inclusive=False)
-    x = running(x.withColumn("_new", F.when(joins(s, F.col("_so_far")), 0).otherwise(1)), [key], at, ["_s"], {"_c": ("sum", F.col("_new"))})
+    x = carried_on(keyed(thin, [key], F.floor(s / bucket)), ["_s"], {"_so_far": ("max", e)}, inclusive=False)
+    x = carried_on(x.withColumn("_new", F.when(joins(s, F.col("_so_far")), 0).otherwise(1)), ["_s"], {"_c": ("sum", F.col("_new"))})
     return x.groupBy(key, "_c").agg(F.min(s).alias(names[0]), F.max(e).alias(names[1]), F.sum("_n").alias("n")).drop("_c")
 
 
