@@ -306,7 +306,13 @@ def return_intervals(spark, d):
     return x.select("l_suppkey", r("mean").alias("mean"), r(low).alias("low"), r(high).alias("high"), r(intervals.lower_bound(F.col("mean"), F.col("std"), F.col("n_eff"))).alias("bound"))
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT o_orderpriority AS k, epoch_us(o_orderdate) // 1000000 AS t, count(*) AS n FROM orders GROUP BY ALL), p AS (SELECT *, sum(n) OVER w - n AS before, row_number() OVER w - 1 AS place FROM c WINDOW w AS (PARTITION BY k ORDER BY t)),
+s AS (SELECT k, sum(n)::BIGINT AS total, count(*) AS times FROM c GROUP BY k HAVING sum(n) >= 80 AND count(*) > 5), f AS (SELECT *, greatest(40, total // (least(5, greatest(2, total // 40)) + 1)) AS width FROM s),
+l AS (SELECT f.*, (SELECT max({'place': place, 'before': before}) FROM p WHERE p.k = f.k AND before <= total - 40 AND place <= times - 5) AS last FROM f), o AS (SELECT * FROM l WHERE last.before >= 40 AND total - last.before >= 40),
+g AS (SELECT k, (SELECT min({'place': place, 'before': before}) FROM p WHERE p.k = o.k AND before >= width AND place >= 1 AND place < last.place) AS spot FROM o UNION ALL
+  SELECT k, (SELECT min({'place': place, 'before': before}) FROM p WHERE p.k = g.k AND before >= g.spot.before + o.width AND place < o.last.place) FROM g JOIN o USING (k) WHERE g.spot IS NOT NULL),
+b AS (SELECT k, spot FROM g WHERE spot IS NOT NULL UNION SELECT k, last FROM o), e AS (SELECT k, spot.place AS a, lead(spot.place) OVER w AS z, row_number() OVER w - 1 AS block FROM b WINDOW w AS (PARTITION BY k ORDER BY spot.place))
+SELECT e.k AS bot, block::INT AS block, min(t) AS first_ts, max(t) AS last_ts, sum(n)::BIGINT AS n, count(*)::INT AS n_times FROM e JOIN p ON p.k = e.k AND p.place >= a AND (z IS NULL OR p.place < z) GROUP BY e.k, block""")
 def validation_blocks(spark, d):
     """Blocks of validation on whole times."""
     o = table(spark, d, "orders").select(F.col("o_orderpriority").alias("bot"), epoch(F.col("o_orderdate")).alias("ts"))
