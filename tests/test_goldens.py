@@ -41,6 +41,15 @@ def test_features_need_thirty_valid_bars(spark):
     assert last.slope == pytest.approx((last.sma20 - last.sma60) / last.close)
 
 
+def test_features_of_all_bars_if_asked(spark):
+    rows = [("a", 3600 * i, 10.0, 11.0, 0.0 if i == 5 else 9.0, 10.0 + i % 2, 1.0) for i in range(40)]  # one low of 0
+    df = spark.createDataFrame(rows, "symbol string, ts long, open double, high double, low double, close double, volume double")
+    assert (bars.bar_features(df).count(), bars.bar_features(df, valid_only=False).count()) == (10, 11)
+    shut = df.withColumn("close", F.when(F.col("ts") == 3600 * 35, 0.0).otherwise(F.col("close")))
+    got = {r.ts // 3600: r.ret for r in bars.bar_features(shut, valid_only=False).collect()}
+    assert (got[35], got[36]) == (-math.inf, math.inf)
+
+
 def test_rsi(spark):
     of = lambda xs: one(spark, x=indicators.rsi(F.array(*[F.lit(float(v)) for v in xs]))).x
     assert of([5] * 30) == 50 and of(range(1, 16)) == 50 and of(range(1, 17)) == 100

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import ln, quotient
+
 
 def valid_bar() -> Column:
     """Prices positive, high and low around open and close, volume not negative."""
@@ -47,27 +49,27 @@ def gaps(bars: DataFrame, tf: int, key: str = "symbol") -> DataFrame:
     return ends.select(key, F.explode(F.sequence(F.col("ts") + tf, F.col("after") - tf, F.lit(tf).cast("long"))).alias("ts"))
 
 
-def bar_features(bars: DataFrame, key: str = "symbol") -> DataFrame:
+def bar_features(bars: DataFrame, key: str = "symbol", valid_only: bool = True) -> DataFrame:
     """Trailing features of each bar: volatility, linear ATR, moving averages, slope, trend strength, volume z-score.
 
     Windows hold the last 14, 20 or 60 bars, the bar itself included. The first
-    bar has no return or true range. Bars that are not valid are left out, and a
-    key's first 29 bars have no features yet.
+    bar has no return or true range. Bars that are not valid are left out unless
+    ``valid_only`` is off, and a key's first 29 bars have no features yet.
     """
-    bars = bars.where(valid_bar())
+    bars = bars.where(valid_bar()) if valid_only else bars
     order = Window.partitionBy(key).orderBy("ts")
     last = lambda n: order.rowsBetween(1 - n, 0)
     before = F.lag("close").over(order)
-    x = bars.withColumn("ret", F.ln(F.col("close") / before)).withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
+    x = bars.withColumn("ret", ln(quotient(F.col("close"), before))).withColumn("tr", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     x = x.withColumn("tr", F.when(before.isNotNull(), F.col("tr")))
     sma20, sma60 = F.avg("close").over(last(20)), F.avg("close").over(last(60))
     volume, deviation = F.avg("volume").over(last(60)), F.coalesce(F.stddev_samp("volume").over(last(60)), F.lit(0.0))
-    slope = (sma20 - sma60) / F.col("close")
+    slope = quotient(sma20 - sma60, F.col("close"))
     x = x.withColumn("_n", F.row_number().over(order))
     return x.select(
         "_n", key, "ts", "close", "ret",
         (F.coalesce(F.stddev_samp("ret").over(last(60)), F.lit(0.0)) * F.sqrt(F.lit(60.0))).alias("rv"),
-        (F.avg("tr").over(last(14)) / F.col("close")).alias("atr_pct"),
+        quotient(F.avg("tr").over(last(14)), F.col("close")).alias("atr_pct"),
         sma20.alias("sma20"), sma60.alias("sma60"), slope.alias("slope"), F.least(F.lit(1.0), 20 * F.abs(slope)).alias("trend_strength"),
         ((F.col("volume") - volume) / (deviation + 1e-9)).alias("volume_z"),
     ).where("_n >= 30").drop("_n")
