@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.direction import vote
-from ..functions.numeric import clamp
+from ..functions.numeric import clamp, ln, quotient
 
 
 #: Bars read of frames up to an hour, of longer ones, and closed bars that a frame needs to vote.
@@ -26,8 +26,8 @@ def frame_votes(bars: DataFrame, now: int | Column, key: str = "symbol") -> Data
     tail = bars.withColumn("_k", F.row_number().over(read)).where((F.col("_k") <= most) & (F.col("ts") + F.col("frame") <= now))
     order = Window.partitionBy(key, "frame").orderBy("ts")
     newest = lambda n: F.col("_nth") <= n
-    x = tail.withColumn("_nth", F.row_number().over(read)).withColumn("lc", F.ln("close")).withColumn("_before", F.lag("lc").over(order))
-    x = x.withColumn("tr", F.greatest(F.ln("high") - F.ln("low"), F.abs(F.ln("high") - F.col("_before")), F.abs(F.ln("low") - F.col("_before"))))
+    x = tail.withColumn("_nth", F.row_number().over(read)).withColumn("lc", ln(F.col("close"))).withColumn("_before", F.lag("lc").over(order))
+    x = x.withColumn("tr", F.greatest(ln(F.col("high")) - ln(F.col("low")), F.abs(ln(F.col("high")) - F.col("_before")), F.abs(ln(F.col("low")) - F.col("_before"))))
     mean = lambda c, n: F.avg(F.when(newest(n), F.col(c)))
     series = F.transform(F.array_sort(F.collect_list(F.struct("ts", "close"))), lambda b: b["close"])
     ends = x.groupBy(key, "frame").agg(
@@ -62,7 +62,7 @@ def ema_series(xs: Column, period: int) -> Column:
 def rsi(xs: Column, period: int = 14) -> Column:
     """Wilder's index of an array's log changes: 50 if it is short (under ``period`` + 2 values) or flat, 100 with gains and no losses."""
     n = F.size(xs)
-    deltas = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: F.ln(F.try_element_at(xs, i)) - F.ln(F.try_element_at(xs, i - 1)))
+    deltas = F.transform(F.sequence(F.lit(2), F.greatest(n, F.lit(2))), lambda i: ln(F.try_element_at(xs, i)) - ln(F.try_element_at(xs, i - 1)))
     smooth = lambda part: F.aggregate(
         F.slice(part, period + 1, 10_000), F.aggregate(F.slice(part, 1, period), F.lit(0.0), lambda s, x: s + x) / period, lambda m, x: (m * (period - 1) + x) / period
     )
@@ -72,7 +72,7 @@ def rsi(xs: Column, period: int = 14) -> Column:
 
 def macd_hist(xs: Column) -> Column:
     """MACD(12, 26) less its own 9-period mean, of log values; 0 for fewer than 35."""
-    logs = F.transform(xs, F.ln)
+    logs = F.transform(xs, ln)
     line = F.zip_with(ema_series(logs, 12), ema_series(logs, 26), lambda a, b: a - b)
     return F.when(F.size(xs) < 35, 0.0).otherwise(F.element_at(line, -1) - ema(line, 9))
 
@@ -80,7 +80,7 @@ def macd_hist(xs: Column) -> Column:
 def mean_reversion(bars: DataFrame, key: str = "symbol", returns: int = 160) -> DataFrame:
     """Lag-1 correlation, variance ratio over 4 and share of sign reversals of the last returns, and their weighted score."""
     order, newest = Window.partitionBy(key).orderBy("ts"), Window.partitionBy(key).orderBy(F.col("ts").desc())
-    x = bars.withColumn("r", F.ln(F.col("close") / F.lag("close").over(order))).where("r is not null").withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= returns)
+    x = bars.withColumn("r", ln(quotient(F.col("close"), F.lag("close").over(order)))).where("r is not null").withColumn("_k", F.row_number().over(newest)).where(F.col("_k") <= returns)
     x = x.withColumn("p", F.lag("r").over(order)).withColumn("q", F.when(F.count("r").over(order.rowsBetween(-3, 0)) == 4, F.sum("r").over(order.rowsBetween(-3, 0))))
     flip = F.when((F.col("r") != 0) & (F.col("p") != 0), (F.signum("r") != F.signum("p")).cast("double"))
     got = x.groupBy(key).agg(F.count("*").alias("n"), F.corr("r", "p").alias("corr"), F.try_divide(F.var_samp("q"), 4 * F.var_samp("r")).alias("vr"), F.avg(flip).alias("reversals"))
