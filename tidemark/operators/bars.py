@@ -22,11 +22,11 @@ def bars_from_trades(trades: DataFrame, tf: int, key: str = "symbol") -> DataFra
     )
 
 
-def resample(bars: DataFrame, source: int, target: int, key: str = "symbol") -> DataFrame:
-    """Longer bars from complete buckets only: every source bar there, once, and valid."""
+def resample(bars: DataFrame, source: int, target: int, key: str = "symbol", valid_only: bool = True) -> DataFrame:
+    """Longer bars from complete buckets only: every source bar there, once, and valid unless ``valid_only`` is off."""
     full = target // source
     return (
-        bars.where(valid_bar())
+        (bars.where(valid_bar()) if valid_only else bars)
         .groupBy(key, (F.col("ts") - F.pmod("ts", F.lit(target))).alias("ts"))
         .agg(
             F.min_by("open", F.col("ts")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", F.col("ts")).alias("close"), F.sum("volume").alias("volume"),

@@ -69,13 +69,13 @@ def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str],
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
 
-def refresh_frames(path: str, batch: DataFrame, batch_id: int, source: int, target: int, key: str = "symbol", part_seconds: int = 30 * 86400) -> None:
+def refresh_frames(path: str, batch: DataFrame, batch_id: int, source: int, target: int, key: str = "symbol", part_seconds: int = 30 * 86400, valid_only: bool = True) -> None:
     """Merge bars of ``source`` seconds into ``path/bars`` and bring ``path/frames``, bars of ``target`` seconds, up to date.
 
     Only buckets that have a bar in the batch are made anew, in a steady state the
     last two of each key, and only their partitions are written. A bucket that is
     not complete, or not any more, is kept as a row that says so:
-    :func:`frames` reads the others.
+    :func:`frames` reads the others. ``valid_only``: bars that are not valid count as missing.
     """
     spark = batch.sparkSession
     bucket = F.col("ts") - F.pmod("ts", F.lit(target))
@@ -86,7 +86,7 @@ def refresh_frames(path: str, batch: DataFrame, batch_id: int, source: int, targ
     now = touched(spark, f"{path}/bars", bars, "part").withColumn("_bucket", bucket)
     same = F.col(key).eqNullSafe(F.col("_k")) & (F.col("_bucket") == F.col("_ts"))
     of = changed.select(F.col(key).alias("_k"), F.col("ts").alias("_ts"))
-    whole = resample(now.join(of, same, "left_semi").drop("_bucket"), source, target, key).withColumnsRenamed({key: "_k", "ts": "_ts"})
+    whole = resample(now.join(of, same, "left_semi").drop("_bucket"), source, target, key, valid_only).withColumnsRenamed({key: "_k", "ts": "_ts"})
     made = changed.join(whole, F.col(key).eqNullSafe(F.col("_k")) & (F.col("ts") == F.col("_ts")), "left")
     merge_into(f"{path}/frames", made.select(key, "ts", "part", "open", "high", "low", "close", "volume"), batch_id, [key, "ts"], "part")
 
