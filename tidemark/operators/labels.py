@@ -9,14 +9,14 @@ from .bars import valid_bar
 from .joins import in_range
 
 
-def first_touch(entries: DataFrame, bars: DataFrame, key: str, tf: int, horizon: int, bucket: int = 86400) -> DataFrame:
+def first_touch(entries: DataFrame, bars: DataFrame, key: str, tf: int, horizon: int, bucket: int = 86400, valid_only: bool = True) -> DataFrame:
     """What came first of each entry (entry_id, key, entry_ts, entry, target, stop; direction, long if absent; cost_bps, 0 if absent).
 
     A bar that opens at or beyond the stop exits at its open, one that opens at
     or beyond the target at the target; a bar that touches both is AMBIGUOUS,
     without a return. With neither by the horizon, the open of the bar that
     begins there counts. UNAVAILABLE: a bar missing before the exit, one that is
-    not valid within the horizon, or none at the horizon; INVALID: target and
+    not valid within the horizon (unless ``valid_only`` is off), or none at the horizon; INVALID: target and
     stop not on their sides of a positive entry, or no such direction.
 
     Returns entry_id, event, exit_reason, exit_ts, exit_price, gross (signed
@@ -30,7 +30,7 @@ def first_touch(entries: DataFrame, bars: DataFrame, key: str, tf: int, horizon:
     s = F.when(F.col("direction") == "long", 1.0).when(F.col("direction") == "short", -1.0)
     entry, target, stop, ts, start = (F.col(x) for x in ("entry", "target", "stop", "bar_ts", "entry_ts"))
     fair = F.coalesce((entry > 0) & (target > 0) & (stop > 0) & (s * stop < s * entry) & (s * entry < s * target), F.lit(False))
-    b = bars.select(key, F.col("ts").alias("bar_ts"), "open", "high", "low", "close", valid_bar().alias("_valid"))
+    b = bars.select(key, F.col("ts").alias("bar_ts"), "open", "high", "low", "close", (valid_bar() if valid_only else F.lit(True)).alias("_valid"))
     path = in_range(b, entries.where(fair), key, ts, start, start + horizon + 1, bucket, spread=F.col("entry_id"))
     o, best, worst = F.col("open"), F.when(s > 0, F.col("high")).otherwise(F.col("low")), F.when(s > 0, F.col("low")).otherwise(F.col("high"))
     gap, jump, up, down = s * o <= s * stop, s * o >= s * target, s * best >= s * target, s * worst <= s * stop
