@@ -4,6 +4,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +149,32 @@ def test_fit_by_group_is_the_plain_fit(spark):
         assert sum((q > 0.5) == r[5] for q, r in zip(p, mine, strict=True)) > 90
 
 
+@pytest.mark.parametrize("unit_rows", [200_000, 10])
+def test_models_learn_from_all_rows(spark, unit_rows, monkeypatch):
+    """One task a group, or many blocks and a few steps: 60,000 rows a group, most of them equal, against the plain fit on all rows."""
+    n = {}
+    if unit_rows == 10:
+        n = {"iterations": 12}
+        monkeypatch.setattr(models.weighted_steps, "__defaults__", (12, 0.12, 0.08))
+        monkeypatch.setattr(models.platt_steps, "__defaults__", (12, 0.06, 80))
+        monkeypatch.setattr(models.softmax_steps, "__defaults__", (12, 0.08, 0.002))
+    i = F.col("id")
+    df = spark.range(120_000).select(F.when(i % 2 == 0, "p").alias("k"), (i % 11 / 3).alias("a"), (i % 7 / 2).alias("b"), ((i * 7919 % 101) > 60).cast("double").alias("y"), (i * 31 % 17 % 3).cast("int").alias("z"))
+    rows = df.toPandas()
+    got = {r.k: r for r in models.fit_by_group(df, "k", ["a", "b"], "y", unit_rows).collect()}
+    soft = {r.k: r for r in models.softmax_by_group(df, "k", ["a", "b"], "z", 3, unit_rows).collect()}
+    platt = {r.k: r for r in models.platt_by_group(df, "k", "a", "y", unit_rows).collect()}
+    for k in ("p", None):
+        part = rows[rows.k.isna() if k is None else rows.k == k]
+        x, y = part[["a", "b"]].to_numpy(float), part.y.to_numpy(float)
+        w, b = models.fit_weighted(x, y, **n)
+        assert got[k].n == soft[k].n == platt[k].n == 60_000
+        assert (*got[k].weights, got[k].bias) == pytest.approx((*w, b), abs=1e-9)
+        w, b = models.fit_softmax(x, part.z.to_numpy(int), 3, **n)
+        assert np.allclose(soft[k].weights, w, atol=1e-9) and np.allclose(soft[k].bias, b, atol=1e-9)
+        assert (platt[k].a, platt[k].b, platt[k].fitted) == pytest.approx(models.fit_platt(x[:, 0], y, **n), abs=1e-9)
+
+
 def test_chain_of_a_thousand(spark):
     rows = [(i, 1000 + i, i - 1 if i else None, True) for i in range(1000)]
     rows += [(2000, 5000, 999, False), (2001, 5001, 2000, True), (2002, 5002, 77777, True), (2003, 5003, 2004, True), (2004, 5004, 2003, True), (2005, 5005, 2005, True), (2006, 5006, 2002, None)]

@@ -152,7 +152,7 @@ g AS (SELECT k, 1.0::DOUBLE AS a, 0.0::DOUBLE AS b, 0 AS i FROM n WHERE fitted U
   SELECT x.k, any_value(a) - 0.06::DOUBLE * avg((1 / (1 + exp(-(a * s + b))) - y) * s), any_value(b) - 0.06::DOUBLE * avg(1 / (1 + exp(-(a * s + b))) - y), any_value(i) + 1 FROM g JOIN x USING (k) WHERE i < 300 GROUP BY x.k)
 SELECT k AS l_returnflag, n, coalesce(round(a, 6), 1) AS a, coalesce(round(b, 6), 0) AS b, fitted FROM n LEFT JOIN (SELECT * FROM g WHERE i = 300) AS e USING (k)""")
 def platt_scalers(spark, d):
-    """A Platt scaler of each return flag; the SQL fits on all rows, as the scaler does up to 50,000 a group."""
+    """A Platt scaler of each return flag, learnt from all rows."""
     x = table(spark, d, "lineitem").select("l_returnflag", (F.col("l_quantity") / 25 - 1).alias("score"), (F.col("l_tax") * 1000 % 20 < F.col("l_quantity") / 3).cast("double").alias("y"))
     return models.platt_by_group(x, "l_returnflag", "score", "y").withColumn("a", r("a")).withColumn("b", r("b"))
 
@@ -166,7 +166,7 @@ _ZEROS = ", ".join(f"0.0::DOUBLE AS {c}" for c in [*[f"w{i}{f}" for i in range(3
 g AS (SELECT k, {_ZEROS}, 0 AS i FROM x GROUP BY k UNION ALL SELECT k, {_SOFT}, any_value(i) + 1 FROM (SELECT *, {', '.join(f'{_LOGIT(i)} AS e{i}' for i in range(3))}, 0.08::DOUBLE / sqrt(1 + i / 100.0::DOUBLE) AS rate FROM g JOIN x USING (k) WHERE i < 600) GROUP BY k)
 SELECT k AS l_linestatus, (SELECT count(*) FROM x WHERE x.k = g.k) AS n, [{', '.join(f'round(w{i}q, 6), round(w{i}c, 6)' for i in range(3))}] AS weights, [round(b0, 6), round(b1, 6), round(b2, 6)] AS bias FROM g WHERE i = 600""")
 def softmax_models(spark, d):
-    """A three-class softmax model of each line status; the SQL fits on all rows, as the model does up to 50,000 a group."""
+    """A three-class softmax model of each line status, learnt from all rows."""
     x = table(spark, d, "lineitem").select("l_linestatus", (F.col("l_quantity") / 50).alias("q"), (F.col("l_discount") * 10).alias("c"), (F.col("l_linenumber") % 3).cast("int").alias("y"))
     got = models.softmax_by_group(x, "l_linestatus", ["q", "c"], "y", 3)
     return got.select("l_linestatus", "n", F.transform(F.flatten("weights"), lambda v: F.round(v, 6)).alias("weights"), F.transform("bias", lambda v: F.round(v, 6)).alias("bias"))
