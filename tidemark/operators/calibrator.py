@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ..sources.shared import saved
 from . import crossfit
 from .buckets import running
 from .intervals import lower_bound
-from .models import fit_softmax
+from .models import fit_groups, flat_steps, softmax_steps
 from .selection import selected_returns
 
 #: Rows from which a model is learnt at all, bounds of the share of wins, share of censored roots that may be, and the least adverse return assumed for one.
@@ -80,7 +78,7 @@ def censoring(counts: DataFrame) -> DataFrame:
     )
 
 
-def event_models(rows: DataFrame, key: str, ts: str, available: str, horizon: int, features: list[str], event: str, events: list[str], ret: str, horizon_event: str, least: int = 80, most_rows: int = 50_000) -> DataFrame:
+def event_models(rows: DataFrame, key: str, ts: str, available: str, horizon: int, features: list[str], event: str, events: list[str], ret: str, horizon_event: str, least: int = 80, unit_rows: int = 200_000) -> DataFrame:
     """A softmax model of events a key, learnt before its last times and judged on them: key, status, n_samples, fit_samples, holdout_samples, loss, null_loss, gap, error_bound, coef, intercept, horizon_mean, horizon_lower.
 
     Rows whose label came before their horizon ended take no part. The held-out
@@ -88,11 +86,10 @@ def event_models(rows: DataFrame, key: str, ts: str, available: str, horizon: in
     before it whose label came later are on neither side. insufficient where rows
     or classes are too few; accepted if the loss is smaller by EVENT_MARGIN than
     that of the classes' shares; else rejected, without a model. The end is found
-    by counts of times, newest first, carried by bucket; a fit sees about
-    ``most_rows`` rows of a key at most, judged rows are counted in full.
+    by counts of times, newest first, carried by bucket; fits see all rows (see
+    :func:`fit_groups`), and all of the end are judged.
     """
     minimum = max(30, least)
-    kind = rows.schema[key].dataType.simpleString()
     number = lambda c: F.col(c).cast("double")
     label = F.array_position(F.array(*map(F.lit, events)), F.upper(F.trim(F.col(event)))).cast("int") - 1
     x = rows.select(F.col(key).alias("k"), F.col(ts).cast("long").alias("ts"), F.col(available).cast("long").alias("available"), label.alias("y"), F.array(*[number(c) for c in features]).alias("x"), number(ret).alias("ret"))
@@ -112,14 +109,10 @@ def event_models(rows: DataFrame, key: str, ts: str, available: str, horizon: in
     per = split.groupBy("k").agg(F.count_if(is_("train")).alias("fit_samples"), F.count_if(is_("end")).alias("holdout_samples"), *[F.count_if(is_("train") & (F.col("y") == i)).alias(f"t{i}") for i in range(len(events))], *[F.count_if(is_("end") & (F.col("y") == i)).alias(f"h{i}") for i in range(len(events))])
     enough = (F.col("n") >= minimum) & (F.col("rarest") >= max(5, minimum // 20)) & (F.col("fit_samples") >= max(24, minimum // 2)) & (F.least(*[f"t{i}" for i in range(len(events))]) >= TRAIN_CLASS) & (F.least(*[f"h{i}" for i in range(len(events))]) >= HOLDOUT_CLASS)
     about = saved(cut.join(per.withColumnRenamed("k", "_k"), F.col("k").eqNullSafe(F.col("_k")), "left").drop("_k").withColumn("enough", F.coalesce(enough, F.lit(False))), "event-counts")
-    fit_on = split.where(is_("train")).join(about.where("enough").select(F.col("k").alias("_k"), "fit_samples"), F.col("k").eqNullSafe(F.col("_k"))).where(F.pmod(F.xxhash64("ts", "available", "x"), F.lit(1_000_000)) < 1_000_000 * most_rows / F.col("fit_samples")).select("k", "ts", "available", "y", "x")
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts", "available", "y"], kind="stable")
-        w, b = fit_softmax(np.array(part["x"].tolist(), float), part["y"].to_numpy(int), len(events))
-        return pd.DataFrame({"m": [part["k"].iloc[0]], "coef": [w.tolist()], "intercept": [b.tolist()]})
-
-    models = saved(fit_on.groupBy("k").applyInPandas(fit, f"m {kind}, coef array<array<double>>, intercept array<double>"), "event-models")
+    fit_on = split.where(is_("train")).join(about.where("enough").select(F.col("k").alias("_k")), F.col("k").eqNullSafe(F.col("_k")))
+    learnt = fit_groups(fit_on.select("k", "x", F.col("y").cast("double").alias("y"), F.lit(1.0).alias("w")), ["k"], lambda: flat_steps(softmax_steps(len(features), len(events))), unit_rows)
+    coef = F.array(*[F.slice("theta", 1 + i * len(features), len(features)) for i in range(len(events))])
+    models = saved(learnt.select(F.col("k").alias("m"), coef.alias("coef"), F.slice("theta", 1 + len(events) * len(features), len(events)).alias("intercept")), "event-models")
     counts = F.array(*[F.col(f"t{i}").cast("double") for i in range(len(events))])
     judged = split.where(is_("end")).join(models, F.col("k").eqNullSafe(F.col("m"))).join(about.select(F.col("k").alias("_k"), (F.transform(counts, lambda c: F.greatest(F.lit(1e-9), F.try_divide(c, F.col("fit_samples"))))).alias("shares")), F.col("k").eqNullSafe(F.col("_k")))
     dot = lambda w: F.aggregate(F.zip_with(w, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)

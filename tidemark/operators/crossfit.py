@@ -3,39 +3,40 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.shared import saved
 from .intervals import LAST_TIMES, validation_blocks
-from .models import fit_platt, fit_weighted
+from .models import fit_groups, platt_steps, weighted_steps
 
 #: Gradient steps of a fold's model, by how much a loss must be smaller, and the bound of a logit.
 FOLD_STEPS, IMPROVEMENT, LOGIT = 260, 1e-4, 60.0
 
-_MODEL = "block int, n_train long, coef array<double>, bias double, fa double, fb double, sa double, sb double, null_p double"
+def _of_features(steps, n_features: int):
+    """Steps that see the first columns alone."""
+    try:
+        f = next(steps)
+        while True:
+            f = steps.send((yield lambda x, y, w, c, f=f: f(x[:, :n_features], y, w, c)))
+    except StopIteration as end:
+        return end.value
 
 
-def _fitter(least: int, n_features: int):
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(["ts", "available", "score", "y", "w"], kind="stable")
-        x, y, w, score = np.array(part["x"].tolist(), float).reshape(len(part), n_features), part["y"].to_numpy(float), part["w"].to_numpy(float), part["score"].to_numpy(float)
-        coef, bias = fit_weighted(x, y, FOLD_STEPS, weights=w)
-        fa, fb, by_features = fit_platt(x @ coef + bias, y, least=least, weights=w)
-        sa, sb, by_score = fit_platt(score, y, least=least, weights=w)
-        share = min(1 - 1e-12, max(1e-12, (w * y).sum() / w.sum()))
-        rows = [(part["k"].iloc[0], part["block"].iloc[0], part["n_train"].iloc[0], coef.tolist(), bias, fa, fb, sa, sb, share)] if by_features and by_score else []
-        return pd.DataFrame(rows, columns=["k", *[c.split()[0] for c in _MODEL.split(", ")]])
-
-    return fit
+def _fold_steps(n_features: int, least: int):
+    """Steps of a fold on x, features and then a score: coef, bias, fa, fb, sa, sb, null_p and whether both scalers are fitted."""
+    coef, bias = yield from _of_features(weighted_steps(n_features, FOLD_STEPS), n_features)
+    fa, fb, by_features = yield from platt_steps(lambda x: x[:, :n_features] @ coef + bias, least=least)
+    sa, sb, by_score = yield from platt_steps(lambda x: x[:, n_features], least=least)
+    won, total = yield lambda x, y, w, c: np.array([(w * c) @ y, w @ c])
+    return [*coef, bias, fa, fb, sa, sb, min(1 - 1e-12, max(1e-12, won / total)), by_features and by_score]
 
 
 def _probability(logit: Column, a: str, b: str) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), F.col(a) * logit + F.col(b)))))
 
 
-def out_of_fold(rows: DataFrame, key: str, ts: str, available: str, features: list[str], score: str, label: str, weight: str, least: int, carried: list[str] = (), most_rows: int = 50_000) -> DataFrame:
+def out_of_fold(rows: DataFrame, key: str, ts: str, available: str, features: list[str], score: str, label: str, weight: str, least: int, carried: list[str] = (), unit_rows: int = 200_000) -> DataFrame:
     """Probabilities of the rows of each validation block, by models learnt on what was known before the block.
 
     Returns key, ts, available, label, weight and ``carried`` columns, block,
@@ -46,11 +47,9 @@ def out_of_fold(rows: DataFrame, key: str, ts: str, available: str, features: li
     share of wins are learnt together. Blocks without a fold's model have no rows.
     Rows that miss a value, or whose label comes before they do, take no part.
 
-    Folds are tasks of their own, (key, block); a key has at most eleven. A fold
-    learns from at most about ``most_rows`` rows, chosen by hash (the figures it
-    is admitted by count all rows); every row of a block is judged, in the JVM.
+    A fold, (key, block), learns from all of its rows (see :func:`fit_groups`); a
+    key has at most eleven folds. Every row of a block is judged, in the JVM.
     """
-    kind = rows.schema[key].dataType.simpleString()
     number = lambda c: F.col(c).cast("double")
     vector = F.array(*[number(c) for c in features])
     x = rows.select(F.col(key).alias("k"), F.col(ts).cast("long").alias("ts"), F.col(available).cast("long").alias("available"), vector.alias("x"), number(score).alias("score"), F.col(label).cast("int").alias("y"), number(weight).alias("w"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carried)])
@@ -62,9 +61,11 @@ def out_of_fold(rows: DataFrame, key: str, ts: str, available: str, features: li
     sizes = known.groupBy("k", "block").agg(F.count("*").alias("n_train"), F.sum("y").alias("wins"))
     rarer = F.least("wins", F.col("n_train") - F.col("wins"))
     sizes = saved(sizes.where((F.col("n_train") >= least) & (2 * rarer >= least)).select(F.col("k").alias("s_k"), F.col("block").alias("s_block"), "n_train"), "fold-sizes")
-    share = F.pmod(F.xxhash64("ts", "available", "x", "score"), F.lit(1_000_000)) < 1_000_000 * most_rows / F.col("n_train")
-    train = known.join(sizes, F.col("k").eqNullSafe(F.col("s_k")) & (F.col("block") == F.col("s_block"))).where(share).drop("s_k", "s_block")
-    models = saved(train.groupBy("k", "block").applyInPandas(_fitter(least, len(features)), f"k {kind}, {_MODEL}"), "fold-models").withColumnsRenamed({"k": "m_k", "block": "m_block"})
+    train = known.join(sizes, F.col("k").eqNullSafe(F.col("s_k")) & (F.col("block") == F.col("s_block")))
+    learnt = fit_groups(train.select("k", "block", F.concat("x", F.array("score")).alias("x"), F.col("y").cast("double").alias("y"), "w"), ["k", "block"], lambda: _fold_steps(len(features), least), unit_rows)
+    part = lambda i: F.col("theta")[len(features) + i]
+    names = ("bias", "fa", "fb", "sa", "sb", "null_p")
+    models = saved(learnt.where(part(6) == 1).select(F.col("k").alias("m_k"), F.col("block").alias("m_block"), F.col("n").alias("n_train"), F.slice("theta", 1, len(features)).alias("coef"), *[part(i).alias(c) for i, c in enumerate(names)]), "fold-models")
     placed = x.join(blocks, F.col("k").eqNullSafe(F.col("_k")) & F.col("ts").between(F.col("first_ts"), F.col("last_ts")))
     judged = placed.join(models, F.col("k").eqNullSafe(F.col("m_k")) & (F.col("block") == F.col("m_block")))
     logit = F.aggregate(F.zip_with("x", "coef", lambda a, b: a * b), F.col("bias"), lambda s, v: s + v)
