@@ -50,6 +50,14 @@ def test_features_of_all_bars_if_asked(spark):
     assert (got[35], got[36]) == (-math.inf, math.inf)
 
 
+def test_dealt_parts_grow_with_the_rows(spark):
+    df = spark.range(4000).select((F.col("id") % 1000).alias("k"), "id")
+    got = relational.dealt(df, ["k"], rows=100)
+    held = got.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    assert got.rdd.getNumPartitions() == 40 and sum(r.n for r in held) == 4000 and max(r.n for r in held) < 400
+    assert got.select("k", F.spark_partition_id().alias("part")).distinct().count() == 1000
+
+
 def test_rsi(spark):
     of = lambda xs: one(spark, x=indicators.rsi(F.array(*[F.lit(float(v)) for v in xs]))).x
     assert of([5] * 30) == 50 and of(range(1, 16)) == 50 and of(range(1, 17)) == 100

@@ -77,3 +77,9 @@ def work_queue(due: DataFrame, attempts: DataFrame, key: str, ts: str, attempted
     last = attempts.groupBy(F.col(key).alias("_k")).agg(F.max(attempted).alias("last_attempt"))
     x = due.join(last, F.col(key) == F.col("_k"), "left").drop("_k").withColumn("last_attempt", F.coalesce("last_attempt", F.lit(0)))
     return x.orderBy("last_attempt", ts, key).limit(n)
+
+
+def dealt(df: DataFrame, keys: list[str], rows: int = 500_000) -> DataFrame:
+    """``df`` by a hash of ``keys`` in as many parts as keep each at about ``rows`` rows: for groups that are nearly as many as the rows, which no partial aggregate makes fewer."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(least, -(-df.count() // rows)), *keys)

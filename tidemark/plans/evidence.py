@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import market as M
-from ..operators import sentiment, stats
+from ..operators import relational, sentiment, stats
 from ..sources.tables import epoch, table, trades
 from .market import BARS, DAY, HOUR, TRADES, hourly, newest, query, r
 
@@ -93,7 +93,8 @@ def semantic_integrity(spark, d):
 @query("""SELECT l_orderkey, l_suppkey, count(*) AS n, count(DISTINCT l_quantity) AS contents, CASE WHEN count(*) = 1 THEN 'new' WHEN count(DISTINCT l_quantity) = 1 THEN 'repeat' ELSE 'conflict' END AS verdict FROM lineitem GROUP BY l_orderkey, l_suppkey""")
 def idempotent_events(spark, d):
     """Events of one external id: repeats with equal content do no harm, others conflict."""
-    x = table(spark, d, "lineitem").groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.count_distinct("l_quantity").alias("contents"))
+    x = relational.dealt(table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_quantity"), ["l_orderkey", "l_suppkey"])
+    x = x.groupBy("l_orderkey", "l_suppkey").agg(F.count("*").alias("n"), F.count_distinct("l_quantity").alias("contents"))
     return x.withColumn("verdict", F.when(F.col("n") == 1, "new").when(F.col("contents") == 1, "repeat").otherwise("conflict"))
 
 
