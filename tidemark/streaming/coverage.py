@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections import namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,9 +18,17 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Fixed value: why a span closes when a poll has no trade in common with what is stored.
 NO_OVERLAP = "poll_window_no_trade_id_overlap"
 
+_READ = ("at_ms", "kind", "session", "message", "ids", "times", "reason")
+_Message = namedtuple("_Message", _READ)
 _OUT = "coverage_id string, start_ms long, end_ms long, state string, gap_reason string"
 
 
+def _in_order(frames: Iterator[pd.DataFrame]) -> list[_Message]:
+    """Messages by time and number, those without a number last. Most keys have few rows, for which sorting a frame costs far more."""
+    found = [_Message(*m) for f in frames for m in zip(*[f[c].tolist() for c in _READ], strict=True)]
+    return sorted(found, key=lambda m: (m.at_ms, bool(none := pd.isna(m.message)), 0 if none else m.message))
+
+
 class CoverageSpans(StatefulProcessor):
     """Spans of one key. A poll goes on with the open span if it has a trade seen before, a message if it is of the same session."""
 
@@ -32,21 +41,27 @@ class CoverageSpans(StatefulProcessor):
         self.seen = handle.getMapState("seen", "id string", "at_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        # A call of the state store per trade costs more than all else: what is stored is read once, and only what has changed is written.
         span, made = self.span.get() if self.span.exists() else None, []
-        before = span
-        for m in pd.concat(list(rows)).sort_values(["at_ms", "message"], kind="stable").itertuples(index=False):
+        stored = {i: t for (i,), (t,) in self.seen.iterator()}
+        before, seen = span, dict(stored)
+        for m in _in_order(rows):
             times = [int(t) for t in m.times] if m.times is not None else []
             if m.kind == "disconnect":
                 if span is not None:
                     made.append(self._row(key, span, "closed", m.reason or "disconnect"))
                 span = None
             elif times:
-                span = self._extended(key, span, m, times, made)
-                for i, t in zip(m.ids, times, strict=True):
-                    self.seen.updateValue((i,), (t,))
+                span = self._extended(key, span, m, times, seen, made)
+                seen.update(zip(m.ids, times, strict=True))
         if span is not None:
             made.append(self._row(key, span, "open", None))
-            self._forget(span[1] - self.keep_ms)
+            seen = {i: t for i, t in seen.items() if t >= span[1] - self.keep_ms}
+        for i, t in seen.items():
+            if stored.get(i) != t:
+                self.seen.updateValue((i,), (t,))
+        for i in stored.keys() - seen.keys():
+            self.seen.removeKey((i,))
         if before is not None and (span is None or span[1] != before[1]):
             self.handle.deleteTimer(before[1] + self.timeout_ms)
         if span is None:
@@ -56,9 +71,9 @@ class CoverageSpans(StatefulProcessor):
             self.handle.registerTimer(span[1] + self.timeout_ms)
         yield self._frame(made)
 
-    def _extended(self, key, span, m, times: list[int], made: list):
+    def _extended(self, key, span, m, times: list[int], seen: dict[str, int], made: list):
         start, session, number = min(times) + 1, m.session or "", int(m.message)
-        goes_on = span is not None and (any(self.seen.containsKey((i,)) for i in m.ids) if m.kind == "poll" else span[2] == session)
+        goes_on = span is not None and (any(i in seen for i in m.ids) if m.kind == "poll" else span[2] == session)
         if goes_on:
             if m.kind == "message" and number <= span[3]:
                 return span  # not after the last message of its session
@@ -67,11 +82,6 @@ class CoverageSpans(StatefulProcessor):
             made.append(self._row(key, span, "closed", NO_OVERLAP if m.kind == "poll" else "session_replaced"))
         return (start, max(int(m.at_ms), start), session, number)
 
-    def _forget(self, oldest: int) -> None:
-        for (i,), (t,) in list(self.seen.iterator()):
-            if t < oldest:
-                self.seen.removeKey((i,))
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         made = []
         if self.span.exists():

@@ -31,9 +31,15 @@ def touched(spark: SparkSession, path: str, batch: DataFrame, part: str) -> Data
     return there if there is None else there.where(F.col(part).isin([r[0] for r in batch.select(part).distinct().collect()]))
 
 
-def overwrite(rows: DataFrame, path: str, part: str) -> None:
-    """Replace the partitions that ``rows`` have, and no others. Rows are saved first, as they may come from the same partitions."""
-    saved(rows, "merged").repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+def overwrite(rows: DataFrame, path: str, part: str, keys: list[str], file_rows: int = 1_000_000) -> None:
+    """Replace the partitions that ``rows`` have, and no others. Rows are saved first, as they may come from the same partitions.
+
+    A partition is written by as many tasks, by a hash of ``keys``, as keep each to about ``file_rows`` rows of the whole.
+    """
+    merged = saved(rows, "merged")
+    salts = -(-merged.count() // file_rows)
+    dealt = [F.col(part), F.pmod(F.xxhash64(*keys), F.lit(salts))] if salts > 1 else [F.col(part)]
+    merged.repartition(*dealt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
 
 
 def merge_into(path: str, batch: DataFrame, batch_id: int, keys: list[str], part: str, enrich: bool = False) -> None:
@@ -54,17 +60,18 @@ def merge_into(path: str, batch: DataFrame, batch_id: int, keys: list[str], part
         got = both.groupBy(*group).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.col(VERSION))).alias(c) if c != VERSION else F.min(VERSION).alias(VERSION) for c in others])
     else:
         got = both.groupBy(*group).agg(F.max_by(F.struct(*others), VERSION).alias("_row")).select(*group, "_row.*")
-    overwrite(got, path, part)
+    overwrite(got, path, part, keys)
 
 
 def merge_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], part: str, reduce: Callable[[DataFrame], DataFrame] | None = None, mode: str = "append", enrich: bool = False):
     """Start a stream whose batches are merged into a table, over what is there: late rows correct it, a repeated batch changes nothing.
 
-    ``reduce`` brings a batch to one row a key.
+    ``reduce`` brings a batch to one row a key. A batch is saved before it is
+    merged, which reads it several times: its states are worked out once.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        merge_into(path, reduce(batch) if reduce else batch, batch_id, keys, part, enrich)
+        merge_into(path, saved(reduce(batch) if reduce else batch, "batch"), batch_id, keys, part, enrich)
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
 
