@@ -4,6 +4,7 @@ from collections import Counter
 
 import pandas as pd
 
+from tidemark.plans import market
 from tidemark.sources.shared import shared_dir
 from tidemark.streaming import coverage, stores
 
@@ -92,3 +93,11 @@ def test_a_large_partition_is_written_by_several_tasks(spark):
     got = stores.stored(spark, path)
     assert len(got.inputFiles()) > 2
     assert {tuple(r) for r in got.select("k", "part", "x").collect()} == {(k, k % 2, 2 * k) for k in range(200)}
+
+
+def test_rules_of_the_policy_look_nothing_up_in_the_reasons(spark):
+    """Every part of the reasons is read once, by the projection below the rules; before, each rule read its own again."""
+    plan = market.QUERIES["exact_policy"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    rules, evidence, *_ = plan.splitlines()
+    assert "POLICY_CONTRACT_UNVERIFIED" in rules and "variant" not in rules and "sha2" not in rules
+    assert "variant_get" in evidence

@@ -41,14 +41,13 @@ def contract_fingerprint(v: Column) -> Column:
     return F.when(F.schema_of_variant(contract).startswith("OBJECT"), F.sha2(F.to_json(contract), 256))
 
 
-def directions(v: Column, stated: Column, outcome: Column) -> dict[str, Column]:
-    """raw_direction (before execution), execution_direction, and the source of a neutral one."""
+def directions(e: Column, stated: Column, outcome: Column) -> dict[str, Column]:
+    """raw_direction (before execution), execution_direction, and the source of a neutral one; ``e`` is a column of :func:`evidence`."""
     known = lambda x, fallback: F.when(F.lower(F.trim(x)).isin("long", "short", "neutral"), F.lower(F.trim(x))).otherwise(fallback)
     present = lambda x: F.when(x != "", x)
     last = known(present(outcome), F.lit("neutral"))
-    at = lambda *paths: [present(F.try_variant_get(v, f"$.{p}", "string")) for p in paths]
-    raw = known(F.coalesce(*at("execution_constraints.raw_direction", "direction_agg.raw_direction", "direction_agg.direction_before_execution"), present(stated), present(outcome), last), last)
-    done = known(F.coalesce(*at("execution_constraints.executable_direction", "execution_constraints.execution_direction"), present(stated), present(outcome), last), last)
+    raw = known(F.coalesce(e["raw"], present(stated), present(outcome), last), last)
+    done = known(F.coalesce(e["done"], present(stated), present(outcome), last), last)
     source = F.when(done != "neutral", None).when(raw == "short", "futures_neutral").when(raw == "neutral", "true_neutral").otherwise("other_neutralized")
     return {"raw_direction": raw, "execution_direction": done, "neutral_source": source}
 
@@ -60,31 +59,48 @@ def decision_codes(v: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(F.concat(*lists), code), lambda c: c.isNotNull()))
 
 
-def eligibility(v: Column, bot: Column, score: Column, ts: Column, horizon: Column, available: Column, stored: dict[str, Column], active: Column, now: Column) -> dict[str, Column]:
-    """cohort, calibration_eligible, policy_evaluation_eligible, outcome_eligible and reason_codes of a labelled outcome.
+def evidence(v: Column) -> Column:
+    """What the rules here read of a row's reasons (a variant; null: none), as one struct.
 
-    ``v`` are its reasons (a variant column; null: none), ``active`` the
-    fingerprint of the policy in force (null: unspecified), ``stored`` may hold
-    the columns policy and outcome with materialised flags (0, 1 or null). The
-    contract counts only if its own hash is the stored fingerprint. Codes name
-    every gate that is not passed, in a fixed order.
+    To be made a column of its own before the rules: they use each part many
+    times, and would look it up in the variant, or hash its contract, each time.
     """
     snap, policy = "$.feature_snapshot.", "$.outcome_policy."
+    chosen = lambda *paths: F.coalesce(*[F.nullif(F.try_variant_get(v, f"$.{p}", "string"), F.lit("")) for p in paths])
+    own = F.lower(text(v, policy + "policy_fingerprint"))
+    parts = {
+        "reversion": number(v, snap + "mean_reversion_score"), "strength": number(v, snap + "trend_strength"), "coherence": number(v, snap + "coherence"),
+        "reversion_valid": holds(whole(v, snap + "mean_reversion_evidence_valid") == 1), "trend_valid": flag(v, snap + "trend_evidence_valid") | holds(whole(v, snap + "trend_evidence_valid") == 1),
+        "regime": F.lower(F.coalesce(text(v, snap + "regime"), F.lit(""))),
+        "floor": number(v, policy + "policy_contract.selection.min_score_to_recommend"), "least": number(v, policy + "policy_contract.selection.mean_reversion_min_score"),
+        "grace": F.coalesce(whole(v, policy + "policy_contract.calibration.label_due_grace_sec"), F.lit(LABEL_GRACE).cast("long")),
+        "evaluated": flag(v, policy + "policy_evaluation_eligible"), "counted": flag(v, policy + "eligible"), "own": own, "contract": contract_fingerprint(v),
+        "said": whole(v, policy + "label_due_ts"), "shadow": holds(text(v, policy + "sample_role") == "shadow_no_trade"), "codes": decision_codes(v),
+        "raw": chosen("execution_constraints.raw_direction", "direction_agg.raw_direction", "direction_agg.direction_before_execution"),
+        "done": chosen("execution_constraints.executable_direction", "execution_constraints.execution_direction"),
+    }
+    return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+
+def eligibility(e: Column, bot: Column, score: Column, ts: Column, horizon: Column, available: Column, stored: dict[str, Column], active: Column, now: Column) -> dict[str, Column]:
+    """cohort, calibration_eligible, policy_evaluation_eligible, outcome_eligible and reason_codes of a labelled outcome.
+
+    ``e`` is a column of :func:`evidence`, ``active`` the fingerprint of the
+    policy in force (null: unspecified), ``stored`` may hold the columns policy
+    and outcome with materialised flags (0, 1 or null). The contract counts only
+    if its own hash is the stored fingerprint. Codes name every gate that is not
+    passed, in a fixed order.
+    """
     trending = F.trim(F.coalesce(bot, F.lit(""))) == TREND
-    reversion, strength, coherence = (number(v, snap + x) for x in ("mean_reversion_score", "trend_strength", "coherence"))
+    reversion, strength, coherence, regime, floor, least = (e[c] for c in ("reversion", "strength", "coherence", "regime", "floor", "least"))
+    evaluated, counted, own, said = e["evaluated"], e["counted"], e["own"], e["said"]
     unit = lambda x: holds(x.between(0.0, 1.0))
-    reverts = holds(whole(v, snap + "mean_reversion_evidence_valid") == 1) & unit(reversion)
-    regime = F.lower(F.coalesce(text(v, snap + "regime"), F.lit("")))
-    trends = (flag(v, snap + "trend_evidence_valid") | holds(whole(v, snap + "trend_evidence_valid") == 1)) & unit(strength) & unit(coherence) & (regime == "trend")
-    floor, least = number(v, policy + "policy_contract.selection.min_score_to_recommend"), number(v, policy + "policy_contract.selection.mean_reversion_min_score")
-    evaluated, counted = flag(v, policy + "policy_evaluation_eligible"), flag(v, policy + "eligible")
-    own = F.lower(text(v, policy + "policy_fingerprint"))
-    verified = is_fingerprint(own) & holds(contract_fingerprint(v) == own)
+    reverts = e["reversion_valid"] & unit(reversion)
+    trends = e["trend_valid"] & unit(strength) & unit(coherence) & (regime == "trend")
+    verified = is_fingerprint(own) & holds(e["contract"] == own)
     named = is_fingerprint(F.lower(F.trim(active)))
     match = named & holds(own == F.lower(F.trim(active)))
-    grace = F.coalesce(whole(v, policy + "policy_contract.calibration.label_due_grace_sec"), F.lit(LABEL_GRACE))
-    due = F.when((ts > 0) & (horizon > 0) & (grace >= 0), ts + horizon + grace)
-    said = whole(v, policy + "label_due_ts")
+    due = F.when((ts > 0) & (horizon > 0) & (e["grace"] >= 0), ts + horizon + e["grace"])
     kept = holds(said == due) & holds(available >= due)
     ripe = holds(F.greatest(said, available) <= now) & said.isNotNull() & available.isNotNull()
     scored = holds(score >= floor)
@@ -101,9 +117,9 @@ def eligibility(v: Column, bot: Column, score: Column, ts: Column, horizon: Colu
     own_codes = F.filter(F.array(*[F.when(holds(rule), F.lit(code)) for code, rule in codes]), lambda c: c.isNotNull())
     cohort = (
         F.when(named & ~match, "other_policy").when(calibrates, "calibration_eligible").when(evaluated & verified, "policy_evaluation_candidate")
-        .when(counted & holds(text(v, policy + "sample_role") == "shadow_no_trade"), "shadow_exploration").when(counted, "outcome_only").otherwise("excluded")
+        .when(counted & e["shadow"], "shadow_exploration").when(counted, "outcome_only").otherwise("excluded")
     )
-    return {"cohort": cohort, "calibration_eligible": calibrates, "policy_evaluation_eligible": evaluated, "outcome_eligible": counted, "reason_codes": F.array_distinct(F.concat(own_codes, decision_codes(v)))}
+    return {"cohort": cohort, "calibration_eligible": calibrates, "policy_evaluation_eligible": evaluated, "outcome_eligible": counted, "reason_codes": F.array_distinct(F.concat(own_codes, e["codes"]))}
 
 
 def in_scope(v: Column, version: Column, scope: str, current_version: str, fingerprint: str | None = None) -> Column:
