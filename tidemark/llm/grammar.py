@@ -180,7 +180,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, id_col:
     end = end_id.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer, keeps_space, words=100_000), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, keeps_space, words=300_000), TaskContext.get().partitionId()
 
         def each() -> Iterator[tuple]:
             keys, held, total, shard = [], [], 0, 0

@@ -8,8 +8,8 @@ from pathlib import Path
 
 from tokenizers import Tokenizer
 
-#: Marks that every tokenizer here parts from the letters before them.
-_MARKS = frozenset(",.;:!?")
+#: Marks that every tokenizer here parts, as one run, from the letters before them.
+_MARKS = ",.;:!?#$%&*"
 
 #: Letters below are letters still in lower case and in every normal form; of others some are not (U+0130).
 _SURE = "\u0100"
@@ -35,9 +35,10 @@ class _Words(dict):
     """Ids of words, as bytes of little-endian 32-bit integers, found by the tokenizer when first asked for.
 
     At most two generations of ``most`` words are kept: when the young one is
-    full it takes the place of the old one, so words in use stay. A mark after
-    letters that stay letters when normalised is a token run of its own, so those
-    letters are looked up without it.
+    full it takes the place of the old one, so words in use stay. Marks after
+    letters that stay letters when normalised are a token run of their own, so
+    those letters are looked up without it, and in lower case if that is how the
+    tokenizer reads them.
     """
 
     def __init__(self, tokenizer: Tokenizer, before: str, most: int = 400_000):
@@ -46,18 +47,19 @@ class _Words(dict):
         self.old: dict[str, bytes] = {}
         self.lower = tokenizer.normalizer is not None and tokenizer.normalizer.normalize_str("AZ") == "az"
         self.model = tokenizer.model
-        self.marks = {m: self._ids(m) for m in _MARKS}
+        self.marks: dict[str, bytes] = {}
         self.direct = all(self._letters(w) == self._ids(before + w) for w in ("a", "the", "Word", "QzXv", "\u00c9t\u00e9", "\u00f1and\u00fa"))
 
     def __missing__(self, word: str) -> bytes:
         packed = self.old.get(word)
         if packed is None:
-            mark = self.marks.get(word[-1:])
-            head = word if mark is None else word[:-1]
+            head = word.rstrip(_MARKS)
             if not head.isalpha() or not (head.isascii() or max(head) < _SURE):
                 packed = self._ids(self.before + word)
-            elif mark is not None:
-                packed = self[head] + mark
+            elif len(head) < len(word):
+                packed = self[head] + self._run(word[len(head) :])
+            elif self.lower and (small := word.lower()) != word:
+                packed = self[small]
             else:
                 packed = self._letters(word) if self.direct else self._ids(self.before + word)
         if len(self) >= self.most:
@@ -66,6 +68,14 @@ class _Words(dict):
         self[word] = packed
         return packed
 
+    def _run(self, marks: str) -> bytes:
+        """Ids of a run of marks; the short ones are kept, and are few."""
+        if (packed := self.marks.get(marks)) is None:
+            packed = self._ids(marks)
+            if len(marks) <= 3:
+                self.marks[marks] = packed
+        return packed
+
     def _letters(self, word: str) -> bytes:
         """Ids of letters up to U+00FF, a token run of their own, straight from the tokenizer's model."""
         word = word.lower() if self.lower else word
