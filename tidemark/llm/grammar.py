@@ -184,13 +184,14 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str | None = None, id_col:
 
         def each() -> Iterator[tuple]:
             keys, held, total, shard = [], [], 0, 0
-            for key, text in rows(batches):
-                keys.append(key)
-                held.append(encode(text or "") + end)
-                total += len(held[-1]) // 4
-                if total >= shard_ids:
-                    yield flush(keys, held, total, shard)
-                    keys, held, total, shard = [], [], 0, shard + 1
+            for batch in batches:
+                for key, ids in zip(batch.column(0).to_pylist(), encode.each(batch.column(1)), strict=True):
+                    keys.append(key)
+                    held.append(ids + end)
+                    total += len(held[-1]) // 4
+                    if total >= shard_ids:
+                        yield flush(keys, held, total, shard)
+                        keys, held, total, shard = [], [], 0, shard + 1
             if keys:
                 yield flush(keys, held, total, shard)
 
